@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as d5
 from . import line_dedup as d10
+from . import license_scan as d4
 from . import mixing as d2
+from . import near_dedup as d3
+from . import quality_mil as d9
 from . import quality_rules as d1
 
 
@@ -24,6 +27,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d2.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d3.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d4.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d9.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d5.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -34,5 +49,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed_chunks"), F.col("_lines_removed").cast("long").alias("n_removed_lines"), F.sha2("text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op5_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op9_quality_mil, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
