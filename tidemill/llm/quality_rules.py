@@ -122,10 +122,9 @@ def safe_levels(rows: DataFrame, labels: DataFrame, max_loss: float, delta: floa
     good = rows.where("not base_failed").select("doc_id", "stratum", "level").join(marked.where("quality = 1").select("doc_id"), "doc_id")
     lost = [F.count_if(F.col("level") <= t).alias(f"k{t}") for t in range(LEVELS)]
     held = good.groupBy("stratum").agg(F.count("*").alias("n"), *lost)
-    strata = rows.agg(F.count_distinct(F.coalesce(F.hash("stratum"), F.lit(0))).alias("m"))
-    held = held.join(F.broadcast(strata))  # one row: a constant of the whole table
+    m = max(1, rows.select("stratum").distinct().count())
     levels = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"k{t}").alias("k"), binomial_tail(F.col(f"k{t}"), F.col("n"), max_loss).alias("p")) for t in range(LEVELS)])
-    unsafe = F.filter(levels, lambda x: x["p"] > delta / F.col("m"))
+    unsafe = F.filter(levels, lambda x: x["p"] > delta / m)
     return held.select("stratum", "n", F.when(F.size(unsafe) > 0, F.array_min(F.transform(unsafe, lambda x: x["t"]))).otherwise(LEVELS).alias("n_levels"))
 
 

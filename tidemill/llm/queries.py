@@ -12,6 +12,7 @@ from . import mixing as d2
 from . import near_dedup as d3
 from . import quality_mil as d9
 from . import quality_rules as d1
+from . import substring_dedup as d8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d4.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d8.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d9.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +54,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed_chunks"), F.col("_lines_removed").cast("long").alias("n_removed_lines"), F.sha2("text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op9_quality_mil, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op8_substring_dedup, op9_quality_mil, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
