@@ -26,7 +26,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per distinct window: ``gram``, its length ``n`` and the sorted ids of its ``items``."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), terms(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.transform(F.sequence(i, i + n - 1), lambda k: F.get("w", k)), " "))
     return w.select("item_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram", "n").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
@@ -52,7 +52,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
         rows = [F.array(F.struct(F.lit(-1).alias("start"), F.size(w).alias("n"), none.alias("gram")))]  # carries n_words, and rows without hits
         for n in sorted(sizes):
             starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-            rows.append(F.transform(starts, lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("gram"))))
+            rows.append(F.transform(starts, lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("gram"))))
         return F.concat(*rows)
 
     each = words.select("doc_id", "row", F.inline(let(F.col("w"), windows)))

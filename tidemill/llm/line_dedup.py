@@ -36,7 +36,7 @@ def chunks(text: Column, mask_bits: int = MASK_BITS) -> Column:
             return let(ends, pieces)
 
         spans = let(F.transform(lines, lambda x: F.xxhash64(x)), by_hash)
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.slice(lines, s["start"] + 1, s["n"]), "\n").alias("text")))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.transform(F.sequence(s["start"], s["start"] + s["n"] - 1), lambda i: F.get(lines, i)), "\n").alias("text")))
 
     return let(F.split(text, "\n", -1), cut)
 

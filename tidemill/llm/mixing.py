@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, blank_words
+from .common import BLANKS, Scratch, text_key
 
 BINS, ROUNDS = 4096, 3
 #: Tier -> smallest size in words and weight of its documents' expected copies.
@@ -65,11 +65,11 @@ def _tier(size: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
-    """doc_id, size, source, source_size, target, expected (copies), copies and taken (words), for each row of docs."""
+    """doc_id, key (of the text), size, source, source_size, target, expected (copies), copies and taken (words), for each row of docs."""
     s = Scratch(docs.sparkSession)
     n_words = F.length(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20\\x09-\\x0D]+", "w"), BLANKS, ""))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    base = s.save(docs.select("doc_id", "source", n_words.cast("long").alias("size"), u.alias("u")).withColumn("tier", _tier(F.col("size"))))
+    base = s.save(docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), n_words.cast("long").alias("size"), u.alias("u")).withColumn("tier", _tier(F.col("size"))))
     targets = s.save(source_targets(base, list(weights), budget, cap))
     tier_weight = F.get(F.array(*[F.lit(w) for _, w in TIERS]), F.col("tier"))
     tiers = base.groupBy("source", "tier").agg(F.sum("size").cast("double").alias("words")).where("words > 0")
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: f
     joined = joined.withColumn("rank", rank)
     sampled = F.col("rank").isNotNull() & ((F.col("rank") < F.col("low")) | F.coalesce(me <= F.col("last"), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.coalesce(whole, F.lit(0)) + F.coalesce(sampled, F.lit(False)).cast("int")).otherwise(0)
-    return joined.withColumn("copies", copies.cast("int")).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("expected", F.lit(0.0)).alias("expected"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return joined.withColumn("copies", copies.cast("int")).select("doc_id", "source", "key", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("expected", F.lit(0.0)).alias("expected"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
@@ -124,3 +124,12 @@ def _narrow(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     out = cuts.join(hit.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     b, w = F.col("hit.bin"), F.col("width") / BINS
     return out.select("source", (F.col("need") - F.coalesce(F.col("hit.before"), F.lit(0))).alias("need"), F.coalesce(F.col("low") + b * w, F.col("low")).alias("low"), F.when(b.isNotNull(), w).otherwise(F.col("width")).alias("width"), F.lit(False).alias("done"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken; rows with equal doc_id and text count once."""
+    m = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "size", "source_size", "target", "copies", "taken").dropDuplicates(["_d", "_k"])
+    m = m.withColumnsRenamed({c: f"_{c}" for c in ("size", "source_size", "target", "copies", "taken")})
+    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key(F.col("text")) == F.col("_k")))
+    more = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in docs.columns]
+    return out.select(*docs.columns, *[F.col(f"_{c}").alias(c) for c in more])

@@ -12,7 +12,10 @@ from . import mixing as d2
 from . import near_dedup as d3
 from . import quality_mil as d9
 from . import quality_rules as d1
+from . import quote_links as d6
 from . import substring_dedup as d8
+from . import warc_fixity as d7
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d4.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = d6.quote_links(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "n_quoted", "max_level", "n_linked", "parent_turn", "thread_turn", "depth", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages in which crc32 of page_id marks records that are flipped, zeroed or lost."""
+    s, pages = Scratch(spark), table(spark, sf_dir, "pages")
+    record, mark = d7.record_bytes(F.col("url"), F.col("html")), F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    flipped = F.concat(F.substring(record, 1, 40), F.unhex(F.lit("FF")), F.expr("substring(r, 42)"))
+    held = F.when(mark % 211 == 0, None).when(mark % 97 == 0, flipped).when(mark % 89 == 0, F.expr("cast(repeat('0', length(r)) as binary)")).otherwise(record)
+    rows = d7.archive(pages.withColumn("r", record), s, {"a": F.col("r"), "b": held})
+    a, b = (rows.where(f"digest_{x} is not null").select("pos", "offset", "length", F.col(f"digest_{x}").alias("digest")) for x in "ab")
+    _, bad, _ = d7.audit(a, b, s)
+    out = rows.join(bad, "pos", "left")
+    return out.select("page_id", "file", "pos", "offset", "length", F.coalesce("status", F.lit("ok")).alias("status"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d8.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -54,5 +75,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed_chunks"), F.col("_lines_removed").cast("long").alias("n_removed_lines"), F.sha2("text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op8_substring_dedup, op9_quality_mil, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op6_quote_links, op7_warc_fixity, op8_substring_dedup, op9_quality_mil, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
