@@ -142,7 +142,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     texts = s.save(rows.where("size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     members = repeated(s, texts.select(F.explode("bands").alias("bkey"), F.col("node").alias("item"), "node"))
     nodes = members.select("node").distinct().join(texts.select("node", "key"), "node")
-    wanted = keyed.select("key", "text").join(nodes, "key").dropDuplicates(["key"])
+    # nodes grow with the data, so they are merged and never broadcast: one plan at every size
+    wanted = keyed.select("key", "text").join(nodes.hint("merge"), "key").dropDuplicates(["key"])
     sets = s.save(wanted.select("node", "text").mapInPandas(set_rows, "node long, h array<long>, w array<float>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -171,6 +172,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
     firsts = s.save(rows.where("comp is not null").groupBy("comp").agg(F.min(order).alias("o")).select("comp", F.col("o.doc_id").alias("_d"), F.col("o.key").alias("_k")))
     keyed = docs.withColumn("_key", text_key(F.col("text")))
-    kept = keyed.join(firsts, F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_k") == F.col("_key")))
+    kept = keyed.join(firsts.hint("merge"), F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_k") == F.col("_key")))
     blank = docs.where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D\\x20]+", "")) == 0)
     return kept.dropDuplicates(["comp"]).select(*docs.columns).unionByName(blank)
