@@ -64,7 +64,8 @@ def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN
     gone = places.join(again, "h").where(~is_first).select("doc_id", "key", "start", "n").distinct()
     gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("start").alias("_gone"), F.sum("n").alias("_lines_removed"))
     gone = s.save(gone)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.unhex(F.md5("text")) == F.col("_k")), "left")
+    # the list of removed chunks grows with the data, so it is merged and never broadcast: one plan at every size
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.unhex(F.md5("text")) == F.col("_k")), "left")
     kept = let(chunks(F.col("text"), mask_bits), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("_gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     return joined.withColumns({
