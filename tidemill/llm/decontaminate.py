@@ -30,6 +30,17 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return w.select("item_id", n.alias("n"), F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram", "n").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
+def _known_words(benchmark: DataFrame, bits: int = 1 << 18):
+    """A test of whether a word may stand in the benchmark: one bit per hash value, so its size does not depend on the tables."""
+    slot = lambda x: F.pmod(F.hash(x), F.lit(bits))
+    found = benchmark.select(F.explode(terms(F.col("text"))).alias("w")).select(slot(F.col("w")).alias("at")).distinct().collect()  # at most ``bits`` rows
+    longs = [0] * (bits // 64)
+    for (at,) in found:
+        longs[at >> 6] |= 1 << (at & 63)
+    table = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)), ",").cast("array<bigint>")  # folded into one constant
+    return lambda x: F.getbit(F.get(table, F.shiftright(slot(x), 6)), slot(x).bitwiseAND(F.lit(63))) == 1
+
+
 def covered(spans: Column) -> Column:
     """Positions that lie in spans of (start, n), given sorted."""
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
@@ -45,6 +56,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
     """For each row of docs (numbered ``row`` in this plan): n_words, ``spans`` of hits, ``items`` that occur."""
     grams = item_windows(benchmark, width)
     sizes = {r["n"]: r["rows"] for r in grams.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # at most ``width`` rows
+    known = _known_words(benchmark)
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), terms(F.col("text")).alias("w"))
 
     def windows(w: Column) -> Column:
@@ -52,9 +64,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
         rows = [F.array(F.struct(F.lit(-1).alias("start"), F.size(w).alias("n"), none.alias("gram")))]  # carries n_words, and rows without hits
         for n in sorted(sizes):
             starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-            rows.append(F.transform(starts, lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("gram"))))
+            rows.append(let(F.transform(w, known), lambda k: F.transform(F.filter(starts, all_known(k, n)), gram(w, n))))  # noqa: B023
         return F.concat(*rows)
 
+    def all_known(flags: Column, n: int):
+        def test(i: Column) -> Column:
+            out = F.get(flags, i)
+            for k in sorted(range(1, n), key=lambda k: (-k & 3, k)):
+                out = out & F.get(flags, i + k)
+            return out
+
+        return test
+
+    def gram(w: Column, n: int):
+        return lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]).alias("gram"))
+
     each = words.select("doc_id", "row", F.inline(let(F.col("w"), windows)))
     grams = F.broadcast(grams) if sum(sizes.values()) <= broadcast_rows else grams
     found = each.join(grams.select("gram", "items"), "gram", "left").where("start < 0 or items is not null")
@@ -78,4 +102,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
     bad = seen.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
     # a null field would never be equal: compare its text form
     flat = lambda k: F.to_json(k)
-    return keyed.withColumn("_key", flat(F.col("_key"))).join(bad.withColumn("_key", flat(F.col("_key"))), "_key", "left_anti").select(*docs.columns)
+    return keyed.withColumn("_key", flat(F.col("_key"))).join(bad.withColumn("_key", flat(F.col("_key"))).hint("merge"), "_key", "left_anti").select(*docs.columns)
