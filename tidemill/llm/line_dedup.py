@@ -1,7 +1,7 @@
 """Line dedup over content-defined chunks of lines.
 
-A text is split at "\\n". Each line has a 64-bit hash; the rolling hash at a line is
-the hash of that line's and its predecessor's hashes, and a chunk ends where it is
+A text is split at "\\n". Each line has an MD5 hash; the rolling hash at a line is the
+hash of its predecessor's and its own hash, and a chunk ends where its last 32 bits are
 0 modulo ``1 << mask_bits``. Boundaries thus depend on content near them only and
 come back in step after inserted or deleted lines. A chunk of ``min_lines`` lines
 or more that holds ``min_chars`` characters is a candidate. Chunks are grouped by
@@ -30,12 +30,13 @@ def chunks(text: Column, mask_bits: int = MASK_BITS) -> Column:
 
     def cut(lines: Column) -> Column:
         def by_hash(h: Column) -> Column:
-            rolled = lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i))
-            ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ((i > 0) & (F.pmod(rolled(i), F.lit(1 << mask_bits)) == 0)) | (i == F.size(lines) - 1))
+            rolled = lambda i: F.md5(F.concat(F.get(h, i - 1), F.get(h, i)))
+            low = lambda i: F.conv(F.substring(rolled(i), 25, 8), 16, 10).cast("bigint")
+            ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ((i > 0) & (low(i) % (1 << mask_bits) == 0)) | (i == F.size(lines) - 1))
             pieces = lambda e: F.transform(e, lambda x, k: F.struct(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)).alias("start"), (x - F.coalesce(F.get(e, k - 1), F.lit(-1))).alias("n")))
             return let(ends, pieces)
 
-        spans = let(F.transform(lines, lambda x: F.xxhash64(x)), by_hash)
+        spans = let(F.transform(lines, F.md5), by_hash)
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.array_join(F.transform(F.sequence(s["start"], s["start"] + s["n"] - 1), lambda i: F.get(lines, i)), "\n").alias("text")))
 
     return let(F.split(text, "\n", -1), cut)

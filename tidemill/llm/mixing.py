@@ -68,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: f
     """doc_id, key (of the text), size, source, source_size, target, expected (copies), copies and taken (words), for each row of docs."""
     s = Scratch(docs.sparkSession)
     n_words = F.length(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20\\x09-\\x0D]+", "w"), BLANKS, ""))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    u = (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     base = s.save(docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), n_words.cast("long").alias("size"), u.alias("u")).withColumn("tier", _tier(F.col("size"))))
     targets = s.save(source_targets(base, list(weights), budget, cap))
     tier_weight = F.get(F.array(*[F.lit(w) for _, w in TIERS]), F.col("tier"))

@@ -9,6 +9,7 @@ from . import decontaminate as d5
 from . import line_dedup as d10
 from . import license_scan as d4
 from . import mixing as d2
+from . import oracles
 from . import near_dedup as d3
 from . import quality_mil as d9
 from . import quality_rules as d1
@@ -28,7 +29,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d2.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
+    out = d2.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", F.round("expected", 9).alias("expected"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +47,16 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of all pages in which crc32 of page_id marks records that are flipped, zeroed or lost."""
+    """Audits a replica of all pages in which a hash of page_id marks records that are flipped, zeroed or lost."""
     s, pages = Scratch(spark), table(spark, sf_dir, "pages")
-    record, mark = d7.record_bytes(F.col("url"), F.col("html")), F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    flipped = F.concat(F.substring(record, 1, 40), F.unhex(F.lit("FF")), F.expr("substring(r, 42)"))
-    held = F.when(mark % 211 == 0, None).when(mark % 97 == 0, flipped).when(mark % 89 == 0, F.expr("cast(repeat('0', length(r)) as binary)")).otherwise(record)
-    rows = d7.archive(pages.withColumn("r", record), s, {"a": F.col("r"), "b": held})
+    pages = pages.withColumn("r", d7.record_bytes(F.col("url"), F.col("html")))
+    mark = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    flipped, zeroed = F.expr("substring(r, 1, 40) || unhex('FF') || substring(r, 42)"), F.expr("cast(repeat('0', length(r)) as binary)")
+    held = F.when(mark % 211 == 0, None).when(mark % 97 == 0, flipped).when(mark % 89 == 0, zeroed).otherwise(F.col("r"))
+    rows = d7.archive(pages, s, {"a": F.col("r"), "b": held})
     a, b = (rows.where(f"digest_{x} is not null").select("pos", "offset", "length", F.col(f"digest_{x}").alias("digest")) for x in "ab")
     _, bad, _ = d7.audit(a, b, s)
-    out = rows.join(bad, "pos", "left")
-    return out.select("page_id", "file", "pos", "offset", "length", F.coalesce("status", F.lit("ok")).alias("status"))
+    return rows.join(bad, "pos", "left").select("page_id", "length", F.col("digest_a").alias("digest"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +78,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op6_quote_links, op7_warc_fixity, op8_substring_dedup, op9_quality_mil, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
