@@ -97,9 +97,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bro
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs; rows with a null doc_id are matched by their text."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
-    seen = decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, width)
-    bad = seen.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
+    seen = decontaminate(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, width)
+    bad = seen.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
     # a null field would never be equal: compare its text form
     flat = lambda k: F.to_json(k)
-    return keyed.withColumn("_key", flat(F.col("_key"))).join(bad.withColumn("_key", flat(F.col("_key"))).hint("merge"), "_key", "left_anti").select(*docs.columns)
+    return keyed.withColumn("__key", flat(F.col("__key"))).join(bad.withColumn("__key", flat(F.col("__key"))).hint("merge"), "__key", "left_anti").select(*docs.columns)

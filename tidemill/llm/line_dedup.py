@@ -63,19 +63,19 @@ def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN
     f = F.col("first")
     is_first = f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["key"] == F.col("key")) & (f["start"] == F.col("start"))
     gone = places.join(again, "h").where(~is_first).select("doc_id", "key", "start", "n").distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("start").alias("_gone"), F.sum("n").alias("_lines_removed"))
+    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.collect_set("start").alias("__gone"), F.sum("n").alias("_lines_removed"))
     gone = s.save(gone)
     # the list of removed chunks grows with the data, so it is merged and never broadcast: one plan at every size
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.unhex(F.md5("text")) == F.col("_k")), "left")
-    kept = let(chunks(F.col("text"), mask_bits), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("_gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.unhex(F.md5("text")) == F.col("__k")), "left")
+    kept = let(chunks(F.col("text"), mask_bits), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("__gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
+    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
     return joined.withColumns({
-        "text": F.coalesce("_kept.text", "text"), "_n_removed": F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)), "_lines_removed": F.coalesce("_lines_removed", F.lit(0)),
+        "text": F.coalesce("__kept.text", "text"), "_n_removed": F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)), "_lines_removed": F.coalesce("_lines_removed", F.lit(0)),
     }).select(*docs.columns, "_n_removed", "_lines_removed")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts; rows that had a word and lost every line to earlier copies go."""
     had = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    out = line_dedup(docs.withColumn("_had", had > 0))
-    return out.where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) | ~F.col("_had")).select(*docs.columns)
+    out = line_dedup(docs.withColumn("__had", had > 0))
+    return out.where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) | ~F.col("__had")).select(*docs.columns)

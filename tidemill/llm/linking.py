@@ -1,13 +1,14 @@
 """Links between items that share buckets, without all pairs inside a bucket.
 
-``members`` has one row per (bucket, item): ``bkey`` long, ``item`` long, ``node`` long,
-the node (document) that an item belongs to. A round compares, in every bucket
+``members`` has one row per (bucket, item): ``bkey`` long, ``item``, ``node`` long, the node
+(document) that an item belongs to, and ``central`` int, larger for better representatives. A round compares, in every bucket
 that still spans several components, each member with one representative of the
 bucket, and joins the nodes of verified pairs. Members whose node is already in
 the representative's component need no comparison, as it could add no link
-between classes. After ``rounds`` such rounds the few buckets that still span
-several components are compared in full, across components only. So every
-pair that shares a bucket is either compared or already in one class.
+between classes. After ``rounds`` such rounds the members of buckets that still span
+several components go to ``rest``, which names all pairs of them that could still
+be a link between components. So every pair that shares a bucket is compared, known
+to be too far apart, or already in one class.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ def repeated(scratch: Scratch, members: DataFrame) -> DataFrame:
     return scratch.save(members.join(keys, "bkey", "left_semi"))
 
 
-def link(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, list[DataFrame]]:
+def link(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, list[DataFrame]]:
     """(node, comp) for all nodes that a verified pair joins, and the verified pairs of each round.
 
     ``members`` is a written table in which every bucket holds several nodes. ``verify`` takes
-    ``(a, b, na, nb)``, items and their nodes, and returns the verified ones with at least na and nb.
+    ``(a, b, na, nb)``, items and their nodes, and returns the verified ones with at least na and nb. ``rest`` takes
+    ``(bkey, item, node, comp)`` of open buckets and returns candidates ``(item, node, item2, node2)``.
     """
     spark = members.sparkSession
     comps, found, tried = None, [], None
@@ -44,13 +46,12 @@ def link(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], Dat
                 break
         live = now.join(open_, "bkey", "left_semi") if comps is not None else now
         if r < rounds:
-            # rounds take other representatives; the first takes the smallest item, the same one in many buckets
+            # central items first; the first round takes the same ones in many buckets, later rounds take others
             order = F.lit(0) if r == 0 else F.xxhash64(F.lit(r), "bkey", "item")
-            rep = live.groupBy("bkey").agg(F.min(F.struct(order.alias("o"), F.col("item"), F.col("node"), F.col("comp"))).alias("rep"))
+            rep = live.groupBy("bkey").agg(F.min(F.struct(-F.col("central"), order.alias("o"), F.col("item"), F.col("node"), F.col("comp"))).alias("rep"))
             pairs = live.join(rep, "bkey").where("comp != rep.comp").select("item", "node", F.col("rep.item").alias("item2"), F.col("rep.node").alias("node2"))
         else:
-            other = live.select("bkey", F.col("item").alias("item2"), F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-            pairs = live.join(other, "bkey").where("comp < comp2").select("item", "node", "item2", "node2")
+            pairs = rest(live)
         first = F.col("node") < F.col("node2")
         pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
         pairs = pairs.select(pick("item", "item2", "a"), pick("item2", "item", "b"), pick("node", "node2", "na"), pick("node2", "node", "nb")).distinct()

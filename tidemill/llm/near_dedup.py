@@ -6,8 +6,7 @@ and a register keeps the shingle that arrives first (Ertl 2020). A shingle stops
 early, once its next arrival is later than the latest register. Two registers agree
 with the probability Jaccard similarity of the texts. Bands of R registers are
 bucket keys; pairs in a bucket are verified on their whole shingle sets, and
-texts are linked if the probability Jaccard or the plain Jaccard similarity is
-0.8 or more. With M = 128 and R = 4 a pair at 0.8 shares no band with
+texts are linked if the Jaccard similarity of those is 0.8 or more. With M = 128 and R = 4 a pair at 0.8 shares no band with
 probability (1 - 0.8**4)**32 = 4e-13.
 
 Exact copies are one text from the start. Classes are connected components.
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
+from .common import BLANKS, Scratch, text_key
 from .linking import link, repeated
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
@@ -69,22 +68,10 @@ def weighted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, 1 + np.log(n)
 
 
-def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """The larger of probability Jaccard and plain Jaccard of two weighted sets with sorted hashes.
-
-    Probability Jaccard is the sum over common i of 1 / sum_j max(a_j / a_i, b_j / b_i); by the
-    order of a_j / b_j the inner sums are a tail of a plus a head of b.
-    """
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(ia):
-        return 0.0
-    plain = len(ia) / (len(ha) + len(hb) - len(ia))
-    a, b = wa[ia], wb[ib]
-    order = np.argsort(a / b)
-    a, b = a[order], b[order]
-    tail = np.cumsum(a[::-1])[::-1] + wa.sum() - a.sum()  # a_j with a ratio at least as high, and those without b
-    head = np.cumsum(b) - b + wb.sum() - b.sum()
-    return max(plain, float((1 / (tail / a + head / b)).sum()))
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of sorted hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
 
 
 def _rows(texts) -> Iterator[list[int]]:
@@ -121,18 +108,44 @@ def set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _rows(batch["text"].tolist()):
             part = batch.iloc[run]
             sets = [weighted(words.of(t)) for t in part["text"]]
-            yield pd.DataFrame({"node": part["node"].to_numpy(), "h": [h.view(np.int64) for h, _ in sets], "w": [w.astype(np.float32) for _, w in sets]})
+            yield pd.DataFrame({"node": part["node"].to_numpy(), "h": [h.view(np.int64) for h, _ in sets]})
 
 
 def compare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        near = [
-            similarity(np.asarray(ha).view(np.uint64), np.asarray(wa, float), np.asarray(hb).view(np.uint64), np.asarray(wb, float)) >= SIMILARITY
-            for ha, wa, hb, wb in zip(batch["ha"], batch["wa"], batch["hb"], batch["wb"], strict=True)
-        ]
+        near = [similarity(np.asarray(x), np.asarray(y)) >= SIMILARITY for x, y in zip(batch["ha"], batch["hb"], strict=True)]
         yield batch.loc[near, ["na", "nb"]]
 
 
+def prefix_candidates(s: Scratch, live: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of live nodes in different components that may reach SIMILARITY, by prefix and position filters (Xiao et al. 2008).
+
+    Shingles of one component only can be common to no such pair and are left out; the
+    others are ordered from rare to common. As the overlap of a pair is at least
+    0.8 n for both, they share one of the first S - ceil(0.8 n) + 1 of the S that are left,
+    and the places at which it stands bound their overlap from above. Texts that
+    differ in their own ways from a common model have too few left, and meet nowhere.
+    Rows of one component with equal sizes and place are compared as one, then told apart.
+    """
+    nodes = live.select("node", "comp").distinct()
+    each = s.save(nodes.join(sets, "node").select("node", "comp", F.size("h").alias("n"), F.explode("h").alias("t")))
+    df = each.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "df")
+    rows = each.join(df, "t").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("left")).withColumn("m", F.size("left"))
+    first = F.col("m") - F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int") + 1
+    prefix = rows.withColumn("first", first).where("first > 0").select("node", "comp", "n", "m", F.posexplode(F.slice("left", 1, F.col("first"))).alias("p", "x"))
+    prefix = s.save(prefix.select(F.col("x.t").alias("t"), "node", "comp", "n", "m", "p"))
+    kind = ["comp", "n", "m", "p"]
+    kinds = prefix.select("t", *kind).distinct()
+    k, o = kinds.alias("k"), kinds.select(F.col("t").alias("t2"), *[F.col(c).alias(f"{c}2") for c in kind]).alias("o")
+    need = (F.col("n") + F.col("n2")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    bound = F.least("p", "p2") + F.least(F.col("m") - F.col("p"), F.col("m2") - F.col("p2"))
+    # the bound is part of the join's condition, so pairs of kinds that fail it are never rows
+    near = k.join(o, (F.col("t") == F.col("t2")) & (F.col("comp") < F.col("comp2")) & (bound >= need)).drop("t2")
+    second = prefix.select("t", F.col("node").alias("node2"), *[F.col(c).alias(f"{c}2") for c in kind])
+    pairs = near.join(prefix, ["t", *kind]).join(second, ["t", *[f"{c}2" for c in kind]])
+    return pairs.select(F.col("node").alias("item"), "node", F.col("node2").alias("item2"), "node2").distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     """(doc_id, key, comp) for each row of docs; ``key`` stands for the text, ``comp`` for its class; null for texts without words."""
     s = Scratch(docs.sparkSession)
@@ -141,17 +154,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     # one row per text, numbered once: the table is written, so numbers stay
     texts = s.save(rows.where("size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     members = repeated(s, texts.select(F.explode("bands").alias("bkey"), F.col("node").alias("item"), "node"))
+    # a text in the middle of its group shares more bands with others
+    central = members.groupBy("node").agg(F.count("*").cast("int").alias("central"))
+    members = s.save(members.join(central, "node"))
     nodes = members.select("node").distinct().join(texts.select("node", "key"), "node")
     # nodes grow with the data, so they are merged and never broadcast: one plan at every size
     wanted = keyed.select("key", "text").join(nodes.hint("merge"), "key").dropDuplicates(["key"])
-    sets = s.save(wanted.select("node", "text").mapInPandas(set_rows, "node long, h array<long>, w array<float>"))
+    sets = s.save(wanted.select("node", "text").mapInPandas(set_rows, "node long, h array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("na"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-        b = sets.select(F.col("node").alias("nb"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+        a, b = sets.select(F.col("node").alias("na"), F.col("h").alias("ha")), sets.select(F.col("node").alias("nb"), F.col("h").alias("hb"))
         return pairs.select("na", "nb").join(a, "na").join(b, "nb").mapInPandas(compare_rows, "na long, nb long")
 
-    comps, _ = link(s, members, verify)
+    comps, _ = link(s, members, verify, lambda live: prefix_candidates(s, live, sets), rounds=2)
     named = texts.select("key", "node").join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
     named = s.save(named)
     return rows.select("doc_id", "key").join(named, "key", "left"), s
@@ -170,8 +185,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the smallest doc_id (null last) stays, one of repeated rows."""
     rows, s = classes(docs)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
-    firsts = s.save(rows.where("comp is not null").groupBy("comp").agg(F.min(order).alias("o")).select("comp", F.col("o.doc_id").alias("_d"), F.col("o.key").alias("_k")))
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    kept = keyed.join(firsts.hint("merge"), F.col("_d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_k") == F.col("_key")))
-    blank = docs.where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D\\x20]+", "")) == 0)
-    return kept.dropDuplicates(["comp"]).select(*docs.columns).unionByName(blank)
+    firsts = rows.where("comp is not null").groupBy(F.col("comp").alias("__comp")).agg(F.min(order).alias("o")).select("__comp", F.col("o.doc_id").alias("__d"), F.col("o.key").alias("__k"))
+    firsts = s.save(firsts)
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    kept = keyed.join(firsts.hint("merge"), F.col("__d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__k") == F.col("__key")))
+    blank = docs.where(F.length(F.translate(F.coalesce("text", F.lit("")), BLANKS, "")) == 0)
+    return kept.dropDuplicates(["__comp"]).select(*docs.columns).unionByName(blank)

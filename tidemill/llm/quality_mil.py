@@ -169,4 +169,4 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    return score(docs, fit(docs, labels, max_rows), "_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    return score(docs, fit(docs, labels, max_rows), "__score").where(F.col("__score") >= threshold).select(*docs.columns)

@@ -51,7 +51,7 @@ def parsed(text: Column) -> Column:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """All rows and columns of messages with own_text, n_quoted (lines), max_level, n_linked, parent_turn, thread_turn and depth."""
+    """All rows and columns of messages with own_text, n_quoted (lines), max_level, n_linked, parent_turn, thread_turn and depth, which replace columns of those names."""
     s = Scratch(messages.sparkSession)
     m = messages.select("conv_id", "turn", parsed(F.col("text")).alias("lines"))
     lines = m.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("lines")).where((F.col("level") >= 0) & (F.length("norm") >= MIN_CHARS))
@@ -74,13 +74,14 @@ def quote_links(messages: DataFrame) -> DataFrame:
         up = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    found = reply.join(up, ["conv_id", "turn"]).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "parent_turn", "n_linked", F.col("top").alias("thread_turn"), "depth")
+    found = reply.join(up, ["conv_id", "turn"]).select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), F.col("parent_turn").alias("__parent"), F.col("n_linked").alias("__linked"), F.col("top").alias("__top"), F.col("depth").alias("__depth"))
     own = lambda x: F.trim(F.array_join(F.transform(F.filter(x, lambda y: y["level"] == 0), lambda y: y["body"]), "\n"))
     quoted = lambda x: F.size(F.filter(x, lambda y: y["level"] > 0))
     highest = lambda x: F.greatest(F.lit(0), F.array_max(F.transform(x, lambda y: y["level"])))
-    out = messages.withColumn("_p", let(parsed(F.col("text")), lambda x: F.struct(own(x).alias("own_text"), quoted(x).alias("n_quoted"), highest(x).alias("max_level"))))
-    out = out.join(found, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-    return out.select(
-        *messages.columns, "_p.own_text", "_p.n_quoted", "_p.max_level", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn",
-        F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
-    )
+    out = messages.withColumn("__p", let(parsed(F.col("text")), lambda x: F.struct(own(x).alias("own_text"), quoted(x).alias("n_quoted"), highest(x).alias("max_level"))))
+    out = out.join(found, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
+    made = {
+        "own_text": F.col("__p.own_text"), "n_quoted": F.col("__p.n_quoted"), "max_level": F.col("__p.max_level"), "n_linked": F.coalesce("__linked", F.lit(0)), "parent_turn": F.col("__parent"),
+        "thread_turn": F.coalesce("__top", "turn"), "depth": F.coalesce("__depth", F.lit(0)),
+    }
+    return out.select(*[c for c in messages.columns if c not in made], *[v.alias(k) for k, v in made.items()])
