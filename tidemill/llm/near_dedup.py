@@ -125,25 +125,21 @@ def prefix_candidates(s: Scratch, live: DataFrame, sets: DataFrame) -> DataFrame
     0.8 n for both, they share one of the first S - ceil(0.8 n) + 1 of the S that are left,
     and the places at which it stands bound their overlap from above. Texts that
     differ in their own ways from a common model have too few left, and meet nowhere.
-    Rows of one component with equal sizes and place are compared as one, then told apart.
     """
     nodes = live.select("node", "comp").distinct()
     each = s.save(nodes.join(sets, "node").select("node", "comp", F.size("h").alias("n"), F.explode("h").alias("t")))
     df = each.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "df")
     rows = each.join(df, "t").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("left")).withColumn("m", F.size("left"))
     first = F.col("m") - F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int") + 1
-    prefix = rows.withColumn("first", first).where("first > 0").select("node", "comp", "n", "m", F.posexplode(F.slice("left", 1, F.col("first"))).alias("p", "x"))
-    prefix = s.save(prefix.select(F.col("x.t").alias("t"), "node", "comp", "n", "m", "p"))
-    kind = ["comp", "n", "m", "p"]
-    kinds = prefix.select("t", *kind).distinct()
-    k, o = kinds.alias("k"), kinds.select(F.col("t").alias("t2"), *[F.col(c).alias(f"{c}2") for c in kind]).alias("o")
+    prefix = rows.withColumn("first", first).where("first > 0").withColumn("front", F.transform(F.slice("left", 1, F.greatest(F.lit(0), F.col("first"))), lambda x: x["t"]))
+    prefix = s.save(prefix.select("node", "comp", "n", "m", "front", F.posexplode("front").alias("p", "t")))
+    other = prefix.select("t", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "m", "front", "p")])
     need = (F.col("n") + F.col("n2")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
     bound = F.least("p", "p2") + F.least(F.col("m") - F.col("p"), F.col("m2") - F.col("p2"))
-    # the bound is part of the join's condition, so pairs of kinds that fail it are never rows
-    near = k.join(o, (F.col("t") == F.col("t2")) & (F.col("comp") < F.col("comp2")) & (bound >= need)).drop("t2")
-    second = prefix.select("t", F.col("node").alias("node2"), *[F.col(c).alias(f"{c}2") for c in kind])
-    pairs = near.join(prefix, ["t", *kind]).join(second, ["t", *[f"{c}2" for c in kind]])
-    return pairs.select(F.col("node").alias("item"), "node", F.col("node2").alias("item2"), "node2").distinct()
+    # all of it is the join's condition: a pair is a row once, at its first common shingle, and only if it passes
+    x, y = prefix.alias("x"), other.alias("y")
+    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("comp") < F.col("comp2")) & (bound >= need) & (F.get(F.array_intersect("front", "front2"), F.lit(0)) == F.col("x.t")))
+    return pairs.select(F.col("node").alias("item"), "node", F.col("node2").alias("item2"), "node2")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
