@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go, and documents that consist of nothing else; n_chars follows the text."""
-    return line_dedup.without_repeated_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    return line_dedup.without_repeated_lines(docs, whole=True).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

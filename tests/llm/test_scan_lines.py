@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemill.llm import decontaminate, license_scan, line_dedup
 
 
@@ -122,3 +124,24 @@ def test_line_dedup_equals_brute_force(spark, docs_of, words):
     left = line_dedup.without_repeated_lines(docs_of(rows))
     assert left.columns == docs_of(rows).columns and {r.doc_id for r in left.collect()} == {k for k, t in want.items() if t is None or t.strip() or k in (51, 52)}
     assert line_dedup.line_dedup(docs_of([])).count() == 0
+
+
+def test_repeated_runs_and_copies_go_but_for_their_unaligned_ends(spark, docs_of, words):
+    line = lambda k: " ".join(words(9, k))
+    block = [line(k) for k in range(60)]
+    rows = [(i, "\n".join([line(1000 + 90 * i + k) for k in range(7 + i)] + block + [line(1050 + 90 * i + k) for k in range(5)])) for i in range(8)]
+    copies = [(20 + i, "\n".join(line(5000 + 40 * i + k) for k in range(2 + i))) for i in range(12)]
+    rows += copies + [(40 + i, t) for i, (_, t) in enumerate(copies)]
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs_of(rows), whole=True).collect()}
+    assert all(out[40 + i] == [""] and "\n".join(out[20 + i]) == t for i, (_, t) in enumerate(copies))
+    texts = dict(rows)
+    assert "\n".join(out[0]) == texts[0]
+    for i in range(1, 8):
+        left = [k for k in range(60) if block[k] in out[i]]
+        assert left == [k for k in left if k < 15 or k >= 45] and len(left) < 20  # what is left is at the ends
+        assert [x for x in out[i] if x not in block] == [x for x in texts[i].split("\n") if x not in block]
+    assert line_dedup.without_repeated_lines(docs_of(copies + [(60, copies[5][1])]), whole=True).where("doc_id = 60").count() == 0
+    for rule in (1, 2, 3):
+        sizes = [[c.n for c in r.c] for r in docs_of(rows).select(line_dedup.chunks(F.col("text"), least=rule).alias("c")).collect()]
+        assert [sum(x) for x in sizes] == [t.count("\n") + 1 for _, t in rows]
+        assert all(len(x) == 1 or min(x) >= rule for x in sizes)

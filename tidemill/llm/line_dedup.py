@@ -3,7 +3,11 @@
 A text is split at "\\n". Each line has an MD5 hash; the rolling hash at a line is the
 hash of its predecessor's and its own hash, and a chunk ends where its last 32 bits are
 0 modulo ``1 << mask_bits``. Boundaries thus depend on content near them only and
-come back in step after inserted or deleted lines. A chunk of ``min_lines`` lines
+come back in step after inserted or deleted lines. With ``whole``, boundaries keep
+``min_lines`` lines between them: in a run of boundaries that stand closer than that,
+the first counts and the next one that is far enough from it, and the last chunk takes
+in a rest that is too short. Without it (the rule of the SQL), chunks of fewer lines
+are cut and never compared. A chunk of ``min_lines`` lines
 or more that holds ``min_chars`` characters is a candidate. Chunks are grouped by
 their very bytes (the grouping key is the hash and the text), so equal hashes
 alone never remove anything. Of each group the first chunk stays, by doc_id (null
@@ -25,14 +29,31 @@ from .common import Scratch, let
 MASK_BITS, MIN_LINES, MIN_CHARS = 1, 2, 40
 
 
-def chunks(text: Column, mask_bits: int = MASK_BITS) -> Column:
-    """Array of (start, n, text): the content-defined chunks of a text, in order; they cover its lines."""
+def spaced(marks: Column, n: Column, least: int) -> Column:
+    """The marks (line numbers in order) that end a chunk of ``least`` lines or more, then the last line of n.
+
+    Marks closer than ``least`` to the one before form a run; a run is cut from its own start, so the choice depends on near content only.
+    """
+    far = lambda x, y: x - y >= least
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(-1).alias("mark"), F.lit(-1).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        taken = (far(x, s["mark"]) | far(x, s["end"])) & (x < n - least)
+        return F.struct(F.when(taken, F.concat(s["ends"], F.array(x))).otherwise(s["ends"]).alias("ends"), x.alias("mark"), F.when(taken, x).otherwise(s["end"]).alias("end"))
+
+    return F.aggregate(marks, start, step, lambda s: F.concat(s["ends"], F.array(n - 1)))
+
+
+def chunks(text: Column, mask_bits: int = MASK_BITS, least: int = 1) -> Column:
+    """Array of (start, n, text): the content-defined chunks of a text, in order; they cover its lines. A text of ``least`` lines or more has no shorter chunk."""
 
     def cut(lines: Column) -> Column:
         def by_hash(h: Column) -> Column:
             rolled = lambda i: F.md5(F.concat(F.get(h, i - 1), F.get(h, i)))
             low = lambda i: F.conv(F.substring(rolled(i), 25, 8), 16, 10).cast("bigint")
             ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ((i > 0) & (low(i) % (1 << mask_bits) == 0)) | (i == F.size(lines) - 1))
+            if least > 1:
+                ends = spaced(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i > 0) & (low(i) % (1 << mask_bits) == 0)), F.size(lines), least)
             pieces = lambda e: F.transform(e, lambda x, k: F.struct(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)).alias("start"), (x - F.coalesce(F.get(e, k - 1), F.lit(-1))).alias("n")))
             return let(ends, pieces)
 
@@ -42,10 +63,10 @@ def chunks(text: Column, mask_bits: int = MASK_BITS) -> Column:
     return let(F.split(text, "\n", -1), cut)
 
 
-def repeated_chunks(docs: DataFrame, mask_bits: int, min_lines: int, min_chars: int) -> DataFrame:
+def repeated_chunks(docs: DataFrame, mask_bits: int, min_lines: int, min_chars: int, least: int = 1) -> DataFrame:
     """One row per chunk text that occurs twice or more: ``h`` (16 bytes) and its first place (doc_id, start, key)."""
     key = F.unhex(F.md5("text"))
-    each = docs.where("text is not null").select("doc_id", key.alias("key"), F.inline(chunks(F.col("text"), mask_bits)).alias("start", "n", "chunk"))
+    each = docs.where("text is not null").select("doc_id", key.alias("key"), F.inline(chunks(F.col("text"), mask_bits, least)).alias("start", "n", "chunk"))
     each = each.where((F.col("n") >= min_lines) & (F.length("chunk") >= min_chars))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "start")
     grouped = each.groupBy(F.unhex(F.md5("chunk")).alias("h"), F.col("chunk")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -53,12 +74,13 @@ def repeated_chunks(docs: DataFrame, mask_bits: int, min_lines: int, min_chars:
     return grouped.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).where("texts = 1 and n > 1").select("h", "first")
 
 
-def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All rows and columns of docs with the cleaned ``text``, and ``_n_chunks``, ``_n_removed``, ``_lines_removed``."""
+def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+    """All rows and columns of docs with the cleaned ``text``, and ``_n_removed``, ``_lines_removed``."""
+    least = min_lines if whole else 1
     s = Scratch(docs.sparkSession)
-    again = s.save(repeated_chunks(docs, mask_bits, min_lines, min_chars))
+    again = s.save(repeated_chunks(docs, mask_bits, min_lines, min_chars, least))
     key = F.unhex(F.md5("text"))
-    places = docs.where("text is not null").select("doc_id", key.alias("key"), F.inline(chunks(F.col("text"), mask_bits)).alias("start", "n", "chunk"))
+    places = docs.where("text is not null").select("doc_id", key.alias("key"), F.inline(chunks(F.col("text"), mask_bits, least)).alias("start", "n", "chunk"))
     places = places.where((F.col("n") >= min_lines) & (F.length("chunk") >= min_chars)).select("doc_id", "key", "start", "n", F.unhex(F.md5("chunk")).alias("h"))
     f = F.col("first")
     is_first = f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["key"] == F.col("key")) & (f["start"] == F.col("start"))
@@ -67,15 +89,15 @@ def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN
     gone = s.save(gone)
     # the list of removed chunks grows with the data, so it is merged and never broadcast: one plan at every size
     joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.unhex(F.md5("text")) == F.col("__k")), "left")
-    kept = let(chunks(F.col("text"), mask_bits), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("__gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
+    kept = let(chunks(F.col("text"), mask_bits, least), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("__gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
     joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
     return joined.withColumns({
         "text": F.coalesce("__kept.text", "text"), "_n_removed": F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)), "_lines_removed": F.coalesce("_lines_removed", F.lit(0)),
     }).select(*docs.columns, "_n_removed", "_lines_removed")
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with cleaned texts; rows that had a word and lost every line to earlier copies go."""
     had = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    out = line_dedup(docs.withColumn("__had", had > 0))
+    out = line_dedup(docs.withColumn("__had", had > 0), whole=whole)
     return out.where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) | ~F.col("__had")).select(*docs.columns)
