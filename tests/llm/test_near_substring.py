@@ -108,3 +108,26 @@ def test_repeated_rows_are_copies(spark, docs_of, words):
     t = " ".join(words(60))
     out = substring_dedup.repeated_passages(docs_of([(1, t), (1, t), (None, t), (2, " ".join(words(60, 8)))])).collect()
     assert sorted((str(r.doc_id), r.class_id, r.n_links, r.n_dup_words) for r in out) == [("1", 1, 2, 60), ("1", 1, 2, 60), ("2", 2, 0, 0), ("None", 1, 2, 60)]
+
+
+def test_every_edited_passage_has_a_common_seed():
+    g = np.random.default_rng(8)
+    for size, edit in [(50, 25)] * 1500 + [(50, k) for k in range(5, 45)] * 5 + [(52, 26)] * 300:
+        passage = g.integers(1, 2**62, size).astype(np.uint64)
+        other = passage.copy()
+        other[edit] = 7
+        rows = [substring_dedup.shingles(np.concatenate([g.integers(1, 2**62, 60).astype(np.uint64), p, g.integers(1, 2**62, 60).astype(np.uint64)])) for p in (passage, other)]
+        keys = [set(substring_dedup.compact_windows(r, np.zeros(len(r), int))[1]) for r in rows]
+        assert keys[0] & keys[1], (size, edit)
+
+
+def test_short_edited_passages_are_linked(spark, docs_of, words):
+    texts = []
+    for k in range(60):
+        passage = words(50, 2000 + k)
+        edited = list(passage)
+        edited[25] = "changed"
+        texts += [" ".join(words(70, 3000 + 2 * k + i) + p + words(40, 4000 + 2 * k + i)) for i, p in enumerate((passage, edited))]
+    out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
+    assert [out[i].class_id for i in range(120)] == [i - i % 2 for i in range(120)]
+    assert all(out[i].n_links == 1 and out[i].n_dup_words >= 45 for i in range(120))

@@ -1,17 +1,12 @@
-"""Near-duplicate passages across documents, by compact windows of min-hashed shingles.
+"""Near-duplicate passages across documents, by seeds that no such passage lacks.
 
-A document is its row of word shingles (five words). For a hash function, the
-Cartesian tree over hashed shingles has a node for each shingle, and its span is
-the longest run in which that shingle's hash is least: all subsequences of the
-span that hold it share one min-hash (Deng and Feng 2021). Only nodes whose span
-holds a window of T shingles matter; they are read off sliding minima, clipped to
-windows of T shingles, as a longer passage holds such windows.
-
-Two hash functions that keep their minima over a common run of windows make a
-joint compact window; the pair of minima is a bucket key, and windows of two
-documents with one key share the signature of both functions. There are BANDS such
-pairs. An exact passage of T shingles or more always shares every key; one at
-similarity 0.8 shares a key for each of its windows with chance 1 - (1 - 0.8**2)**3 = 0.95.
+A document is its row of word shingles (five words). Candidates come by pigeonhole: a
+window of T shingles at similarity 0.8 lacks at most MISSES of them, so some RUN
+consecutive shingles of it stand in the other document as they are. Every RUN of shingles has
+a key, the least hash over SEED consecutive shingles within it (winnowing; all places on
+ties), which depends on the run only. So two documents with a near-duplicate passage share
+a bucket whose anchors lie in it, with certainty but for equal 64-bit hashes and for
+shingles that are found at different shifts (words that repeat within SHIFT places).
 
 Buckets are joined by ``linking.link``, and candidates are verified on the words
 around their anchors: some window of T shingles (at least MIN_WORDS words) that holds
@@ -40,12 +35,13 @@ from .common import Scratch, text_key
 from .linking import link, repeated
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
-WIDTH, MIN_WORDS, SIMILARITY, BANDS, SHIFT, CELL, CHUNK = 5, 50, 0.8, 3, 8, 24, 200_000
+WIDTH, MIN_WORDS, SIMILARITY, SHIFT, CHUNK = 5, 50, 0.8, 8, 200_000
 T = MIN_WORDS - WIDTH + 1  # shingles in a window of MIN_WORDS words
 HALF = T // 2 - 1  # a window of T shingles reaches as far from any of its shingles to one side
 MISSES = T - math.ceil(2 * T * SIMILARITY / (1 + SIMILARITY))  # shingles that it may lack
 REACH = T - 1  # shingles on either side of an anchor that a window with it may hold
-SEEDS = [np.uint64(s) for s in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+RUN = -(-(T - MISSES) // (MISSES + 1))  # consecutive shingles that it has at least
+SEED = 3  # shingles in a key
 
 
 def sliding_min(x: np.ndarray, t: int) -> np.ndarray:
@@ -60,33 +56,25 @@ def sliding_min(x: np.ndarray, t: int) -> np.ndarray:
 
 
 def compact_windows(x: np.ndarray, doc: np.ndarray, t: int = T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket key, anchor) of the joint compact windows of shingles x, whose documents are numbered by doc, in order.
+    """(document, bucket key, anchor) of the least seeds of all runs of shingles x, whose documents are numbered by doc, in order.
 
-    An anchor is the place in x of the first function's minimum in the run's first window.
+    Documents of fewer than t shingles have none. An anchor is the place in x of the seed's first shingle.
     """
     if len(x) < t:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = doc[: len(x) - t + 1] == doc[t - 1 :]
-    at = np.flatnonzero(inside)
-    docs, keys, anchors = [], [], []
+    at = np.flatnonzero((doc[: len(x) - RUN + 1] == doc[RUN - 1 :]) & (np.bincount(doc)[doc] >= t)[: len(x) - RUN + 1])
+    n = len(x) - SEED + 1
     with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            h = [mix(x ^ SEEDS[2 * band + f]) for f in (0, 1)]
-            low = [sliding_min(v, t)[at] for v in h]
-            d = doc[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (low[0][1:] != low[0][:-1]) | (low[1][1:] != low[1][:-1]) | (d[1:] != d[:-1])
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(at)))
-            if (sizes > t).any():  # a repeated minimum: its run is cut, so that anchors stay near
-                cut = -(-sizes // t)
-                starts = np.repeat(starts, cut) + t * (np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut))
-            first = at[starts]
-            where = first + np.argmin(h[0][first[:, None] + np.arange(t)], 1) if len(first) else first
-            docs.append(d[starts])
-            keys.append(mix(mix(low[0][starts] + np.uint64(band)) * GOLDEN + low[1][starts]))
-            anchors.append(where)
-    return np.concatenate(docs), np.concatenate(keys), np.concatenate(anchors)
+        key = x[:n]
+        for k in range(1, SEED):
+            key = mix(key) * GOLDEN + x[k : n + k]
+        key = mix(key)
+    width = RUN - SEED + 1
+    low, chosen = sliding_min(key, width), np.zeros(n, bool)
+    for k in range(width):
+        chosen[at[key[at + k] == low[at]] + k] = True
+    where = np.flatnonzero(chosen)
+    return doc[where], key[where], where
 
 
 def _runs(texts) -> Iterator[list[int]]:
@@ -182,8 +170,9 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]
 
     def verify(pairs: DataFrame) -> DataFrame:
         p = pairs.select("na", "nb", F.col("a.c").alias("ca"), F.col("b.c").alias("cb"))
-        # anchors of one alignment within CELL shingles see the same passages
-        p = s.save(p.groupBy("na", "nb", (F.col("ca") - F.col("cb")).alias("d"), F.floor(F.col("ca") / CELL).alias("q")).agg(F.min("ca").alias("ca")).select("na", "nb", "ca", (F.col("ca") - F.col("d")).alias("cb")))
+        # of the anchors of one alignment within T shingles the outer two: a window of T shingles that holds any of them holds one of these
+        p = p.groupBy("na", "nb", (F.col("ca") - F.col("cb")).alias("d"), F.floor(F.col("ca") / T).alias("q")).agg(F.array_distinct(F.array(F.min("ca"), F.max("ca"))).alias("cas"))
+        p = s.save(p.select("na", "nb", F.explode("cas").alias("ca"), "d").select("na", "nb", "ca", (F.col("ca") - F.col("d")).alias("cb")))
         near = around(p.select(F.col("na").alias("node"), F.col("ca").alias("c")).union(p.select("nb", "cb")))
         for x in "ab":
             p = p.join(near.select(F.col("node").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("near").alias(f"near{x}")), [f"n{x}", f"c{x}"])
