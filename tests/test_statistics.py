@@ -149,3 +149,16 @@ def test_modes_of_three_blobs(spark):
 def test_standardize_constant_column(spark):
     out = spectral.standardize(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
     assert sorted((r.a, r.b) for r in out) == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_silhouette_covers_all_rows(spark):
+    g = np.random.default_rng(6)
+    label = g.integers(0, 3, 2600)
+    x = g.normal(size=(2600, 4)) + 1.5 * label[:, None]
+    df = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))], "k long, x array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.stack([d[:, label == c].sum(1) / ((label == c).sum() - (label == c)) for c in range(3)], 1)
+    a = means[np.arange(2600), label]
+    means[np.arange(2600), label] = np.inf
+    b = means.min(1)
+    assert spectral.silhouette(df, "k", "x", "label").first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)

@@ -126,28 +126,37 @@ def eigenvalue_ratios(spark, values: np.ndarray, first: int = 12) -> DataFrame:
     return v.withColumn("ratio", F.col("eigenvalue") / F.lead("eigenvalue").over(Window.partitionBy(F.lit(0)).orderBy("k")))
 
 
-def silhouette(df: DataFrame, key: str, column: str, label: str, most: int = 2000, seed: int = 42) -> DataFrame:
-    """One row ``silhouette``: mean of (b - a) / max(a, b) with plain Euclidean distances, over at most ``most`` rows against all rows.
+def silhouette(df: DataFrame, key: str, column: str, label: str, size: int = 1024) -> DataFrame:
+    """One row ``silhouette``: mean of (b - a) / max(a, b) with plain Euclidean distances, over all rows against all rows.
 
-    Each task sums distances from its rows to the queries by cluster; the sums are
-    added by (query, cluster), so rows are read once.
+    Blocks of bounded size meet in pairs, as in ``neighbours``; a task adds the distances of
+    a block's rows by cluster, and its sums are added by (row, cluster). A row is its place in its sorted block.
     """
-    queries = df.select(key, column, label).orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).collect()
-    qx, qk, ql = np.array([r[1] for r in queries], float).reshape(len(queries), -1), [r[0] for r in queries], [r[2] for r in queries]
+    n = max(1, -(-df.count() // size))
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
+    rows = df.groupBy(block).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(label).cast("int").alias("l"), F.col(column).cast("array<double>").alias("x")))).alias("rows"))
+    rows = rows.select("block", F.col("rows.l").alias("l"), F.col("rows.x").alias("x"))
+    other = rows.select(F.col("l").alias("l2"), F.col("x").alias("x2"))
+    pairs = rows.coalesce(min(n, 256)).join(other.coalesce(min(n, 8)), F.lit(True))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d = _between(qx, np.array(b[column].tolist(), float))
-            for c in b[label].unique():
-                mine = (b[label] == c).to_numpy()
-                yield pd.DataFrame({"q": range(len(qk)), "own": ql, "cluster": c, "n": int(mine.sum()), "total": d[:, mine].sum(1)})
-
-    each = df.select(key, column, label).mapInPandas(sums, "q int, own int, cluster int, n long, total double").groupBy("q", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        found: dict[tuple[int, int], list] = {}
+        labels: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, l, x, l2, x2 in zip(*(batch[c] for c in ("block", "l", "x", "l2", "x2")), strict=True):
+                labels[name] = l
+                d, l2 = _between(np.stack(x), np.stack(x2)), pd.array(l2, "Int64")
+                for c in l2.dropna().unique():
+                    mine = (l2 == c).to_numpy(float, na_value=0.0)
+                    now = found.setdefault((name, int(c)), [0, 0.0])
+                    now[0], now[1] = now[0] + int(mine.sum()), now[1] + d @ mine
+        for (name, c), (count, total) in found.items():
+            yield pd.DataFrame({"block": name, "q": np.arange(len(total)), "own": pd.array(labels[name], "Int64"), "cluster": c, "n": count, "total": total})
+
+    each = pairs.mapInPandas(sums, "block int, q int, own int, cluster int, n long, total double").groupBy("block", "q", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     a = F.max(F.when(F.col("own") == F.col("cluster"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))))
     b = F.min(F.when(F.col("own") != F.col("cluster"), F.col("total") / F.col("n")))
-    per = each.groupBy("q").agg(a.alias("a"), b.alias("b"))
+    per = each.groupBy("block", "q").agg(a.alias("a"), b.alias("b"))
     return per.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("silhouette"))
 
 
