@@ -71,3 +71,27 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = queries.hourly_series(spark, SF)
     assert spark.table("hours").join(want.withColumnRenamed("lmp", "w"), "datetime").where(F.abs(F.col("lmp") - F.col("w")) < 1e-9).count() == want.count()
+
+
+def test_queries_run_at_full_size(spark, monkeypatch):
+    """The arguments of the analysis reach the operators; only these are looked at."""
+    seen, cfg = {}, Config()
+
+    def stop(name):
+        def call(*args, **kwargs):
+            seen[name] = (args, kwargs)
+            raise InterruptedError
+
+        return call
+
+    for module, name, query in ((queries.spectral, "choose_dimension", "dimension_sweep"), (queries.modes, "search", "tomato_modes"), (queries.simulate, "simulate_moments", "mc_moments")):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, stop(name))
+            with pytest.raises(InterruptedError):
+                queries.QUERIES[query](spark, SF)
+    args, kwargs = seen["choose_dimension"]
+    assert (*args, *kwargs.values())[2:] == (range(2, 21), 5)
+    assert seen["search"][0][1] == cfg.neighbours
+    args, kwargs = seen["simulate_moments"]
+    first = queries.branches(spark, SF).orderBy("idx").first()["lmp"]
+    assert (*args, *kwargs.values())[2:] == (first, cfg.n_sim)

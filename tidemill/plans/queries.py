@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import scalar
 from ..operators import decompose, embed, merge, modes, regime_models, regimes, series, simulate, spectral, windows
 from ..sources import date_axis
+from . import regime_analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -420,15 +422,16 @@ def spectral_gaps(spark, sf):
 @query()
 def dimension_sweep(spark, sf):
     x = spectral.standardize_vectors(_vectors(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("x")))
-    return spectral.choose_dimension(spectral.diffusion_coordinates(x, "vec_id")[0], "vec_id", range(2, 5), seeds=2)
+    coords, values = spectral.diffusion_coordinates(x, "vec_id", "x", Config().eigenpairs)
+    return spectral.choose_dimension(coords, "vec_id", range(2, min(21, len(values) + 1)), seeds=5)
 
 
 @query()
 def tomato_modes(spark, sf):
-    x = _vectors(spark, sf).select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("x"))
-    edges = spectral.neighbours(x, "vec_id", "x", 40, bandwidth=0.25).persist()
-    labels, k, n = modes.search(edges, (20, 40))
-    return labels.select(F.col("i").alias("vec_id"), "label", F.lit(k).alias("k"), F.lit(n).alias("n_modes"))
+    x = spectral.standardize_vectors(_vectors(spark, sf).select(F.col("vec_id").alias("window_id"), F.col("embedding").cast("array<double>").alias("x")))
+    coords, values = spectral.diffusion_coordinates(x, "window_id", "x", Config().eigenpairs)
+    labels, k, n = regime_analysis.partition(coords, max(1, len(values)), Config())
+    return labels.select(F.col("window_id").alias("vec_id"), "label", F.lit(k).alias("k"), F.lit(n).alias("n_modes"))
 
 
 @query()
@@ -443,7 +446,8 @@ def mc_moments(spark, sf):
     overall = regime_models.global_summary(p).select("phi", "c", F.col("sig_eps").alias("sigma"))
     hours = labelled_hours(spark, sf)
     par = simulate.hourly_parameters(hours, regime_models.simulation_parameters(hours, ["e"]), overall, ["e"])
-    return simulate.pooled_moments(simulate.simulate_moments(spark, par, 1.0, n_sim=200))
+    first = branches(spark, sf).orderBy("idx").select("lmp").first()
+    return simulate.pooled_moments(simulate.simulate_moments(spark, par, first[0] if first else 1.0, Config().n_sim))
 
 
 @query()
