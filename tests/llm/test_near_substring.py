@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from tidemill.llm import near_dedup, substring_dedup
 from tidemill.llm.common import Scratch, components
@@ -78,46 +79,110 @@ def test_components_of_chains_and_hubs(spark):
     assert components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_passages_equal_brute_force(spark, docs_of, words):
+def similar_windows(a, b, t=46):
+    """For two lists of distinct shingles: starts in a of windows of t that have 41 shingles in common with some window of b."""
+    if len(a) < t or len(b) < t:
+        return set()
+    m = np.array([[x == y for y in b] for x in a]).astype(int)
+    within = np.lib.stride_tricks.sliding_window_view
+    common = within(within(m, t, 1).max(-1), t, 0).sum(-1)
+    return {int(i) for i in np.flatnonzero((common >= 41).any(1))}
+
+
+def passage_corpus(words, g):
+    """Texts that share passages of 30 to 90 words, some with edits, and lines of 26 to 44 words that many texts hold."""
+    shared = [words(g.randint(30, 90), 900 + k) for k in range(36)]
+    lines = [words(n, 950 + n) for n in (26, 34, 40, 44)]
+    texts = []
+    for k in range(70):
+        parts = [words(g.randint(5, 40), 10_000 + k)]
+        for p in g.sample(shared, g.choice([0, 1, 1, 1, 2])):
+            p, lo = list(p), g.choice([0, 0, 8])
+            for _ in range(g.choice([0, 0, 1, 1, 2])):
+                at = g.randrange(len(p))
+                p[at : at + g.choice([0, 1, 1, 2])] = ["edit" + str(g.randint(0, 99))] * g.choice([0, 1, 1])
+            parts += [p[lo:], words(g.randint(0, 30), 20_000 + k)]
+        if g.random() < 0.5:
+            parts += [g.choice(lines), words(g.randint(0, 20), 30_000 + k)]
+        texts.append(" ".join(w for p in parts for w in p))
+    return texts + texts[:3] + [" ".join(lines[2] + ["the"] + words(40, 77 + k)) for k in range(3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_equal_brute_force(spark, docs_of, words, seed):
+    texts = passage_corpus(words, random.Random(seed))
+    rows = [[" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (t.split() for t in texts)]
+    found = {(i, j): similar_windows(rows[i], rows[j]) for i, j in itertools.permutations(range(len(texts)), 2) if texts[i] != texts[j] and len(set(rows[i]) & set(rows[j])) >= 41}
+    copies = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if texts[i] == texts[j] and len(rows[i]) >= 46]
+    want = roots(len(texts), [p for p, at in found.items() if at] + copies)
+    out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
+    assert [out[i].class_id for i in range(len(texts))] == want
+    sizes = [want.count(c) for c in want]
+    assert len({c for c, n in zip(want, sizes) if n > 1}) > 4 and [out[i].class_size for i in range(len(texts))] == sizes
+    for i in range(len(texts)):
+        copied = any(i in c for c in copies)
+        windows = set().union(*(at for (a, _), at in found.items() if a == i)) | (set(range(len(rows[i]) - 45)) if copied else set())
+        most = {p + k for w in windows for k in range(50) for p in [w]}
+        assert (out[i].n_dup_words > 0) == bool(windows) and out[i].n_dup_words <= len(most)
+        mine = {p for x in out[i].passages or [] for p in range(x.s, x.e + 1)}
+        assert len(mine) == out[i].n_dup_words and mine <= most
+        # what is missing lies at the ends of a passage: broken shingles, or less than a run beyond a representative
+        assert len(most - mine) <= 2 * 20 * max(1, out[i].n_passages)
+
+
+def test_passage_edges(spark, docs_of, words):
     shared, other = words(70, 900), words(120, 901)
     texts = [" ".join(words(80, k) + shared + words(30, 50 + k)) for k in range(6)]
     texts += [" ".join(words(40, 70) + other), " ".join(other + words(200, 71)), " ".join(words(300, 72)), " ".join(words(20, 73)), " ".join(words(20, 73)), None, ""]
     edited = list(shared)
     edited[35] = "changed"
     texts.append(" ".join(words(60, 74) + edited + words(60, 75)))
+    long = words(30_000, 80)
+    texts += [" ".join(long + other + words(20_000, 81)), " ".join(words(700, 82) + long[20_000:20_060])]
     out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
-    assert [out[i].class_id for i in range(14)] == [0, 0, 0, 0, 0, 0, 6, 6, 8, 9, 10, 11, 12, 0]
+    assert [out[i].class_id for i in range(16)] == [0, 0, 0, 0, 0, 0, 6, 6, 8, 9, 10, 11, 12, 0, 6, 6]
     for i in range(6):
         assert [(p.s, p.e) for p in out[i].passages] == [(80, 149)] and out[i].n_dup_words == 70
-    assert out[6].n_dup_words == out[7].n_dup_words == 120 and out[8].n_dup_words == 0 and out[9].n_links == 0
+    assert out[6].n_dup_words == out[7].n_dup_words == 120 and out[8].n_dup_words == 0 and out[9].n_passages == 0
+    assert [(p.s, p.e) for p in out[14].passages] == [(20_000, 20_059), (30_000, 30_119)]
     assert out[13].n_dup_words >= 65
+    nulls = docs_of([(None, texts[0]), (None, texts[1]), (3, None), (None, None)])
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_dup_words) for r in substring_dedup.repeated_passages(nulls).collect()) == [("3", "3", 0), ("None", "None", 0), ("None", "None", 70), ("None", "None", 70)]
     assert substring_dedup.repeated_passages(docs_of([])).count() == 0
 
 
-def test_sliding_min_and_windows():
+def test_cells_are_the_signatures_of_all_runs():
     g = np.random.default_rng(3)
-    x = g.integers(0, 50, 400).astype(np.uint64)
-    for t in (1, 7, 46):
-        assert (substring_dedup.sliding_min(x, t) == [x[i : i + t].min() for i in range(len(x) - t + 1)]).all()
-    doc = np.repeat([0, 1, 2], [100, 30, 270])
-    d, k, a = substring_dedup.compact_windows(x, doc, 46)
-    assert set(d) == {0, 2} and (doc[a] == d).all()
+    for most in (40, 2**62):
+        x = g.integers(0, most, 500).astype(np.uint64)
+        for t in (1, 2, 7, 21):
+            assert (substring_dedup.sliding(x, t) == [x[i : i + t].min() for i in range(len(x) - t + 1)]).all()
+            first, anchor = substring_dedup.compact_windows(x, t)
+            least = [i + int(np.argmin(x[i : i + t])) for i in range(len(x) - t + 1)]
+            assert (anchor[np.searchsorted(first, np.arange(len(least)), "right") - 1] == least).all() and (np.diff(anchor) > 0).all()
+    doc = np.repeat([0, 1, 2, 3], [100, 10, 21, 369])
+    d, key, a = substring_dedup.cells(x, doc)
+    assert set(d) == {0, 2, 3} and (doc[a] == d).all() and (d == 2).sum() == 1
+    for k in (0, 2, 3):
+        # a document alone has the same cells
+        alone = substring_dedup.cells(x[doc == k], np.zeros((doc == k).sum(), int))
+        assert (alone[1] == key[d == k]).all() and (alone[2] + np.flatnonzero(doc == k)[0] == a[d == k]).all()
 
 
 def test_repeated_rows_are_copies(spark, docs_of, words):
     t = " ".join(words(60))
     out = substring_dedup.repeated_passages(docs_of([(1, t), (1, t), (None, t), (2, " ".join(words(60, 8)))])).collect()
-    assert sorted((str(r.doc_id), r.class_id, r.n_links, r.n_dup_words) for r in out) == [("1", 1, 2, 60), ("1", 1, 2, 60), ("2", 2, 0, 0), ("None", 1, 2, 60)]
+    assert sorted((str(r.doc_id), r.class_id, r.class_size, r.n_dup_words) for r in out) == [("1", 1, 3, 60), ("1", 1, 3, 60), ("2", 2, 1, 0), ("None", 1, 3, 60)]
 
 
-def test_every_edited_passage_has_a_common_seed():
+def test_every_edited_passage_has_a_common_signature():
     g = np.random.default_rng(8)
     for size, edit in [(50, 25)] * 1500 + [(50, k) for k in range(5, 45)] * 5 + [(52, 26)] * 300:
         passage = g.integers(1, 2**62, size).astype(np.uint64)
         other = passage.copy()
         other[edit] = 7
         rows = [substring_dedup.shingles(np.concatenate([g.integers(1, 2**62, 60).astype(np.uint64), p, g.integers(1, 2**62, 60).astype(np.uint64)])) for p in (passage, other)]
-        keys = [set(substring_dedup.compact_windows(r, np.zeros(len(r), int))[1]) for r in rows]
+        keys = [set(substring_dedup.cells(r, np.zeros(len(r), int))[1]) for r in rows]
         assert keys[0] & keys[1], (size, edit)
 
 
@@ -130,4 +195,4 @@ def test_short_edited_passages_are_linked(spark, docs_of, words):
         texts += [" ".join(words(70, 3000 + 2 * k + i) + p + words(40, 4000 + 2 * k + i)) for i, p in enumerate((passage, edited))]
     out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
     assert [out[i].class_id for i in range(120)] == [i - i % 2 for i in range(120)]
-    assert all(out[i].n_links == 1 and out[i].n_dup_words >= 45 for i in range(120))
+    assert all(out[i].class_size == 2 and out[i].n_dup_words >= 45 for i in range(120))

@@ -82,6 +82,22 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def bodies(scratch: Scratch, keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, ...) with the ``text`` of each node, once.
+
+    ``keyed`` has (doc_id, text, key), ``rows`` a written (doc_id, key, node) of it. One doc_id of each text is
+    chosen first, so that the copies of a text go separate ways in the join that carries texts.
+    """
+    chosen = scratch.save(rows.groupBy("key", "node").agg(F.min("doc_id").alias("d")).join(wanted.hint("merge"), "node").withColumnRenamed("key", "k"))
+    on = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    out = scratch.save(keyed.join(chosen.hint("merge"), on).drop("doc_id", "d", "key", "k"))
+    # rows that repeat in doc_id and text are still there
+    twice = scratch.save(out.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if twice.isEmpty():
+        return out
+    return out.join(twice.hint("merge"), "node", "left_anti").union(out.join(twice.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row ``(node, comp)`` for each node, comp its smallest node.
 

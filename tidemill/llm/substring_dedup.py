@@ -1,24 +1,37 @@
-"""Near-duplicate passages across documents, by seeds that no such passage lacks.
-
-A document is its row of word shingles (five words). Candidates come by pigeonhole: a
-window of T shingles at similarity 0.8 lacks at most MISSES of them, so some RUN
-consecutive shingles of it stand in the other document as they are. Every RUN of shingles has
-a key, the least hash over SEED consecutive shingles within it (winnowing; all places on
-ties), which depends on the run only. So two documents with a near-duplicate passage share
-a bucket whose anchors lie in it, with certainty but for equal 64-bit hashes and for
-shingles that are found at different shifts (words that repeat within SHIFT places).
-
-Buckets are joined by ``linking.link``, and candidates are verified on the words
-around their anchors: some window of T shingles (at least MIN_WORDS words) that holds
-the anchor has a Jaccard similarity of 0.8 or more to the other document's words,
-with shifts of up to SHIFT words. Verified windows give the repeated words.
+"""Near-duplicate passages across documents, by compact windows of min-hash signatures.
+
+A document is its row of word shingles (five words). Two functions rank the shingles. The
+Cartesian tree of a row's ranks gives, for each shingle, the compact window in
+which it is the least; cut at runs of RUN shingles, the windows of both functions
+are intervals of run starts, and their joins are cells: groups of runs that share a
+signature (both least shingles and their distance). A cell is one row, however
+many runs it stands for, about 0.16 a word.
+
+No passage is missed: a window of T shingles (MIN_WORDS words) at similarity 0.8 lacks at most
+MISSES shingles, and a change of words inside it breaks WIDTH - 1 shingles at least, so it has one such gap at
+most and RUN consecutive shingles stand in the other document as they are: both documents have
+that run's signature, at the same distance from its least shingles. (The exception: texts that repeat
+themselves within SHIFT words, where a shift may break no shingle.)
+
+Signatures of two texts or more are buckets. In a bucket each item, a text and its anchor, is
+compared with one representative; items that are not verified with it try
+another, and after ROUNDS rounds ``rest`` finds by an exact prefix filter all items of the
+bucket that they may still match. A comparison is made on the shingles around the
+diagonal of two anchors: windows of T shingles, SIMILARITY of them found in the other text within
+SHIFT places of the diagonal. Verified windows are the passages, and link their texts.
+
+Each row of the result has the passages that were verified with the
+representatives of its buckets; a third text that shares still more can reach past them by less
+than RUN shingles at either end.
 
 Exact copies are one text from the start: all words of a copied text that is long
-enough are repeated, and a link joins its copies. Nulls, empty texts and texts of
-fewer than MIN_WORDS words have no passage: n_dup_words 0, class_id the own doc_id.
-class_id is the smallest doc_id of a connected component (null only if all are).
-Repeats inside one document do not count. Repeated rows count as copies. Empty
-tables give no rows.
+enough are repeated, and it is in a class with its copies. Texts are told apart by 64 bits of
+their MD5 in buckets, by all 128 elsewhere. Nulls, empty texts and texts of fewer than
+MIN_WORDS words have no passage: n_dup_words 0, class_id the own doc_id. class_id is the
+smallest doc_id of a connected component (null only if all are). Repeats inside one
+document do not count. Repeated rows count as copies; other columns of docs are not
+read. Very long texts are compared in segments of SEGMENT shingles, only where they have a
+bucket. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,50 +44,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
-from .linking import link, repeated
+from .common import Scratch, bodies, components, text_key
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
 WIDTH, MIN_WORDS, SIMILARITY, SHIFT, CHUNK = 5, 50, 0.8, 8, 200_000
 T = MIN_WORDS - WIDTH + 1  # shingles in a window of MIN_WORDS words
-HALF = T // 2 - 1  # a window of T shingles reaches as far from any of its shingles to one side
-MISSES = T - math.ceil(2 * T * SIMILARITY / (1 + SIMILARITY))  # shingles that it may lack
-REACH = T - 1  # shingles on either side of an anchor that a window with it may hold
-RUN = -(-(T - MISSES) // (MISSES + 1))  # consecutive shingles that it has at least
-SEED = 3  # shingles in a key
-
-
-def sliding_min(x: np.ndarray, t: int) -> np.ndarray:
-    """Minimum of each window of t values (len(x) >= t): a suffix of one block and a prefix of the next."""
-    n = len(x)
-    padded = np.full(-(-n // t) * t, np.iinfo(np.uint64).max, np.uint64)
+NEED = math.ceil(2 * T * SIMILARITY / (1 + SIMILARITY))  # shingles that two similar windows share
+MISSES = T - NEED  # fewer than two gaps of WIDTH - 1 shingles
+RUN = -(-NEED // 2)  # consecutive shingles on one side of the only gap
+REACH = T - 1  # a window that holds an anchor reaches so far
+SEGMENT, PAD, ROUNDS = 512, REACH + SHIFT, 3
+SALT = np.uint64(0xA0761D6478BD642F)
+
+
+def sliding(x: np.ndarray, t: int, least: bool = True) -> np.ndarray:
+    """Minimum (maximum) of each window of t values (len(x) >= t): a suffix of one block and a prefix of the next."""
+    op, n = np.minimum if least else np.maximum, len(x)
+    padded = np.full(-(-n // t) * t, np.iinfo(np.uint64).max if least else 0, np.uint64)
     padded[:n] = x
     blocks = padded.reshape(-1, t)
-    prefix = np.minimum.accumulate(blocks, 1).ravel()
-    suffix = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(suffix[: n - t + 1], prefix[t - 1 : n])
+    prefix = op.accumulate(blocks, 1).ravel()
+    suffix = op.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return op(suffix[: n - t + 1], prefix[t - 1 : n])
 
 
-def compact_windows(x: np.ndarray, doc: np.ndarray, t: int = T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket key, anchor) of the least seeds of all runs of shingles x, whose documents are numbered by doc, in order.
+def compact_windows(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first start, anchor): from each first start to the next, the runs of t values of x have their least value at the anchor (the leftmost on ties).
 
-    Documents of fewer than t shingles have none. An anchor is the place in x of the seed's first shingle.
+    Only anchors, the least values of some run, are nodes of the tree: the nearest smaller value on
+    either side of an anchor whose window has t values is the least of the run that ends or begins there.
     """
+    wide = np.pad(sliding(x, t), t - 1)
+    c = np.flatnonzero(sliding(wide, t, least=False) == x)
+    v, n = x[c], len(c)
+    left, right, at = np.arange(n) - 1, np.arange(n) + 1, np.arange(n)
+    while len(at):  # up to t steps, as a window is cut at t - 1 places from its anchor
+        at = at[left[at] >= 0]
+        at = at[(v[left[at]] > v[at]) & (c[left[at]] > c[at] - t)]
+        left[at] -= 1
+    at = np.arange(n)
+    while len(at):
+        at = at[right[at] < n]
+        at = at[(v[right[at]] >= v[at]) & (c[right[at]] < c[at] + t)]
+        right[at] += 1
+    first = np.maximum(np.where(left >= 0, c[left] + 1, 0), c - t + 1)
+    last = np.minimum(c, np.where(right < n, c[np.minimum(right, n - 1)], len(x)) - t)
+    some = first <= last
+    return first[some], c[some]
+
+
+def cells(x: np.ndarray, doc: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, signature, anchor of the first function) of each cell of the shingles x, whose documents are numbered by doc, in order."""
     if len(x) < t:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero((doc[: len(x) - RUN + 1] == doc[RUN - 1 :]) & (np.bincount(doc)[doc] >= t)[: len(x) - RUN + 1])
-    n = len(x) - SEED + 1
     with np.errstate(over="ignore"):
-        key = x[:n]
-        for k in range(1, SEED):
-            key = mix(key) * GOLDEN + x[k : n + k]
-        key = mix(key)
-    width = RUN - SEED + 1
-    low, chosen = sliding_min(key, width), np.zeros(n, bool)
-    for k in range(width):
-        chosen[at[key[at + k] == low[at]] + k] = True
-    where = np.flatnonzero(chosen)
-    return doc[where], key[where], where
+        ranks = [mix(x), mix(x ^ SALT)]
+        tiles = [compact_windows(r, t) for r in ranks]
+        starts = np.unique(np.concatenate([tiles[0][0], tiles[1][0], np.flatnonzero(np.diff(doc, prepend=-1))]))
+        starts = starts[starts <= len(x) - t]
+        starts = starts[doc[starts] == doc[starts + t - 1]]
+        a, b = (anchor[np.searchsorted(first, starts, "right") - 1] for first, anchor in tiles)
+        key = mix(mix(ranks[0][a]) * GOLDEN + ranks[1][b] + (b - a).astype(np.uint64))
+    return doc[starts], key, a
 
 
 def _runs(texts) -> Iterator[list[int]]:
@@ -89,7 +120,7 @@ def _runs(texts) -> Iterator[list[int]]:
         yield run
 
 
-def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = WordHashes()
     for batch in batches:
         for run in _runs(batch["text"].tolist()):
@@ -97,135 +128,200 @@ def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             each = [words.of(t) for t in part["text"]]
             rows = [shingles(w, WIDTH) if len(w) >= MIN_WORDS else w[:0] for w in each]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            d, k, a = compact_windows(np.concatenate(rows), np.repeat(np.arange(len(rows)), np.diff(offsets)))
-            order = np.argsort(d, kind="stable")
-            d, k, a = d[order], k[order].view(np.int64), (a[order] - offsets[d[order]]).astype(np.int32)
+            d, k, a = cells(np.concatenate(rows), np.repeat(np.arange(len(rows)), np.diff(offsets)))
+            k, a = k.view(np.int64), (a - offsets[d]).astype(np.int32)
             cut = np.searchsorted(d, np.arange(1, len(rows)))
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": part["key"].to_numpy(), "n_words": [len(w) for w in each], "bkeys": np.split(k, cut), "anchors": np.split(a, cut)})
 
 
-def around_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles around each anchor, REACH either way, as 32-bit hashes; 0 where the text has none."""
-    words, size = WordHashes(), np.arange(2 * REACH + 1)
+def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The segments qs of each text's shingles, with PAD more on either side, as 32-bit hashes; 0 where the text has none."""
+    words, size = WordHashes(), SEGMENT + 2 * PAD
     for batch in batches:
-        out = []
-        for node, text, anchors in zip(batch["node"], batch["text"], batch["cs"], strict=True):
-            s = np.pad((shingles(words.of(text), WIDTH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), REACH)
-            cs = np.asarray(anchors)
-            out.append((np.full(len(cs), node), cs, s.view(np.int32)[cs[:, None] + size]))
-        for i in range(0, len(out), 200):
-            part = out[i : i + 200]
-            yield pd.DataFrame({"node": np.concatenate([x[0] for x in part]), "c": np.concatenate([x[1] for x in part]), "near": list(np.concatenate([x[2] for x in part]))})
+        for node, text, qs in zip(batch["node"], batch["text"], batch["qs"], strict=True):
+            s = (shingles(words.of(text), WIDTH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            s = np.pad(s, (PAD, PAD)).view(np.int32)
+            yield pd.DataFrame({"node": node, "q": qs, "x": [s[q * SEGMENT : q * SEGMENT + size] for q in qs]})
+
+
+def near_windows(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """hit: shingles of x found in y within SHIFT of the diagonal x - y = d; good: starts of windows of T shingles of x of which NEED stand in one window of T of y."""
+    hit, moved = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    for shift in sorted(range(-SHIFT, SHIFT + 1), key=abs):
+        lo, hi = max(0, d + shift), min(len(x), len(y) + d + shift)
+        if lo < hi:
+            new = (x[lo:hi] == y[lo - d - shift : hi - d - shift]) & ~hit[lo:hi]
+            hit[lo:hi] |= new
+            moved[lo:hi][new] = -shift
+    hit &= x != 0
+    total = np.cumsum(np.concatenate([[0], hit]))
+    good = total[T:] - total[:-T] >= NEED if len(x) >= T else np.zeros(0, bool)
+    # where places of y are shifted within a window, some may be out of its reach
+    at = np.flatnonzero(good)
+    if len(at) and np.ptp(moved[hit]):
+        within = np.lib.stride_tricks.sliding_window_view
+        h, place = within(hit, T)[at], within(moved, T)[at] + np.arange(T)
+        best = np.zeros(len(at), int)
+        for k in range(-SHIFT, SHIFT + 1):
+            best = np.maximum(best, (h & (place >= k) & (place < k + T)).sum(1))
+        good[at[best < NEED]] = False
+    return hit, good
+
+
+def spans(hit: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
+    """First and last found shingle of each stretch of overlapping good windows."""
+    at = np.flatnonzero(good)
+    if not len(at):
+        return []
+    found, out = np.flatnonzero(hit), []
+    for part in np.split(at, np.flatnonzero(np.diff(at) >= T) + 1):
+        inside = found[np.searchsorted(found, part[0]) : np.searchsorted(found, part[-1] + T)]
+        out.append((int(inside[0]), int(inside[-1])))
+    return out
 
 
 def passage_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates whose shingles around the anchors hold a near-duplicate passage, with the first and last word of it in each."""
+    """For each pair of segments its passages, as words of either text, and the items of the first text that no passage holds."""
     for batch in batches:
-        for i in range(0, len(batch), 4000):
-            b = batch.iloc[i : i + 4000]
-            x, y = np.stack(b["neara"].to_numpy()), np.stack(b["nearb"].to_numpy())
-            spans = [_best(p, q) for p, q in ((x, y), (y, x))]
-            ok = (spans[0][1] >= 0) & (spans[1][1] >= 0)
-            out = {"na": b["na"].to_numpy()[ok], "nb": b["nb"].to_numpy()[ok]}
-            for side, (lo, hi) in zip("ab", spans, strict=True):
-                c = b[f"c{side}"].to_numpy()
-                out[f"s{side}"], out[f"e{side}"] = (c + lo - REACH)[ok].astype(np.int32), (c + hi - REACH + WIDTH - 1)[ok].astype(np.int32)
-            yield pd.DataFrame(out)
-
-
-def _best(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last matched shingle in the windows of x that hold the anchor and match y well enough; last -1 where none does."""
-    size, place = x.shape[1], np.arange(x.shape[1])
-    hit = np.zeros(x.shape, bool)
-    for shift in range(-SHIFT, SHIFT + 1):
-        a, b = max(0, -shift), min(size, size - shift)
-        hit[:, a:b] |= (x[:, a:b] == y[:, a + shift : b + shift]) & (x[:, a:b] != 0)
-    sums = lambda v: (t := np.cumsum(np.pad(v, ((0, 0), (1, 0))), 1))[:, T:] - t[:, :-T]
-    common = sums(hit)
-    good = (common / (2 * T - common) >= SIMILARITY) & (sums(x != 0) == T)
-    lo, hi = np.argmax(good, 1), good.shape[1] - 1 - np.argmax(good[:, ::-1], 1)
-    within = hit & (place >= lo[:, None]) & (place <= hi[:, None] + T - 1)
-    return np.argmax(within, 1), np.where(good.any(1), size - 1 - np.argmax(within[:, ::-1], 1), -1)
+        rows = []
+        for na, qa, nb, qb, x, y, items in zip(*(batch[c] for c in ("na", "qa", "nb", "qb", "x", "y", "items")), strict=True):
+            to_a, to_b = qa * SEGMENT - PAD, qb * SEGMENT - PAD
+            by_diagonal: dict[int, list] = {}
+            for it in items:
+                by_diagonal.setdefault(it["ca"] - it["cb"], []).append(it)
+            mine, other, still = set(), set(), []
+            for d, its in by_diagonal.items():
+                d = d - to_a + to_b
+                hit_a, good_a = near_windows(x, y, d)
+                hit_b, good_b = near_windows(y, x, -d)
+                both = good_a.any() and good_b.any()
+                for it in its:
+                    a, b = it["ca"] - to_a, it["cb"] - to_b
+                    if not both or not good_a[max(0, a - T + 1) : a + 1].any() or not good_b[max(0, b - T + 1) : b + 1].any():
+                        still.append({"bkey": it["bkey"], "c": it["ca"]})
+                if both:
+                    mine.update((s + to_a, e + to_a + WIDTH - 1) for s, e in spans(hit_a, good_a))
+                    other.update((s + to_b, e + to_b + WIDTH - 1) for s, e in spans(hit_b, good_b))
+            rows.append((na, nb, *([{"s": s, "e": e} for s, e in sorted(v)] for v in (mine, other)), still))
+        yield pd.DataFrame(rows, columns=["na", "nb", "ina", "inb", "still"])
+
+
+PASSAGE = "array<struct<s:int,e:int>>"
+
+
+class Comparison:
+    """Rounds of comparisons of items, (bkey, node, c), with representatives of their buckets."""
+
+    def __init__(self, s: Scratch, members: DataFrame, segments: DataFrame):
+        self.s, self.members, self.segments, self.done = s, members, segments, []
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """(bkey, node, c) of the items ``(bkey, node, c, node2, c2)`` that are not verified; verified ones go to ``done``."""
+        segment = lambda c: F.floor(F.col(c) / SEGMENT).cast("int")
+        item = F.struct("bkey", F.col("c").alias("ca"), F.col("c2").alias("cb"))
+        by_segment = pairs.groupBy(F.col("node").alias("na"), segment("c").alias("qa"), F.col("node2").alias("nb"), segment("c2").alias("qb")).agg(F.collect_list(item).alias("items"))
+        a, b = (self.segments.select(F.col("node").alias(f"n{e}"), F.col("q").alias(f"q{e}"), F.col("x").alias(x)) for e, x in ("ax", "by"))
+        both = by_segment.join(a.hint("merge"), ["na", "qa"]).join(b.hint("merge"), ["nb", "qb"])
+        out = self.s.save(both.mapInPandas(passage_rows, f"na long, nb long, ina {PASSAGE}, inb {PASSAGE}, still array<struct<bkey:long,c:int>>"))
+        self.done.append(out)
+        return out.select(F.col("na").alias("node"), F.inline("still")).select("bkey", "node", "c").distinct()
+
+    def representatives(self, items: DataFrame) -> DataFrame:
+        rep = items.groupBy("bkey").agg(F.min(F.struct("node", "c")).alias("rep"))
+        # written, so that the join below is of plain tables, whose hot buckets can be split
+        return self.s.save(rep.select("bkey", F.col("rep.node").alias("node2"), F.col("rep.c").alias("c2")))
+
+    def run(self) -> None:
+        open_ = self.s.save(self.members.limit(0))
+        for r in range(ROUNDS):
+            before = self.members if r == 0 else open_
+            reps = self.representatives(before)
+            pairs = before.join(reps.hint("merge"), "bkey")
+            left = self.verify(pairs.where("node != node2"))
+            # of the representative's own text no other item was compared
+            open_ = self.s.save(left.union(pairs.where("node = node2 and c != c2").select("bkey", "node", "c")))
+            if r == 0:
+                buckets, later = self.s.save(open_.select("bkey").distinct()), open_.limit(0)
+            else:  # these representatives have not met the items that were verified before
+                later = later.union(reps.select("bkey", "node2", "c2"))
+            if open_.isEmpty():
+                break
+        if not buckets.isEmpty():
+            self.verify(self.rest(buckets, self.s.save(open_.union(later).distinct())))
+
+    def edges(self) -> DataFrame:
+        return union([x.where(F.size("ina") > 0).select(F.col("na").alias("a"), F.col("nb").alias("b")) for x in self.done])
+
+    def rest(self, buckets: DataFrame, open_: DataFrame) -> DataFrame:
+        """All pairs of items of a bucket that may still hold a passage, by a prefix filter: an open item with any, verified ones across classes.
+
+        A window that holds an anchor lies within REACH shingles of it, and two that match share NEED
+        shingles. Shingles that stand in one group only of the bucket (a class, or an open item's
+        text) are left out, and items with fewer than NEED others end here. Items of one group with the same
+        shingles left count once. The shingles are ordered from rare to common; a pair shares one of
+        the first n - NEED + 1 of both, so text that all items of a bucket share joins nobody.
+        """
+        comps = components(self.s, self.edges())
+        items = self.s.save(self.members.join(buckets.hint("merge"), "bkey", "left_semi"))
+        items = items.join(open_.withColumn("open", F.lit(True)).hint("merge"), ["bkey", "node", "c"], "left").join(comps.hint("merge"), "node", "left")
+        items = items.select("bkey", "node", "c", F.when(F.col("open"), F.xxhash64(F.lit(1), "node")).otherwise(F.coalesce("comp", "node")).alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
+        near = F.slice("x", F.col("c") - F.col("q") * SEGMENT + PAD - REACH + 1, 2 * REACH + 1)
+        each = items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", F.explode(F.array_except(near, F.array(F.lit(0)))).alias("v"))
+        each = self.s.save(each)
+        df = self.s.save(each.groupBy("bkey", "v").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey", "v", "df"))
+        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).where(F.size("vs") >= NEED)
+        rows = rows.groupBy("bkey", "g", F.transform("vs", lambda v: v["v"]).alias("vs")).agg(F.min(F.struct("node", "c")).alias("i"))
+        front = rows.select("bkey", "g", "i.*", F.slice("vs", 1, F.size("vs") - NEED + 1).alias("front"))
+        front = self.s.save(front.select("*", F.explode("front").alias("v")))
+        other = front.select("bkey", "v", *[F.col(x).alias(f"{x}2") for x in ("g", "node", "c", "front")])
+        # all of it is the join's condition: a pair is a row once, at its first common shingle
+        x, y = front.alias("x"), other.alias("y").hint("merge")
+        first = F.get(F.array_intersect("front", "front2"), F.lit(0)) == F.col("x.v")
+        met = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.v") == F.col("y.v")) & (F.col("g") < F.col("g2")) & (F.col("node") != F.col("node2")) & first)
+        return met.select("x.bkey", "node", "c", "node2", "c2")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """rows (doc_id, key, n_words), texts (key, node, comp), and spans (node, s, e, other) of repeated words."""
+    """rows (doc_id, key, node, n_words), comps (node, comp) of linked texts, found (node, s, e) of repeated words."""
     s = Scratch(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    made = s.save(keyed.mapInPandas(window_rows, "doc_id long, key binary, n_words long, bkeys array<long>, anchors array<int>"))
-    texts = s.save(made.where("size(bkeys) > 0").dropDuplicates(["key"]).select("key", "n_words", "bkeys", "anchors").withColumn("node", F.monotonically_increasing_id()))
-    each = texts.select("node", F.size("bkeys").alias("all"), F.explode(F.arrays_zip("bkeys", "anchors")).alias("x")).select(F.col("x.bkeys").alias("bkey"), F.col("x.anchors").alias("c"), "node", "all")
-    # an item is a window: its text's number and its anchor
-    members = repeated(s, each.select("bkey", "node", F.struct("node", "c").alias("item"), "all"))
-    # a text in the middle of its group shares a larger part of its windows with others
-    central = members.groupBy("node", "all").agg(F.count("*").alias("n")).select("node", F.floor(100 * F.col("n") / F.col("all")).cast("int").alias("central"))
-    members = s.save(members.drop("all").join(central, "node"))
-    # texts that share a bucket with another; the list grows with the data, so it is merged and never broadcast
-    active = members.select("node").distinct().join(texts.select("node", "key"), "node")
-    bodies = s.save(keyed.select("key", "text").join(active.hint("merge"), "key").dropDuplicates(["key"]).select("node", "text"))
-
-    def around(items: DataFrame) -> DataFrame:
-        by_text = items.groupBy("node").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-        return s.save(bodies.join(by_text.hint("merge"), "node").select("node", "text", "cs").mapInPandas(around_rows, "node long, c int, near array<int>"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        p = pairs.select("na", "nb", F.col("a.c").alias("ca"), F.col("b.c").alias("cb"))
-        # of the anchors of one alignment within T shingles the outer two: a window of T shingles that holds any of them holds one of these
-        p = p.groupBy("na", "nb", (F.col("ca") - F.col("cb")).alias("d"), F.floor(F.col("ca") / T).alias("q")).agg(F.array_distinct(F.array(F.min("ca"), F.max("ca"))).alias("cas"))
-        p = s.save(p.select("na", "nb", F.explode("cas").alias("ca"), "d").select("na", "nb", "ca", (F.col("ca") - F.col("d")).alias("cb")))
-        near = around(p.select(F.col("na").alias("node"), F.col("ca").alias("c")).union(p.select("nb", "cb")))
-        for x in "ab":
-            p = p.join(near.select(F.col("node").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("near").alias(f"near{x}")), [f"n{x}", f"c{x}"])
-        return p.select("na", "nb", "ca", "cb", "neara", "nearb").mapInPandas(passage_rows, "na long, nb long, sa int, ea int, sb int, eb int")
-
-    def rest(live: DataFrame) -> DataFrame:
-        """Pairs of open windows that may hold a near-duplicate passage of two components.
-
-        First, shingles that stand in one component only of a bucket are left out: no pair
-        shares them. A window goes on if T - MISSES of the others lie within T places, so
-        windows around a shorter common passage end here, however many there are.
-        Then pairs must share a shingle far from the anchor. A window of T shingles that holds the anchor reaches HALF shingles to one side of
-        it at least. It lacks at most MISSES shingles, so one of the MISSES + 1 that end there is
-        found within SHIFT of its place in the other text.
-        """
-        flat = live.select("bkey", F.col("item.node").alias("node"), F.col("item.c").alias("c"), "comp")
-        near = around(flat.select("node", "c"))
-        at = flat.join(near, ["node", "c"]).select("bkey", "node", "c", "comp", F.posexplode("near").alias("p", "v")).where("v != 0")
-        common = at.groupBy("bkey", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bkey", "v")
-        left = at.join(common, ["bkey", "v"], "left_semi").groupBy("bkey", "node", "c", "comp").agg(F.sort_array(F.collect_list("p")).alias("ps")).where(F.size("ps") >= T - MISSES)
-        dense = F.exists(F.sequence(F.lit(0), F.size("ps") - (T - MISSES)), lambda i: F.get("ps", i + T - MISSES - 1) - F.get("ps", i) < T)
-        flat = s.save(left.where(dense).select("bkey", "node", "c", "comp"))
-        ends = {1: (REACH + HALF - MISSES, MISSES + 1), -1: (REACH - HALF, MISSES + 1)}
-        pick = lambda wide: F.concat(*[F.transform(F.slice("near", lo - wide * SHIFT + 1, n + 2 * wide * SHIFT), lambda v: F.struct(F.lit(side).alias("side"), v.alias("v"))) for side, (lo, n) in ends.items()])  # noqa: B023, E731
-        each = lambda wide, tail: near.select("node", "c", F.inline(F.array_distinct(pick(wide)))).where("v != 0").join(flat, ["node", "c"]).select("bkey", "side", "v", *[F.col(x).alias(x + tail) for x in ("node", "c", "comp")])
-        met = each(0, "").alias("x").join(each(1, "2").alias("y"), (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.v") == F.col("y.v")) & (F.col("comp") < F.col("comp2")))
-        return met.select(F.struct("node", "c").alias("item"), "node", F.struct(F.col("node2").alias("node"), F.col("c2").alias("c")).alias("item2"), "node2").distinct()
-
-    comps, found = link(s, members, verify, rest, rounds=2)
-    spans = None
-    for x in found:
-        both = x.select(F.col("na").alias("node"), F.col("sa").alias("s"), F.col("ea").alias("e"), F.col("nb").alias("other")).union(x.select("nb", "sb", "eb", "na"))
-        spans = both if spans is None else spans.union(both)
-    if spans is None:
-        spans = docs.sparkSession.createDataFrame([], "node long, s int, e int, other long")
-    texts = texts.select("key", "node", "n_words").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return made.select("doc_id", "key", "n_words"), s.save(texts), spans, s
+    made = s.save(keyed.mapInPandas(cell_rows, "doc_id long, key binary, n_words long, bkeys array<long>, anchors array<int>").withColumn("node", F.xxhash64("key")))
+    each = made.select("node", F.explode(F.arrays_zip("bkeys", "anchors")).alias("x")).select(F.col("x.bkeys").alias("bkey"), "node", F.col("x.anchors").alias("c"))
+    keys = s.save(each.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey"))
+    members = s.save(each.join(keys.hint("merge"), "bkey", "left_semi").distinct())
+    wanted = members.groupBy("node").agg(F.sort_array(F.collect_set(F.floor(F.col("c") / SEGMENT).cast("int"))).alias("qs"))
+    texts = bodies(s, keyed, made.select("doc_id", "key", "node"), s.save(wanted))
+    segments = s.save(texts.mapInPandas(segment_rows, "node long, q int, x array<int>"))
+    work = Comparison(s, members, segments)
+    work.run()
+    found = union([out.select(F.col(f"n{e}").alias("node"), F.inline(f"in{e}")) for out in work.done for e in "ab"])
+    return made.select("doc_id", "key", "node", "n_words"), components(s, work.edges()), found, s
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, class_id, n_links (other texts and copies with a verified common passage), n_words, n_dup_words, passages (start, end)."""
-    rows, texts, spans, s = passages(docs)
-    one = spans.select("node", "s", "e").distinct().groupBy("node").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    links = spans.select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("links"))
+    """For each row of docs: doc_id, class_id, class_size (rows in its class), n_words, n_dup_words, n_passages and passages (first and last word)."""
+    rows, comps, found, s = passages(docs)
+    one = found.distinct().groupBy("node").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     last = lambda a: F.element_at(a, -1)
     merge = lambda a, x: F.when((F.size(a) > 0) & (x["s"] <= last(a)["e"] + 1), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x)))
-    merged = F.aggregate("spans", F.array().cast("array<struct<s:int,e:int>>"), merge)
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    named = texts.join(one, "node", "left").join(links, "node", "left").join(copies, "key")
+    merged = F.aggregate("spans", F.array().cast(PASSAGE), merge)
+    # one row a text, then tables of texts joined to rows: copies of a text never meet in one task but where a join can be split
+    texts = rows.where(F.col("n_words") >= MIN_WORDS).groupBy("key", "node", "n_words").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    named = texts.join(comps.hint("merge"), "node", "left").join(s.save(one).hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("n_words") - 1).cast("int").alias("e")))
-    named = s.save(named.select("key", "comp", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("copies") > 1, whole).when(F.col("spans").isNotNull(), merged).alias("passages")))
-    joined = s.save(rows.join(named, "key", "left"))
-    names = joined.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    named = s.save(named.select("key", "comp", "copies", "least", F.when(F.col("copies") > 1, whole).when(F.col("spans").isNotNull(), merged).alias("passages")))
+    classes = s.save(named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")))
+    named = s.save(named.select("key", "comp", "passages").join(classes.hint("merge"), "comp").drop("comp"))
+    out = rows.join(named.hint("merge"), "key", "left")
     words = F.aggregate("passages", F.lit(0), lambda a, x: a + x["e"] - x["s"] + 1)
-    out = joined.join(names, "comp", "left")
-    return out.select("doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), "n_words", F.coalesce(words, F.lit(0)).cast("long").alias("n_dup_words"), "passages")
+    return out.select(
+        "doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_words",
+        F.coalesce(words, F.lit(0)).cast("long").alias("n_dup_words"), F.coalesce(F.size("passages"), F.lit(0)).cast("long").alias("n_passages"), "passages",
+    )
