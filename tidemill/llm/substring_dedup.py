@@ -105,7 +105,13 @@ def cells(x: np.ndarray, doc: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.
         starts = starts[doc[starts] == doc[starts + t - 1]]
         a, b = (anchor[np.searchsorted(first, starts, "right") - 1] for first, anchor in tiles)
         key = mix(mix(ranks[0][a]) * GOLDEN + ranks[1][b] + (b - a).astype(np.uint64))
-    return doc[starts], key, a
+    # a text that repeats itself all the time ("no no no") has one cell for the whole stretch
+    order = np.lexsort((starts, key, doc[starts]))
+    ahead = np.diff(starts[order], prepend=-t) < t
+    again = order[1:][(key[order][1:] == key[order][:-1]) & (doc[starts][order][1:] == doc[starts][order][:-1]) & ahead[1:]]
+    keep = np.ones(len(starts), bool)
+    keep[again] = False
+    return doc[starts][keep], key[keep], a[keep]
 
 
 def _runs(texts) -> Iterator[list[int]]:
@@ -237,40 +243,48 @@ class Comparison:
             before = self.members if r == 0 else open_
             reps = self.representatives(before)
             pairs = before.join(reps.hint("merge"), "bkey")
-            left = self.verify(pairs.where("node != node2"))
+            left = self.s.save(self.verify(pairs.where("node != node2")))
             # of the representative's own text no other item was compared
             open_ = self.s.save(left.union(pairs.where("node = node2 and c != c2").select("bkey", "node", "c")))
             if r == 0:
-                buckets, later = self.s.save(open_.select("bkey").distinct()), open_.limit(0)
-            else:  # these representatives have not met the items that were verified before
-                later = later.union(reps.select("bkey", "node2", "c2"))
+                # the first representative has met all others; a bucket is done unless two more items are left
+                met = reps.select("bkey", F.col("node2").alias("node"), F.col("c2").alias("c"))
+                others = self.members.join(met.hint("merge"), ["bkey", "node", "c"], "left_anti")
+                others = others.join(self.s.save(open_.select("bkey").distinct()).hint("merge"), "bkey", "left_semi")
+                others, later = self.s.save(others), open_.limit(0)
+            else:  # a representative that nothing was verified with has still to meet the items that were verified before
+                n = pairs.groupBy("bkey", "node2", "c2").agg(F.count_if(F.col("node") != F.col("node2")).alias("n"))
+                alone = n.join(left.groupBy("bkey").agg(F.count("*").alias("k")).hint("merge"), "bkey", "left").where(F.col("n") == F.coalesce("k", F.lit(0)))
+                later = later.union(self.s.save(alone.select("bkey", "node2", "c2")))
             if open_.isEmpty():
                 break
-        if not buckets.isEmpty():
-            self.verify(self.rest(buckets, self.s.save(open_.union(later).distinct())))
+        self.verify(self.rest(others, self.s.save(open_.union(later).distinct())))
 
     def edges(self) -> DataFrame:
         return union([x.where(F.size("ina") > 0).select(F.col("na").alias("a"), F.col("nb").alias("b")) for x in self.done])
 
-    def rest(self, buckets: DataFrame, open_: DataFrame) -> DataFrame:
-        """All pairs of items of a bucket that may still hold a passage, by a prefix filter: an open item with any, verified ones across classes.
+    def rest(self, items: DataFrame, open_: DataFrame) -> DataFrame:
+        """All pairs of the items of a bucket that may still hold a passage, by a prefix filter: an open item with any, verified ones across classes.
 
         A window that holds an anchor lies within REACH shingles of it, and two that match share NEED
         shingles. Shingles that stand in one group only of the bucket (a class, or an open item's
-        text) are left out, and items with fewer than NEED others end here. Items of one group with the same
+        text) are left out, and items without NEED others in T places end here. Items of one group with the same
         shingles left count once. The shingles are ordered from rare to common; a pair shares one of
         the first n - NEED + 1 of both, so text that all items of a bucket share joins nobody.
         """
         comps = components(self.s, self.edges())
-        items = self.s.save(self.members.join(buckets.hint("merge"), "bkey", "left_semi"))
         items = items.join(open_.withColumn("open", F.lit(True)).hint("merge"), ["bkey", "node", "c"], "left").join(comps.hint("merge"), "node", "left")
         items = items.select("bkey", "node", "c", F.when(F.col("open"), F.xxhash64(F.lit(1), "node")).otherwise(F.coalesce("comp", "node")).alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
+        items = self.s.save(items)
+        several = self.s.save(items.groupBy("bkey").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey"))
+        items = items.join(several.hint("merge"), "bkey", "left_semi")
         near = F.slice("x", F.col("c") - F.col("q") * SEGMENT + PAD - REACH + 1, 2 * REACH + 1)
-        each = items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", F.explode(F.array_except(near, F.array(F.lit(0)))).alias("v"))
+        each = items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", F.posexplode(near).alias("p", "v")).where("v != 0")
         each = self.s.save(each)
         df = self.s.save(each.groupBy("bkey", "v").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey", "v", "df"))
-        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).where(F.size("vs") >= NEED)
-        rows = rows.groupBy("bkey", "g", F.transform("vs", lambda v: v["v"]).alias("vs")).agg(F.min(F.struct("node", "c")).alias("i"))
+        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("vs"), F.sort_array(F.collect_list("p")).alias("ps")).where(F.size("vs") >= NEED)
+        dense = F.exists(F.sequence(F.lit(0), F.size("ps") - NEED), lambda i: F.get("ps", i + NEED - 1) - F.get("ps", i) < T)
+        rows = rows.where(dense).groupBy("bkey", "g", F.transform("vs", lambda v: v["v"]).alias("vs")).agg(F.min(F.struct("node", "c")).alias("i"))
         front = rows.select("bkey", "g", "i.*", F.slice("vs", 1, F.size("vs") - NEED + 1).alias("front"))
         front = self.s.save(front.select("*", F.explode("front").alias("v")))
         other = front.select("bkey", "v", *[F.col(x).alias(f"{x}2") for x in ("g", "node", "c", "front")])
