@@ -15,14 +15,14 @@ themselves within SHIFT words, where a shift may break no shingle.)
 
 Signatures of two texts or more are buckets. In a bucket each item, a text and its anchor, is
 compared with one representative; items that are not verified with it try
-another, and after ROUNDS rounds ``rest`` finds by an exact prefix filter all items of the
-bucket that they may still match. A comparison is made on the shingles around the
+another, and after ROUNDS rounds ``rest`` finds by an exact prefix filter all pairs of
+the bucket that may still join two classes. A comparison is made on the shingles around the
 diagonal of two anchors: windows of T shingles, SIMILARITY of them found in the other text within
 SHIFT places of the diagonal. Verified windows are the passages, and link their texts.
 
-Each row of the result has the passages that were verified with the
-representatives of its buckets; a third text that shares still more can reach past them by less
-than RUN shingles at either end.
+Classes are exact, and a row has a passage if it has any. Which of its words are in passages is
+told by the pairs that were compared, of which there are few a text: passages may be
+longer, or more, where texts of one class share still other words with each other.
 
 Exact copies are one text from the start: all words of a copied text that is long
 enough are repeated, and it is in a class with its copies. Texts are told apart by 64 bits of
@@ -144,28 +144,41 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The segments qs of each text's shingles, with PAD more on either side, as 32-bit hashes; 0 where the text has none."""
     words, size = WordHashes(), SEGMENT + 2 * PAD
     for batch in batches:
-        for node, text, qs in zip(batch["node"], batch["text"], batch["qs"], strict=True):
-            s = (shingles(words.of(text), WIDTH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            s = np.pad(s, (PAD, PAD)).view(np.int32)
-            yield pd.DataFrame({"node": node, "q": qs, "x": [s[q * SEGMENT : q * SEGMENT + size] for q in qs]})
+        for run in _runs(batch["text"].tolist()):
+            part = batch.iloc[run]
+            rows = []
+            for node, text, qs in zip(part["node"], part["text"], part["qs"], strict=True):
+                s = (shingles(words.of(text), WIDTH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                s = np.pad(s, (PAD, PAD)).view(np.int32)
+                rows += [(node, q, s[q * SEGMENT : q * SEGMENT + size]) for q in qs]
+            yield pd.DataFrame(rows, columns=["node", "q", "x"])
+
+
+#: Shifts from a diagonal, the smallest first.
+SHIFTS = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))
+within = np.lib.stride_tricks.sliding_window_view
 
 
 def near_windows(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
     """hit: shingles of x found in y within SHIFT of the diagonal x - y = d; good: starts of windows of T shingles of x of which NEED stand in one window of T of y."""
-    hit, moved = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    for shift in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-        lo, hi = max(0, d + shift), min(len(x), len(y) + d + shift)
-        if lo < hi:
-            new = (x[lo:hi] == y[lo - d - shift : hi - d - shift]) & ~hit[lo:hi]
-            hit[lo:hi] |= new
-            moved[lo:hi][new] = -shift
-    hit &= x != 0
+    across = np.zeros(len(x) + 2 * SHIFT, x.dtype)
+    lo, hi = max(0, -d - SHIFT), min(len(y), len(x) - d + SHIFT)
+    if lo < hi:
+        across[lo + d + SHIFT : hi + d + SHIFT] = y[lo:hi]
+    equal = (within(across, len(SHIFTS)) == x[:, None])[:, SHIFTS + SHIFT]
+    hit = equal.any(1) & (x != 0)
     total = np.cumsum(np.concatenate([[0], hit]))
     good = total[T:] - total[:-T] >= NEED if len(x) >= T else np.zeros(0, bool)
+    if not good.any():
+        return hit, good
     # where places of y are shifted within a window, some may be out of its reach
-    at = np.flatnonzero(good)
-    if len(at) and np.ptp(moved[hit]):
-        within = np.lib.stride_tricks.sliding_window_view
+    moved = SHIFTS[equal.argmax(1)]
+    turns = np.cumsum(np.concatenate([[0], np.diff(moved[hit]) != 0]))
+    turn = np.zeros(len(total), int)
+    turn[1:] = turns[np.maximum(total[1:] - 1, 0)]
+    first = np.minimum(total[:-T], total[-1] - 1)  # the first shingle found at or after a start
+    at = np.flatnonzero(good & (turn[T:] != turns[first]))
+    if len(at):
         h, place = within(hit, T)[at], within(moved, T)[at] + np.arange(T)
         best = np.zeros(len(at), int)
         for k in range(-SHIFT, SHIFT + 1):
@@ -238,9 +251,9 @@ class Comparison:
         return self.s.save(rep.select("bkey", F.col("rep.node").alias("node2"), F.col("rep.c").alias("c2")))
 
     def run(self) -> None:
-        open_ = self.s.save(self.members.limit(0))
+        open_ = None
         for r in range(ROUNDS):
-            before = self.members if r == 0 else open_
+            before = self.members if open_ is None else open_
             reps = self.representatives(before)
             pairs = before.join(reps.hint("merge"), "bkey")
             left = self.s.save(self.verify(pairs.where("node != node2")))
@@ -250,37 +263,35 @@ class Comparison:
                 # the first representative has met all others; a bucket is done unless two more items are left
                 met = reps.select("bkey", F.col("node2").alias("node"), F.col("c2").alias("c"))
                 others = self.members.join(met.hint("merge"), ["bkey", "node", "c"], "left_anti")
-                others = others.join(self.s.save(open_.select("bkey").distinct()).hint("merge"), "bkey", "left_semi")
-                others, later = self.s.save(others), open_.limit(0)
-            else:  # a representative that nothing was verified with has still to meet the items that were verified before
-                n = pairs.groupBy("bkey", "node2", "c2").agg(F.count_if(F.col("node") != F.col("node2")).alias("n"))
-                alone = n.join(left.groupBy("bkey").agg(F.count("*").alias("k")).hint("merge"), "bkey", "left").where(F.col("n") == F.coalesce("k", F.lit(0)))
-                later = later.union(self.s.save(alone.select("bkey", "node2", "c2")))
+                others = self.s.save(others.join(self.s.save(open_.select("bkey").distinct()).hint("merge"), "bkey", "left_semi"))
             if open_.isEmpty():
                 break
-        self.verify(self.rest(others, self.s.save(open_.union(later).distinct())))
+        self.verify(self.rest(others))
 
     def edges(self) -> DataFrame:
         return union([x.where(F.size("ina") > 0).select(F.col("na").alias("a"), F.col("nb").alias("b")) for x in self.done])
 
-    def rest(self, items: DataFrame, open_: DataFrame) -> DataFrame:
-        """All pairs of the items of a bucket that may still hold a passage, by a prefix filter: an open item with any, verified ones across classes.
+    def rest(self, items: DataFrame) -> DataFrame:
+        """All pairs of items of a bucket, in different classes so far, that may still hold a passage, by a prefix filter.
 
         A window that holds an anchor lies within REACH shingles of it, and two that match share NEED
-        shingles. Shingles that stand in one group only of the bucket (a class, or an open item's
-        text) are left out, and items without NEED others in T places end here. Items of one group with the same
-        shingles left count once. The shingles are ordered from rare to common; a pair shares one of
-        the first n - NEED + 1 of both, so text that all items of a bucket share joins nobody.
+        shingles. Shingles that stand in one class only of the bucket are left out, and items without
+        NEED others in T places end here. Items of one class with the same shingles left count
+        once. The shingles are ordered from rare to common; a pair shares one of the first
+        n - NEED + 1 of both, so text that all items of a bucket share joins nobody.
         """
         comps = components(self.s, self.edges())
-        items = items.join(open_.withColumn("open", F.lit(True)).hint("merge"), ["bkey", "node", "c"], "left").join(comps.hint("merge"), "node", "left")
-        items = items.select("bkey", "node", "c", F.when(F.col("open"), F.xxhash64(F.lit(1), "node")).otherwise(F.coalesce("comp", "node")).alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
+        items = items.join(comps.hint("merge"), "node", "left")
+        items = items.select("bkey", "node", "c", F.coalesce("comp", "node").alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
         items = self.s.save(items)
         several = self.s.save(items.groupBy("bkey").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey"))
         items = items.join(several.hint("merge"), "bkey", "left_semi")
         near = F.slice("x", F.col("c") - F.col("q") * SEGMENT + PAD - REACH + 1, 2 * REACH + 1)
-        each = items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", F.posexplode(near).alias("p", "v")).where("v != 0")
-        each = self.s.save(each)
+        around = self.s.save(items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", near.alias("near")))
+        # items of one class with the same shingles around them count once
+        alike = around.groupBy("bkey", "g", F.xxhash64("near").alias("h")).agg(F.min(F.struct("node", "c")).alias("i")).select("bkey", "g", "i.*")
+        around = around.join(alike.hint("merge"), ["bkey", "g", "node", "c"], "left_semi")
+        each = self.s.save(around.select("bkey", "g", "node", "c", F.posexplode("near").alias("p", "v")).where("v != 0"))
         df = self.s.save(each.groupBy("bkey", "v").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey", "v", "df"))
         rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("vs"), F.sort_array(F.collect_list("p")).alias("ps")).where(F.size("vs") >= NEED)
         dense = F.exists(F.sequence(F.lit(0), F.size("ps") - NEED), lambda i: F.get("ps", i + NEED - 1) - F.get("ps", i) < T)
