@@ -203,26 +203,29 @@ def passage_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each pair of segments its passages, as words of either text, and the items of the first text that no passage holds."""
     for batch in batches:
         rows = []
-        for na, qa, nb, qb, x, y, items in zip(*(batch[c] for c in ("na", "qa", "nb", "qb", "x", "y", "items")), strict=True):
+        for na, qa, nb, qb, x, y, bkey, ca, cb in zip(*(batch[c] for c in ("na", "qa", "nb", "qb", "x", "y", "bkey", "ca", "cb")), strict=True):
             to_a, to_b = qa * SEGMENT - PAD, qb * SEGMENT - PAD
-            by_diagonal: dict[int, list] = {}
-            for it in items:
-                by_diagonal.setdefault(it["ca"] - it["cb"], []).append(it)
-            mine, other, still = set(), set(), []
-            for d, its in by_diagonal.items():
-                d = d - to_a + to_b
-                hit_a, good_a = near_windows(x, y, d)
-                hit_b, good_b = near_windows(y, x, -d)
-                both = good_a.any() and good_b.any()
-                for it in its:
-                    a, b = it["ca"] - to_a, it["cb"] - to_b
-                    if not both or not good_a[max(0, a - T + 1) : a + 1].any() or not good_b[max(0, b - T + 1) : b + 1].any():
-                        still.append({"bkey": it["bkey"], "c": it["ca"]})
-                if both:
-                    mine.update((s + to_a, e + to_a + WIDTH - 1) for s, e in spans(hit_a, good_a))
-                    other.update((s + to_b, e + to_b + WIDTH - 1) for s, e in spans(hit_b, good_b))
-            rows.append((na, nb, *([{"s": s, "e": e} for s, e in sorted(v)] for v in (mine, other)), still))
-        yield pd.DataFrame(rows, columns=["na", "nb", "ina", "inb", "still"])
+            a, b = ca - to_a, cb - to_b
+            verified, mine, other = np.zeros(len(a), bool), set(), set()
+            for d in np.unique(a - b):
+                hit_a, good_a = near_windows(x, y, int(d))
+                if not good_a.any():
+                    continue
+                hit_b, good_b = near_windows(y, x, -int(d))
+                if not good_b.any():
+                    continue
+                here = np.flatnonzero(a - b == d)
+                verified[here] = _held(good_a, a[here]) & _held(good_b, b[here])
+                mine.update((s + to_a, e + to_a + WIDTH - 1) for s, e in spans(hit_a, good_a))
+                other.update((s + to_b, e + to_b + WIDTH - 1) for s, e in spans(hit_b, good_b))
+            rows.append((na, nb, *([{"s": s, "e": e} for s, e in sorted(v)] for v in (mine, other)), bkey[~verified], ca[~verified]))
+        yield pd.DataFrame(rows, columns=["na", "nb", "ina", "inb", "bkey", "c"])
+
+
+def _held(good: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether some good window of T shingles holds each place."""
+    total = np.cumsum(np.concatenate([[0], good]))
+    return total[np.minimum(at + 1, len(good))] > total[np.clip(at - T + 1, 0, len(good))]
 
 
 PASSAGE = "array<struct<s:int,e:int>>"
@@ -240,10 +243,11 @@ class Comparison:
         item = F.struct("bkey", F.col("c").alias("ca"), F.col("c2").alias("cb"))
         by_segment = pairs.groupBy(F.col("node").alias("na"), segment("c").alias("qa"), F.col("node2").alias("nb"), segment("c2").alias("qb")).agg(F.collect_list(item).alias("items"))
         a, b = (self.segments.select(F.col("node").alias(f"n{e}"), F.col("q").alias(f"q{e}"), F.col("x").alias(x)) for e, x in ("ax", "by"))
+        by_segment = by_segment.select("na", "qa", "nb", "qb", *[F.col(f"items.{x}").alias(x) for x in ("bkey", "ca", "cb")])
         both = by_segment.join(a.hint("merge"), ["na", "qa"]).join(b.hint("merge"), ["nb", "qb"])
-        out = self.s.save(both.mapInPandas(passage_rows, f"na long, nb long, ina {PASSAGE}, inb {PASSAGE}, still array<struct<bkey:long,c:int>>"))
+        out = self.s.save(both.mapInPandas(passage_rows, f"na long, nb long, ina {PASSAGE}, inb {PASSAGE}, bkey array<long>, c array<int>"))
         self.done.append(out)
-        return out.select(F.col("na").alias("node"), F.inline("still")).select("bkey", "node", "c").distinct()
+        return out.select(F.col("na").alias("node"), F.inline(F.arrays_zip("bkey", "c"))).select("bkey", "node", "c").distinct()
 
     def representatives(self, items: DataFrame) -> DataFrame:
         rep = items.groupBy("bkey").agg(F.min(F.struct("node", "c")).alias("rep"))
@@ -275,10 +279,10 @@ class Comparison:
         """All pairs of items of a bucket, in different classes so far, that may still hold a passage, by a prefix filter.
 
         A window that holds an anchor lies within REACH shingles of it, and two that match share NEED
-        shingles. Shingles that stand in one class only of the bucket are left out, and items without
-        NEED others in T places end here. Items of one class with the same shingles left count
+        shingles. Shingles that stand in one class only of the bucket are left out, and so are those without
+        NEED others in T places. Items of one class with the same shingles left count
         once. The shingles are ordered from rare to common; a pair shares one of the first
-        n - NEED + 1 of both, so text that all items of a bucket share joins nobody.
+        n - NEED + 1 of both and NEED of all, so text that all items of a bucket share joins nobody.
         """
         comps = components(self.s, self.edges())
         items = items.join(comps.hint("merge"), "node", "left")
@@ -293,16 +297,21 @@ class Comparison:
         around = around.join(alike.hint("merge"), ["bkey", "g", "node", "c"], "left_semi")
         each = self.s.save(around.select("bkey", "g", "node", "c", F.posexplode("near").alias("p", "v")).where("v != 0"))
         df = self.s.save(each.groupBy("bkey", "v").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey", "v", "df"))
-        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("vs"), F.sort_array(F.collect_list("p")).alias("ps")).where(F.size("vs") >= NEED)
-        dense = F.exists(F.sequence(F.lit(0), F.size("ps") - NEED), lambda i: F.get("ps", i + NEED - 1) - F.get("ps", i) < T)
-        rows = rows.where(dense).groupBy("bkey", "g", F.transform("vs", lambda v: v["v"]).alias("vs")).agg(F.min(F.struct("node", "c")).alias("i"))
-        front = rows.select("bkey", "g", "i.*", F.slice("vs", 1, F.size("vs") - NEED + 1).alias("front"))
-        front = self.s.save(front.select("*", F.explode("front").alias("v")))
-        other = front.select("bkey", "v", *[F.col(x).alias(f"{x}2") for x in ("g", "node", "c", "front")])
-        # all of it is the join's condition: a pair is a row once, at its first common shingle
+        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_list(F.struct("p", "df", "v"))).alias("left")).where(F.size("left") >= NEED)
+        place = lambda i: F.get("left", i)["p"]
+        dense = F.transform(F.sequence(F.lit(0), F.size("left") - NEED), lambda i: place(i + NEED - 1) - place(i) < T)
+        rows = rows.withColumn("dense", dense).where(F.exists("dense", lambda x: x))
+        inside = F.filter("left", lambda x, k: F.exists(F.slice("dense", F.greatest(F.lit(0), k - NEED + 1) + 1, NEED - F.greatest(F.lit(0), NEED - 1 - k)), lambda x: x))
+        rows = rows.withColumn("vs", F.transform(F.array_sort(F.array_distinct(F.transform(inside, lambda x: F.struct(x["df"], x["v"])))), lambda x: x["v"])).where(F.size("vs") >= NEED)
+        rows = rows.groupBy("bkey", "g", "vs").agg(F.min(F.struct("node", "c")).alias("i")).select("bkey", "g", "i.*", "vs")
+        keys = lambda vs: F.slice(vs, 1, F.size(vs) - NEED + 1)
+        front = self.s.save(rows.select("*", F.explode(keys("vs")).alias("v")))
+        other = front.select("bkey", "v", *[F.col(x).alias(f"{x}2") for x in ("g", "node", "c", "vs")])
+        # all of it is the join's condition: a pair is a row once, at its first common shingle, and only if it shares enough
         x, y = front.alias("x"), other.alias("y").hint("merge")
-        first = F.get(F.array_intersect("front", "front2"), F.lit(0)) == F.col("x.v")
-        met = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.v") == F.col("y.v")) & (F.col("g") < F.col("g2")) & (F.col("node") != F.col("node2")) & first)
+        first = F.get(F.array_intersect(keys("vs"), keys("vs2")), F.lit(0)) == F.col("x.v")
+        enough = F.size(F.array_intersect("vs", "vs2")) >= NEED
+        met = x.join(y, (F.col("x.bkey") == F.col("y.bkey")) & (F.col("x.v") == F.col("y.v")) & (F.col("g") < F.col("g2")) & (F.col("node") != F.col("node2")) & first & enough)
         return met.select("x.bkey", "node", "c", "node2", "c2")
 
 
