@@ -44,7 +44,8 @@ def test_whole_analysis(spark, tmp_path):
     cfg = Config(window=128, stride=6, periods=(24, 168), neighbours=(10, 20), n_sim=20, min_regime_windows=5)
     hourly = queries.hourly_series(spark, SF.replace("0.001", "0.01"))
     prepared = regime_analysis.prepare(hourly, cfg)
-    for mode in ("split", "dr"):
+    assert [regime_analysis.signals(m) for m in ("split", "r", "dr")] == [("dr", "r"), ("r", "r"), ("dr", "dr")]
+    for mode in ("split",):
         one = regime_analysis.analyse(spark, prepared, f"file://{tmp_path}", mode, cfg, sweep=range(2, 4)).first()
         assert one.N == (719 - 128) // 6 + 1 and one.K_FE >= 1 and -1 <= one.ARI <= 1
         root = sources.output_dir(f"file://{tmp_path}", mode, 128, 6)

@@ -13,20 +13,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import Scratch
+
 
 def basins(edges: DataFrame) -> DataFrame:
     """(i, peak, f) from edges (i, j, kde): f is the row's density, ties by smaller row number."""
     f = edges.select(F.col("i").alias("j"), F.col("kde").alias("fj")).distinct()
     up = edges.join(f, "j").groupBy("i", F.col("kde").alias("f")).agg(F.max(F.struct(F.col("fj"), (-F.col("j")).alias("m"))).alias("best"))
     higher = (F.col("best.fj") > F.col("f")) | ((F.col("best.fj") == F.col("f")) & (-F.col("best.m") < F.col("i")))
-    cur = up.select("i", F.when(higher, -F.col("best.m")).otherwise(F.col("i")).alias("peak"), "f").persist()
-    while True:
-        nxt = cur.join(cur.select(F.col("i").alias("peak"), F.col("peak").alias("_p")), "peak", "left").select("i", F.coalesce("_p", "peak").alias("peak"), "f", (F.col("_p") != F.col("peak")).alias("moved")).persist()
-        moving = not nxt.where("moved").isEmpty()
-        cur.unpersist()
-        cur = nxt.drop("moved")
-        if not moving:
-            return cur
+    s = Scratch(edges.sparkSession)
+    cur = s.save(up.select("i", F.when(higher, -F.col("best.m")).otherwise(F.col("i")).alias("peak"), "f"))
+    while True:  # each round is written and read again, so that its plan does not hold the rounds before
+        top = cur.select(F.col("i").alias("peak"), F.col("peak").alias("_p"))
+        nxt = s.save(cur.join(top, "peak", "left").select("i", F.coalesce("_p", "peak").alias("peak"), "f", (F.col("_p") != F.col("peak")).alias("moved")))
+        s.drop(cur)
+        if nxt.where("moved").isEmpty():
+            return nxt.drop("moved")
+        cur = nxt
 
 
 def saddles(edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def mode_count(finite_deaths: list[float]) -> int:
 
 def cluster(edges: DataFrame, n_modes: int | None = None, max_peaks: int = 100_000) -> tuple[DataFrame, int]:
     """(i, label) with labels from 0 by falling density of the peak, and the number of modes that persistence suggests."""
-    rows = basins(edges).persist()
+    rows = basins(edges)
     peaks = {r["i"]: r["f"] for r in rows.where("i = peak").select("i", "f").limit(max_peaks + 1).collect()}
     if len(peaks) > max_peaks:
         raise ValueError(f"more than {max_peaks} peaks: raise the number of neighbours")

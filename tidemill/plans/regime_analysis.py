@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import decompose, embed, merge, modes, regime_models, regimes, series, simulate, spectral, windows
-from ..sources import cache_or_compute, output_dir, write_csv, write_parquet
+from ..sources import Scratch, cache_or_compute, output_dir, write_csv, write_parquet
 
 
 def prepare(hourly: DataFrame, cfg: Config) -> DataFrame:
@@ -25,13 +25,15 @@ def signals(mode: str) -> tuple[str, str]:
 
 def partition(coords: DataFrame, dim: int, cfg: Config) -> tuple[DataFrame, int, int]:
     """(window_id, label) of density modes in the first ``dim`` coordinates, and the chosen k and number of modes."""
-    x = coords.select("window_id", F.slice("dc", 1, dim).alias("x")).persist()
+    s = Scratch(coords.sparkSession)
+    x = s.save(coords.select("window_id", F.slice("dc", 1, dim).alias("x")))
     n = x.count()
     spread = x.select(F.explode("x").alias("v")).agg(F.stddev_pop("v")).first()[0] or 1.0
     ks = tuple(k for k in cfg.neighbours if k < n) or (max(1, n - 1),)
-    edges = spectral.neighbours(x, "window_id", "x", max(ks), bandwidth=max(spread * n ** (-1 / (dim + 4)), 1e-12)).persist()
+    edges = spectral.neighbours(x, "window_id", "x", max(ks), bandwidth=max(spread * n ** (-1 / (dim + 4)), 1e-12))
+    edges = s.save(edges)
     labels, k, found = modes.search(edges, ks)
-    return labels.select(F.col("i").alias("window_id"), "label"), k, found
+    return s.save(labels.select(F.col("i").alias("window_id"), "label")), k, found
 
 
 def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "split", cfg: Config | None = None, make: Callable = embed.SpectralEmbedder, reuse_embedding: bool = False, sweep: range = range(2, 21)) -> DataFrame:
@@ -41,7 +43,8 @@ def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "spl
     root = output_dir(out, mode, cfg.window, cfg.stride)
     write_parquet(prepared, f"{root}/preprocessed.parquet")
     prepared = spark.read.parquet(f"{root}/preprocessed.parquet")
-    w = windows.windows(prepared, cfg.window, cfg.stride).persist()
+    s = Scratch(spark)
+    w = s.save(windows.windows(prepared, cfg.window, cfg.stride))
     write_parquet(windows.features(w, fe_signal, cfg.window), f"{root}/fe_features.parquet")
     fe = spark.read.parquet(f"{root}/fe_features.parquet")
     emb = cache_or_compute(spark, f"{root}/embeddings.parquet", lambda: embed.embed(windows.as_arrays(w, emb_signal), make), reuse_embedding)
@@ -52,7 +55,7 @@ def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "spl
     labels = windows.targets(w.withColumn("r", F.col(emb_signal)))
     for name, x, target in (("FE", fe_x, "lmp_mean"), ("EMB", emb_x, "acf_6h")):
         coords, values = spectral.diffusion_coordinates(x, "window_id", "x", cfg.eigenpairs)
-        coords = coords.persist()
+        coords = s.save(coords)
         if name == "FE":
             scores = spectral.choose_dimension(coords, "window_id", range(sweep.start, min(sweep.stop, len(values) + 1)))
             dim = (scores.orderBy(F.col("silhouette").desc(), "d").first() or [2])[0]
@@ -60,7 +63,7 @@ def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "spl
             dim = min(cfg.fixed_dim, max(1, len(values)))
         found, k, n_modes = partition(coords, dim, cfg)
         side = "regime_E" if name == "FE" else "regime_D"
-        labels = merge.tukey_merge(labels.join(found, "window_id"), "label", target, cfg.alpha, cfg.min_regime_windows, name=side).drop("label")
+        labels = s.save(merge.tukey_merge(labels.join(found, "window_id"), "label", target, cfg.alpha, cfg.min_regime_windows, name=side).drop("label"))
         summary |= {f"d_{name}": dim, f"knn_{name}": k, f"modes_{name}": n_modes}
     write_parquet(labels, f"{root}/labels.parquet")
     labels = spark.read.parquet(f"{root}/labels.parquet")
@@ -70,7 +73,8 @@ def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "spl
     described = fe.join(acf, "window_id").join(labels.select("window_id", "regime_E", "regime_D"), "window_id")
     write_csv(regimes.eta_table(described, [*columns, *[f"acf_{k}h" for k in cfg.acf_lags]], {"eta2_FE": "regime_E", "eta2_EMB": "regime_D"}), f"{root}/eta_squared.csv")
     hours = series.labels_by_hour(prepared, labels.select("window_id", F.col("regime_E").alias("e"), F.col("regime_D").alias("d")), cfg.stride)
-    p = regime_models.pairs(hours).persist()
+    hours = s.save(hours)
+    p = s.save(regime_models.pairs(hours))
     by_e, by_ed = (regime_models.cell_table(p, x, cfg.min_cell_hours) for x in (["e"], ["e", "d"]))
     write_csv(by_e, f"{root}/ar1_by_E.csv")
     write_csv(by_ed, f"{root}/ar1_by_ED.csv")
@@ -83,7 +87,8 @@ def analyse(spark: SparkSession, prepared: DataFrame, out: str, mode: str = "spl
     winners = {}
     for name, x in (("phi_E", ["e"]), ("phi_ED", ["e", "d"])):
         cells = regime_models.simulation_parameters(hours, x, cfg.min_cell_hours)
-        sums = simulate.simulate_moments(spark, simulate.hourly_parameters(hours, cells, overall, x), first[0], cfg.n_sim, cfg.seed).persist()
+        sums = simulate.simulate_moments(spark, simulate.hourly_parameters(hours, cells, overall, x), first[0], cfg.n_sim, cfg.seed)
+        sums = s.save(sums)
         empirical = empirical.union(simulate.pooled_moments(sums).select(F.lit(name).alias("series"), "*"))
         winners[name] = simulate.group_kurtosis(sums, cfg.min_kurtosis_hours)
     write_csv(empirical, f"{root}/moment_comparison.csv")
