@@ -32,7 +32,7 @@ m AS (SELECT t.row, doc_id, lang, len(w) AS n_words, length(regexp_replace(text,
 coalesce(cv.n, 0) AS n_repeat_words, len(ln) AS n_lines, len(list_distinct(w)) AS n_distinct, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM t LEFT JOIN cv ON cv.row = t.row),
 v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {_level()} AS level FROM m),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-h AS (SELECT lang, level FROM v JOIN q ON q.doc_id = v.doc_id WHERE quality = 1 AND NOT base_failed),
+h AS (SELECT lang, min(level) AS level FROM v JOIN q ON q.doc_id = v.doc_id WHERE quality = 1 AND NOT base_failed GROUP BY lang, v.doc_id),
 c AS (SELECT lang, t, count(*) AS n, count(*) FILTER (level <= t) AS k FROM h, (SELECT unnest(range(0, {LEVELS})) AS t) GROUP BY 1, 2),
 b AS (SELECT lang, t, CASE WHEN k > n * 0.05 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) END AS p FROM c),
 s AS (SELECT lang, coalesce(min(t) FILTER (p > 0.1 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents))), {LEVELS}) AS levels FROM b GROUP BY 1)

@@ -13,8 +13,9 @@ stratum loses at most a share max_loss of its good rows.
 Nulls: a null text has no words; a null stratum is a stratum of its own; null
 doc_ids and null labels take no part in the holdout. A stratum without enough
 labelled rows gets no cutoff and keeps what the base rule keeps. Rows that
-repeat a doc_id are judged one by one; repeated labels of a doc_id count once,
-with the lowest quality. Empty tables give empty results.
+repeat a doc_id are judged one by one, and are one document in the holdout, rejected if any is; repeated labels of a doc_id count once,
+with the lowest quality. Very long texts are measured whole, in the row's own task. Columns of docs other
+than doc_id, text and the stratum are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -120,6 +121,8 @@ def safe_levels(rows: DataFrame, labels: DataFrame, max_loss: float, delta: floa
     """One row per stratum: holdout size, good rows lost at its chosen level, and ``n_levels``, how many levels are safe."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = rows.where("not base_failed").select("doc_id", "stratum", "level").join(marked.where("quality = 1").select("doc_id"), "doc_id")
+    # one vote a document: rows that repeat a doc_id count once, with the level that rejects first
+    good = good.groupBy("stratum", "doc_id").agg(F.min("level").alias("level"))
     lost = [F.count_if(F.col("level") <= t).alias(f"k{t}") for t in range(LEVELS)]
     held = good.groupBy("stratum").agg(F.count("*").alias("n"), *lost)
     m = max(1, rows.select("stratum").distinct().count())
