@@ -8,58 +8,17 @@ tasks only, and no lineage grows over rounds.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import Scratch as Scratch
+
 #: The characters that end a word in whitespace-separated text.
 BLANKS = " \t\n\x0b\f\r"
 #: The characters outside [0-9a-z] and code points from U+0080 on, after lower-casing A-Z.
 NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tidemill-"))
-    return f"file://{_own_dir[0]}"
-
-
-class Scratch:
-    """Tables of one operator call in the shared folder."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Writes ``df`` once and returns the written table."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda reads it."""
     return F.transform(F.array(value), body)[0]
@@ -115,7 +74,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             jumped = scratch.save(hook.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"), F.col("up").isNotNull().alias("moved")))
             scratch.drop(hook)
             hook = jumped.select("node", "comp")
-            scratch.paths[id(hook)] = scratch.paths.pop(id(jumped))
+            hook.path = jumped.path
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:

@@ -23,8 +23,9 @@ from .common import Scratch, components
 
 def repeated(scratch: Scratch, members: DataFrame) -> DataFrame:
     """The members of buckets that hold several nodes. Counts are pre-aggregated; only keys and longs are shuffled."""
-    keys = members.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey")
-    return scratch.save(members.join(keys, "bkey", "left_semi"))
+    # written, so that the join is of plain tables, whose hot buckets can be split
+    keys = scratch.save(members.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey"))
+    return scratch.save(members.join(keys.hint("merge"), "bkey", "left_semi"))
 
 
 def link(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], rounds: int = 3) -> tuple[DataFrame, list[DataFrame]]:
@@ -44,12 +45,12 @@ def link(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], Dat
             open_ = scratch.save(open_)
             if open_.isEmpty():
                 break
-        live = now.join(open_, "bkey", "left_semi") if comps is not None else now
+        live = now.join(open_.hint("merge"), "bkey", "left_semi") if comps is not None else now
         if r < rounds:
             # central items first; the first round takes the same ones in many buckets, later rounds take others
             order = F.lit(0) if r == 0 else F.xxhash64(F.lit(r), "bkey", "item")
             rep = live.groupBy("bkey").agg(F.min(F.struct(-F.col("central"), order.alias("o"), F.col("item"), F.col("node"), F.col("comp"))).alias("rep"))
-            pairs = live.join(rep, "bkey").where("comp != rep.comp").select("item", "node", F.col("rep.item").alias("item2"), F.col("rep.node").alias("node2"))
+            pairs = live.join(scratch.save(rep).hint("merge"), "bkey").where("comp != rep.comp").select("item", "node", F.col("rep.item").alias("item2"), F.col("rep.node").alias("node2"))
         else:
             pairs = rest(live)
         first = F.col("node") < F.col("node2")

@@ -6,15 +6,19 @@ and a register keeps the shingle that arrives first (Ertl 2020). A shingle stops
 early, once its next arrival is later than the latest register. Two registers agree
 with the probability Jaccard similarity of the texts. Bands of R registers are
 bucket keys; pairs in a bucket are verified on their whole shingle sets, and
-texts are linked if the Jaccard similarity of those is 0.8 or more. With M = 128 and R = 4 a pair at 0.8 shares no band with
-probability (1 - 0.8**4)**32 = 4e-13.
+texts are linked if the Jaccard similarity of those is 0.8 or more. With M = 128 and R = 4 a pair
+whose probability Jaccard similarity is 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8. Repeated
+shingles weigh more in the sketch than in the verified sets, so a pair's chance can
+differ a little; the test measures recall by brute force.
 
 Exact copies are one text from the start. Classes are connected components.
 
 Nulls: a text without words (null, empty, blank) has no shingle and is a class of
 its own; its class_id is its own doc_id. class_id is the smallest doc_id of a
 class, null only if all its doc_ids are. Repeated rows share a class. Fewer than
-five words make one shingle. Empty tables give no rows.
+five words make one shingle. Very long texts are sketched and compared whole, one at a
+time. Columns of docs other than doc_id and text are not read, whatever their names. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, text_key
+from .common import BLANKS, Scratch, bodies, text_key
 from .linking import link, repeated
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
@@ -151,12 +155,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     texts = s.save(rows.where("size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     members = repeated(s, texts.select(F.explode("bands").alias("bkey"), F.col("node").alias("item"), "node"))
     # a text in the middle of its group shares more bands with others
-    central = members.groupBy("node").agg(F.count("*").cast("int").alias("central"))
-    members = s.save(members.join(central, "node"))
-    nodes = members.select("node").distinct().join(texts.select("node", "key"), "node")
+    central = s.save(members.groupBy("node").agg(F.count("*").cast("int").alias("central")))
+    members = s.save(members.join(central.hint("merge"), "node"))
     # nodes grow with the data, so they are merged and never broadcast: one plan at every size
-    wanted = keyed.select("key", "text").join(nodes.hint("merge"), "key").dropDuplicates(["key"])
-    sets = s.save(wanted.select("node", "text").mapInPandas(set_rows, "node long, h array<long>"))
+    nodes = s.save(texts.select("node", "key").join(central.select("node").hint("merge"), "node"))
+    numbered = rows.join(nodes.hint("merge"), "key").select("doc_id", "key", "node")
+    sets = s.save(bodies(s, keyed, s.save(numbered), nodes.select("node")).select("node", "text").mapInPandas(set_rows, "node long, h array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("na"), F.col("h").alias("ha")), sets.select(F.col("node").alias("nb"), F.col("h").alias("hb"))
@@ -172,8 +176,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size for each row of docs."""
     rows, s = classes(docs)
     rows = s.save(rows)
-    names = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = rows.join(names, "comp", "left")
+    # written, so that the join is of plain tables, whose hot classes can be split
+    names = s.save(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    out = rows.join(names.hint("merge"), "comp", "left")
     return out.select("doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
