@@ -70,6 +70,23 @@ def test_long_reply_chain(spark):
     assert all(out[i].depth == i and out[i].thread_turn == 0 for i in range(40))
 
 
+def test_quotes_wrapped_anew_short_partial_and_repeated(spark):
+    m = [
+        (1, 0, "Yes.\nAgreed"), (1, 1, "one two three four five six seven eight\nnine ten eleven twelve thirteen"),
+        (1, 2, "B wrote:\n> YES. agreed\nfine"), (1, 3, "> one two three four\n> five six seven eight nine ten\n>  eleven twelve thirteen\n> > yes. Agreed"),
+        (1, 4, "> nine ten eleven twelve thirteen\nonly a part"), (1, 5, "> yes.\ntoo short a part"), (1, 5, "Yes.\nagreed"), (1, 6, "> Yes. agreed\n\nboth said so, the first counts"),
+        (1, 7, "x" * 300_000), (1, 8, "> " + "x" * 300_000),
+    ]
+    out = [(r.turn, r.parent_turn, r.n_linked, list(r.path)) for r in quote_links.quote_links(spark.createDataFrame(m, "conv_id long, turn int, text string")).orderBy("turn").collect()]
+    assert out == [(0, None, 0, [0]), (1, None, 0, [1]), (2, 0, 1, [0, 2]), (3, 1, 2, [1, 3]), (4, 1, 1, [1, 4]), (5, None, 0, [5]), (5, None, 0, [5]), (6, 0, 1, [0, 6]), (7, None, 0, [7]), (8, 7, 1, [7, 8])]
+
+
+def test_mailbox_links_most_messages(spark):
+    out = queries.op6_quote_links(spark, SF).collect()
+    later = [r for r in out if r.turn > 0]
+    assert sum(r.n_linked > 0 for r in later) > 0.6 * len(later) and max(r.depth for r in out) > 1 and all(r.n_quoted == r.n_linked for r in out)
+
+
 def test_audit_finds_the_damage(spark):
     n = 9000
     good = spark.range(n).select(F.col("id").alias("pos"), (F.col("id") * 10).alias("offset"), F.lit(10).cast("long").alias("length"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))

@@ -71,3 +71,10 @@ def test_mixed_keeps_columns(spark, docs_of, words):
     out = mixing.mixed(d)
     assert out.columns[: len(d.columns)] == d.columns and {"source_size", "target", "copies", "taken"} <= set(out.columns)
     assert out.where("copies < 1").count() == 0
+
+
+def test_repeated_rows_have_one_vote(spark, docs_of, words):
+    good = [(i, " ".join(words(60, i))) for i in range(9)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good], "doc_id long, quality int")
+    levels = [{r.n_levels for r in quality_rules.quality_rules(docs_of(good + [good[0]] * k), labels).collect()} for k in (0, 200)]
+    assert levels == [{0}, {0}]

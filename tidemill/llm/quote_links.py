@@ -1,87 +1,131 @@
 """Quotation linking in conversations.
 
 A line's quote level is the number of ">" at its start (spaces between them do not
-count). Consecutive lines of one level of 1 or more are a quoted passage; an
-attribution line ("... wrote:") right before a quote belongs to it. Passages are
-normalised line by line (markers off, white space collapsed, A-Z lower-cased) and hashed.
-The original of a quoted line is the earliest message of the same conversation in
-which the line stands unquoted; earliest turns are pre-aggregated, so a line
-that many messages hold joins as one row. A message replies to the original that
-most lines of its least nested linked level come from (the later one on ties).
-Replies form trees, as an original is earlier than its quotes. Thread and depth are
-found by pointer jumping over written tables. Ordering by (conv_id, thread_turn,
-depth, turn) gives reply-ordered conversations; ``own_text`` has no quotes.
-
-Nulls: rows with a null conv_id or turn link to nothing; a null text has no line and
-an empty own text. A message without a linked quote starts a thread. Messages that
-repeat (conv_id, turn) are one message to others: lines count from all of them, and
-each row gets their common reply. Empty tables give no rows.
+count). Consecutive lines of one level are a passage; an attribution line ("... wrote:")
+right before a deeper quote belongs to it. Passages are normalised (markers off, all white space
+collapsed, line ends too, A-Z lower-cased), so a quote that was wrapped anew is still the
+same. A quoted passage is hashed and joined to the unquoted passages of its conversation's
+messages, texts are compared after the join, and the earliest earlier message is its original; earliest
+turns are pre-aggregated, so a passage that many messages hold joins as one row. Only a passage that is
+nobody's whole passage, a partial quote, goes by its lines of ``min_chars`` characters or more: the
+original is the message that holds most of their characters.
+
+A message replies to the original of its least nested linked passage (the longest, then the latest, on
+ties). Replies form trees, as an original is earlier than its quotes. Thread, depth and
+``path``, the turns from the first message of the thread to this one, are found by pointer
+jumping over written tables. Order by (conv_id, path) is the reply order, depth first, of
+conversations; ``own_text`` has no quotes.
+
+Nulls: rows with a null conv_id or turn link to nothing (path null); a null or empty text has no
+passage and an empty own text. A message without a linked quote starts a thread. Messages that repeat
+(conv_id, turn) are one message to others: passages count from all of them, and each row gets
+their common reply. Very long texts are parsed whole, one at a time. Columns of messages that have the
+names of results are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, let
+from .common import LOWER, UPPER, Scratch
+
+MARKER, ATTRIBUTION = re.compile(r"(?:[ \t]*>)+"), re.compile(r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$")
+BLANK, SPACE, TO_LOWER = " \t\r\n", re.compile(r"[ \t\r\n]+"), str.maketrans(UPPER, LOWER)
+PARSED = "own_text string, passages array<struct<level:int,norm:string,lines:array<string>>>"
+
 
-MARKER, ATTRIBUTION = r"^((?:[ \t]*>)+)", r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$"
-MIN_CHARS = 12  # shorter lines ("yes", "thanks") link nothing
+def normal(text: str) -> str:
+    return SPACE.sub(" ", text).strip(" ").translate(TO_LOWER)
 
 
-def parsed(text: Column) -> Column:
-    """Array of (level, passage, body, norm) of a text's lines; attribution lines before a quote have level -1."""
+def parse(text: str | None) -> tuple[str, list[dict]]:
+    """The text without quotes, and its passages that are not blank, in order."""
+    own, groups, rows = [], [], []
+    for line in (text or "").split("\n"):
+        m = MARKER.match(line)
+        rows.append((m.group().count(">"), line[m.end() :]) if m else (0, line))
+    for i, (level, body) in enumerate(rows):
+        if i + 1 < len(rows) and rows[i + 1][0] > level and ATTRIBUTION.search(body):
+            continue
+        if level == 0:
+            own.append(body)
+        if not groups or groups[-1][0] != level:
+            groups.append((level, []))
+        groups[-1][1].append(body)
+    passages = [{"level": level, "norm": normal("\n".join(g)), "lines": [x for x in map(normal, g) if x]} for level, g in groups]
+    return "\n".join(own).strip(BLANK), [p for p in passages if p["norm"]]
 
-    def lines(raw: Column) -> Column:
-        def level(x: Column) -> Column:
-            return F.length(F.translate(F.regexp_extract(x, MARKER, 1), " \t", ""))
 
-        def rows(levels: Column) -> Column:
-            def row(x: Column, i: Column) -> Column:
-                body = F.regexp_replace(x, MARKER, "")
-                norm = F.translate(F.trim(F.regexp_replace(body, "[ \\t\\r]+", " ")), UPPER, LOWER)
-                is_attribution = (F.get(levels, i) == 0) & (F.coalesce(F.get(levels, i + 1), F.lit(0)) > 0) & F.regexp_like(x, F.lit(ATTRIBUTION))
-                return F.struct(F.when(is_attribution, -1).otherwise(F.get(levels, i)).alias("level"), body.alias("body"), norm.alias("norm"))
+def parsed(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse(t) for t in texts], columns=["own_text", "passages"])
 
-            return F.transform(raw, row)
 
-        return let(F.transform(raw, level), rows)
+def passage_links(units: DataFrame, s: Scratch, min_chars: int) -> DataFrame:
+    """(c, t, pos, level, origin, weight): the earlier message that each quoted passage comes from."""
+    quotes = s.save(units.where("level > 0"))
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), lines)
+    def firsts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+        """The earliest turn of each text that is asked for; (c, x) and its hash h."""
+        return texts.groupBy("c", "h", "x").agg(F.min("t").alias("origin")).join(asked.select("c", "h").distinct(), ["c", "h"], "left_semi").withColumnRenamed("x", "y")
 
+    whole = units.where("level = 0").select("c", "t", "h", F.col("norm").alias("x"))
+    found = quotes.join(firsts(whole, quotes), ["c", "h"]).where("norm = y and origin < t").select("c", "t", "pos", "h", "level", "origin", F.length("norm").cast("long").alias("weight"))
+    found = s.save(found)
+    lines = lambda df: df.select("c", "t", "pos", F.col("h").alias("p"), "level", F.explode("lines").alias("x")).where(F.length("x") >= min_chars).withColumn("h", F.xxhash64("x"))
+    partial = s.save(lines(quotes.join(found, ["c", "t", "pos", "h"], "left_anti")))
+    votes = partial.join(firsts(lines(units.where("level = 0")), partial), ["c", "h"]).where("x = y and origin < t").groupBy("c", "t", "pos", "p", "level", "origin").agg(F.sum(F.length("x")).alias("weight"))
+    best = votes.groupBy("c", "t", "pos", "p", "level").agg(F.max(F.struct("weight", "origin")).alias("b"))
+    return s.save(found.union(best.select("c", "t", "pos", "p", "level", "b.origin", "b.weight")))
 
-def quote_links(messages: DataFrame) -> DataFrame:
-    """All rows and columns of messages with own_text, n_quoted (lines), max_level, n_linked, parent_turn, thread_turn and depth, which replace columns of those names."""
+
+def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
+    """All rows and columns of messages with own_text, n_quoted and n_linked (passages), max_level, parent_turn, thread_turn, depth and path."""
     s = Scratch(messages.sparkSession)
-    m = messages.select("conv_id", "turn", parsed(F.col("text")).alias("lines"))
-    lines = m.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("lines")).where((F.col("level") >= 0) & (F.length("norm") >= MIN_CHARS))
-    lines = lines.select("conv_id", "turn", "level", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("g"))
-    quotes = s.save(lines.where("level > 0"))
-    if quotes.isEmpty():
-        reply = messages.sparkSession.createDataFrame([], "conv_id long, turn long, parent_turn long, n_linked long")
-    else:
-        asked = quotes.select("conv_id", "h", "g").distinct()
-        firsts = lines.where("level = 0").groupBy("conv_id", "h", "g").agg(F.min("turn").alias("origin")).join(asked, ["conv_id", "h", "g"], "left_semi")
-        votes = quotes.join(firsts, ["conv_id", "h", "g"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n"))
-        best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("n"), F.col("origin"))).alias("best"), F.sum("n").alias("n_linked"))
-        reply = best.select("conv_id", "turn", F.col("best.origin").alias("parent_turn"), "n_linked")
-    reply = s.save(reply)
-    # up: an ancestor and its distance; it doubles each round until it has no reply of its own
-    up = s.save(reply.select("conv_id", "turn", F.col("parent_turn").alias("top"), F.lit(1).alias("depth")))
+    base = s.save(messages.withColumn("__p", F.pandas_udf(parsed, PARSED)(F.col("text"))))
+    units = base.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode("__p.passages").alias("pos", "u")).select("c", "t", "pos", "u.*")
+    units = s.save(units.withColumn("h", F.xxhash64("norm")).distinct())
+    links = passage_links(units, s, min_chars)
+    reply = links.groupBy("c", "t").agg(F.max(F.struct(-F.col("level"), F.col("weight"), F.col("origin"))).alias("best"), F.count("*").alias("n_linked"))
+    reply = s.save(reply.select("c", "t", F.col("best.origin").alias("parent"), "n_linked"))
+    # top: an ancestor, path: the turns after it; the distance doubles each round until the ancestor replies to nobody
+    up = s.save(reply.select("c", "t", F.col("parent").alias("top"), F.array("t").alias("path")))
     while not up.isEmpty():
-        nxt = up.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        moved = s.save(up.join(nxt, ["conv_id", "top"], "left").select("conv_id", "turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
+        nxt = up.select("c", F.col("t").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
+        moved = s.save(up.join(nxt, ["c", "top"], "left").select("c", "t", F.coalesce("next", "top").alias("top"), F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path"), F.col("next").isNotNull().alias("moved")))
         up = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    found = reply.join(up, ["conv_id", "turn"]).select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), F.col("parent_turn").alias("__parent"), F.col("n_linked").alias("__linked"), F.col("top").alias("__top"), F.col("depth").alias("__depth"))
-    own = lambda x: F.trim(F.array_join(F.transform(F.filter(x, lambda y: y["level"] == 0), lambda y: y["body"]), "\n"))
-    quoted = lambda x: F.size(F.filter(x, lambda y: y["level"] > 0))
-    highest = lambda x: F.greatest(F.lit(0), F.array_max(F.transform(x, lambda y: y["level"])))
-    out = messages.withColumn("__p", let(parsed(F.col("text")), lambda x: F.struct(own(x).alias("own_text"), quoted(x).alias("n_quoted"), highest(x).alias("max_level"))))
-    out = out.join(found, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
+    found = reply.join(up, ["c", "t"]).select(*[F.col(x).alias(f"__{x}") for x in ("c", "t", "parent", "n_linked", "top", "path")])
+    out = base.join(found, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
+    levels = F.filter(F.col("__p.passages.level"), lambda x: x > 0)
     made = {
-        "own_text": F.col("__p.own_text"), "n_quoted": F.col("__p.n_quoted"), "max_level": F.col("__p.max_level"), "n_linked": F.coalesce("__linked", F.lit(0)), "parent_turn": F.col("__parent"),
-        "thread_turn": F.coalesce("__top", "turn"), "depth": F.coalesce("__depth", F.lit(0)),
+        "own_text": F.col("__p.own_text"), "n_quoted": F.size(levels).cast("long"), "max_level": F.coalesce(F.array_max(levels), F.lit(0)).cast("long"), "n_linked": F.coalesce("__n_linked", F.lit(0)).cast("long"),
+        "parent_turn": F.col("__parent"), "thread_turn": F.coalesce("__top", F.col("turn").cast("long")), "depth": F.coalesce(F.size("__path"), F.lit(0)).cast("long"),
+        "path": F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.array(F.coalesce("__top", F.col("turn").cast("long"))), F.coalesce("__path", F.array().cast("array<bigint>")))),
     }
     return out.select(*[c for c in messages.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+
+
+def mailbox(conversations: DataFrame) -> DataFrame:
+    """The messages of conversations as mails: four in five replies quote one of the three turns before, with an attribution line and what that one quoted.
+
+    A hash of conv_id and turn decides which; half of the quotes are wrapped anew.
+    """
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    one = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"), F.min("role").alias("role")).withColumn("mark", mark)
+    asked = one.where("turn > 0 and mark % 5 != 0").select("conv_id", "turn", F.expr("greatest(0, turn - 1 - mark % 3)").alias("p"), "mark")
+    parent = one.where(F.length(F.translate("text", BLANK, "")) > 0).select("conv_id", F.col("turn").alias("p"), F.col("text").alias("p_text"), F.col("role").alias("p_role"))
+    reply = asked.join(parent, ["conv_id", "p"])
+    before = reply.select("conv_id", F.col("turn").alias("p"), F.col("p_text").alias("g_text"), F.col("p_role").alias("g_role"))
+    both = reply.join(before, ["conv_id", "p"], "left").drop("p")
+    shape = lambda text: F.when(F.col("mark") % 2 == 0, F.regexp_replace(text, "[ \n]+", " ")).otherwise(F.col(text))
+    quote = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(shape(text), "\n", f"\n{marks}"))
+    wrote = lambda role: F.concat(F.coalesce(F.col(role), F.lit("someone")), F.lit(" wrote:\n"))
+    nested = F.when(F.col("g_text").isNotNull(), F.concat(F.lit("\n> "), wrote("g_role"), quote("g_text", "> > "))).otherwise("")
+    tail = both.select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), F.concat(F.lit("\n\nIn an earlier mail "), wrote("p_role"), quote("p_text", "> "), nested).alias("__tail"))
+    out = conversations.join(tail, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
+    return out.withColumn("text", F.when(F.col("__tail").isNotNull(), F.concat(F.coalesce("text", F.lit("")), "__tail")).otherwise(F.col("text"))).drop("__c", "__t", "__tail")
