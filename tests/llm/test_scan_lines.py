@@ -72,19 +72,78 @@ def test_license(spark, docs_of, text, base, labels, first, last):
     assert 0 <= r.score <= 1 and (r.score == 1 if base else True) and r.n_words == len(terms(text))
 
 
-def test_license_finds_all_edits_within_the_bound(spark):
-    """Pigeonhole: every notice with up to k random edits is found."""
-    g, search = random.Random(4), license_scan.NoticeSearch(license_scan.NOTICES)
-    for label, notice, k, _ in search.parts:
-        for _ in range(20):
-            t = list(notice)
-            for _ in range(g.randint(0, k)):
-                at = g.randrange(len(t))
-                t[at : at + g.randint(0, 1)] = g.choice(["", "q", "z"])
-            assert label in {s[0] for s in search.spans("some words before " + "".join(t) + " and after")} or label in {"cc-by", "cc-by-sa", "cc-by-nc", "gpl", "lgpl", "agpl", "apache"}
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def edited(g, notice, k):
+    t = list(notice)
+    for _ in range(g.randint(0, k)):
+        at = g.randrange(len(t))
+        t[at : at + g.randint(0, 1)] = g.choice(["", "q", "z"])
+    return " ".join("".join(t).split())
+
+
+def test_license_finds_all_edits_within_the_bound():
+    """Pigeonhole: every notice with up to k random edits is found, with no more errors than were made."""
+    g = random.Random(4)
+    for label, notices in license_scan.NOTICES.items():
+        for notice in notices:
+            search, k = license_scan.NoticeSearch({label: [notice]}), len(notice) // 12
+            for _ in range(20):
+                t = edited(g, notice, k)
+                made = edits(notice, t)
+                found = search.spans("some words before " + t + " and after")
+                assert made > k or min(s[3] for s in found) <= made
     assert license_scan.places("mit license mit license", "mit license") == [0, 2]
 
 
+def test_license_spans_equal_brute_force():
+    """Spans are whole words at the stated number of edits, and no stretch of words within k edits is without one."""
+    g, notice = random.Random(8), "all rights reserved now"
+    search, k = license_scan.NoticeSearch({"x": [notice]}), len(notice) // 12
+    for _ in range(150):
+        words = [w for _ in range(4) for w in g.choice([edited(g, notice, 3).split(), ["rights", "reserved"], ["all", "now"], ["a"], ["small"]])]
+        spans = search.spans(" ".join(words))
+        for _, a, b, e, text in spans:
+            assert text == " ".join(words[a : b + 1]) and edits(notice, text) == e <= k
+        true = [(a, b) for a in range(len(words)) for b in range(a, min(a + 8, len(words))) if edits(notice, " ".join(words[a : b + 1])) <= k]
+        assert all(any(s[1] <= b and a <= s[2] for s in spans) for a, b in true)
+
+
+def test_license_matches_whole_words_and_both_of_two_neighbours():
+    search = license_scan.NoticeSearch(license_scan.NOTICES)
+    assert search.spans("small rights reserved") == search.spans("xall rights reservedy") == []
+    both = search.spans("all rights resrved all rights reserved")
+    assert [s[1:4] for s in both] == [(0, 2, 1), (3, 5, 0)]
+
+
+def test_license_edges(spark, docs_of, words):
+    """Common seeds and very long texts are searched in bounded stretches; null ids, repeated rows and empty tables have results."""
+    long = " ".join(words(60000, 2)) + " all rights reserved " + "hereby granted " * 4000 + "all rights resrved " * 500
+    rows = [(None, "mit license"), (1, "mit license"), (1, "mit license"), (2, long), (3, "x" * 300000)]
+    out = license_scan.license_scan(docs_of(rows)).collect()
+    assert sorted((r.doc_id or 0, r.labels, r.n_base) for r in out) == [(0, "mit", 1), (1, "mit", 1), (1, "mit", 1), (2, "all-rights-reserved", 0), (3, "", 0)]
+    assert [len(r.spans) for r in out if r.doc_id == 2] == [501]
+    assert license_scan.license_scan(docs_of([])).count() == 0
+
+
+def test_license_base_columns_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    for r in docs.collect():
+        w, x = terms(r.text), got[r.doc_id]
+        at = [(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts, labels = [i for i, _ in at], {label for _, label in at}
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)))
+        assert labels <= set(x.labels.split(","))
+
+
 def py_chunks(text):
     lines = text.split("\n")
     h, out, start = [hashlib.md5(x.encode()).hexdigest() for x in lines], [], 0

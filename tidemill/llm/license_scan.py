@@ -4,16 +4,19 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z, join
 A phrase is found wherever its words stand consecutively. A notice may differ by
 up to k edits of characters, k = length // 12: it is cut into k + 1 seeds, and by
 the pigeonhole principle every text within k edits holds one seed unchanged.
-One Aho-Corasick pass finds all seeds; around each, the regex library's
-bounded-error matching looks for the whole notice and gives span and errors.
+One Aho-Corasick pass finds all seeds; around each, where enough of the notice's pairs of
+characters stand, the regex library's bounded-error matching looks for the whole notice and
+gives span and errors. A match begins and ends with whole words.
 
 Rows go through whole, in Arrow batches, one at a time; memory is bounded by a
-batch and its longest text. Nulls: a null text is empty: no words, no spans, score
-0. Rows that repeat are scanned one by one; an empty table gives no rows.
+batch and its longest text; a very long text is searched in stretches of a few lengths of a notice. Nulls: a null text is empty: no words, no spans, score
+0. A null doc_id stays null. Rows that repeat are scanned one by one; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,6 +61,11 @@ def places(joined: str, phrase: str) -> list[int]:
     return out
 
 
+def pairs_of(text: str) -> Counter:
+    """The adjacent pairs of characters of a text, with their numbers."""
+    return Counter(zip(text, text[1:]))
+
+
 class NoticeSearch:
     """Seeds and patterns of notices, made once per task."""
 
@@ -65,11 +73,12 @@ class NoticeSearch:
         import ahocorasick
         import regex
 
-        self.parts, seeds = [], {}
+        self.parts, self.pairs, seeds = [], [], {}
         for label, texts in notices.items():
             for notice in texts:
                 k = len(notice) // chars_per_error
-                self.parts.append((label, notice, k, regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True)}){{e<={k}}}")))
+                self.parts.append((label, notice, k, regex.compile(f"(?b)(?<![^ ])(?! )(?:{regex.escape(notice, special_only=True)}){{e<={k}}}(?<! )(?![^ ])")))
+                self.pairs.append(pairs_of(notice))
                 step = len(notice) / (k + 1)
                 for i in range(k + 1):
                     a, b = round(i * step), round((i + 1) * step)
@@ -79,31 +88,61 @@ class NoticeSearch:
             self.seeds.add_word(seed, (len(seed), at))
         self.seeds.make_automaton()
 
-    def spans(self, joined: str) -> list[tuple[str, int, int, int, str]]:
-        """(label, first word, last word, errors, text) of each notice found, one per place."""
-        regions: dict[int, list[list[int]]] = {}
+    def regions(self, joined: str) -> dict[int, list[list[int]]]:
+        """Notice -> stretches of text to search. A seed's window holds every match that has the seed in its place.
+
+        k edits change at most 2k adjacent pairs of characters, so windows that lack more than
+        that of the notice's pairs hold no match. Windows that overlap are searched at once, up to four lengths.
+        """
+        out: dict[int, list[list[int]]] = {}
+        last: dict[int, tuple[int, bool]] = {}
         for end, (size, at) in self.seeds.iter(joined):
             for part, offset in at:
                 _, notice, k, _ = self.parts[part]
-                a = max(0, end + 1 - size - offset - k)
-                b = a + len(notice) + 2 * k
-                mine = regions.setdefault(part, [])
-                if mine and a <= mine[-1][1]:
+                start = end + 1 - size - offset - k
+                a, b = max(0, start), min(start + len(notice) + 2 * k, len(joined))
+                if part not in last or last[part][0] != start:
+                    shared = (self.pairs[part] & pairs_of(joined[a:b])).total()
+                    last[part] = start, shared >= len(notice) - 1 - 2 * k
+                if not last[part][1]:
+                    continue
+                mine = out.setdefault(part, [])
+                if mine and mine[-1][0] <= a <= mine[-1][1] and b - mine[-1][0] <= 4 * (len(notice) + 2 * k):
                     mine[-1][1] = max(mine[-1][1], b)
                 else:
                     mine.append([a, b])
-        out = []
-        for part, found in sorted(regions.items()):
-            label, _, _, pattern = self.parts[part]
-            for a, b in found:
-                for m in pattern.finditer(joined, a, min(b, len(joined))):
-                    first, text = joined.count(" ", 0, m.start() + (m.group()[:1] == " ")), m.group().strip()
-                    out.append((label, first, first + text.count(" "), sum(m.fuzzy_counts), text))
+        return out
+
+    def spans(self, joined: str) -> list[tuple[str, int, int, int, str]]:
+        """(label, first word, last word, errors, text) of each notice found, one per place."""
+        # a search starts at the space before a word, as the library inserts nothing where a search starts
+        padded, found = " " + joined, set()
+        for part, stretches in self.regions(joined).items():
+            _, notice, k, pattern = self.parts[part]
+            todo = [(a, b + 1) for a, b in stretches]
+            while todo:
+                a, b = todo.pop()
+                if b - a <= len(notice) - k:
+                    continue
+                m = pattern.search(padded, a, _word_end(padded, a, b))
+                if m:
+                    # the best match of a stretch comes first; other notices may stand on either side of it
+                    found.add((m.start() - 1, m.end() - 1, part, sum(m.fuzzy_counts)))
+                    todo += [(a, m.start() - 1), (m.end(), b)]
+        out, words, seen = [], 0, 0
+        for start, end, part, errors in sorted(found):
+            words, seen = words + joined.count(" ", seen, start), start
+            out.append((self.parts[part][0], words, words + joined.count(" ", start, end), errors, joined[start:end]))
         return best(out)
 
 
+def _word_end(joined: str, a: int, b: int) -> int:
+    """The last place in [a, b] at which a word ends; no match that ends at a word's end is cut."""
+    return b if b >= len(joined) or joined[b] == " " else max(a, joined.rfind(" ", a, b))
+
+
 def best(spans: list[tuple]) -> list[tuple]:
-    """The spans without those that overlap one of another label with fewer errors, by place."""
+    """The spans without those that overlap one with fewer errors, by place."""
     spans, out = sorted(spans, key=lambda x: (x[1], x[2], x[0])), []
     for i, s in enumerate(spans):
         worse = False
@@ -111,7 +150,7 @@ def best(spans: list[tuple]) -> list[tuple]:
             j = i + step
             while 0 <= j < len(spans) and abs(spans[j][1] - s[1]) <= 64 and not worse:  # no notice is longer
                 t = spans[j]
-                worse = t[0] != s[0] and t[1] <= s[2] and s[1] <= t[2] and t[3] < s[3]
+                worse = t[1] <= s[2] and s[1] <= t[2] and t[3] < s[3]
                 j += step
         if not worse:
             out.append(s)
