@@ -62,7 +62,7 @@ def test_mix_matches_targets(spark, docs_of, words):
         x[3] += r.size
     assert abs(sum(x[1] for x in by.values()) - 1.5 * sum(x[3] for x in by.values())) < 1e-6
     for taken, target, size, total in by.values():
-        assert size == total and target <= 2 * size + 1e-9 and abs(taken - target) <= 110
+        assert size == total and target <= 2 * size + 1e-9 and target - 20 <= taken <= target + 1e-6
     assert sorted(map(str, mixing.mix(docs_of(rows)).collect())) == sorted(map(str, a))
 
 
@@ -78,3 +78,20 @@ def test_repeated_rows_have_one_vote(spark, docs_of, words):
     labels = spark.createDataFrame([(i, 1) for i, _ in good], "doc_id long, quality int")
     levels = [{r.n_levels for r in quality_rules.quality_rules(docs_of(good + [good[0]] * k), labels).collect()} for k in (0, 200)]
     assert levels == [{0}, {0}]
+
+
+def test_mix_goes_past_long_and_repeated_documents(spark, docs_of, words):
+    rows = [(i, " ".join(words(5 + i % 40, i)), "en", "ab"[i % 2]) for i in range(400)]
+    rows += [(1000 + i, " ".join(words(3000, i)), "en", "a") for i in range(3)] + [(2000, " ".join(words(30, 7)), "en", "b")] * 60 + [(None, "x y", "en", None)] * 2
+    out = mixing.mix(docs_of(rows)).collect()
+    assert len(out) == len(rows) and len({r.copies for r in out if r.doc_id == 2000}) == 1
+    for source in ("a", "b"):
+        mine = [r for r in out if r.source == source]
+        taken = sum(r.taken for r in mine)
+        assert mine[0].target * 0.99 <= taken <= mine[0].target + 1e-6
+
+
+def test_mix_comes_near_every_target(spark):
+    """No source is above its target, and none more than 1.1 % below it, on a table of 50 documents a source."""
+    out = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    assert all(0.011 * r.target >= r.target - r.taken >= -1e-6 for r in out.collect())

@@ -6,17 +6,19 @@ target is shared over length tiers in the same way, which gives each document an
 expected number of copies: certain whole copies first, then a sample with unequal
 inclusion chances for the rest. The sample ranks documents by random odds over
 inclusion odds, u/(1-u) / (p/(1-p)) (Rosen 1997), and takes the smallest ranks
-until the source's remaining words are met, so its size in words is fixed.
+until the source's remaining words are met, so its size in words is fixed. Where the
+next rank is too long for the words that are still needed, it is skipped, and the ranks after it that fit go
+on filling the gap, FILLS times at most: no long document takes a source past its target.
 
 No source is sorted as a whole: ranks fall into ``BINS`` bins that are summed with
 map-side aggregation, the bin at the cut is opened again in finer bins, and only
-the rows of the last, narrow bin are ordered. u is a hash of doc_id, text and
-seed, so reruns agree. A document at the cut is taken if that brings the source
-nearer to its target.
+the ranks of the last, narrow bin are ordered. u is a hash of doc_id, text and
+seed, so reruns agree.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its
-own, last in order. Repeated rows share one rank and are ordered among themselves
-arbitrarily, which no result shows. Empty tables give no rows.
+own, last in order. Repeated rows share one rank and are taken all or none; where they are too
+many for the gap they are skipped. A very long text is one document as any other. Columns beside doc_id, source and text
+are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch, text_key
 
-BINS, ROUNDS = 4096, 3
+BINS, ROUNDS, FILLS = 4096, 2, 3
+#: Words are whole numbers; a gap is one but for rounding.
+EPS = 1e-6
 #: Tier -> smallest size in words and weight of its documents' expected copies.
 TIERS = [(0, 1.0), (100, 1.25), (1000, 1.5)]
 
@@ -82,25 +86,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: f
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
     rows = s.save(rows.withColumn("rank", F.when(F.col("p") > 1e-12, odds / (1 + odds))))
     need = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).cast("double").alias("certain"))
-    cuts = same(targets, need, "source").select("source", (F.col("target") - F.col("certain")).alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), F.lit(False).alias("done"))
-    for _ in range(ROUNDS):
-        cuts = s.save(_narrow(rows, cuts))
-    near = same(rows.where("rank is not null").select("source", "doc_id", "size", "rank"), cuts, "source").where("rank >= low and rank < low + width")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
-    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    best = near.withColumn("upto", upto).withColumn("gap", F.abs(F.col("need") - F.col("upto"))).withColumn("n", F.row_number().over(order))
-    last = best.where(F.col("gap") < F.abs("need")).groupBy("source").agg(F.min_by(F.struct("rank", "doc_id", "size"), F.struct("gap", "n")).alias("last"))
-    cuts = s.save(cuts.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "low", "last"))
+    steps = same(targets, need, "source").select("source", (F.col("target") - F.col("certain")).alias("gap"), F.lit(-1.0).alias("after"), F.array().cast(STEPS).alias("steps"))
+    ranks = rows.where("rank is not null").select("source", "size", "rank")
+    for _ in range(FILLS):
+        steps = _fill(s, ranks, s.save(steps))
+    steps = s.save(steps.select("source", "steps"))
     joined = same(base, targets, "source")
     joined = joined.join(tiers.select(F.col("source").alias("_s"), F.col("tier").alias("_t"), "expected"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("tier") == F.col("_t")), "left").drop("_s", "_t")
-    joined = joined.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    joined = joined.join(steps.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     whole = F.floor("expected")
     p = F.col("expected") - whole
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - p) / p)
     rank = F.when(p > 1e-12, odds / (1 + odds))
-    me = F.struct(F.col("rank"), F.col("doc_id"), F.col("size"))
     joined = joined.withColumn("rank", rank)
-    sampled = F.col("rank").isNotNull() & ((F.col("rank") < F.col("low")) | F.coalesce(me <= F.col("last"), F.lit(False)))
+    sampled = F.exists("steps", lambda x: (F.col("rank") > x["after"]) & (F.col("size") <= x["gap"] + EPS) & ((F.col("rank") < x["low"]) | (F.col("rank") <= F.coalesce(x["last"], F.lit(-1.0)))))
     copies = F.when(F.col("size") > 0, F.coalesce(whole, F.lit(0)) + F.coalesce(sampled, F.lit(False)).cast("int")).otherwise(0)
     return joined.withColumn("copies", copies.cast("int")).select("doc_id", "source", "key", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("expected", F.lit(0.0)).alias("expected"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -114,9 +113,29 @@ def same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(right, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def _narrow(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+#: Ranks above ``after`` of documents no longer than ``gap`` are taken below ``low`` and up to ``last``.
+STEPS = "array<struct<after:double,gap:double,low:double,last:double>>"
+
+
+def _fill(s: Scratch, ranks: DataFrame, steps: DataFrame) -> DataFrame:
+    """One more step: of the ranks after the last that was skipped, and that fit, the first ones whose words fill the gap."""
+    pool = same(ranks, steps.drop("steps"), "source").where((F.col("rank") > F.col("after")) & (F.col("size") <= F.col("gap") + EPS)).select("source", "size", "rank")
+    cuts = steps.select("source", F.col("gap").alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"))
+    for _ in range(ROUNDS):
+        cuts = s.save(_narrow(pool, cuts))
+    near = same(pool, cuts, "source").where("rank >= low and rank < low + width").groupBy("source", "need", "rank").agg(F.sum("size").alias("size"))
+    near = near.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("rank")))
+    fits = F.col("upto") <= F.col("need") + EPS
+    found = near.groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("took"), F.max(F.when(fits, F.col("rank"))).alias("last"), F.min(F.when(~fits, F.col("rank"))).alias("block"))
+    out = same(steps, cuts, "source").join(found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    step = F.struct("after", "gap", "low", "last")
+    # without a rank that is too long nothing is left
+    return out.select("source", (F.col("need") - F.coalesce("took", F.lit(0))).alias("gap"), F.coalesce("block", F.lit(2.0)).alias("after"), F.concat("steps", F.array(step)).cast(STEPS).alias("steps"))
+
+
+def _narrow(pool: DataFrame, cuts: DataFrame) -> DataFrame:
     """One round: the words of each bin of [low, low + width), and the bin in which ``need`` is met as the next range."""
-    within = same(rows.where("rank is not null").select("source", "size", "rank"), cuts, "source").where("rank >= low and rank < low + width")
+    within = same(pool, cuts, "source").where("rank >= low and rank < low + width")
     at = F.least(F.lit(BINS - 1), F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS).cast("int"))
     bins = within.groupBy("source", at.alias("bin")).agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy("bin")
@@ -124,7 +143,7 @@ def _narrow(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     hit = bins.where("before <= need").groupBy("source").agg(F.max_by(F.struct("bin", "before"), "bin").alias("hit"))
     out = cuts.join(hit.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     b, w = F.col("hit.bin"), F.col("width") / BINS
-    return out.select("source", (F.col("need") - F.coalesce(F.col("hit.before"), F.lit(0))).alias("need"), F.coalesce(F.col("low") + b * w, F.col("low")).alias("low"), F.when(b.isNotNull(), w).otherwise(F.col("width")).alias("width"), F.lit(False).alias("done"))
+    return out.select("source", (F.col("need") - F.coalesce(F.col("hit.before"), F.lit(0))).alias("need"), F.coalesce(F.col("low") + b * w, F.col("low")).alias("low"), F.when(b.isNotNull(), w).otherwise(F.col("width")).alias("width"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

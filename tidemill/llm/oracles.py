@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import WIDTH
 from .line_dedup import MASK_BITS, MIN_CHARS, MIN_LINES
-from .mixing import TIERS
+from .mixing import FILLS, TIERS
 from .quality_rules import LADDERS, LEVELS, MAX_REPEAT_PERCENT, MIN_WORDS, WINDOW
 
 _RULES = {
@@ -43,6 +43,17 @@ FROM v LEFT JOIN s ON s.lang IS NOT DISTINCT FROM v.lang
 _TIER = "CASE " + " ".join(f"WHEN size >= {least} THEN {k}" for k, (least, _) in reversed(list(enumerate(TIERS)))) + " END"
 _WEIGHT = "CASE tier " + " ".join(f"WHEN {k} THEN {w}" for k, (_, w) in enumerate(TIERS)) + " END"
 
+_FIT = "odds > e{k}.after AND size <= e{k}.gap + 1e-6"
+#: Each step passes over the documents that fit in the gap, after the one that ended the step before.
+_STEPS = "".join(
+    f"f{k} AS (SELECT r2.source, odds, gap, sum(size) OVER (PARTITION BY r2.source ORDER BY odds) AS upto FROM r2 JOIN e{k} ON e{k}.source IS NOT DISTINCT FROM r2.source WHERE {_FIT.format(k=k)}),\n"
+    f"g{k} AS (SELECT source, max(odds) FILTER (upto <= gap + 1e-6) AS last, max(upto) FILTER (upto <= gap + 1e-6) AS took, min(odds) FILTER (upto > gap + 1e-6) AS block FROM f{k} GROUP BY 1),\n"
+    f"e{k + 1} AS (SELECT e{k}.source, gap - coalesce(took, 0) AS gap, coalesce(block, 1e300) AS after FROM e{k} LEFT JOIN g{k} ON g{k}.source IS NOT DISTINCT FROM e{k}.source),\n"
+    for k in range(FILLS)
+).rstrip("\n")
+_SAMPLED = " OR ".join(f"({_FIT.format(k=k)} AND odds <= g{k}.last)" for k in range(FILLS))
+_JOINS = " ".join(f"LEFT JOIN e{k} ON e{k}.source IS NOT DISTINCT FROM r2.source LEFT JOIN g{k} ON g{k}.source IS NOT DISTINCT FROM r2.source" for k in range(FILLS))
+
 #: Sources fill up in order of 2 * size / weight; tiers of a source in order of falling weight.
 OP2 = f"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM documents),
@@ -58,9 +69,9 @@ t4 AS (SELECT t2.source, tier, least(most, coalesce(level * w, most)) / words AS
 r0 AS (SELECT d.*, {_TIER} AS tier FROM d),
 r1 AS (SELECT r0.*, s3.source_size, s3.target, coalesce(t4.expected, 0) AS expected, floor(coalesce(t4.expected, 0)) AS whole FROM r0 JOIN s3 ON s3.source IS NOT DISTINCT FROM r0.source LEFT JOIN t4 ON t4.source IS NOT DISTINCT FROM r0.source AND t4.tier = r0.tier),
 r2 AS (SELECT *, CASE WHEN size > 0 AND expected - whole > 1e-12 THEN u / (1 - u) * (1 - (expected - whole)) / (expected - whole) END AS odds, target - sum(whole * size) OVER (PARTITION BY source) AS need FROM r1),
-r3 AS (SELECT *, CASE WHEN odds IS NOT NULL THEN sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM r2),
-r4 AS (SELECT source, arg_min(upto, struct_pack(gap := abs(need - upto), n := upto)) FILTER (upto IS NOT NULL AND abs(need - upto) < abs(need)) AS cut FROM r3 GROUP BY 1),
-r5 AS (SELECT r3.*, CASE WHEN size > 0 THEN whole + CASE WHEN upto <= cut THEN 1 ELSE 0 END ELSE 0 END AS copies FROM r3 JOIN r4 ON r4.source IS NOT DISTINCT FROM r3.source)
+e0 AS (SELECT DISTINCT source, need AS gap, -1.0::DOUBLE AS after FROM r2),
+{_STEPS}
+r5 AS (SELECT r2.*, CASE WHEN r2.size > 0 THEN whole + CASE WHEN {_SAMPLED} THEN 1 ELSE 0 END ELSE 0 END AS copies FROM r2 {_JOINS})
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target::DOUBLE, 6) AS target, (copies * size)::BIGINT AS taken, copies::INTEGER AS copies, round(expected::DOUBLE, 9) AS expected FROM r5
 """
 
