@@ -162,3 +162,27 @@ def test_silhouette_covers_all_rows(spark):
     means[np.arange(2600), label] = np.inf
     b = means.min(1)
     assert spectral.silhouette(df, "k", "x", "label").first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)
+
+
+def test_blocks_of_distances_equal_a_matrix(spark):
+    """Repeated rows, null vectors and blocks of few rows; the median is exact at even and odd numbers of pairs."""
+    g = np.random.default_rng(2)
+    for n in (1, 2, 9, 30):
+        x = g.integers(0, 4, (n, 3)).astype(float)
+        df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (99, None)], "k long, x array<double>")
+        d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+        v = np.sort(d[np.triu_indices(n, 1)])
+        v = v[v > 0]
+        r = spectral.pair_summary(df, "k", "x", size=4, bins=8).first()
+        assert r.n == len(v)
+        if not len(v):
+            assert r.eps is None
+            continue
+        assert (r.least, r.most, r.eps) == (v[0], v[-1], pytest.approx(v[(len(v) - 1) // 2] ** 2))
+        rows = {r.i: r for r in spectral.kernel_degrees(df, "k", "x", r.eps, size=4).collect()}
+        assert [rows[i].degree for i in range(n)] == pytest.approx(np.exp(-(d**2) / r.eps).sum(1).tolist()) and len(rows) == n
+        near = {}
+        for e in spectral.neighbours(df, "k", "x", 3, size=4).collect():
+            near.setdefault(e.i, {})[e["rank"]] = e.j
+        for i in range(n):
+            assert [near[i][q] for q in sorted(near[i])] == sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:3]

@@ -15,6 +15,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns centred and divided by their population deviation (1 where that is 0). One aggregate row is broadcast."""
@@ -182,26 +184,111 @@ def blocks(df: DataFrame, key: str, column: str, size: int = 1024) -> DataFrame:
     return df.groupBy(b.alias("block")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("x"))).alias("rows"))
 
 
-def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: int = 1024, bandwidth: float | None = None) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, column: str, size: int = 512) -> DataFrame:
+    """(block, other, a, b): each two blocks once, and each block with itself, for rows whose column is not null.
+
+    The blocks are written, as they are read for each pair; a pair of numbers is the key of an
+    ordinary join, so no side is broadcast and a lost task repeats its own pairs only.
+    """
+    b = Scratch(df.sparkSession).save(blocks(df.where(F.col(column).isNotNull()), key, column, size))
+    n = b.agg(F.max("block")).first()[0] or 0
+    first = b.select("block", F.explode(F.sequence("block", F.lit(n))).alias("other"), F.col("rows").alias("a"))
+    second = b.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), F.col("rows").alias("b"))
+    return first.join(second.hint("shuffle_hash"), ["block", "other"])
+
+
+def _rows_of(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["k"] for r in rows]), np.array([r["x"] for r in rows], float)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances by differences: exactly 0 between equal rows, which products of rows are not."""
+    total = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        total += (x[:, k, None] - y[None, :, k]) ** 2
+    return np.sqrt(total)
+
+
+def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = 512, bins: int = 4096) -> DataFrame:
+    """One row: n, least and most of the positive distances of all unordered pairs, and eps, the square of their lower median.
+
+    The median is exact: each pass counts the distances of the range that holds it in ``bins``
+    bins, and the bin with the median, from its least to its largest value, is the next range, until these are
+    equal. A pass gives at most ``bins`` rows; no pair is a row.
+    """
+    pairs = block_pairs(df, key, column, size)
+
+    def counted(low: float | None, high: float | None) -> list:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
+                    (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
+                    d = _apart(x, y)
+                    asked = (ka[:, None] != kb) & (d > 0)
+                    if block == other:
+                        asked &= np.triu(np.ones(d.shape, bool), 1)
+                    if low is not None:
+                        asked &= (d >= low) & (d <= high)
+                    v = np.sort(d[asked])
+                    at = np.zeros(len(v), int) if low is None else np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
+                    name, first, n = np.unique(at, return_index=True, return_counts=True)
+                    yield pd.DataFrame({"bin": name, "n": n, "low": v[first], "high": v[first + n - 1]})
+
+        each = pairs.mapInPandas(count, "bin int, n long, low double, high double")
+        return each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect()
+
+    schema = "n long, least double, most double, eps double"
+    whole = counted(None, None)
+    if not whole:
+        return df.sparkSession.createDataFrame([(0, None, None, None)], schema)
+    rank, low, high = (whole[0].n + 1) // 2, whole[0].low, whole[0].high
+    while low < high:
+        for r in counted(low, high):
+            if rank <= r.n:
+                break
+            rank -= r.n
+        low, high = r.low, r.high
+    return df.sparkSession.createDataFrame([(whole[0].n, whole[0].low, whole[0].high, low * low)], schema)
+
+
+def kernel_degrees(df: DataFrame, key: str, column: str, eps: float, size: int = 512) -> DataFrame:
+    """(i, degree, diagonal): sum and largest value of each row of the Gaussian kernel over all rows, added up by blocks."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
+                (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
+                k = np.exp(-(_apart(x, y) ** 2) / eps)
+                yield pd.DataFrame({"i": ka, "s": k.sum(1), "m": k.max(1)})
+                if block != other:
+                    yield pd.DataFrame({"i": kb, "s": k.sum(0), "m": k.max(0)})
+
+    return block_pairs(df, key, column, size).mapInPandas(sums, "i long, s double, m double").groupBy("i").agg(F.sum("s").alias("degree"), F.max("m").alias("diagonal"))
+
+
+def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: int = 512, bandwidth: float | None = None) -> DataFrame:
     """(i, j, dist, rank) of the k nearest other rows of each row, and with ``bandwidth`` a Gaussian density sum as ``kde``.
 
     Blocks of bounded size meet in pairs; each pair gives k candidates a row, and the
     k best of all blocks are kept by a bounded aggregate. The comparison is exact.
     """
-    b = blocks(df, key, column, size)
-    pairs = b.select("block", F.col("rows").alias("a")).join(b.select(F.col("block").alias("other"), F.col("rows").alias("b")), F.lit(True))
+
+    def best_of(ka: np.ndarray, kc: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        kde = np.exp(-(d**2) / (2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(ka))
+        d = np.where(ka[:, None] == kc, np.inf, d)
+        at = np.lexsort((np.broadcast_to(kc, d.shape), d), axis=1)[:, :k]
+        near = zip(np.take_along_axis(d, at, 1), kc[at], strict=True)
+        return pd.DataFrame({"i": ka, "near": [[{"dist": float(x), "j": int(y)} for x, y in zip(dd, jj, strict=True) if np.isfinite(x)] for dd, jj in near], "kde": kde})
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, c in zip(batch["a"], batch["b"], strict=True):
-                ka, kc = np.array([r["k"] for r in a]), np.array([r["k"] for r in c])
-                d = _between(np.array([r["x"] for r in a], float), np.array([r["x"] for r in c], float))
-                kde = np.exp(-(d**2) / (2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(ka))
-                d = np.where(ka[:, None] == kc, np.inf, d)
-                at = np.lexsort((np.broadcast_to(kc, d.shape), d), axis=1)[:, :k]
-                rows = np.arange(len(ka))[:, None]
-                yield pd.DataFrame({"i": ka, "near": [[{"dist": float(x), "j": int(y)} for x, y in zip(dd, jj, strict=True) if np.isfinite(x)] for dd, jj in zip(d[rows, at], kc[at], strict=True)], "kde": kde})
-
-    each = pairs.select("a", "b").mapInPandas(nearest, "i long, near array<struct<dist:double,j:long>>, kde double")
+            for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
+                (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
+                d = _apart(x, y)
+                yield best_of(ka, kb, d)
+                if block != other:
+                    yield best_of(kb, ka, d.T)
+
+    each = block_pairs(df, key, column, size).mapInPandas(nearest, "i long, near array<struct<dist:double,j:long>>, kde double")
     best = each.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("kde").alias("kde"))
     return best.select("i", "kde", F.posexplode("near").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank"), "kde")

@@ -339,18 +339,14 @@ def _vectors(spark, sf):
 
 @query(DIST + ", p AS (SELECT dist FROM d WHERE i < j AND dist > 0) SELECT count(*)::BIGINT AS n, round(min(dist), 6) AS least, round(max(dist), 6) AS most, round(pow(quantile_disc(dist, 0.5), 2), 6) AS eps FROM p", base=False)
 def pair_distance_stats(spark, sf):
-    """Distances between all rows, which are the landmarks here (at most 2,000 vectors in the test tables)."""
-    v = _vectors(spark, sf)
-    d = spectral.distances(v, "vec_id", "embedding", v)
-    n = d.where("i < j and dist > 0").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most"))
-    return rounded(n.join(F.broadcast(spectral.bandwidth(d))))
+    return rounded(spectral.pair_summary(_vectors(spark, sf), "vec_id", "embedding"))
 
 
 @query(DIST + ", e AS (SELECT pow(quantile_disc(dist, 0.5), 2) AS eps FROM d WHERE i < j AND dist > 0), k AS (SELECT i, exp(-dist * dist / eps) AS k FROM d, e) SELECT i, round(sum(k), 6) AS degree, round(max(k), 6) AS diagonal FROM k GROUP BY 1", base=False)
 def kernel_degrees(spark, sf):
     v = _vectors(spark, sf)
-    d = spectral.distances(v, "vec_id", "embedding", v)
-    return rounded(spectral.kernel_rows(d, spectral.bandwidth(d)).groupBy("i").agg(F.sum("k").alias("degree"), F.max("k").alias("diagonal")))
+    eps = spectral.pair_summary(v, "vec_id", "embedding").first()["eps"]
+    return rounded(spectral.kernel_degrees(v, "vec_id", "embedding", eps or 1.0))
 
 
 @query(DIST + "SELECT i, j, round(dist, 6) AS dist, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM d WHERE i <> j) WHERE rank <= 5", base=False)
