@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch, text_key
 
-BINS, ROUNDS, FILLS = 4096, 2, 3
+BINS, ROUNDS, FILLS = 1 << 16, 1, 3
 #: Words are whole numbers; a gap is one but for rounding.
 EPS = 1e-6
 #: Tier -> smallest size in words and weight of its documents' expected copies.
