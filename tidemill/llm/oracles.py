@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from .decontaminate import WIDTH
+from .filter_audit import FILTERS, MARKS, MAX_CAPITALS_PERCENT, MIN_DISTINCT_PERCENT, MIN_WORDS as FEW_WORDS
 from .line_dedup import MASK_BITS, MIN_CHARS, MIN_LINES
 from .mixing import FILLS, TIERS
+from .sharding import MULTIPLIER
 from .quality_rules import LADDERS, LEVELS, MAX_REPEAT_PERCENT, MIN_WORDS, WINDOW
 
 _RULES = {
@@ -117,4 +121,41 @@ SELECT c.conv_id, c.turn, c.role, coalesce(n.quoted, 0)::BIGINT AS n_quoted, coa
 sha256(regexp_replace(coalesce(c.text, ''), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS own_sha256
 FROM conversations c LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn
 """
-ORACLES = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op5_decontaminate": OP5, "op6_quote_links": OP6, "op7_warc_fixity": OP7, "op10_line_dedup": OP10}
+_LETTER = "('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)"
+_ORDERS = ", ".join(f"'{''.join(p)}'" for p in permutations(FILTERS))
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+q AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+m AS (SELECT row, part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, (len(w) < {FEW_WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {MIN_DISTINCT_PERCENT} * len(w))::INT
++ 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MAX_CAPITALS_PERCENT} * length(text))::INT + 8 * regexp_matches(text, '{MARKS}')::INT + 16 * coalesce(t.doc_id > least, FALSE)::INT AS mask FROM t LEFT JOIN q ON q.doc_id = t.doc_id),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY 1, 2, 3, 4),
+o AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, b.bit, (SELECT coalesce(sum(e.bit), 0) FROM (VALUES {_LETTER}) e(name, bit) WHERE strpos(filter_order, e.name) < step)::INT AS before
+FROM (SELECT unnest([{_ORDERS}]) AS filter_order), (SELECT unnest(range(1, 6)) AS step) JOIN (VALUES {_LETTER}) b(name, bit) ON b.name = substr(filter_order, step, 1)),
+r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0 AND good), 0) AS good_lost, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic), 0) AS toxic_lost FROM c, o GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents), i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+z AS (SELECT count(*) FILTER (len(w) > 0) AS docs, coalesce(sum(len(w)), 0)::BIGINT AS words FROM d),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), x AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, z),
+s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS score FROM p JOIN i ON i.term = p.term JOIN x ON x.term = p.term, z GROUP BY 1, 2, 3 HAVING score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, row) AS rank FROM s) WHERE rank <= 50
+"""
+
+#: The checksum by its table of 256 remainders, made bit by bit; the jumps by a recursive step.
+OP13 = f"""
+WITH RECURSIVE bits AS (SELECT i AS v, i, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS id FROM documents),
+h AS (SELECT row, doc_id, strlen(text) + 1 AS size, md5('slot:' || id) AS place, ('0x' || substr(md5(id), 1, 16))::UBIGINT::HUGEINT AS key,
+xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, crc),
+j AS (SELECT row, g, key, 0::BIGINT AS here, 0::BIGINT AS ahead FROM h, (SELECT unnest([8, 9]) AS g)
+UNION ALL SELECT row, g, k, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT FROM (SELECT row, g, ahead, (key * {MULTIPLIER} + 1) % 18446744073709551616 AS k FROM j WHERE ahead < g)),
+e AS (SELECT row, max(here) FILTER (g = 8) AS shard, max(here) FILTER (g = 9) AS grown FROM j GROUP BY 1)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard FROM h JOIN e ON e.row = h.row
+"""
+ORACLES = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op5_decontaminate": OP5, "op6_quote_links": OP6, "op7_warc_fixity": OP7, "op10_line_dedup": OP10, "op11_filter_audit": OP11, "op12_lexical_search": OP12, "op13_sharding": OP13}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as d5
+from . import filter_audit as d11
+from . import lexical_search as d12
 from . import line_dedup as d10
 from . import license_scan as d4
 from . import mixing as d2
@@ -14,6 +16,7 @@ from . import near_dedup as d3
 from . import quality_mil as d9
 from . import quality_rules as d1
 from . import quote_links as d6
+from . import sharding as d13
 from . import substring_dedup as d8
 from . import warc_fixity as d7
 from .common import Scratch
@@ -78,5 +81,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_removed").cast("long").alias("n_removed_chunks"), F.col("_lines_removed").cast("long").alias("n_removed_lines"), F.sha2("text", 256).alias("clean_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op6_quote_links, op7_warc_fixity, op8_substring_dedup, op9_quality_mil, op10_line_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d11.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d12.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d13.assign(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_near_dedup, op4_license_scan, op5_decontaminate, op6_quote_links, op7_warc_fixity, op8_substring_dedup, op9_quality_mil, op10_line_dedup, op11_filter_audit, op12_lexical_search, op13_sharding)}
 ORACLES = oracles.ORACLES
