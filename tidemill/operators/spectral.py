@@ -1,7 +1,7 @@
 """Standardising, principal components, diffusion coordinates, silhouettes and neighbours.
 
-All rows are compared with a bounded set of rows at a time: landmarks, queries, or blocks
-of a fixed size; no task and not the driver holds an N x N matrix.
+All rows are compared with all in tiles of bounded size; no task and not the driver holds an N x N matrix,
+and nothing is taken from a sample.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from . import eigen
+from .tiles import BLOCK, Side, Tiles, apart, over, tiles
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,79 +49,20 @@ def principal_components(df: DataFrame, column: str = "x", k: int = 50) -> DataF
     return model.transform(v).withColumn(column, vector_to_array("_p")).drop("_v", "_p")
 
 
-def landmarks(df: DataFrame, key: str, column: str = "x", most: int = 1024, seed: int = 42) -> tuple[list, np.ndarray]:
-    """Keys and coordinates of at most ``most`` rows, chosen by a hash of the key: a bounded, repeatable sample."""
-    rows = df.select(key, column).orderBy(F.xxhash64(F.lit(seed), key), key).limit(most).collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+def diffusion_coordinates(df: DataFrame, key: str, column: str = "x", count: int = 20, method: str = "markov", tol: float = 1e-9) -> tuple[DataFrame, np.ndarray]:
+    """(key, dc) with dc[k] = eigenvalue k times eigenvector k (after the first), and the eigenvalues, over all rows.
 
-
-def distances(df: DataFrame, key: str, column: str, marks: DataFrame) -> DataFrame:
-    """(i, j, dist) from each row to each landmark row (a stated, bounded set), JVM-side."""
-    j = F.broadcast(marks.select(F.col(key).alias("j"), F.col(column).alias("_y")))
-    d = F.sqrt(F.aggregate(F.zip_with(F.col(column), F.col("_y"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
-    return df.select(F.col(key).alias("i"), column).join(j).select("i", "j", d.alias("dist"))
-
-
-def bandwidth(pairs: DataFrame) -> DataFrame:
-    """One row ``eps``: the square of the lower median of positive distances of unordered pairs."""
-    return pairs.where((F.col("i") < F.col("j")) & (F.col("dist") > 0)).agg(F.expr("percentile_disc(0.5) within group (order by dist)").alias("med")).select((F.col("med") * F.col("med")).alias("eps"))
-
-
-def kernel_rows(pairs: DataFrame, eps: DataFrame) -> DataFrame:
-    """(i, j, k, p): the Gaussian kernel and its row-normalised form."""
-    k = pairs.join(F.broadcast(eps)).withColumn("k", F.exp(-F.col("dist") * F.col("dist") / F.col("eps")))
-    return k.withColumn("p", F.col("k") / F.sum("k").over(Window.partitionBy("i"))).select("i", "j", "k", "p")
-
-
-def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-
-
-def diffusion_eigen(x: np.ndarray, count: int = 20, method: str = "markov") -> tuple[float, np.ndarray, np.ndarray]:
-    """eps, eigenvalues and eigenvectors (after the first) of the normalised kernel of at most a landmark set.
-
-    ``markov``: right eigenvectors of P = K / row sums, by the symmetric D^-1/2 K D^-1/2.
-    ``lower_triangle``: a symmetric solver that reads the lower triangle of P only.
+    The bandwidth is the square of the lower median of positive distances. ``markov``: right eigenvectors of P = K / row sums, by the symmetric
+    D^-1/2 K D^-1/2. ``lower_triangle``: eigenvectors of the symmetric matrix that has P's lower triangle in order of keys.
+    Keys are whole numbers; rows without a vector go.
     """
-    d = _between(x, x)
-    positive = np.sort(d[np.triu_indices(len(x), 1)])
-    positive = positive[positive > 0]
-    eps = float(positive[(len(positive) - 1) // 2] ** 2) if len(positive) else 1.0
-    k = np.exp(-(d * d) / eps)
-    deg = k.sum(1)
-    if method == "lower_triangle":
-        lower = np.tril(k / deg[:, None])
-        values, vectors = np.linalg.eigh(lower + np.tril(lower, -1).T)
-    else:
-        values, vectors = np.linalg.eigh(k / np.sqrt(deg[:, None] * deg))
-        vectors = vectors / np.sqrt(deg)[:, None]
-    order = np.argsort(values)[::-1][1 : count + 1]
-    return eps, values[order], vectors[:, order]
-
-
-def diffusion_coordinates(df: DataFrame, key: str, column: str = "x", count: int = 20, most: int = 1024, method: str = "markov", seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """(key, dc) with dc[k] = eigenvalue k times eigenvector k, and the eigenvalues.
-
-    The eigenproblem is solved on at most ``most`` landmarks; other rows follow by
-    Nystrom's extension, psi(x) = sum_j p(x, l_j) psi(l_j) / lambda, each on its own.
-    Up to ``most`` rows are all landmarks, and the result is exact.
-    """
-    keys, x = landmarks(df, key, column, most, seed)
-    if len(x) < 3:
-        return df.select(key, F.array().cast("array<double>").alias("dc")), np.zeros(0)
-    eps, values, vectors = diffusion_eigen(x, min(count, len(x) - 1), method)
-    known = {k: (v * values).tolist() for k, v in zip(keys, vectors, strict=True)}
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            p = np.exp(-(_between(np.array(b[column].tolist(), float), x) ** 2) / eps)
-            dc = p / np.maximum(p.sum(1, keepdims=True), 1e-300) @ vectors
-            yield pd.DataFrame({key: b[key], "dc": [known.get(k, row) for k, row in zip(b[key], dc.tolist(), strict=True)]})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, column).mapInPandas(extend, f"{key} {kind}, dc array<double>"), values
+    t = tiles(df, key, column)
+    if t.n < 3:
+        return df.where(F.col(column).isNotNull()).select(key, F.array().cast("array<double>").alias("dc")), np.zeros(0)
+    values, vectors = eigen.leading(t, _summary(t).eps or 1.0, count, method, tol)
+    times = F.array(*[F.lit(float(v)) for v in values])
+    kind = df.schema[key].dataType
+    return vectors.select(F.col("k").cast(kind).alias(key), F.zip_with("v", times, lambda v, w: v * w).alias("dc")), values
 
 
 def eigenvalue_ratios(spark, values: np.ndarray, first: int = 12) -> DataFrame:
@@ -128,119 +71,136 @@ def eigenvalue_ratios(spark, values: np.ndarray, first: int = 12) -> DataFrame:
     return v.withColumn("ratio", F.col("eigenvalue") / F.lead("eigenvalue").over(Window.partitionBy(F.lit(0)).orderBy("k")))
 
 
-def silhouette(df: DataFrame, key: str, column: str, label: str, size: int = 1024) -> DataFrame:
+def silhouette(df: DataFrame, key: str, column: str, label: str, size: int = BLOCK) -> DataFrame:
     """One row ``silhouette``: mean of (b - a) / max(a, b) with plain Euclidean distances, over all rows against all rows.
 
-    Blocks of bounded size meet in pairs, as in ``neighbours``; a task adds the distances of
-    a block's rows by cluster, and its sums are added by (row, cluster). A row is its place in its sorted block.
+    A tile adds the distances of its rows by cluster, and its sums are added by (row, cluster). Rows without a label belong to no cluster and count 0.
     """
-    n = max(1, -(-df.count() // size))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
-    rows = df.groupBy(block).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(label).cast("int").alias("l"), F.col(column).cast("array<double>").alias("x")))).alias("rows"))
-    rows = rows.select("block", F.col("rows.l").alias("l"), F.col("rows.x").alias("x"))
-    other = rows.select(F.col("l").alias("l2"), F.col("x").alias("x2"))
-    pairs = rows.coalesce(min(n, 256)).join(other.coalesce(min(n, 8)), F.lit(True))
+    t = tiles(df, key, column, size, label=F.col(label))
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[int, int], list] = {}
-        labels: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for name, l, x, l2, x2 in zip(*(batch[c] for c in ("block", "l", "x", "l2", "x2")), strict=True):
-                labels[name] = l
-                d, l2 = _between(np.stack(x), np.stack(x2)), pd.array(l2, "Int64")
-                for c in l2.dropna().unique():
-                    mine = (l2 == c).to_numpy(float, na_value=0.0)
-                    now = found.setdefault((name, int(c)), [0, 0.0])
-                    now[0], now[1] = now[0] + int(mine.sum()), now[1] + d @ mine
-        for (name, c), (count, total) in found.items():
-            yield pd.DataFrame({"block": name, "q": np.arange(len(total)), "own": pd.array(labels[name], "Int64"), "cluster": c, "n": count, "total": total})
-
-    each = pairs.mapInPandas(sums, "block int, q int, own int, cluster int, n long, total double").groupBy("block", "q", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    def sums(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        for one, two in ((a, b),) if same else ((a, b), (b, a)):
+            x, y, mine, other = one["x"], two["x"], one["label"][:, 0], two["label"][:, 0]
+            for rows in one.slices:
+                d = apart(x[rows], y)
+                for c in np.unique(other[~np.isnan(other)]):
+                    yield {"i": one.k[rows], "own": mine[rows], "cluster": c, "n": int((other == c).sum()), "total": d @ (other == c)}
+
+    each = over(t, sums, "i long, own double, cluster double, n long, total double").groupBy("i", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     a = F.max(F.when(F.col("own") == F.col("cluster"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))))
     b = F.min(F.when(F.col("own") != F.col("cluster"), F.col("total") / F.col("n")))
-    per = each.groupBy("block", "q").agg(a.alias("a"), b.alias("b"))
-    return per.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("silhouette"))
-
+    per = each.groupBy("i").agg(a.alias("a"), b.alias("b"))
+    total = per.agg(F.sum(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("s"))
+    return total.select((F.col("s") / F.nullif(F.lit(t.n), F.lit(0))).alias("silhouette"))
 
-def choose_dimension(coords: DataFrame, key: str, dims: range = range(2, 21), seeds: int = 5, seed: int = 42) -> DataFrame:
-    """(d, silhouette) for each dimension: the best of ``seeds`` k-means runs into max(2, min(10, N // 50)) clusters; order by silhouette to choose."""
-    from pyspark.ml.clustering import KMeans
-
-    coords = coords.persist()
-    k, out = max(2, min(10, coords.count() // 50)), []
-    for d in dims:
-        x = coords.withColumn("x", F.slice("dc", 1, d)).withColumn("_v", array_to_vector("x"))
-        models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="label").fit(x) for i in range(seeds)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        out.append((d, silhouette(best.transform(x), key, "x", "label").first()[0]))
-    coords.unpersist()
-    return coords.sparkSession.createDataFrame(out, "d int, silhouette double")
 
+def silhouette_estimate(df: DataFrame, key: str, column: str, label: str, most: int = 2000, delta: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row (silhouette, bound): a stratified estimate that is within ``bound`` of the exact value with probability 1 - delta.
 
-def blocks(df: DataFrame, key: str, column: str, size: int = 1024) -> DataFrame:
-    """(block, keys, xs): rows in blocks of about ``size``, by a hash of the key."""
-    n = max(1, -(-df.count() // size))
-    b = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    return df.groupBy(b.alias("block")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("x"))).alias("rows"))
+    In each cluster a share of ``most`` rows, two at least, is chosen by a hash of the key; their silhouettes are exact, against all rows, in one
+    pass of N x most distances. The bound is Hoeffding's for means of values in [-1, 1] of strata of known weights. Rows without a
+    label count 0, as in ``silhouette``.
+    """
+    held = df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("l"), F.col(column).cast("array<double>").alias("x"))
+    sizes = {r.l: r.n for r in held.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a cluster
+    n, known = sum(sizes.values()), {c: m for c, m in sizes.items() if c is not None}
+    if len(known) < 2:
+        return df.sparkSession.createDataFrame([(0.0 if n else None, 0.0)], "silhouette double, bound double")
+    share = {c: min(m, max(2, most * m // n)) for c, m in known.items()}
+    quota = F.create_map(*[v for c, m in share.items() for v in (F.lit(c), F.lit(m))])
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.lit(seed), "k"), "k"))
+    asked = held.where("l is not null").withColumn("place", place).where(F.col("place") <= max(share.values())).where(F.col("place") <= quota[F.col("l")]).collect()
+    keys, x, own = np.array([r.k for r in asked]), np.array([r.x for r in asked], float), np.array([r.l for r in asked])
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            y, labels = np.array(b["x"].tolist(), float).reshape(len(b), -1), b["l"].to_numpy()
+            for i in range(0, len(b), BLOCK):
+                d = apart(x, y[i : i + BLOCK])
+                for c in np.unique(labels[i : i + BLOCK]):
+                    total[c] = total.get(c, 0) + d[:, labels[i : i + BLOCK] == c].sum(1)
+        for c, t in total.items():
+            yield pd.DataFrame({"q": np.arange(len(t)), "cluster": c, "total": t})
+
+    clusters, far = sorted(known), np.zeros((len(known), len(asked)))
+    for r in held.where("l is not null").mapInPandas(sums, "q int, cluster int, total double").groupBy("q", "cluster").agg(F.sum("total").alias("t")).collect():
+        far[clusters.index(r["cluster"]), r["q"]] = r["t"]
+    m = np.array([known[c] for c in clusters])
+    mine = np.array([clusters.index(c) for c in own])
+    at = np.arange(len(asked))
+    a = far[mine, at] / np.maximum(m[mine] - 1, 1)
+    other = far / m[:, None]
+    other[mine, at] = np.inf
+    b = other.min(0)
+    value = np.where(m[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+    weight = m / n
+    mean = sum(w * value[mine == i].mean() for i, w in enumerate(weight))
+    drawn = np.array([(mine == i).sum() for i in range(len(clusters))])
+    spread = sum(w * w / k for w, k, c in zip(weight, drawn, m, strict=True) if k < c)
+    return df.sparkSession.createDataFrame([(float(mean), float(np.sqrt(2 * np.log(2 / delta) * spread)))], "silhouette double, bound double")
+
+
+def k_means(coords: DataFrame, d: int, k: int, seeds: int = 5, seed: int = 42) -> DataFrame:
+    """coords with ``x``, the first d of ``dc``, and ``label``: the best of ``seeds`` runs of k-means."""
+    from pyspark.ml.clustering import KMeans
 
-def block_pairs(df: DataFrame, key: str, column: str, size: int = 512) -> DataFrame:
-    """(block, other, a, b): each two blocks once, and each block with itself, for rows whose column is not null.
+    x = coords.withColumn("x", F.slice("dc", 1, d)).withColumn("_v", array_to_vector("x"))
+    models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="label").fit(x) for i in range(seeds)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("_v")
 
-    The blocks are written, as they are read for each pair; a pair of numbers is the key of an
-    ordinary join, so no side is broadcast and a lost task repeats its own pairs only.
-    """
-    b = Scratch(df.sparkSession).save(blocks(df.where(F.col(column).isNotNull()), key, column, size))
-    n = b.agg(F.max("block")).first()[0] or 0
-    first = b.select("block", F.explode(F.sequence("block", F.lit(n))).alias("other"), F.col("rows").alias("a"))
-    second = b.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("other"), F.col("rows").alias("b"))
-    return first.join(second.hint("shuffle_hash"), ["block", "other"])
 
+def clusters_for(n: int) -> int:
+    return max(2, min(10, n // 50))
 
-def _rows_of(rows) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["k"] for r in rows]), np.array([r["x"] for r in rows], float)
 
+def choose_dimension(coords: DataFrame, key: str, dims: range = range(2, 21), seeds: int = 5, seed: int = 42, exact: bool = True) -> DataFrame:
+    """(d, silhouette, bound) for each dimension: of the best of ``seeds`` k-means runs into max(2, min(10, N // 50)) clusters; order by silhouette to choose.
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances by differences: exactly 0 between equal rows, which products of rows are not."""
-    total = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        total += (x[:, k, None] - y[None, :, k]) ** 2
-    return np.sqrt(total)
+    Not ``exact``, it is ``silhouette_estimate`` with its bound, which takes no N x N pass for each dimension; else the bound is 0.
+    """
+    s = Scratch(coords.sparkSession)
+    coords = s.save(coords)
+    k, out = clusters_for(coords.count()), []
+    for d in dims:
+        x = k_means(coords, d, k, seeds, seed)
+        row = silhouette(x, key, "x", "label").first() if exact else silhouette_estimate(x, key, "x", "label").first()
+        out.append((d, row[0], 0.0 if exact else row[1]))
+    return coords.sparkSession.createDataFrame(out, "d int, silhouette double, bound double")
 
 
-def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = 512, bins: int = 4096) -> DataFrame:
+def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK, bins: int = 4096) -> DataFrame:
     """One row: n, least and most of the positive distances of all unordered pairs, and eps, the square of their lower median.
 
     The median is exact: each pass counts the distances of the range that holds it in ``bins``
     bins, and the bin with the median, from its least to its largest value, is the next range, until these are
     equal. A pass gives at most ``bins`` rows; no pair is a row.
     """
-    pairs = block_pairs(df, key, column, size)
+    return df.sparkSession.createDataFrame([tuple(_summary(tiles(df, key, column, size), bins))], "n long, least double, most double, eps double")
 
+
+def _summary(t: Tiles, bins: int = 4096) -> Row:
     def counted(low: float | None, high: float | None) -> list:
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
-                    (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
-                    d = _apart(x, y)
-                    asked = (ka[:, None] != kb) & (d > 0)
-                    if block == other:
-                        asked &= np.triu(np.ones(d.shape, bool), 1)
-                    if low is not None:
-                        asked &= (d >= low) & (d <= high)
-                    v = np.sort(d[asked])
-                    at = np.zeros(len(v), int) if low is None else np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
-                    name, first, n = np.unique(at, return_index=True, return_counts=True)
-                    yield pd.DataFrame({"bin": name, "n": n, "low": v[first], "high": v[first + n - 1]})
-
-        each = pairs.mapInPandas(count, "bin int, n long, low double, high double")
+        def count(a: Side, b: Side, same: bool) -> Iterator[dict]:
+            x, y = a["x"], b["x"]
+            for rows in a.slices:
+                d = apart(x[rows], y)
+                asked = d > 0
+                if same:
+                    asked &= np.arange(rows.start, rows.stop)[:, None] < np.arange(len(y))
+                if low is not None:
+                    asked &= (d >= low) & (d <= high)
+                v = np.sort(d[asked])
+                at = np.zeros(len(v), int) if low is None else np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
+                name, first, n = np.unique(at, return_index=True, return_counts=True)
+                yield {"bin": name, "n": n, "low": v[first], "high": v[first + n - 1]}
+
+        each = over(t, count, "bin int, n long, low double, high double")
         return each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect()
 
-    schema = "n long, least double, most double, eps double"
     whole = counted(None, None)
     if not whole:
-        return df.sparkSession.createDataFrame([(0, None, None, None)], schema)
+        return Row(n=0, least=None, most=None, eps=None)
     rank, low, high = (whole[0].n + 1) // 2, whole[0].low, whole[0].high
     while low < high:
         for r in counted(low, high):
@@ -248,47 +208,54 @@ def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = 512, bi
                 break
             rank -= r.n
         low, high = r.low, r.high
-    return df.sparkSession.createDataFrame([(whole[0].n, whole[0].low, whole[0].high, low * low)], schema)
+    return Row(n=whole[0].n, least=whole[0].low, most=whole[0].high, eps=low * low)
 
 
-def kernel_degrees(df: DataFrame, key: str, column: str, eps: float, size: int = 512) -> DataFrame:
-    """(i, degree, diagonal): sum and largest value of each row of the Gaussian kernel over all rows, added up by blocks."""
+def kernel_degrees(df: DataFrame, key: str, column: str, eps: float, size: int = BLOCK) -> DataFrame:
+    """(i, degree, diagonal): sum and largest value of each row of the Gaussian kernel over all rows, added up by tiles."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
-                (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
-                k = np.exp(-(_apart(x, y) ** 2) / eps)
-                yield pd.DataFrame({"i": ka, "s": k.sum(1), "m": k.max(1)})
-                if block != other:
-                    yield pd.DataFrame({"i": kb, "s": k.sum(0), "m": k.max(0)})
+    def sums(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        x, y = a["x"], b["x"]
+        s, m = np.zeros(len(y)), np.zeros(len(y))
+        for rows in a.slices:
+            k = np.exp(-(apart(x[rows], y) ** 2) / eps)
+            yield {"i": a.k[rows], "s": k.sum(1), "m": k.max(1)}
+            s, m = s + k.sum(0), np.maximum(m, k.max(0))
+        if not same:
+            yield {"i": b.k, "s": s, "m": m}
 
-    return block_pairs(df, key, column, size).mapInPandas(sums, "i long, s double, m double").groupBy("i").agg(F.sum("s").alias("degree"), F.max("m").alias("diagonal"))
+    return over(tiles(df, key, column, size), sums, "i long, s double, m double").groupBy("i").agg(F.sum("s").alias("degree"), F.max("m").alias("diagonal"))
 
 
-def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: int = 512, bandwidth: float | None = None) -> DataFrame:
-    """(i, j, dist, rank) of the k nearest other rows of each row, and with ``bandwidth`` a Gaussian density sum as ``kde``.
+def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: int = BLOCK, bandwidth: float | None = None) -> DataFrame:
+    """(i, j, dist, rank) of the k nearest other rows of each row, ties by j, and with ``bandwidth`` a Gaussian density sum as ``kde``.
 
-    Blocks of bounded size meet in pairs; each pair gives k candidates a row, and the
-    k best of all blocks are kept by a bounded aggregate. The comparison is exact.
+    The exact way: each tile gives k candidates a row, and the k best of all tiles are kept. ``operators.knn`` has the way by an index.
     """
 
-    def best_of(ka: np.ndarray, kc: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-        kde = np.exp(-(d**2) / (2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(ka))
-        d = np.where(ka[:, None] == kc, np.inf, d)
-        at = np.lexsort((np.broadcast_to(kc, d.shape), d), axis=1)[:, :k]
-        near = zip(np.take_along_axis(d, at, 1), kc[at], strict=True)
-        return pd.DataFrame({"i": ka, "near": [[{"dist": float(x), "j": int(y)} for x, y in zip(dd, jj, strict=True) if np.isfinite(x)] for dd, jj in near], "kde": kde})
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, other, a, b in zip(*(batch[c] for c in ("block", "other", "a", "b")), strict=True):
-                (ka, x), (kb, y) = _rows_of(a), _rows_of(b)
-                d = _apart(x, y)
-                yield best_of(ka, kb, d)
-                if block != other:
-                    yield best_of(kb, ka, d.T)
-
-    each = block_pairs(df, key, column, size).mapInPandas(nearest, "i long, near array<struct<dist:double,j:long>>, kde double")
+    def nearest(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        for one, two in ((a, b),) if same else ((a, b), (b, a)):
+            x, y = one["x"], two["x"]
+            for rows in one.slices:
+                d = apart(x[rows], y)
+                kde = np.exp(-(d**2) / (2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(d))
+                d[one.k[rows, None] == two.k] = np.inf
+                yield {"i": one.k[rows], "near": best_of(d, two.k, k), "kde": kde}
+
+    each = over(tiles(df, key, column, size), nearest, "i long, near array<struct<dist:double,j:long>>, kde double")
     best = each.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("kde").alias("kde"))
     return best.select("i", "kde", F.posexplode("near").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank"), "kde")
+
+
+def best_of(d: np.ndarray, keys: np.ndarray, k: int) -> list[list[dict]]:
+    """The k smallest finite distances of each row, ties by key, as lists of structs."""
+    if d.shape[1] > 4 * k:  # all that ties with the k-th stays for the sort
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+        cut = [np.flatnonzero(row <= b) for row, b in zip(d, bound, strict=True)]
+    else:
+        cut = [np.arange(d.shape[1])] * len(d)
+    out = []
+    for row, at in zip(d, cut, strict=True):
+        at = at[np.lexsort((keys[at], row[at]))[:k]]
+        out.append([{"dist": float(row[j]), "j": int(keys[j])} for j in at if np.isfinite(row[j])])
+    return out
