@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TINY
+from .ordered import ranked
 
 
 def eta_squared(df: DataFrame, value: str, labels: list[str], by: list[str] | None = None) -> DataFrame:
@@ -119,20 +120,12 @@ def first_middle_last(df: DataFrame, order: Column | str, tie: str) -> DataFrame
     return df.withColumns({"place": rn, "_n": n}).where((F.col("place") == 0) | (F.col("place") == F.floor(F.col("_n") / 2)) | (F.col("place") == F.col("_n") - 1)).drop("_n")
 
 
-def sample(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
-    """k rows without replacement, the same in each run: those with the smallest hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, rho (correlation of mean ranks) and the two-sided p-value by Student's t. For tables of groups or windows."""
+    """One row: n, rho (correlation of mean ranks) and the two-sided p-value by Student's t. Ranks come from sorted pieces and their offsets."""
     from ..functions.special import student_t_two_sided
 
-    def rank(c: str) -> Column:
-        by = Window.partitionBy(F.lit(0)).orderBy(c)
-        return F.rank().over(by) + (F.count("*").over(Window.partitionBy(F.col(c))) - 1) / 2
-
-    row = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("rx"), rank(y).alias("ry")).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).first()
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    row = ranked(ranked(both, "_x", "rx"), "_y", "ry").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).first()
     n, rho = row["n"], row["rho"]
     p = None if rho is None or n < 3 else 0.0 if abs(rho) >= 1 else student_t_two_sided(rho * ((n - 2) / (1 - rho * rho)) ** 0.5, n - 2)
     return df.sparkSession.createDataFrame([(n, rho, p)], "n long, rho double, p double")

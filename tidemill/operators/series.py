@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 SERIES = "series_id"
 
 
@@ -12,47 +14,46 @@ def _keys(df: DataFrame) -> list[str]:
     return [SERIES] if SERIES in df.columns else []
 
 
-def _order(df: DataFrame, by: str = "idx"):
-    """Rows of one series in order; series are independent partitions."""
-    return Window.partitionBy(*_keys(df) or [F.lit(0)]).orderBy(by)
-
-
 def hourly(events: DataFrame, time: str = "ts", value: str = "value") -> DataFrame:
     """(datetime, lmp): the mean value of each hour that has events. Means are pre-aggregated before the shuffle."""
     return events.groupBy(*_keys(events), F.date_trunc("hour", time).cast("timestamp_ntz").alias("datetime")).agg(F.avg(value).alias("lmp"))
 
 
-def indexed(series: DataFrame) -> DataFrame:
+def indexed(series: DataFrame, pieces: int | None = None) -> DataFrame:
     """Adds ``idx``, the row's position in time, and ``y`` = asinh(lmp). Windows go by position, so gaps do not matter."""
-    return series.withColumn("idx", F.row_number().over(_order(series, "datetime")).cast("long") - 1).withColumn("y", F.asinh("lmp"))
+    return ordered.positions(series, ["datetime"], _keys(series), pieces=pieces).withColumn("y", F.asinh("lmp"))
 
 
 def branches(series: DataFrame, value: str = "y") -> DataFrame:
     """(datetime, lmp, r, dr, idx): the level and its first difference, without the first row."""
-    w = _order(series)
-    out = series.withColumn("dr", F.col(value) - F.lag(value).over(w)).where("idx > 0")
+    out = lagged(series, value, 1, "_before").withColumn("dr", F.col(value) - F.col("_before")).where("idx > 0")
     return out.select(*_keys(series), "datetime", "lmp", F.col(value).alias("r"), "dr", (F.col("idx") - 1).alias("idx"))
 
 
 def lagged(series: DataFrame, column: str, lag: int = 1, name: str = "x") -> DataFrame:
-    """Adds the value ``lag`` rows before; null for the first rows."""
-    return series.withColumn(name, F.lag(column, lag).over(_order(series)))
+    """Adds the value ``lag`` positions before; null for the first rows. Positions (idx) have no gaps."""
+    return ordered.previous(series, {name: column}, lag, _keys(series))
+
+
+def by_series(series: DataFrame, one: DataFrame) -> DataFrame:
+    """series joined with one row for each series; without a key, with one row."""
+    keys = _keys(series)
+    return series.join(one, keys) if keys else series.join(F.broadcast(one))
 
 
-def autocorrelation(series: DataFrame, column: str, lags: int) -> DataFrame:
+def autocorrelation(series: DataFrame, column: str, lags: int, block: int = ordered.BLOCK) -> DataFrame:
     """(lag, acf) for lags 0 to ``lags``: sum (x_t - m)(x_t+k - m) / sum (x - m)^2; 0 where there is no variance or too few rows.
 
-    One pass: the row's next ``lags`` values are a frame, exploded by lag and summed
+    One pass over blocks of positions, each with the next ``lags`` rows of the series: a row's next values are a frame, exploded by lag and summed
     with map-side aggregation.
     """
     keys = _keys(series)
-    mean = F.avg(column).over(Window.partitionBy(*keys or [F.lit(0)]))
-    x = series.select(*keys, "idx", (F.col(column) - mean).alias("x"))
-    ahead = F.collect_list("x").over(_order(x).rowsBetween(0, lags))
-    each = x.withColumn("ahead", ahead).select(*keys, "x", F.posexplode("ahead").alias("lag", "y"))
-    sums = each.groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    total = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy(*keys or [F.lit(0)]))
-    return sums.select(*keys, "lag", F.when(total < 1e-15, 0.0).otherwise(F.col("s") / total).alias("acf"))
+    x = by_series(series.select(*keys, "idx", column), series.groupBy(*keys).agg(F.avg(column).alias("_m")))
+    x = x.select(*keys, "idx", (F.col(column) - F.col("_m")).alias("x"))
+    x = ordered.framed(x, lambda w: {"ahead": F.collect_list("x").over(w.rowsBetween(0, lags))}, after=lags, keys=keys, block=block)
+    sums = x.select(*keys, "x", F.posexplode("ahead").alias("lag", "y")).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    whole = sums.where("lag = 0").select(*keys, F.col("s").alias("_whole"))
+    return by_series(sums, whole).select(*keys, "lag", F.when(F.col("_whole") < 1e-15, 0.0).otherwise(F.col("s") / F.col("_whole")).alias("acf"))
 
 
 def labels_by_hour(series: DataFrame, labels: DataFrame, stride: int = 6) -> DataFrame:

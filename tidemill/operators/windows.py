@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TINY, f32, kurtosis
+from .series import by_series
 
 
 def count(n: int, window: int, stride: int) -> int:
@@ -20,10 +21,10 @@ def windows(series: DataFrame, window: int = 512, stride: int = 6) -> DataFrame:
     sequence with its ends swapped would count down.
     """
     keys = [k for k in ("series_id",) if k in series.columns]
-    n = F.count("*").over(Window.partitionBy(*keys or [F.lit(0)]))
+    n = series.groupBy(*keys).agg(F.count("*").alias("_n"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("idx") - window + 1) / stride))
     hi = F.least(F.floor(F.col("idx") / stride), F.floor((F.col("_n") - window) / stride))
-    held = series.withColumn("_n", n).where(F.col("_n") >= window).withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    held = by_series(series, n).where(F.col("_n") >= window).withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
     each = held.withColumn("window_id", F.explode(F.sequence("_lo", "_hi")))
     return each.select(*keys, "window_id", (F.col("idx") - F.col("window_id") * stride).alias("pos"), "datetime", *[f32(F.col(c)).alias(c) for c in ("r", "dr", "lmp")])
 
