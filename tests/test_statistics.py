@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.functions import special
-from tidemill.operators import merge, modes, regime_models, regimes, simulate, spectral
+from tidemill.operators import merge, regime_models, regimes, simulate, spectral
 
 
 @pytest.mark.parametrize(("k", "df", "q"), [(2, 1e9, 2.772), (2, 1, 17.969), (10, 2, 13.987), (20, 60, 5.241), (2, 30_000, 2.772), (3, 1e9, 3.314), (3, 10, 3.877), (5, 20, 4.232)])
@@ -127,16 +127,6 @@ def test_silhouette_and_neighbours_of_blobs(spark):
         assert [j for _, j in want] == edges[edges.i == i].sort_values("rank").j.tolist()
 
 
-def test_modes_of_three_blobs(spark):
-    g = np.random.default_rng(8)
-    x = np.concatenate([g.normal(c, 0.4, (80, 2)) for c in (0, 5, 10)])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, x array<double>")
-    labels, n = modes.cluster(spectral.neighbours(df, "k", "x", 20, bandwidth=0.5).persist(), n_modes=3)
-    got = labels.orderBy("i").toPandas().label.to_numpy()
-    assert n == 3 and all(len(set(got[k : k + 80])) == 1 for k in (0, 80, 160)) and len(set(got)) == 3
-    assert modes.mode_count([0.1, 0.2, 5.0, 5.1]) == 3 and modes.mode_count([1.0]) == 1
-
-
 def test_standardize_constant_column(spark):
     out = spectral.standardize(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
     assert sorted((r.a, r.b) for r in out) == [(-1.0, 0.0), (1.0, 0.0)]
