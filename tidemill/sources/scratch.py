@@ -7,15 +7,25 @@ over rounds.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which all executors share too."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+
+    A warehouse on a local disk is each machine's own, so on a cluster it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    if found:
+        return found.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 class Scratch:
