@@ -147,8 +147,12 @@ def test_license_base_columns_equal_brute_force(spark):
 def py_chunks(text):
     lines = text.split("\n")
     h, out, start = [hashlib.md5(x.encode()).hexdigest() for x in lines], [], 0
+    mark = end = -1
     for i in range(len(lines)):
-        if i == len(lines) - 1 or i > 0 and int(hashlib.md5((h[i - 1] + h[i]).encode()).hexdigest()[24:], 16) % 2 == 0:
+        is_mark = i > 0 and int(hashlib.md5((h[i - 1] + h[i]).encode()).hexdigest()[24:], 16) % 2 == 0
+        taken = is_mark and (i - mark >= 2 or i - end >= 2) and i < len(lines) - 2
+        mark, end = i if is_mark else mark, i if taken else end
+        if taken or i == len(lines) - 1:
             out.append((start, lines[start : i + 1]))
             start = i + 1
     return out
@@ -191,7 +195,7 @@ def test_repeated_runs_and_copies_go_but_for_their_unaligned_ends(spark, docs_of
     rows = [(i, "\n".join([line(1000 + 90 * i + k) for k in range(7 + i)] + block + [line(1050 + 90 * i + k) for k in range(5)])) for i in range(8)]
     copies = [(20 + i, "\n".join(line(5000 + 40 * i + k) for k in range(2 + i))) for i in range(12)]
     rows += copies + [(40 + i, t) for i, (_, t) in enumerate(copies)]
-    out = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs_of(rows), whole=True).collect()}
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(docs_of(rows)).collect()}
     assert all(out[40 + i] == [""] and "\n".join(out[20 + i]) == t for i, (_, t) in enumerate(copies))
     texts = dict(rows)
     assert "\n".join(out[0]) == texts[0]
@@ -199,7 +203,7 @@ def test_repeated_runs_and_copies_go_but_for_their_unaligned_ends(spark, docs_of
         left = [k for k in range(60) if block[k] in out[i]]
         assert left == [k for k in left if k < 15 or k >= 45] and len(left) < 20  # what is left is at the ends
         assert [x for x in out[i] if x not in block] == [x for x in texts[i].split("\n") if x not in block]
-    assert line_dedup.without_repeated_lines(docs_of(copies + [(60, copies[5][1])]), whole=True).where("doc_id = 60").count() == 0
+    assert line_dedup.without_repeated_lines(docs_of(copies + [(60, copies[5][1])])).where("doc_id = 60").count() == 0
     for rule in (1, 2, 3):
         sizes = [[c.n for c in r.c] for r in docs_of(rows).select(line_dedup.chunks(F.col("text"), least=rule).alias("c")).collect()]
         assert [sum(x) for x in sizes] == [t.count("\n") + 1 for _, t in rows]

@@ -8,6 +8,8 @@ tasks only, and no lineage grows over rounds.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ BLANKS = " \t\n\x0b\f\r"
 NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def fresh(*names: str) -> list[str]:
+    """Names for columns inside a plan that no table of a user has: those given and a random end."""
+    end = uuid.uuid4().hex
+    return [f"{n}_{end}" for n in names]
+
+
+def own(docs: DataFrame, made: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of docs as they are; one that has the name of a ``made`` column comes under ``docs_`` and that name."""
+    return [F.col(f"`{c}`").alias(f"docs_{c}" if c in made else c) for c in docs.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda reads it."""
     return F.transform(F.array(value), body)[0]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, terms
+from .common import fresh, let, own, terms
 
 WIDTH = 10
 
@@ -97,9 +97,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bro
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs; rows with a null doc_id are matched by their text."""
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
-    seen = decontaminate(keyed.select(F.col("__key").alias("doc_id"), "text"), benchmark, width)
-    bad = seen.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    (key,) = fresh("key")
+    keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
+    seen = decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, width)
+    bad = seen.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
     # a null field would never be equal: compare its text form
     flat = lambda k: F.to_json(k)
-    return keyed.withColumn("__key", flat(F.col("__key"))).join(bad.withColumn("__key", flat(F.col("__key"))).hint("merge"), "__key", "left_anti").select(*docs.columns)
+    return keyed.withColumn(key, flat(F.col(key))).join(bad.withColumn(key, flat(F.col(key))).hint("merge"), key, "left_anti").select(*own(docs))

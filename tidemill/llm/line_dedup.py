@@ -3,11 +3,10 @@
 A text is split at "\\n". Each line has an MD5 hash; the rolling hash at a line is the
 hash of its predecessor's and its own hash, and a chunk ends where its last 32 bits are
 0 modulo ``1 << mask_bits``. Boundaries thus depend on content near them only and
-come back in step after inserted or deleted lines. With ``whole``, boundaries keep
+come back in step after inserted or deleted lines. Boundaries keep
 ``min_lines`` lines between them: in a run of boundaries that stand closer than that,
 the first counts and the next one that is far enough from it, and the last chunk takes
-in a rest that is too short. Without it (the rule of the SQL), chunks of fewer lines
-are cut and never compared. A chunk of ``min_lines`` lines
+in a rest that is too short. A chunk of ``min_lines`` lines
 or more that holds ``min_chars`` characters is a candidate. Chunks are grouped by
 their very bytes (the grouping key is the hash and the text), so equal hashes
 alone never remove anything. Of each group the first chunk stays, by doc_id (null
@@ -16,7 +15,8 @@ last), place and text; all others are removed, together with the "\\n" after the
 Nulls: a null text has no chunk and stays null; an empty text is one empty line and
 stays. Rows that repeat doc_id and text: the first chunk is kept in each of them,
 as nothing tells them apart. Repeats inside one text count like those across
-texts. Empty tables give empty results.
+texts. A very long text is cut like any other. Columns beside doc_id and text may have any
+name and come back as they were. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, fresh, let, own
 
 MASK_BITS, MIN_LINES, MIN_CHARS = 1, 2, 40
 
@@ -74,9 +74,13 @@ def repeated_chunks(docs: DataFrame, mask_bits: int, min_lines: int, min_chars:
     return grouped.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).where("texts = 1 and n > 1").select("h", "first")
 
 
-def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
-    """All rows and columns of docs with the cleaned ``text``, and ``_n_removed``, ``_lines_removed``."""
-    least = min_lines if whole else 1
+def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, made: tuple[str, str] = ("_n_removed", "_lines_removed")) -> DataFrame:
+    """All rows and columns of docs with the cleaned ``text``, and in columns named ``made`` the numbers of chunks and lines that were removed.
+
+    A column of docs that has one of these names comes back as it was under ``docs_`` and its name.
+    """
+    least = min_lines
+    d, k, removed, n_lines, rest = fresh("d", "k", "removed", "lines", "rest")
     s = Scratch(docs.sparkSession)
     again = s.save(repeated_chunks(docs, mask_bits, min_lines, min_chars, least))
     key = F.unhex(F.md5("text"))
@@ -85,19 +89,19 @@ def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN
     f = F.col("first")
     is_first = f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["key"] == F.col("key")) & (f["start"] == F.col("start"))
     gone = places.join(again, "h").where(~is_first).select("doc_id", "key", "start", "n").distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.collect_set("start").alias("__gone"), F.sum("n").alias("_lines_removed"))
+    gone = gone.groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.collect_set("start").alias(removed), F.sum("n").alias(n_lines))
     gone = s.save(gone)
     # the list of removed chunks grows with the data, so it is merged and never broadcast: one plan at every size
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.unhex(F.md5("text")) == F.col("__k")), "left")
-    kept = let(chunks(F.col("text"), mask_bits, least), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("__gone"), x["start"])), lambda x: x["text"]), "\n").alias("text")))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    return joined.withColumns({
-        "text": F.coalesce("__kept.text", "text"), "_n_removed": F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)), "_lines_removed": F.coalesce("_lines_removed", F.lit(0)),
-    }).select(*docs.columns, "_n_removed", "_lines_removed")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.unhex(F.md5("text")) == F.col(k)), "left")
+    kept = let(chunks(F.col("text"), mask_bits, least), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col(removed), x["start"])), lambda x: x["text"]), "\n").alias("text")))
+    joined = joined.withColumn(rest, F.when(F.col(removed).isNotNull(), kept))
+    joined = joined.withColumn("text", F.coalesce(F.col(rest)["text"], "text"))
+    return joined.select(*own(docs, made), F.coalesce(F.size(F.when(F.col(removed).isNotNull(), F.col(removed))), F.lit(0)).alias(made[0]), F.coalesce(n_lines, F.lit(0)).alias(made[1]))
 
 
-def without_repeated_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts; rows that had a word and lost every line to earlier copies go."""
-    had = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    out = line_dedup(docs.withColumn("__had", had > 0), whole=whole)
-    return out.where((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) | ~F.col("__had")).select(*docs.columns)
+    had, *made = fresh("had", "chunks", "lines")
+    filled = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    out = line_dedup(docs.withColumn(had, filled), made=tuple(made))
+    return out.where(filled | ~F.col(had)).select(*own(docs))

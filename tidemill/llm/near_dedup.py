@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, bodies, text_key
+from .common import BLANKS, Scratch, bodies, fresh, own, text_key
 from .linking import link, repeated
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
@@ -186,9 +186,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the smallest doc_id (null last) stays, one of repeated rows."""
     rows, s = classes(docs)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"))
-    firsts = rows.where("comp is not null").groupBy(F.col("comp").alias("__comp")).agg(F.min(order).alias("o")).select("__comp", F.col("o.doc_id").alias("__d"), F.col("o.key").alias("__k"))
+    comp, d, k, key = fresh("comp", "d", "k", "key")
+    firsts = rows.where("comp is not null").groupBy(F.col("comp").alias(comp)).agg(F.min(order).alias("o")).select(comp, F.col("o.doc_id").alias(d), F.col("o.key").alias(k))
     firsts = s.save(firsts)
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    kept = keyed.join(firsts.hint("merge"), F.col("__d").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("__k") == F.col("__key")))
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    kept = keyed.join(firsts.hint("merge"), F.col(d).eqNullSafe(F.col("doc_id").cast("long")) & (F.col(k) == F.col(key)))
     blank = docs.where(F.length(F.translate(F.coalesce("text", F.lit("")), BLANKS, "")) == 0)
-    return kept.dropDuplicates(["__comp"]).select(*docs.columns).unionByName(blank)
+    return kept.dropDuplicates([comp]).select(*own(docs)).unionByName(blank)

@@ -97,10 +97,14 @@ WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resou
 SELECT page_id, strlen(rec)::BIGINT AS length, sha256(rec) AS digest, CASE WHEN mark % 211 = 0 THEN 'missing' WHEN mark % 97 = 0 OR mark % 89 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM r
 """
 
+#: In a run of adjacent boundaries every second counts, which is the rule for two lines.
+assert MIN_LINES == 2
 OP10 = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, md5(coalesce(text, '')) AS key, string_split(text, chr(10)) AS ln FROM documents),
 l AS (SELECT row, doc_id, key, i, ln[i + 1] AS line, len(ln) AS n, md5(ln[i + 1]) AS h, CASE WHEN i > 0 THEN md5(ln[i]) END AS h0 FROM (SELECT *, unnest(range(0, len(ln))) AS i FROM d WHERE text IS NOT NULL)),
-e AS (SELECT *, i = n - 1 OR (i > 0 AND ('0x' || substr(md5(h0 || h), 25, 8))::BIGINT % {1 << MASK_BITS} = 0) AS is_end FROM l),
+m AS (SELECT *, i > 0 AND ('0x' || substr(md5(h0 || h), 25, 8))::BIGINT % {1 << MASK_BITS} = 0 AS mark FROM l),
+z AS (SELECT *, i - row_number() OVER (PARTITION BY row, mark ORDER BY i) AS run FROM m),
+e AS (SELECT *, i = n - 1 OR (mark AND (i - min(i) OVER (PARTITION BY row, mark, run)) % 2 = 0 AND i < n - {MIN_LINES}) AS is_end FROM z),
 c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
 k AS (SELECT row, doc_id, key, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY 1, 2, 3, 4),
 f AS (SELECT *, rank() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST, key, start) AS r, n >= {MIN_LINES} AND length(body) >= {MIN_CHARS} AS big FROM k),

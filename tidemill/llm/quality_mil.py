@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, own
+
 PASSAGE, HIDDEN, ATTENTION, THRESHOLD = 128, 16, 8, 0.3
 MEASURES = ("words", "word_length", "distinct", "adjacent", "symbols", "marks", "stops", "digits", "capitals", "high_bytes", "initial_capitals")
 _SYMBOLS, _MARKS, _STOPS, _DIGITS, _CAPITALS = b"#*$%&|<>@^~=+_\\/[]{}", b"!?", b".,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -124,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bag: int =
     """A model learned from at most ``max_rows`` labelled rows that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where("crc32(cast(doc_id as string)) % 5 != 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
+    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    # where a doc_id repeats, the row whose text has the least hash
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text")).select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bag: int =
             bags = [b[np.unique(np.linspace(0, len(b) - 1, min(len(b), max_bag)).astype(int))] for b in bags]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "bag": [b.ravel() for b in bags]})
 
-    rows = texts.mapInPandas(encode, "doc_id long, quality int, bag array<float>").limit(2 * max_rows).toPandas()
+    rows = texts.mapInPandas(encode, "doc_id long, quality int, bag array<float>").toPandas()  # at most max_rows
     if not len(rows):
         return Model()
     rows = rows.assign(n=rows["bag"].map(len)).sort_values(["doc_id", "n"], kind="stable")
@@ -169,4 +173,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    return score(docs, fit(docs, labels, max_rows), "__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    (value,) = fresh("score")
+    return score(docs, fit(docs, labels, max_rows), value).where(F.col(value) >= threshold).select(*own(docs))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch
+from .common import LOWER, UPPER, Scratch, fresh
 
 MARKER, ATTRIBUTION = re.compile(r"(?:[ \t]*>)+"), re.compile(r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$")
 BLANK, SPACE, TO_LOWER = " \t\r\n", re.compile(r"[ \t\r\n]+"), str.maketrans(UPPER, LOWER)
@@ -85,8 +85,10 @@ def passage_links(units: DataFrame, s: Scratch, min_chars: int) -> DataFrame:
 def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
     """All rows and columns of messages with own_text, n_quoted and n_linked (passages), max_level, parent_turn, thread_turn, depth and path."""
     s = Scratch(messages.sparkSession)
-    base = s.save(messages.withColumn("__p", F.pandas_udf(parsed, PARSED)(F.col("text"))))
-    units = base.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode("__p.passages").alias("pos", "u")).select("c", "t", "pos", "u.*")
+    p, *inner = fresh("p", "c", "t", "parent", "n_linked", "top", "path")
+    c, t, parent, n_linked, top, path = inner
+    base = s.save(messages.withColumn(p, F.pandas_udf(parsed, PARSED)(F.col("text"))))
+    units = base.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode(F.col(p)["passages"]).alias("pos", "u")).select("c", "t", "pos", "u.*")
     units = s.save(units.withColumn("h", F.xxhash64("norm")).distinct())
     links = passage_links(units, s, min_chars)
     reply = links.groupBy("c", "t").agg(F.max(F.struct(-F.col("level"), F.col("weight"), F.col("origin"))).alias("best"), F.count("*").alias("n_linked"))
@@ -99,15 +101,15 @@ def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
         up = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    found = reply.join(up, ["c", "t"]).select(*[F.col(x).alias(f"__{x}") for x in ("c", "t", "parent", "n_linked", "top", "path")])
-    out = base.join(found, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
-    levels = F.filter(F.col("__p.passages.level"), lambda x: x > 0)
+    found = reply.join(up, ["c", "t"]).select(*[F.col(x).alias(name) for x, name in zip(("c", "t", "parent", "n_linked", "top", "path"), inner, strict=True)])
+    out = base.join(found, (F.col("conv_id") == F.col(c)) & (F.col("turn") == F.col(t)), "left")
+    levels = F.filter(F.col(p)["passages"]["level"], lambda x: x > 0)
     made = {
-        "own_text": F.col("__p.own_text"), "n_quoted": F.size(levels).cast("long"), "max_level": F.coalesce(F.array_max(levels), F.lit(0)).cast("long"), "n_linked": F.coalesce("__n_linked", F.lit(0)).cast("long"),
-        "parent_turn": F.col("__parent"), "thread_turn": F.coalesce("__top", F.col("turn").cast("long")), "depth": F.coalesce(F.size("__path"), F.lit(0)).cast("long"),
-        "path": F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.array(F.coalesce("__top", F.col("turn").cast("long"))), F.coalesce("__path", F.array().cast("array<bigint>")))),
+        "own_text": F.col(p)["own_text"], "n_quoted": F.size(levels).cast("long"), "max_level": F.coalesce(F.array_max(levels), F.lit(0)).cast("long"), "n_linked": F.coalesce(n_linked, F.lit(0)).cast("long"),
+        "parent_turn": F.col(parent), "thread_turn": F.coalesce(top, F.col("turn").cast("long")), "depth": F.coalesce(F.size(path), F.lit(0)).cast("long"),
+        "path": F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.array(F.coalesce(top, F.col("turn").cast("long"))), F.coalesce(path, F.array().cast("array<bigint>")))),
     }
-    return out.select(*[c for c in messages.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    return out.select(*[F.col(f"`{x}`") for x in messages.columns if x not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def mailbox(conversations: DataFrame) -> DataFrame:
@@ -126,6 +128,7 @@ def mailbox(conversations: DataFrame) -> DataFrame:
     quote = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(shape(text), "\n", f"\n{marks}"))
     wrote = lambda role: F.concat(F.coalesce(F.col(role), F.lit("someone")), F.lit(" wrote:\n"))
     nested = F.when(F.col("g_text").isNotNull(), F.concat(F.lit("\n> "), wrote("g_role"), quote("g_text", "> > "))).otherwise("")
-    tail = both.select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), F.concat(F.lit("\n\nIn an earlier mail "), wrote("p_role"), quote("p_text", "> "), nested).alias("__tail"))
-    out = conversations.join(tail, (F.col("conv_id") == F.col("__c")) & (F.col("turn") == F.col("__t")), "left")
-    return out.withColumn("text", F.when(F.col("__tail").isNotNull(), F.concat(F.coalesce("text", F.lit("")), "__tail")).otherwise(F.col("text"))).drop("__c", "__t", "__tail")
+    c, t, end = fresh("c", "t", "tail")
+    tail = both.select(F.col("conv_id").alias(c), F.col("turn").alias(t), F.concat(F.lit("\n\nIn an earlier mail "), wrote("p_role"), quote("p_text", "> "), nested).alias(end))
+    out = conversations.join(tail, (F.col("conv_id") == F.col(c)) & (F.col("turn") == F.col(t)), "left")
+    return out.withColumn("text", F.when(F.col(end).isNotNull(), F.concat(F.coalesce("text", F.lit("")), end)).otherwise(F.col("text"))).drop(c, t, end)
