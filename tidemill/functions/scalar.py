@@ -43,7 +43,7 @@ def norm(v: Column) -> Column:
 
 def feature_group(name: Column) -> Column:
     """economic, dynamic or distribution, by the feature's name."""
-    return F.when(name.isin("lmp_mean", "lmp_p95", "lmp_std"), "economic").when(name.startswith("acf_") | name.isin("vol_24h", "alpha"), "dynamic").otherwise("distribution")
+    return F.when(name.isin("lmp_mean", "lmp_p95", "lmp_std"), "economic").when(name.startswith("acf_"), "dynamic").otherwise("distribution")
 
 
 def calibrated_shock(std: Column, alpha: Column) -> Column:

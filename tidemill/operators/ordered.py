@@ -129,3 +129,30 @@ def ranked(df: DataFrame, column: str, name: str = "rank", keys: list[str] | Non
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return df.join(placed, on, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, column: str, points: dict[str, float], keys: list[str] | None = None, pieces: int | None = None) -> DataFrame:
+    """keys, n and one column for each name -> share of ``points``: exact quantiles, linear between neighbours, of each group, all in one pass.
+
+    Values are counted and put in order over all groups together, so no group's values meet in one task; null values are left out.
+    """
+    keys = keys or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    placed = running(positions(counts, [column], keys, "_at", pieces), {"_upto": ("sum", "_n")}, keys, "_at")
+    placed = Scratch(df.sparkSession).save(placed)
+    sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    rows = placed.join(sizes, keys) if keys else placed.join(F.broadcast(sizes))
+    at = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in points.items()}
+    ends = [F.min(F.when(F.col("_upto") > f(c), F.col(column))).alias(f"_{side}_{name}") for name, c in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*keys, "n").agg(*ends)
+    between = [(F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (c - F.floor(c))).alias(name) for name, c in at.items()]
+    return found.select(*keys, "n", *between)
+
+
+def groups_of(df: DataFrame, order: list[str], k: int, name: str) -> DataFrame:
+    """Adds ``name``: 0 to k - 1, groups of equal size in the given order, the first ones one larger where it does not divide."""
+    n = df.count()
+    q, r = divmod(n, k)
+    at = F.col("_at")
+    group = F.when(at < (q + 1) * r, F.floor(at / (q + 1))).otherwise(r + F.floor((at - r * (q + 1)) / max(q, 1)))
+    return positions(df, order, name="_at").withColumn(name, group.cast("int")).drop("_at")

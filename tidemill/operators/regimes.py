@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TINY
-from .ordered import ranked
+from ..sources.scratch import Scratch
+from .ordered import quantiles, ranked
 
 
 def eta_squared(df: DataFrame, value: str, labels: list[str], by: list[str] | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def summary(df: DataFrame, label: str, values: list[str]) -> DataFrame:
 def box(df: DataFrame, label: str, value: str) -> DataFrame:
     """(label, n, q1, median, q3, low and high whisker, fliers): exact quartiles, whiskers within 1.5 of the interquartile range."""
     ok = df.where((F.col(label) >= 0) & F.col(value).isNotNull())
-    q = ok.groupBy(label).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = Scratch(df.sparkSession).save(quantiles(ok, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label]))
     near = (F.col(value) >= F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) & (F.col(value) <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     ends = ok.join(q, label).groupBy(label).agg(F.min(F.when(near, F.col(value))).alias("whisker_low"), F.max(F.when(near, F.col(value))).alias("whisker_high"), F.count_if(~near).alias("fliers"))
     return q.join(ends, label)
@@ -102,6 +103,41 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
     return df.where(F.col(value).isNotNull()).join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row
 
 
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """One row: count, mean, std (of a sample), min, the quartiles and max of a column; nulls are left out."""
+    one = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = quantiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
+    return one.join(F.broadcast(q), how="left").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row
+
+
+def of_cells(cells: DataFrame, value: str, label: str) -> DataFrame:
+    """One row: eta2, how far ``label`` tells a value of cells apart, each cell counting once; rho and p, its rank correlation with it."""
+    return eta_squared(cells, value, [label]).join(F.broadcast(spearman(cells, label, value)))
+
+
+def evidence(df: DataFrame, labels: list[str], values: list[str]) -> DataFrame:
+    """(label, regime, place, value, n, mean and box) for each partition and value: regimes in order of the partition's own, its first-named, value."""
+    out = None
+    for label, own in zip(labels, values, strict=True):
+        order = ranks(df, label, own, "place").select(label, "place")
+        for value in values:
+            mean = df.where(F.col(label) >= 0).groupBy(label).agg(F.avg(value).alias("mean"))
+            t = box(df, label, value).join(mean, label).join(order, label)
+            t = t.select(F.lit(label).alias("partition"), F.concat(F.upper(F.lit(label)), F.col(label)).alias("regime"), "place", F.lit(value).alias("value"), "n", "mean", "q1", "median", "q3", "whisker_low", "whisker_high")
+            out = t if out is None else out.union(t)
+    return out
+
+
+def label_of(regime: Column) -> Column:
+    """The number in a regime's name, as E3 or D12."""
+    return F.substring(regime, 2, 20).cast("int")
+
+
+def heat_map(cells: DataFrame, rows: DataFrame, columns: DataFrame, value: str, e: str = "e", d: str = "d") -> DataFrame:
+    """(e_place, d_place, value) of the cells on axes in the order of two tables (label, rank)."""
+    return cells.join(rows.select(e, F.col("rank").alias("e_place")), e).join(columns.select(d, F.col("rank").alias("d_place")), d).select("e_place", "d_place", e, d, "n", value)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for each pair of columns, the later one first: the lower triangle, from one aggregate pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]

@@ -142,13 +142,6 @@ def label_join(spark, sf):
     return rounded(a.join(c, "datetime").join(branches(spark, sf).select("datetime", "lmp"), "datetime").join(t.select("datetime", "acf_6h"), "datetime"))
 
 
-@query(", q AS (SELECT min(datetime) AS t0 FROM h), z AS (SELECT unnest(range(0, 800)) AS k) SELECT t0 + to_hours(k) AS datetime, round(h.lmp, 6) AS lmp FROM q, z LEFT JOIN h ON h.datetime = t0 + to_hours(k)")
-def grid_left_join(spark, sf):
-    h = hourly_series(spark, sf)
-    start = h.agg(F.min("datetime").cast("string")).first()[0]
-    return rounded(series.on_grid(date_axis(spark, start, 800), h))
-
-
 ETA = "SELECT round(sum(n * pow(m - gm, 2)) / (sum(n * pow(m - gm, 2)) + sum(v)), 6) AS eta2 FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS gm FROM ({})) "
 
 
@@ -168,15 +161,6 @@ def eta_squared_lineitem(spark, sf):
     return rounded(regimes.eta_squared(t, "l_extendedprice", ["a", "b"]))
 
 
-@query(""", f AS (SELECT window_id, e, d, unnest([lmp_mean, alpha, sigma, peak]) AS v, unnest(['lmp_mean', 'alpha', 'sigma', 'peak']) AS feature FROM l),
-g1 AS (SELECT feature, e, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS q FROM f GROUP BY 1, 2), g2 AS (SELECT feature, d, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS q FROM f GROUP BY 1, 2),
-t1 AS (SELECT feature, sum(n * pow(m - gm, 2)) / (sum(n * pow(m - gm, 2)) + sum(q)) AS x FROM (SELECT *, sum(n * m) OVER z / sum(n) OVER z AS gm FROM g1 WINDOW z AS (PARTITION BY feature)) GROUP BY 1),
-t2 AS (SELECT feature, sum(n * pow(m - gm, 2)) / (sum(n * pow(m - gm, 2)) + sum(q)) AS x FROM (SELECT *, sum(n * m) OVER z / sum(n) OVER z AS gm FROM g2 WINDOW z AS (PARTITION BY feature)) GROUP BY 1)
-SELECT feature, round(t1.x, 3) AS eta2_e, round(t2.x, 3) AS eta2_d, CASE WHEN feature LIKE 'lmp%' THEN 'economic' WHEN feature = 'alpha' THEN 'dynamic' ELSE 'distribution' END AS kind FROM t1 JOIN t2 USING (feature)""")
-def eta_table(spark, sf):
-    return regimes.eta_table(described(spark, sf), ["lmp_mean", "alpha", "sigma", "peak"], {"eta2_e": "e", "eta2_d": "d"}).withColumn("kind", scalar.feature_group(F.col("feature")))
-
-
 @query(""", c AS (SELECT e, d, count(*) AS n FROM l GROUP BY 1, 2), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY e)) AS i,
 (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY d)) AS j, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS t) SELECT round((ij - i * j / t) / ((i + j) / 2 - i * j / t), 6) AS ari FROM x""")
 def adjusted_rand(spark, sf):
@@ -227,28 +211,6 @@ def histogram_100(spark, sf):
     return rounded(regimes.histogram(table(spark, sf, "lineitem"), "l_extendedprice"))
 
 
-@query("SELECT a, b, round(c, 6) AS corr FROM (SELECT unnest(['discount', 'tax', 'tax']) AS a, unnest(['quantity', 'quantity', 'discount']) AS b, unnest([corr(l_discount, l_quantity), corr(l_tax, l_quantity), corr(l_tax, l_discount)]) AS c FROM lineitem)", base=False)
-def correlation_matrix(spark, sf):
-    t = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return rounded(regimes.correlations(t, ["quantity", "discount", "tax"]))
-
-
-@query("SELECT count(*) FILTER (ts IS NULL)::BIGINT AS ts, count(*) FILTER (value IS NULL)::BIGINT AS value, count(*) FILTER (props IS NULL)::BIGINT AS props FROM events", base=False)
-def null_counts(spark, sf):
-    return rounded(regimes.null_counts(table(spark, sf, "events").select("ts", "value", "props")))
-
-
-@query(", rx AS (SELECT rank() OVER (ORDER BY lmp_mean) + (count(*) OVER (PARTITION BY lmp_mean) - 1) / 2.0 AS x, rank() OVER (ORDER BY alpha) + (count(*) OVER (PARTITION BY alpha) - 1) / 2.0 AS y FROM l) SELECT count(*)::BIGINT AS n, round(corr(x, y), 6) AS rho FROM rx")
-def spearman(spark, sf):
-    return rounded(regimes.spearman(described(spark, sf), "lmp_mean", "alpha").drop("p"))
-
-
-@query(", c AS (SELECT e, d, count(*) AS n, avg(alpha) AS alpha FROM l GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY alpha, 10 * e + d) - 1 AS rn, count(*) OVER () AS m FROM c) SELECT e::BIGINT AS e, d::BIGINT AS d, n::BIGINT AS n, round(alpha, 6) AS alpha, rn::BIGINT AS place FROM o WHERE rn IN (0, m // 2, m - 1)")
-def cell_pick(spark, sf):
-    t = regime_models.alpha_cells(described(spark, sf), min_windows=1).drop("half_life").withColumn("tie", 10 * F.col("e") + F.col("d"))
-    return rounded(regimes.first_middle_last(t, "alpha", "tie").drop("tie"))
-
-
 AR1 = "round(-ln(2) / ln(abs({0})), 6)"
 
 
@@ -270,11 +232,6 @@ def ar1_by_ed(spark, sf):
     return rounded(regime_models.cells(price_pairs(spark, sf), ["e", "d"]))
 
 
-@query(", c AS (SELECT e, d, regr_slope(y, x) AS phi, stddev_pop(dp) AS sig_dp FROM pe GROUP BY 1, 2 HAVING count(*) >= 30) SELECT e::BIGINT AS e, count(*)::BIGINT AS n_cells, round(min(phi), 6) AS phi_min, round(max(phi), 6) AS phi_max, round(min(sig_dp), 6) AS sig_dp_min, round(max(sig_dp), 6) AS sig_dp_max FROM c GROUP BY 1 HAVING count(*) > 1")
-def ar1_phi_range(spark, sf):
-    return rounded(regime_models.ranges_inside(regime_models.cells(price_pairs(spark, sf), ["e", "d"])))
-
-
 @query(""", fe AS (SELECT e, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM p GROUP BY 1 HAVING count(*) >= 30), fd AS (SELECT e, d, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM p GROUP BY 1, 2 HAVING count(*) >= 30),
 r AS (SELECT 'phi_E' AS model, 2 * (SELECT count(*) FROM fe) AS params, y - c - phi * x AS z FROM p JOIN fe USING (e) UNION ALL SELECT 'phi_ED', 2 * (SELECT count(*) FROM fd), y - fd.c - fd.phi * x FROM p JOIN fd USING (e, d)),
 m AS (SELECT model, params, count(*) AS n, sqrt(avg(z * z)) AS rmse, kurtosis_pop(z) + 3 AS kurtosis, -count(*) / 2.0 * (ln(2 * pi() * var_pop(z)) + 1) AS loglik FROM r GROUP BY 1, 2)
@@ -290,25 +247,6 @@ def bic_gaussian(spark, sf):
     return rounded(regime_models.gaussian_bic(described(spark, sf), "alpha", {"E": ["e"], "ED": ["e", "d"]}, "e"))
 
 
-ALPHA = ", c AS (SELECT e, d, count(*) AS n, avg(alpha) AS alpha FROM l GROUP BY 1, 2 HAVING count(*) >= 2) "
-
-
-@query(ALPHA + "SELECT e::BIGINT AS e, d::BIGINT AS d, n::BIGINT AS n, round(alpha, 6) AS alpha, CASE WHEN alpha < 1 THEN round(-ln(2) / ln(1 - alpha), 6) ELSE 'inf'::DOUBLE END AS half_life FROM c")
-def alpha_cells(spark, sf):
-    return rounded(regime_models.alpha_cells(described(spark, sf), min_windows=2))
-
-
-@query(ALPHA + "SELECT c.e::BIGINT AS e, count(*)::BIGINT AS n_cells, round(min(c.alpha), 6) AS alpha_min, round(max(c.alpha), 6) AS alpha_max, round(any_value(m.a), 6) AS alpha_mean, CASE WHEN any_value(m.a) < 1 THEN round(-ln(2) / ln(1 - any_value(m.a)), 6) ELSE 'inf'::DOUBLE END AS half_life_mean FROM c JOIN (SELECT e, avg(alpha) AS a FROM l GROUP BY 1) m ON m.e = c.e GROUP BY c.e")
-def alpha_range(spark, sf):
-    t = described(spark, sf)
-    return rounded(regime_models.alpha_range(regime_models.alpha_cells(t, min_windows=2), t))
-
-
-@query(ALPHA + "SELECT e::BIGINT AS e, round(avg(alpha), 6) AS alpha_plain, round(sum(alpha * n) / sum(n), 6) AS alpha_weighted FROM c GROUP BY 1")
-def alpha_means(spark, sf):
-    return rounded(regime_models.alpha_means(regime_models.alpha_cells(described(spark, sf), min_windows=2)))
-
-
 @query(", f AS (SELECT e, count(*) AS n, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM p WHERE e0 >= 0 GROUP BY 1 HAVING count(*) >= 30) SELECT f.e::BIGINT AS e, any_value(n)::BIGINT AS n, round(any_value(phi), 6) AS phi, round(any_value(c), 6) AS c, round(stddev_pop(y - c - phi * x), 6) AS sigma FROM p JOIN f ON f.e = p.e WHERE e0 >= 0 GROUP BY f.e")
 def mc_parameters(spark, sf):
     return rounded(regime_models.simulation_parameters(labelled_hours(spark, sf), ["e"]))
@@ -373,12 +311,6 @@ def calibrated_shocks(spark, sf):
     return rounded(described(spark, sf).select("window_id", scalar.calibrated_shock(F.col("sigma_r"), F.col("alpha")).alias("shock")))
 
 
-@query(", r AS (SELECT e, count(*) AS n, kurtosis_pop(dp) + 3 AS kurt FROM p GROUP BY 1) SELECT e::BIGINT AS e, n::BIGINT AS n, round(kurt, 6) AS kurt, CASE WHEN abs(kurt - 4) < abs(kurt - 3) THEN 'ED' WHEN abs(kurt - 3) < abs(kurt - 4) THEN 'E' ELSE 'tie' END AS winner FROM r")
-def kurtosis_by_e(spark, sf):
-    k = price_pairs(spark, sf).groupBy("e").agg(F.count("*").alias("n"), scalar.kurtosis(F.col("dp")).alias("kurt"))
-    return rounded(k.withColumn("winner", scalar.winner(F.col("kurt") - 3, F.col("kurt") - 4)))
-
-
 # What SQL does not express: checked by rows here, by value in tests.
 
 
