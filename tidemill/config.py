@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
+    #: The settings of the study.
     window: int = 512
     stride: int = 6
     periods: tuple[int, ...] = (24, 168, 8760)
@@ -21,4 +22,5 @@ class Config:
     min_kurtosis_hours: int = 50
     n_sim: int = 1000
     seed: int = 42
+    #: The names of the features in the outputs.
     features: tuple[str, ...] = field(default=("mean", "std", "skew", "kurt", "min", "max", "range", "median", "p5", "p95", "iqr", "vol_24h", "lmp_mean", "lmp_p95", "lmp_std"))
