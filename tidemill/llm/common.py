@@ -27,9 +27,14 @@ def fresh(*names: str) -> list[str]:
     return [f"{n}_{end}" for n in names]
 
 
-def own(docs: DataFrame, made: tuple[str, ...] = ()) -> list[Column]:
-    """The columns of docs as they are; one that has the name of a ``made`` column comes under ``docs_`` and that name."""
-    return [F.col(f"`{c}`").alias(f"docs_{c}" if c in made else c) for c in docs.columns]
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of docs as they are."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def beside(docs: DataFrame, made: tuple[str, ...], prefix: str) -> list[str]:
+    """Names for columns that are made beside those of docs: a name that docs has takes the prefix."""
+    return [f"{prefix}{c}" if c in docs.columns else c for c in made]
 
 
 def let(value: Column, body) -> Column:

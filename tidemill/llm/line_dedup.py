@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, let, own
+from .common import Scratch, beside, fresh, let, own
 
 MASK_BITS, MIN_LINES, MIN_CHARS = 1, 2, 40
 
@@ -77,7 +77,7 @@ def repeated_chunks(docs: DataFrame, mask_bits: int, min_lines: int, min_chars:
 def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, made: tuple[str, str] = ("_n_removed", "_lines_removed")) -> DataFrame:
     """All rows and columns of docs with the cleaned ``text``, and in columns named ``made`` the numbers of chunks and lines that were removed.
 
-    A column of docs that has one of these names comes back as it was under ``docs_`` and its name.
+    Where docs has one of these names, its column comes back as it was, and the new one is named ``new`` and that name.
     """
     least = min_lines
     d, k, removed, n_lines, rest = fresh("d", "k", "removed", "lines", "rest")
@@ -96,7 +96,8 @@ def line_dedup(docs: DataFrame, mask_bits: int = MASK_BITS, min_lines: int = MIN
     kept = let(chunks(F.col("text"), mask_bits, least), lambda c: F.struct(F.size(c).alias("n"), F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col(removed), x["start"])), lambda x: x["text"]), "\n").alias("text")))
     joined = joined.withColumn(rest, F.when(F.col(removed).isNotNull(), kept))
     joined = joined.withColumn("text", F.coalesce(F.col(rest)["text"], "text"))
-    return joined.select(*own(docs, made), F.coalesce(F.size(F.when(F.col(removed).isNotNull(), F.col(removed))), F.lit(0)).alias(made[0]), F.coalesce(n_lines, F.lit(0)).alias(made[1]))
+    chunks_name, lines_name = beside(docs, made, "new")
+    return joined.select(*own(docs), F.coalesce(F.size(F.when(F.col(removed).isNotNull(), F.col(removed))), F.lit(0)).alias(chunks_name), F.coalesce(n_lines, F.lit(0)).alias(lines_name))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:

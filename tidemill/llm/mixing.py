@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, fresh, own, text_key
+from .common import BLANKS, Scratch, beside, fresh, own, text_key
 
 BINS, ROUNDS, FILLS = 1 << 16, 1, 3
 #: Words are whole numbers; a gap is one but for rounding.
@@ -149,10 +149,10 @@ def _narrow(pool: DataFrame, cuts: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, with size, source_size, target, copies and taken; rows with equal doc_id and text count once.
 
-    A column of docs that has one of these names comes back as it was under ``docs_`` and its name.
+    The columns of docs come back as they were; where docs has one of these names, the mix's column is named ``mix_`` and that name.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     d, k, *inner = fresh("d", "k", *made)
     m = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias(d), F.col("key").alias(k), *[F.col(c).alias(x) for c, x in zip(made, inner, strict=True)]).dropDuplicates([d, k])
     out = docs.join(m, F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)))
-    return out.select(*own(docs, made), *[F.col(x).alias(c) for c, x in zip(made, inner, strict=True)])
+    return out.select(*own(docs), *[F.col(x).alias(c) for c, x in zip(beside(docs, made, "mix_"), inner, strict=True)])
