@@ -126,10 +126,68 @@ def test_passages_equal_brute_force(spark, docs_of, words, seed):
         assert (out[i].n_dup_words > 0) == bool(windows) and out[i].n_dup_words <= len(most)
         mine = {p for x in out[i].passages or [] for p in range(x.s, x.e + 1)}
         assert len(mine) == out[i].n_dup_words and mine <= most
-        # what is missing lies at the ends of a passage: broken shingles, or less than a run beyond a representative
+        assert mine >= exact_words(texts, i)
+        # of edited windows, what is missing lies at the ends of a passage: broken shingles, or less than a run beyond a representative
         assert len(most - mine) <= 2 * 20 * max(1, out[i].n_passages)
 
 
+def exact_words(texts, i, size=50):
+    """The words of text i in windows that another text holds as they are, or all if it has a copy."""
+    windows = lambda w: [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+    others = {w for t in set(texts) - {texts[i]} for w in windows(t.split())}
+    mine = texts[i].split()
+    if len(mine) >= size and texts.count(texts[i]) > 1:
+        return set(range(len(mine)))
+    return {k + j for k, w in enumerate(windows(mine)) if w in others for j in range(size)}
+
+
+def test_no_exact_repeat_is_missed(spark, docs_of, words):
+    g = random.Random(5)
+    phrase, longer = words(7, 600), words(700, 601)
+    # texts that repeat a word or a phrase for long, also beyond a segment, and stretches of one class that meet in other pairs
+    texts = [" ".join(words(30, k) + ["no"] * n + words(20, 40 + k)) for k, n in enumerate((48, 50, 60, 700, 1300))]
+    texts += [" ".join(words(10, 80 + k) + phrase * n + words(15, 90 + k)) for k, n in enumerate((7, 8, 20, 200))]
+    for k in range(24):
+        a, b = sorted(g.sample(range(700), 2))
+        texts.append(" ".join(words(g.randint(0, 60), 100 + k) + longer[a:b] + ["no"] * g.choice([0, 55, 90]) + longer[b : b + g.randint(40, 70)]))
+    out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
+    found = {i: {p for x in out[i].passages or [] for p in range(x.s, x.e + 1)} for i in out}
+    for i in out:
+        want = exact_words(texts, i)
+        assert found[i] >= want, (i, sorted(want - found[i])[:9])
+    assert not found[0] - set(range(25, 83)) and len(found[4]) >= 1300 and len(found[8]) >= 1400
+
+
+def test_anchored_items_hold_each_window_once():
+    g = np.random.default_rng(4)
+    doc = np.repeat([0, 1, 2, 3], [150, 30, 46, 400])
+    for most in (2, 30, 2**62):
+        x = g.integers(0, most, len(doc)).astype(np.uint64)
+        x[300:500] = x[60:260] if most == 2 else x[0:200]
+        d, key, content, c, lo, hi = substring_dedup.anchored(x, doc)
+        assert (np.diff(d) >= 0).all() and (doc[c] == d).all() and (np.abs(np.concatenate([lo - c, hi - c])) < 128).all()
+        got = sorted(s for a, b in zip(lo, hi) for s in range(a, b + 1))
+        assert got == [s for s in range(len(x) - 45) if doc[s] == doc[s + 45]]
+        keys, of = {}, {}
+        for k, h, a, b in zip(key, content, lo, hi):
+            of.setdefault(h, set()).add(x[a : b + 46].tobytes())
+            for s in range(a, b + 1):
+                keys.setdefault(x[s : s + 46].tobytes(), set()).add(k)
+        # equal windows have one key; equal hashes are equal contents
+        assert all(len(v) == 1 for v in keys.values()) and all(len(v) == 1 for v in of.values())
+
+
+def test_labels_are_extended_as_if_made_anew(spark, docs_of):
+    from tidemill.llm.common import Scratch, components, extended
+
+    g, s = random.Random(9), Scratch(spark)
+    edges = [(g.randrange(60), g.randrange(60)) for _ in range(45)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {tuple(r) for r in components(s, table(edges)).collect()}
+    for cut in (0, 20, 45):
+        assert {tuple(r) for r in extended(s, components(s, table(edges[:cut])), table(edges[cut:])).collect()} == want
+
+
 def test_passage_edges(spark, docs_of, words):
     shared, other = words(70, 900), words(120, 901)
     texts = [" ".join(words(80, k) + shared + words(30, 50 + k)) for k in range(6)]

@@ -110,3 +110,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         left, labels = nxt, new
     scratch.drop(left)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, comp long")
+
+
+def extended(scratch: Scratch, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, comp), as ``components`` makes them, after ``edges(a, b)`` more; only labels are walked again."""
+    for end in "ab":
+        up = labels.select(F.col("node").alias(end), F.col("comp").alias("up"))
+        edges = edges.join(up.hint("merge"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+    more = components(scratch, edges)
+    new = more.join(labels.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    up = more.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return scratch.save(labels.union(new).join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))

@@ -20,9 +20,15 @@ the bucket that may still join two classes. A comparison is made on the shingles
 diagonal of two anchors: windows of T shingles, SIMILARITY of them found in the other text within
 SHIFT places of the diagonal. Verified windows are the passages, and link their texts.
 
-Classes are exact, and a row has a passage if it has any. Which of its words are in passages is
-told by the pairs that were compared, of which there are few a text: passages may be
-longer, or more, where texts of one class share still other words with each other.
+Words that repeat exactly are counted apart from links, all of them: every window of T shingles has
+its least shingle as anchor, and holds the HALF shingles before it or HALF + 2 after it. Anchors that share
+such a side are grouped by all that their windows cover; equal contents repeat whole, and of each other
+content one item's windows are compared one by one, by 64-bit hashes. No pairs are made. So a word in an exact
+window of MIN_WORDS words that another text holds is in a passage, also in texts that repeat themselves.
+
+Classes are exact, and a row has a passage if it has any. Which words of edited windows are in passages is
+told by the pairs that were compared, of which there are few a text: such passages may be
+longer where texts of one class share still other edited words with each other.
 
 Exact copies are one text from the start: all words of a copied text that is long
 enough are repeated, and it is in a class with its copies. Texts are told apart by 64 bits of
@@ -44,7 +50,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bodies, components, text_key
+from .common import Scratch, bodies, components, extended, text_key
 from .shingles import GOLDEN, WordHashes, mix, shingles
 
 WIDTH, MIN_WORDS, SIMILARITY, SHIFT, CHUNK = 5, 50, 0.8, 8, 200_000
@@ -53,8 +59,10 @@ NEED = math.ceil(2 * T * SIMILARITY / (1 + SIMILARITY))  # shingles that two sim
 MISSES = T - NEED  # fewer than two gaps of WIDTH - 1 shingles
 RUN = -(-NEED // 2)  # consecutive shingles on one side of the only gap
 REACH = T - 1  # a window that holds an anchor reaches so far
+HALF = T // 2 - 1  # a window of T shingles holds so many before its anchor, or HALF + 2 after it
 SEGMENT, PAD, ROUNDS = 512, REACH + SHIFT, 3
 SALT = np.uint64(0xA0761D6478BD642F)
+INVERSE = np.uint64(pow(int(GOLDEN), -1, 2**64))
 
 
 def sliding(x: np.ndarray, t: int, least: bool = True) -> np.ndarray:
@@ -114,6 +122,39 @@ def cells(x: np.ndarray, doc: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.
     return doc[starts][keep], key[keep], a[keep]
 
 
+class Stretches:
+    """Hashes of stretches of x: a polynomial modulo 2^64 whose differences of prefixes are moved to place 0."""
+
+    def __init__(self, x: np.ndarray):
+        with np.errstate(over="ignore"):
+            powers, self.back = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(x), b)])) for b in (GOLDEN, INVERSE))
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x) * powers[:-1], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[stop] - self.total[start]) * self.back[start] + (stop - start).astype(np.uint64))
+
+
+def anchored(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, key of the side, hash of the content, anchor, first and last start) of the windows of T shingles of x, by anchors and the side they hold."""
+    if len(x) < T:
+        return tuple(np.zeros(0, k) for k in (int, np.uint64, np.uint64, int, int, int))
+    first, anchor = compact_windows(mix(x), T)
+    starts = np.unique(np.concatenate([first, np.flatnonzero(np.diff(doc, prepend=-1))]))
+    ends = np.searchsorted(doc, doc[starts], "right") - T
+    stops = np.minimum(np.append(starts[1:] - 1, len(x)), ends)
+    some = starts <= stops
+    starts, stops = starts[some], stops[some]
+    a = anchor[np.searchsorted(first, starts, "right") - 1]
+    hashes, out = Stretches(x), []
+    for lo, hi, begin, end, salt in ((starts, np.minimum(stops, a - HALF), a - HALF, a + 1, np.uint64(0)), (np.maximum(starts, a - HALF + 1), stops, a, a + HALF + 3, SALT)):
+        k = np.flatnonzero(lo <= hi)
+        out.append((doc[lo[k]], hashes.of(begin[k], end[k]) ^ salt, hashes.of(lo[k], hi[k] + T), a[k], lo[k], hi[k]))
+    out = [np.concatenate(c) for c in zip(*out)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(c[order] for c in out)
+
+
 def _runs(texts) -> Iterator[list[int]]:
     run, size = [], 0
     for i, t in enumerate(texts):
@@ -134,10 +175,29 @@ def cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             each = [words.of(t) for t in part["text"]]
             rows = [shingles(w, WIDTH) if len(w) >= MIN_WORDS else w[:0] for w in each]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            d, k, a = cells(np.concatenate(rows), np.repeat(np.arange(len(rows)), np.diff(offsets)))
+            x, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), np.diff(offsets))
+            d, k, a = cells(x, doc)
             k, a = k.view(np.int64), (a - offsets[d]).astype(np.int32)
             cut = np.searchsorted(d, np.arange(1, len(rows)))
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "key": part["key"].to_numpy(), "n_words": [len(w) for w in each], "bkeys": np.split(k, cut), "anchors": np.split(a, cut)})
+            out = {"doc_id": part["doc_id"].astype("Int64"), "key": part["key"].to_numpy(), "n_words": [len(w) for w in each], "bkeys": np.split(k, cut), "anchors": np.split(a, cut)}
+            d, e, h, c, lo, hi = anchored(x, doc)
+            cut = np.searchsorted(d, np.arange(1, len(rows)))
+            parts = {"ekeys": e.view(np.int64), "contents": h.view(np.int64), "places": (c - offsets[d]).astype(np.int32), "los": (lo - c).astype(np.int8), "his": (hi - c).astype(np.int8)}
+            yield pd.DataFrame(out | {name: np.split(v, cut) for name, v in parts.items()})
+
+
+def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash and start, counted from the anchor c, of each window of T shingles of an item of a segment x."""
+    for batch in batches:
+        rows = []
+        for x, c, lo, hi in zip(batch["x"], batch["c"], batch["lo"], batch["hi"], strict=True):
+            at = c % SEGMENT + PAD
+            starts = np.arange(at + lo, at + hi + 1)
+            rows.append((Stretches(x.view(np.uint32).astype(np.uint64)).of(starts, starts + T).view(np.int64), starts - at))
+        sizes = [len(w) for w, _ in rows]
+        out = batch[["ekey", "content", "least", "most"]].loc[batch.index.repeat(sizes)].reset_index(drop=True)
+        out["w"], out["at"] = (np.concatenate(v) for v in zip(*rows)) if rows else ([], [])
+        yield out.astype({"w": "int64", "at": "int32"})
 
 
 def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,11 +291,45 @@ def _held(good: np.ndarray, at: np.ndarray) -> np.ndarray:
 PASSAGE = "array<struct<s:int,e:int>>"
 
 
+class ExactRepeats:
+    """Windows of T shingles that several texts hold: ``found`` (node, s, e) of their words and ``edges`` (a, b) of their texts, once ``run``."""
+
+    def __init__(self, s: Scratch, made: DataFrame):
+        self.s = s
+        zipped = F.explode(F.arrays_zip("ekeys", "contents", "places", "los", "his")).alias("x")
+        names = {"ekeys": "ekey", "contents": "content", "places": "c", "los": "lo", "his": "hi"}
+        each = made.select("node", zipped).select("node", *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
+        keys = s.save(each.groupBy("ekey").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("ekey"))
+        self.items = s.save(each.join(keys.hint("merge"), "ekey", "left_semi").distinct())
+        # one row a content, however many items have it
+        one = self.items.groupBy("ekey", "content").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("node", "c", "lo", "hi")).alias("i"))
+        self.contents = s.save(one.select("ekey", "content", "least", "most", "i.*").withColumn("q", F.floor(F.col("c") / SEGMENT).cast("int")))
+        several = s.save(self.contents.groupBy("ekey").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b").select("ekey"))
+        self.open = s.save(self.contents.join(several.hint("merge"), "ekey", "left_semi"))
+        s.drop(keys, several)
+
+    def run(self, segments: DataFrame) -> None:
+        s = self.s
+        around = self.open.join(segments.hint("merge"), ["node", "q"]).select("ekey", "content", "least", "most", "c", "lo", "hi", "x")
+        windows = s.save(around.mapInPandas(window_rows, "ekey long, content long, least long, most long, w long, at int"))
+        shared = s.save(windows.groupBy("ekey", "w").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("ekey", "w", "first"))
+        met = s.save(windows.join(shared.hint("merge"), ["ekey", "w"]).groupBy("ekey", "content").agg(F.min("at").alias("from"), F.max("at").alias("to"), F.collect_set("first").alias("firsts")))
+        # an item's windows all hold one side of its anchor, so the first and the last repeated one tell the words of all
+        whole = self.contents.where("least < most").select("ekey", "content", F.col("lo").cast("int").alias("from"), F.col("hi").cast("int").alias("to"), "least")
+        part = met.join(self.contents.where("least = most").select("ekey", "content", "least").hint("merge"), ["ekey", "content"]).select("ekey", "content", "from", "to", "least")
+        spans = s.save(whole.union(part))
+        every = s.save(self.items.select("ekey", "content", "node", "c").join(spans.hint("merge"), ["ekey", "content"]).select("node", (F.col("c") + F.col("from")).alias("s"), (F.col("c") + F.col("to") + T + WIDTH - 2).alias("e"), "least"))
+        across = met.join(self.contents.select("ekey", "content", "least").hint("merge"), ["ekey", "content"]).select(F.col("least").alias("a"), F.explode("firsts").alias("b"))
+        self.edges = s.save(every.select(F.col("node").alias("a"), F.col("least").alias("b")).union(across).where("a != b").distinct())
+        self.found = s.save(every.select("node", "s", "e").distinct())
+        s.drop(windows, shared, met, spans, every, self.items, self.contents, self.open)
+
+
 class Comparison:
     """Rounds of comparisons of items, (bkey, node, c), with representatives of their buckets."""
 
-    def __init__(self, s: Scratch, members: DataFrame, segments: DataFrame):
-        self.s, self.members, self.segments, self.done = s, members, segments, []
+    def __init__(self, s: Scratch, members: DataFrame, segments: DataFrame, known: DataFrame):
+        self.s, self.members, self.segments, self.known, self.done = s, members, segments, known, []
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(bkey, node, c) of the items ``(bkey, node, c, node2, c2)`` that are not verified; verified ones go to ``done``."""
@@ -268,12 +362,16 @@ class Comparison:
                 met = reps.select("bkey", F.col("node2").alias("node"), F.col("c2").alias("c"))
                 others = self.members.join(met.hint("merge"), ["bkey", "node", "c"], "left_anti")
                 others = self.s.save(others.join(self.s.save(open_.select("bkey").distinct()).hint("merge"), "bkey", "left_semi"))
+            self.s.drop(reps, left)
             if open_.isEmpty():
                 break
+        self.comps = components(self.s, union([self.known, *map(self.edges, self.done)]))
         self.verify(self.rest(others))
+        self.comps = extended(self.s, self.comps, self.edges(self.done[-1]))
 
-    def edges(self) -> DataFrame:
-        return union([x.where(F.size("ina") > 0).select(F.col("na").alias("a"), F.col("nb").alias("b")) for x in self.done])
+    @staticmethod
+    def edges(done: DataFrame) -> DataFrame:
+        return done.where(F.size("ina") > 0).select(F.col("na").alias("a"), F.col("nb").alias("b"))
 
     def rest(self, items: DataFrame) -> DataFrame:
         """All pairs of items of a bucket, in different classes so far, that may still hold a passage, by a prefix filter.
@@ -284,8 +382,7 @@ class Comparison:
         once. The shingles are ordered from rare to common; a pair shares one of the first
         n - NEED + 1 of both and NEED of all, so text that all items of a bucket share joins nobody.
         """
-        comps = components(self.s, self.edges())
-        items = items.join(comps.hint("merge"), "node", "left")
+        items = items.join(self.comps.hint("merge"), "node", "left")
         items = items.select("bkey", "node", "c", F.coalesce("comp", "node").alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
         items = self.s.save(items)
         several = self.s.save(items.groupBy("bkey").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey"))
@@ -326,17 +423,21 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]
     """rows (doc_id, key, node, n_words), comps (node, comp) of linked texts, found (node, s, e) of repeated words."""
     s = Scratch(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    made = s.save(keyed.mapInPandas(cell_rows, "doc_id long, key binary, n_words long, bkeys array<long>, anchors array<int>").withColumn("node", F.xxhash64("key")))
+    schema = "doc_id long, key binary, n_words long, bkeys array<long>, anchors array<int>, ekeys array<long>, contents array<long>, places array<int>, los array<tinyint>, his array<tinyint>"
+    made = s.save(keyed.mapInPandas(cell_rows, schema).withColumn("node", F.xxhash64("key")))
     each = made.select("node", F.explode(F.arrays_zip("bkeys", "anchors")).alias("x")).select(F.col("x.bkeys").alias("bkey"), "node", F.col("x.anchors").alias("c"))
     keys = s.save(each.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey"))
     members = s.save(each.join(keys.hint("merge"), "bkey", "left_semi").distinct())
-    wanted = members.groupBy("node").agg(F.sort_array(F.collect_set(F.floor(F.col("c") / SEGMENT).cast("int"))).alias("qs"))
+    exact = ExactRepeats(s, made)
+    wanted = members.select("node", "c").union(exact.open.select("node", "c")).groupBy("node").agg(F.sort_array(F.collect_set(F.floor(F.col("c") / SEGMENT).cast("int"))).alias("qs"))
     texts = bodies(s, keyed, made.select("doc_id", "key", "node"), s.save(wanted))
     segments = s.save(texts.mapInPandas(segment_rows, "node long, q int, x array<int>"))
-    work = Comparison(s, members, segments)
+    exact.run(segments)
+    work = Comparison(s, members, segments, exact.edges)
     work.run()
-    found = union([out.select(F.col(f"n{e}").alias("node"), F.inline(f"in{e}")) for out in work.done for e in "ab"])
-    return made.select("doc_id", "key", "node", "n_words"), components(s, work.edges()), found, s
+    s.drop(keys, members, segments)
+    found = union([exact.found, *[out.select(F.col(f"n{e}").alias("node"), F.inline(f"in{e}")) for out in work.done for e in "ab"]])
+    return made.select("doc_id", "key", "node", "n_words"), work.comps, found, s
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
