@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TINY, half_life, half_life_of_alpha, kurtosis, normal_cdf, winner
+from ..sources.scratch import Scratch
+from .ordered import positions, running
 from .series import lagged
 
 UNDEFINED = 9999.0
+SALTS = 32
 
 
 def pairs(hours: DataFrame, price: str = "lmp") -> DataFrame:
@@ -53,13 +56,20 @@ def cells(p: DataFrame, labels: list[str], min_hours: int = 30) -> DataFrame:
 
 
 def ks_distance(p: DataFrame, labels: list[str]) -> DataFrame:
-    """Per cell: n and the Kolmogorov-Smirnov distance of eps / sigma, scaled but not centred, from a standard normal; 1 without spread."""
-    e = _labelled(with_residual(p), labels)
-    by = Window.partitionBy(*labels)
-    e = e.withColumns({"_s": F.stddev_pop("eps").over(by), "_n": F.count("*").over(by), "_i": F.row_number().over(by.orderBy("eps", "idx"))})
+    """Per cell: n and the Kolmogorov-Smirnov distance of eps / sigma, scaled but not centred, from a standard normal; 1 without spread.
+
+    Values are counted and put in order in pieces, so no task holds a cell; rows meet the cell's spread by salted keys. Null residuals are left out.
+    """
+    s = Scratch(p.sparkSession)
+    e = s.save(_labelled(with_residual(p), labels).where("eps is not null").select(*labels, "eps"))
+    sizes = e.groupBy(*labels).agg(F.stddev_pop("eps").alias("_s"), F.count("*").alias("n"))
+    counts = e.groupBy(*labels, "eps").agg(F.count("*").alias("_c"))
+    placed = running(positions(counts, ["eps"], labels, "_at"), {"_upto": ("sum", "_c")}, labels, "_at")
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = placed.withColumn("_salt", F.pmod("_at", F.lit(SALTS)).cast("int")).join(spread, [*labels, "_salt"])
     phi = normal_cdf(F.col("eps") / F.col("_s"))
-    gap = F.greatest(F.col("_i") / F.col("_n") - phi, phi - (F.col("_i") - 1) / F.col("_n"))
-    return e.groupBy(*labels).agg(F.max("_n").alias("n"), F.max(F.when(F.col("_s") > TINY, gap).otherwise(1.0)).alias("KS"))
+    gap = F.greatest(F.col("_upto") / F.col("n") - phi, phi - (F.col("_upto") - F.col("_c")) / F.col("n"))
+    return rows.groupBy(*labels).agg(F.max("n").alias("n"), F.max(F.when(F.col("_s") > TINY, gap).otherwise(1.0)).alias("KS"))
 
 
 def kolmogorov_p(d: Column, n: Column) -> Column:
