@@ -77,8 +77,26 @@ def test_quotes_wrapped_anew_short_partial_and_repeated(spark):
         (1, 4, "> nine ten eleven twelve thirteen\nonly a part"), (1, 5, "> yes.\ntoo short a part"), (1, 5, "Yes.\nagreed"), (1, 6, "> Yes. agreed\n\nboth said so, the first counts"),
         (1, 7, "x" * 300_000), (1, 8, "> " + "x" * 300_000),
     ]
-    out = [(r.turn, r.parent_turn, r.n_linked, list(r.path)) for r in quote_links.quote_links(spark.createDataFrame(m, "conv_id long, turn int, text string")).orderBy("turn").collect()]
-    assert out == [(0, None, 0, [0]), (1, None, 0, [1]), (2, 0, 1, [0, 2]), (3, 1, 2, [1, 3]), (4, 1, 1, [1, 4]), (5, None, 0, [5]), (5, None, 0, [5]), (6, 0, 1, [0, 6]), (7, None, 0, [7]), (8, 7, 1, [7, 8])]
+    out = [(r.turn, r.parent_turn, r.n_linked, r.thread_turn, r.depth, r.reply_pos) for r in quote_links.quote_links(spark.createDataFrame(m, "conv_id long, turn int, text string")).orderBy("turn").collect()]
+    assert out == [(0, None, 0, 0, 0, 0), (1, None, 0, 1, 0, 0), (2, 0, 1, 0, 1, 1), (3, 1, 2, 1, 1, 1), (4, 1, 1, 1, 1, 2), (5, None, 0, 5, 0, 0), (5, None, 0, 5, 0, 0), (6, 0, 1, 0, 1, 2), (7, None, 0, 7, 0, 0), (8, 7, 1, 7, 1, 1)]
+
+
+def test_reply_order_equals_a_walk_of_the_trees(spark):
+    g = np.random.default_rng(11)
+    rows = [(0, t, t - 1) for t in range(1, 400)] + [(1, t, 0) for t in range(1, 300)]  # a chain and a star
+    rows += [(k, t, int(g.integers(max(0, t - 9), t))) for k in range(2, 12) for t in range(1, 60) if g.random() < 0.8]
+    got = {(r.c, r.t): (r.top, r.depth, r.pos) for r in quote_links.reply_order(spark.createDataFrame(rows, "c long, t long, parent long"), Scratch(spark)).collect()}
+    kids, want = {}, {}
+    for c, t, parent in rows:
+        kids.setdefault((c, parent), []).append(t)
+    for c, top in set(kids) - {(c, t) for c, t, _ in rows}:
+        stack, n = [(top, 0)], 0
+        while stack:
+            t, depth = stack.pop()
+            want[c, t] = (top, depth, n)
+            n += 1
+            stack += [(x, depth + 1) for x in sorted(kids.get((c, t), []), reverse=True)]
+    assert got == want
 
 
 def test_mailbox_links_most_messages(spark):

@@ -119,11 +119,12 @@ k AS (SELECT conv_id, turn, ('0x' || substr(md5(conv_id || ':' || turn), 1, 8)):
 o AS (SELECT conv_id, norm, min(turn) AS origin FROM k GROUP BY 1, 2),
 r AS (SELECT a.conv_id, a.turn, b.turn AS p, o.origin FROM k a JOIN k b ON b.conv_id = a.conv_id AND b.turn = greatest(0, a.turn - 1 - a.mark % 3) JOIN o ON o.conv_id = b.conv_id AND o.norm = b.norm WHERE a.turn > 0 AND a.mark % 5 <> 0 AND b.norm <> ''),
 n AS (SELECT r.conv_id, r.turn, r.origin, CASE WHEN g.turn IS NULL THEN 1 ELSE 2 END AS quoted FROM r LEFT JOIN r g ON g.conv_id = r.conv_id AND g.turn = r.p),
-t AS (SELECT k.conv_id, k.turn, k.turn AS thread, 0 AS depth, k.turn::VARCHAR AS path FROM k LEFT JOIN n ON n.conv_id = k.conv_id AND n.turn = k.turn WHERE n.turn IS NULL
-UNION ALL SELECT n.conv_id, n.turn, t.thread, t.depth + 1, t.path || '>' || n.turn FROM n JOIN t ON t.conv_id = n.conv_id AND t.turn = n.origin)
-SELECT c.conv_id, c.turn, c.role, coalesce(n.quoted, 0)::BIGINT AS n_quoted, coalesce(n.quoted, 0)::BIGINT AS max_level, coalesce(n.quoted, 0)::BIGINT AS n_linked, n.origin::BIGINT AS parent_turn, t.thread::BIGINT AS thread_turn, t.depth::BIGINT AS depth, t.path,
+t AS (SELECT k.conv_id, k.turn, k.turn AS thread, 0 AS depth, [k.turn] AS path FROM k LEFT JOIN n ON n.conv_id = k.conv_id AND n.turn = k.turn WHERE n.turn IS NULL
+UNION ALL SELECT n.conv_id, n.turn, t.thread, t.depth + 1, list_append(t.path, n.turn) FROM n JOIN t ON t.conv_id = n.conv_id AND t.turn = n.origin),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY path) - 1 AS reply_pos FROM t)
+SELECT c.conv_id, c.turn, c.role, coalesce(n.quoted, 0)::BIGINT AS n_quoted, coalesce(n.quoted, 0)::BIGINT AS max_level, coalesce(n.quoted, 0)::BIGINT AS n_linked, n.origin::BIGINT AS parent_turn, u.thread::BIGINT AS thread_turn, u.depth::BIGINT AS depth, u.reply_pos::BIGINT AS reply_pos,
 sha256(regexp_replace(coalesce(c.text, ''), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS own_sha256
-FROM conversations c LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn
+FROM conversations c LEFT JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn
 """
 _LETTER = "('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)"
 _ORDERS = ", ".join(f"'{''.join(p)}'" for p in permutations(FILTERS))

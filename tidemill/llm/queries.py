@@ -47,7 +47,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links the mails that ``mailbox`` makes of all conversations, which hold no quotes of their own."""
     out = d6.quote_links(d6.mailbox(table(spark, sf_dir, "conversations")))
-    return out.select("conv_id", "turn", "role", "n_quoted", "max_level", "n_linked", "parent_turn", "thread_turn", "depth", F.array_join("path", ">").alias("path"), F.sha2("own_text", 256).alias("own_sha256"))
+    return out.select("conv_id", "turn", "role", "n_quoted", "max_level", "n_linked", "parent_turn", "thread_turn", "depth", "reply_pos", F.sha2("own_text", 256).alias("own_sha256"))
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ nobody's whole passage, a partial quote, goes by its lines of ``min_chars`` char
 original is the message that holds most of their characters.
 
 A message replies to the original of its least nested linked passage (the longest, then the latest, on
-ties). Replies form trees, as an original is earlier than its quotes. Thread, depth and
-``path``, the turns from the first message of the thread to this one, are found by pointer
-jumping over written tables. Order by (conv_id, path) is the reply order, depth first, of
-conversations; ``own_text`` has no quotes.
+ties). Replies form trees, as an original is earlier than its quotes. A tour of each tree, in at a message
+and out of it again, is a list; thread, depth and ``reply_pos``, the place in the thread from 0, depth first and replies
+by turn, are sums over what stands before in it. Lists are ranked by pointer doubling over written tables, a few numbers a
+message. Order by (conv_id, thread_turn, reply_pos) is the reply order of conversations; ``own_text`` has no quotes.
 
-Nulls: rows with a null conv_id or turn link to nothing (path null); a null or empty text has no
+Nulls: rows with a null conv_id or turn link to nothing (reply_pos null); a null or empty text has no
 passage and an empty own text. A message without a linked quote starts a thread. Messages that repeat
 (conv_id, turn) are one message to others: passages count from all of them, and each row gets
 their common reply. Very long texts are parsed whole, one at a time. Columns of messages that have the
@@ -28,9 +28,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import positions
 from .common import LOWER, UPPER, Scratch, fresh
 
 MARKER, ATTRIBUTION = re.compile(r"(?:[ \t]*>)+"), re.compile(r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$")
@@ -82,32 +83,50 @@ def passage_links(units: DataFrame, s: Scratch, min_chars: int) -> DataFrame:
     return s.save(found.union(best.select("c", "t", "pos", "p", "level", "b.origin", "b.weight")))
 
 
+def reply_order(reply: DataFrame, s: Scratch) -> DataFrame:
+    """(c, t, top, depth, pos) of all messages that reply (c, t, parent) or are replied to.
+
+    Each entry of the list is joined by at most one other in each round, and leaves the rounds once it has reached the start of its list.
+    """
+    kids = s.save(positions(reply.select("c", "t", "parent"), ["t"], ["c", "parent"], "i"))
+    before = kids.select("c", "parent", F.col("t").alias("elder"), (F.col("i") + 1).alias("i"))
+    last = kids.groupBy("c", "parent").agg(F.max("t").alias("last")).withColumnRenamed("parent", "t")
+    tops = kids.select("c", F.col("parent").alias("t")).distinct().join(kids, ["c", "t"], "left_anti")
+
+    def entry(rows: DataFrame, out: bool, at: Column, at_out: Column, done: bool = False) -> DataFrame:
+        weight = [F.lit(0), F.lit(0)] if done else [F.when(at_out, 0).otherwise(1), F.when(at_out, -1).otherwise(1)]
+        return rows.select("c", "t", F.lit(out).alias("out"), at.alias("at"), at_out.alias("at_out"), *[w.cast("long").alias(x) for w, x in zip(weight, ("pos", "depth"), strict=True)], F.lit(done).alias("done"))
+
+    ins = entry(kids.join(before, ["c", "parent", "i"], "left"), False, F.coalesce("elder", "parent"), F.col("elder").isNotNull())
+    outs = entry(kids.select("c", "t").join(last, ["c", "t"], "left"), True, F.coalesce("last", "t"), F.col("last").isNotNull())
+    state = s.save(ins.union(outs).union(entry(tops, False, F.col("t"), F.lit(False), True)))
+    while not (going := state.where("not done")).isEmpty():
+        then = state.select("c", F.col("t").alias("at"), F.col("out").alias("at_out"), *[F.col(x).alias(f"{x}2") for x in ("at", "at_out", "pos", "depth", "done")])
+        moved = going.join(then, ["c", "at", "at_out"]).select("c", "t", "out", F.col("at2").alias("at"), F.col("at_out2").alias("at_out"), (F.col("pos") + F.col("pos2")).alias("pos"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"))
+        after = s.save(moved.union(state.where("done")))
+        s.drop(state)
+        state = after
+    return state.where("not out").select("c", "t", F.col("at").alias("top"), "depth", "pos")
+
+
 def quote_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
-    """All rows and columns of messages with own_text, n_quoted and n_linked (passages), max_level, parent_turn, thread_turn, depth and path."""
+    """All rows and columns of messages with own_text, n_quoted and n_linked (passages), max_level, parent_turn, thread_turn, depth and reply_pos."""
     s = Scratch(messages.sparkSession)
-    p, *inner = fresh("p", "c", "t", "parent", "n_linked", "top", "path")
-    c, t, parent, n_linked, top, path = inner
+    p, *inner = fresh("p", "c", "t", "parent", "n_linked", "top", "depth", "pos")
+    c, t, parent, n_linked, top, depth, pos = inner
     base = s.save(messages.withColumn(p, F.pandas_udf(parsed, PARSED)(F.col("text"))))
     units = base.where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode(F.col(p)["passages"]).alias("pos", "u")).select("c", "t", "pos", "u.*")
     units = s.save(units.withColumn("h", F.xxhash64("norm")).distinct())
     links = passage_links(units, s, min_chars)
     reply = links.groupBy("c", "t").agg(F.max(F.struct(-F.col("level"), F.col("weight"), F.col("origin"))).alias("best"), F.count("*").alias("n_linked"))
     reply = s.save(reply.select("c", "t", F.col("best.origin").alias("parent"), "n_linked"))
-    # top: an ancestor, path: the turns after it; the distance doubles each round until the ancestor replies to nobody
-    up = s.save(reply.select("c", "t", F.col("parent").alias("top"), F.array("t").alias("path")))
-    while not up.isEmpty():
-        nxt = up.select("c", F.col("t").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
-        moved = s.save(up.join(nxt, ["c", "top"], "left").select("c", "t", F.coalesce("next", "top").alias("top"), F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path"), F.col("next").isNotNull().alias("moved")))
-        up = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    found = reply.join(up, ["c", "t"]).select(*[F.col(x).alias(name) for x, name in zip(("c", "t", "parent", "n_linked", "top", "path"), inner, strict=True)])
+    found = reply_order(reply, s).join(reply, ["c", "t"], "left").select(*[F.col(x).alias(name) for x, name in zip(("c", "t", "parent", "n_linked", "top", "depth", "pos"), inner, strict=True)])
     out = base.join(found, (F.col("conv_id") == F.col(c)) & (F.col("turn") == F.col(t)), "left")
     levels = F.filter(F.col(p)["passages"]["level"], lambda x: x > 0)
     made = {
         "own_text": F.col(p)["own_text"], "n_quoted": F.size(levels).cast("long"), "max_level": F.coalesce(F.array_max(levels), F.lit(0)).cast("long"), "n_linked": F.coalesce(n_linked, F.lit(0)).cast("long"),
-        "parent_turn": F.col(parent), "thread_turn": F.coalesce(top, F.col("turn").cast("long")), "depth": F.coalesce(F.size(path), F.lit(0)).cast("long"),
-        "path": F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat(F.array(F.coalesce(top, F.col("turn").cast("long"))), F.coalesce(path, F.array().cast("array<bigint>")))),
+        "parent_turn": F.col(parent), "thread_turn": F.coalesce(top, F.col("turn").cast("long")), "depth": F.coalesce(depth, F.lit(0)).cast("long"),
+        "reply_pos": F.coalesce(pos, F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(0).cast("long"))),
     }
     return out.select(*[F.col(f"`{x}`") for x in messages.columns if x not in made], *[v.alias(k) for k, v in made.items()])
 
