@@ -18,7 +18,7 @@ from ..operators import knn, ordered, regime_models, regimes, series, spectral,
 from ..sources import Scratch, date_axis
 from . import queries as base
 from . import regime_analysis
-from .queries import query, rounded, table
+from .queries import ks_sql, query, rounded, table
 
 FEATURES = [*Config().features]
 ACF = [f"acf_{k}h" for k in Config().acf_lags]
@@ -69,18 +69,6 @@ def keyed_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return Scratch(spark).save(regime_models.pairs(keyed_hours(spark, sf)))
 
 
-#: The normal distribution by Simpson's rule over 1,000 steps; Kolmogorov's p-value by its first 100 terms.
-NORMAL = "0.5 + z / 3000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001), lambda k: CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-z * z * k * k / 2000000)))"
-KS = f"""
-, cs AS (SELECT CELL, stddev_pop(eps) AS s, count(*) AS n FROM pe WHERE e >= 0 AND d >= 0 GROUP BY ALL),
-oz AS (SELECT CELL, n, eps / s AS z, row_number() OVER (PARTITION BY CELL ORDER BY eps) AS i FROM pe JOIN cs USING (CELL)),
-oc AS (SELECT CELL, n, i, {NORMAL} AS c FROM oz),
-ks AS (SELECT CELL, max(n) AS n, max(greatest(i / n - c, c - (i - 1) / n)) AS "KS" FROM oc GROUP BY CELL),
-kp AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * "KS" AS t FROM ks),
-kt AS (SELECT CELL, n, "KS", CASE WHEN t < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * t * t))))) END AS "KS_p" FROM kp)
-"""
-
-
 @keyed("SELECT series_id, window_id::BIGINT AS window_id, e::BIGINT AS e, d::BIGINT AS d, round(alpha, 6) AS alpha, " + ", ".join(f"round({c}, 6) AS {c}" for c in [*FEATURES, *ACF]) + " FROM l")
 def keyed_window_table(spark, sf):
     return rounded(keyed_windows(spark, sf).select("series_id", "window_id", "e", "d", "alpha", *FEATURES, *ACF))
@@ -275,10 +263,6 @@ def all_oracles() -> dict[str, str]:
     return dict(base.ORACLES)
 
 
-def ks_sql(cell: str, text: str) -> str:
-    return KS.replace("CELL", cell) + text
-
-
 @keyed(ks_sql("e, d", """SELECT e::BIGINT AS e, d::BIGINT AS d, n::BIGINT AS n, round("KS", 6) AS "KS", round("KS_p", 6) AS "KS_p" FROM kt WHERE n >= 30"""))
 def keyed_ks_cells(spark, sf):
     return rounded(regime_models.cell_table(keyed_pairs(spark, sf), ["e", "d"]).select("e", "d", "n", "KS", "KS_p"))
