@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from . import eigen
-from .tiles import BLOCK, Side, Tiles, apart, over, tiles
+from .tiles import BLOCK, CHUNK, Rough, Side, Tiles, apart, apart_at, over, tiles
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -179,36 +179,98 @@ def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK,
     return df.sparkSession.createDataFrame([tuple(_summary(tiles(df, key, column, size), bins))], "n long, least double, most double, eps double")
 
 
-def _summary(t: Tiles, bins: int = 4096) -> Row:
-    def counted(low: float | None, high: float | None) -> list:
-        def count(a: Side, b: Side, same: bool) -> Iterator[dict]:
-            x, y = a["x"], b["x"]
-            for rows in a.slices:
-                d = apart(x[rows], y)
-                asked = d > 0
-                if same:
-                    asked &= np.arange(rows.start, rows.stop)[:, None] < np.arange(len(y))
-                if low is not None:
-                    asked &= (d >= low) & (d <= high)
-                v = np.sort(d[asked])
-                at = np.zeros(len(v), int) if low is None else np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
-                name, first, n = np.unique(at, return_index=True, return_counts=True)
-                yield {"bin": name, "n": n, "low": v[first], "high": v[first + n - 1]}
-
-        each = over(t, count, "bin int, n long, low double, high double")
-        return each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect()
-
-    whole = counted(None, None)
-    if not whole:
+#: Positive numbers by their leading bits: 2 ** 14 bins an octave.
+BITS = 38
+#: So many pairs of the median's bin, at most, are written by value; above, they are counted in bins again.
+WRITTEN = 30_000_000
+
+
+def _summary(t: Tiles, bins: int = 4096, written: int = WRITTEN) -> Row:
+    def first(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        """Pairs by the leading bits of their rough squares, pairs of equal rows as bin -1; the least and greatest distance by differences."""
+        r = Rough(a["x"], b["x"], np.float32)
+        names, counts, equal, least, most = [], [], 0, np.inf, 0.0
+        for rows, cols, s in r.pieces(same):
+            if same and rows == cols:
+                s[np.tril_indices(len(s))] = -np.inf
+            flat = s.ravel()
+            close = np.flatnonzero((flat <= 2 * r.slack) & (flat > -np.inf))
+            if len(close):
+                d = r.exact(rows, cols, close)
+                equal += int((d == 0).sum())
+                flat[close] = np.where(d > 0, np.minimum(d * d, 2 * r.slack), -np.inf)
+                least = min(least, d[d > 0].min(initial=np.inf))
+                most = max(most, d.max(initial=0.0))
+            v = flat[flat > -np.inf] if len(close) or same and rows == cols or not r.safe else flat
+            if not len(v):
+                continue
+            low, high = float(v.min()), float(v.max())
+            if low > 2 * r.slack and low - 2 * r.slack < least * least:
+                least = min(least, r.exact(rows, cols, np.flatnonzero((flat > -np.inf) & (flat <= low + 2 * r.slack))).min())
+            if high + 2 * r.slack > most * most:
+                most = max(most, r.exact(rows, cols, np.flatnonzero(flat >= high - 2 * r.slack)).max())
+            at = np.maximum(v.astype(np.float64), 0.0).view(np.int64) >> BITS
+            start = int(at.min())
+            n = np.bincount(at - start)
+            names.append(np.flatnonzero(n) + start)
+            counts.append(n[names[-1] - start])
+        names, counts = np.concatenate([*names, [-1]]), np.concatenate([*counts, [equal]])
+        order = np.argsort(names, kind="stable")
+        name, begin = np.unique(names[order], return_index=True)
+        yield {"bin": name, "n": np.add.reduceat(counts[order], begin), "low": least, "high": most, "slack": r.slack}
+
+    each = over(t, first, "bin long, n long, low double, high double, slack double", ["x"])
+    whole = each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack")).orderBy("bin").collect()
+    n = sum(r.n for r in whole if r.bin >= 0)
+    if not n:
         return Row(n=0, least=None, most=None, eps=None)
-    rank, low, high = (whole[0].n + 1) // 2, whole[0].low, whole[0].high
+    least, most, slack = min(r.low for r in whole), max(r.high for r in whole), max(r.slack for r in whole)
+    rank = (n + 1) // 2 + sum(r.n for r in whole if r.bin < 0)  # among all pairs, those of equal rows too
+    before = 0
+    for r in whole:
+        before += r.n
+        if before >= rank:
+            break
+    edges = np.array([r.bin << BITS, (r.bin + 1) << BITS]).view(np.float64)
+    low = max(least, float(np.sqrt(max(0.0, edges[0] - slack))) * (1 - 1e-12))
+    high = min(most, float(np.sqrt(edges[1] + slack)) * (1 + 1e-12))
+
+    def inside(low: float, high: float, whole: bool) -> DataFrame:
+        """Distances by differences from low to high, by value or in bins, and as bin -1 the number of pairs below."""
+
+        def count(a: Side, b: Side, same: bool) -> Iterator[dict]:
+            r = Rough(a["x"], b["x"], np.float32)
+            below, found = 0, []
+            for rows, cols, s in r.pieces(same):
+                if same and rows == cols:
+                    s[np.tril_indices(len(s))] = np.inf
+                flat = s.ravel()
+                sure = flat < low * low - 2 * r.slack
+                d = r.exact(rows, cols, np.flatnonzero(~sure & (flat <= high * high + 2 * r.slack)))
+                below += int(sure.sum()) + int((d < low).sum())
+                found.append(d[(d >= low) & (d <= high)])
+            v = np.sort(np.concatenate([*found, []]))
+            at = np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
+            _, begin, n = np.unique(v if whole else at, return_index=True, return_counts=True)
+            yield {"bin": [-1, *at[begin]], "n": [below, *n], "low": [0.0, *v[begin]], "high": [0.0, *v[begin + n - 1]]}
+
+        return over(t, count, "bin int, n long, low double, high double", ["x"])
+
+    held, many = None, r.n
     while low < high:
-        for r in counted(low, high):
-            if rank <= r.n:
+        if held is None:
+            each = inside(low, high, many <= written)
+            if many <= written:
+                each = held = t.scratch.save(each)
+            left = rank
+        else:
+            each = held.where((F.col("low") >= low) & (F.col("high") <= high)).withColumn("bin", F.least(((F.col("low") - low) / (high - low) * bins).cast("int"), F.lit(bins - 1)))
+        for r in each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect():
+            if left <= r.n:
                 break
-            rank -= r.n
-        low, high = r.low, r.high
-    return Row(n=whole[0].n, least=whole[0].low, most=whole[0].high, eps=low * low)
+            left -= r.n
+        low, high, many = r.low, r.high, r.n
+    return Row(n=n, least=least, most=most, eps=low * low)
 
 
 def kernel_degrees(df: DataFrame, key: str, column: str, eps: float, size: int = BLOCK) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-BLOCK, GROUP = 512, 4096
+BLOCK, GROUP, CHUNK = 512, 16_384, 512
 
 
 @dataclass
@@ -44,7 +44,7 @@ def tiles(df: DataFrame, key: str, column: str = "x", size: int = BLOCK, group:
     s = Scratch(df.sparkSession)
     held = df.where(F.col(column).isNotNull())
     n = held.count()
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
     groups = max(1, -(-n // group), min(-(-n // max(1, size // 8)), int((2 * wanted) ** 0.5) + 1))
     blocks = max(groups, -(-n // size))
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b")
@@ -68,11 +68,11 @@ class Side:
         return np.concatenate(self.pdf[name].tolist()).reshape(len(self.k), -1).astype(float, copy=False)
 
 
-def over(t: Tiles, f: Callable[[Side, Side, bool], Iterator[dict]], schema: str) -> DataFrame:
-    """``f(left, right, same)`` for each tile with rows on both sides; it yields columns of frames of ``schema``."""
+def over(t: Tiles, f: Callable[[Side, Side, bool], Iterator[dict]], schema: str, reads: list[str] | None = None) -> DataFrame:
+    """``f(left, right, same)`` for each tile with rows on both sides; it yields columns of frames of ``schema``. Only the columns it ``reads`` are sent (all by default)."""
     names = [x.split()[0] for x in schema.split(", ")]
     count = t.groups * (t.groups + 1) // 2
-    others = [c for c in t.rows.columns if c != "g"]
+    others = [c for c in t.rows.columns if c in ("b", "k") or c != "g" and (reads is None or c in reads)]
     # each column gets an alias, as the two sides of a cogroup need columns of their own
     left = t.rows.select(F.col("g").alias("ga"), F.explode(F.sequence("g", F.lit(t.groups - 1))).alias("gb"), *[F.col(c).alias(c) for c in others])
     right = t.rows.select(F.explode(F.sequence(F.lit(0), "g")).alias("ga"), F.col("g").alias("gb"), *[F.col(c).alias(c) for c in others])
@@ -101,6 +101,54 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def apart_at(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``apart`` at some places: distances of rows i of x to rows j of y, bit for bit as there."""
+    total = np.zeros(len(i))
+    for k in range(x.shape[1]):
+        total += (x[i, k] - y[j, k]) ** 2
+    return np.sqrt(total)
+
+
+class Rough:
+    """Squared distances of rows of x to rows of y by one product, each within ``slack`` of the true one; by differences where the product would overflow or vanish.
+
+    Both sides are taken from the mean of x, as what lies far from the origin would lose its digits.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, kind: type = np.float64):
+        self.x, self.y = x, y
+        with np.errstate(all="ignore"):
+            middle = x.mean(0)
+            middle = np.where(np.isfinite(middle), middle, 0.0)
+            u, v = x - middle, y - middle
+            p, q = (u * u).sum(1), (v * v).sum(1)
+        both = np.concatenate([p, q])
+        most = both[np.isfinite(both)].max(initial=0.0)
+        self.safe = bool(np.isfinite(both).all() and (1e-25 < most < 1e25))
+        self.slack = 8 * (x.shape[1] + 4) * float(np.finfo(kind if self.safe else np.float64).eps) * most
+        if self.safe:
+            self.left = np.column_stack([u, p, np.ones(len(u))]).astype(kind)
+            self.right = np.ascontiguousarray(np.column_stack([-2 * v, np.ones(len(v)), q]).T.astype(kind))
+
+    def __call__(self, rows: slice, cols: slice) -> np.ndarray:
+        if self.safe:
+            return self.left[rows] @ self.right[:, cols]
+        with np.errstate(all="ignore"):
+            return apart(self.x[rows], self.y[cols]) ** 2
+
+    def pieces(self, same: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """All pieces of at most CHUNK rows and columns; of one group with itself those on and right of the diagonal."""
+        for i in range(0, len(self.x), CHUNK):
+            for j in range(i if same else 0, len(self.y), CHUNK):
+                rows, cols = slice(i, min(i + CHUNK, len(self.x))), slice(j, min(j + CHUNK, len(self.y)))
+                yield rows, cols, self(rows, cols)
+
+    def exact(self, rows: slice, cols: slice, at: np.ndarray) -> np.ndarray:
+        """Distances by differences at places of a piece."""
+        i, j = np.divmod(at, cols.stop - cols.start)
+        return apart_at(self.x, self.y, i + rows.start, j + cols.start)
+
+
 def multiply(t: Tiles, eps: float, kind: str, panel: str | None, without: float = 0.0) -> DataFrame:
     """(b, y): parts of a kernel matrix times a panel, one or more a block; to be added by block.
 
