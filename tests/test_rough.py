@@ -37,3 +37,12 @@ def test_median_is_exact_among_copies_and_far_from_the_origin(spark, written):
         v = np.sort(d[d > 0])
         r = spectral._summary(tiles.tiles(frame(spark, x), "k", size=16), 16, written)
         assert (r.n, r.least, r.most, r.eps) == (len(v), v[0], v[-1], v[(len(v) - 1) // 2] ** 2)
+
+
+def test_degrees_of_copies(spark):
+    """The greatest value of each row of the kernel is exactly 1, also far from the origin."""
+    x = 1e6 + np.random.default_rng(3).normal(size=(120, 64))
+    x[100:] = x[:20]
+    rows = {r.i: r for r in spectral.kernel_degrees(frame(spark, x), "k", "x", 100.0, size=16).collect()}
+    want = np.exp(-(tiles.apart(x, x) ** 2) / 100.0).sum(1)
+    assert all(r.diagonal == 1 for r in rows.values()) and [rows[i].degree for i in range(120)] == pytest.approx(want.tolist(), abs=1e-9)

@@ -277,16 +277,21 @@ def kernel_degrees(df: DataFrame, key: str, column: str, eps: float, size: int =
     """(i, degree, diagonal): sum and largest value of each row of the Gaussian kernel over all rows, added up by tiles."""
 
     def sums(a: Side, b: Side, same: bool) -> Iterator[dict]:
-        x, y = a["x"], b["x"]
-        s, m = np.zeros(len(y)), np.zeros(len(y))
-        for rows in a.slices:
-            k = np.exp(-(apart(x[rows], y) ** 2) / eps)
-            yield {"i": a.k[rows], "s": k.sum(1), "m": k.max(1)}
-            s, m = s + k.sum(0), np.maximum(m, k.max(0))
-        if not same:
-            yield {"i": b.k, "s": s, "m": m}
-
-    return over(tiles(df, key, column, size), sums, "i long, s double, m double").groupBy("i").agg(F.sum("s").alias("degree"), F.max("m").alias("diagonal"))
+        r = Rough(a["x"], b["x"])
+        s, m = zip(*((np.zeros(len(x.k)), np.zeros(len(x.k))) for x in (a, b)), strict=True)
+        for rows, cols, d in r.pieces(same):
+            if same and rows == cols:
+                np.fill_diagonal(d, 0.0)
+            np.maximum(d, 0, out=d)
+            d *= -1 / eps
+            k = np.exp(d, out=d)
+            for side, at, axis in ((0, rows, 1), (0 if same else 1, cols, 0))[: 1 if same and rows == cols else 2]:
+                s[side][at] += k.sum(axis)
+                m[side][at] = np.maximum(m[side][at], k.max(axis))
+        for x, total, most in ((a, s[0], m[0]), (b, s[1], m[1]))[: 1 if same else 2]:
+            yield {"i": x.k, "s": total, "m": most}
+
+    return over(tiles(df, key, column, size), sums, "i long, s double, m double", ["x"]).groupBy("i").agg(F.sum("s").alias("degree"), F.max("m").alias("diagonal"))
 
 
 def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: int = BLOCK, bandwidth: float | None = None) -> DataFrame:
