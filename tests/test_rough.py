@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.operators import spectral, tiles
+from tidemill.operators import eigen, spectral, tiles
 
 
 def frame(spark, x):
@@ -46,3 +47,12 @@ def test_degrees_of_copies(spark):
     rows = {r.i: r for r in spectral.kernel_degrees(frame(spark, x), "k", "x", 100.0, size=16).collect()}
     want = np.exp(-(tiles.apart(x, x) ** 2) / 100.0).sum(1)
     assert all(r.diagonal == 1 for r in rows.values()) and [rows[i].degree for i in range(120)] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_few_products_with_many_equal_directions(spark, monkeypatch):
+    """Vectors that spread evenly in 64 dimensions have 64 eigenvalues of about one size: the panel holds them all, so few rounds of products suffice."""
+    calls = []
+    monkeypatch.setattr(eigen, "multiply", lambda *args, **kw: calls.append(1) or tiles.multiply(*args, **kw))
+    t = spectral.standardize_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x")))
+    _, values = spectral.diffusion_coordinates(t, "vec_id", "x", 20)
+    assert len(values) == 20 and len(calls) <= 16

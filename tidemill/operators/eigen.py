@@ -19,6 +19,8 @@ from .tiles import Tiles, added, multiply
 
 #: Greatest growth of one wanted direction over another in one run of the filter: times the rounding error, it is what a column loses.
 GROWTH = 1e6
+#: Dimensions that widen the panel, at most.
+MOST_DIMS = 128
 BASE = "g int, b int, k array<bigint>, x array<double>, deg array<double>"
 STATE = BASE + ", top array<double>, y0 array<double>, y1 array<double>"
 
@@ -59,12 +61,15 @@ def _rotated(t: Tiles, turn: np.ndarray, values: np.ndarray, filtered: tuple[flo
 
 
 def _top(t: Tiles, eps: float, method: str, most: int = 12) -> tuple[Tiles, float]:
-    """The first eigenvector, as ``top``, and its eigenvalue, by powers from the roots of the degrees: that vector itself for ``markov``, and close to it else.
+    """The first eigenvector, as ``top``, and its eigenvalue, by powers from the roots of the degrees, which are close to it; for ``markov`` they are that vector itself, of eigenvalue 1.
 
     Where the second eigenvalue is so near that powers take more than ``most`` rounds, the eigenvalue is given as 0: there the filter does without.
     """
     schema, last = BASE + ", top array<double>, y array<double>", np.inf
     t = t.with_rows(t.rows.withColumn("top", F.transform("deg", F.sqrt)), t.rows)
+    if method == "markov":
+        norm = float(np.sqrt(_sums(t.rows.select("deg"), lambda row: np.array([row.deg.sum()]), 1)[0]))
+        return t.with_rows(t.rows.withColumn("top", F.transform("top", lambda v: v / norm)), t.rows), 1.0
     for _ in range(most):
         t = t.with_rows(added(t, multiply(t, eps, method, "top"), lambda row, y: {"y": y}, schema), t.rows)
         qq, qy, yy = _sums(t.rows.select("top", "y"), lambda row: np.array([row.top @ row.top, row.top @ row.y, row.y @ row.y]), 3)
@@ -88,7 +93,9 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
     t = t.with_rows(added(t, multiply(t, eps, "degree", None), lambda row, y: {"deg": y}, BASE))
     t, top = _top(t, eps, method)
     skip = int(top == 0)
-    m, want = min(t.n, 2 * count + 24), min(count, t.n - 1) + skip
+    # rows that spread evenly have an eigenvalue of about one size for each dimension: a panel that ends among them hardly tells them apart
+    dims = t.rows.select((F.size("x") / F.size("k")).cast("int").alias("n")).first()["n"]
+    m, want = min(t.n, max(2 * count + 24, count + min(dims, MOST_DIMS) + 12)), min(count, t.n - 1) + skip
 
     def start(row) -> np.ndarray:
         return np.random.default_rng([seed, int(row.b)]).standard_normal(len(row.k) * m)

@@ -136,12 +136,16 @@ class Rough:
         with np.errstate(all="ignore"):
             return apart(self.x[rows], self.y[cols]) ** 2
 
-    def pieces(self, same: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
-        """All pieces of at most CHUNK rows and columns; of one group with itself those on and right of the diagonal."""
+    def places(self, same: bool) -> Iterator[tuple[slice, slice]]:
+        """Pieces of at most CHUNK rows and columns; of one group with itself those on and right of the diagonal."""
         for i in range(0, len(self.x), CHUNK):
             for j in range(i if same else 0, len(self.y), CHUNK):
-                rows, cols = slice(i, min(i + CHUNK, len(self.x))), slice(j, min(j + CHUNK, len(self.y)))
-                yield rows, cols, self(rows, cols)
+                yield slice(i, min(i + CHUNK, len(self.x))), slice(j, min(j + CHUNK, len(self.y)))
+
+    def pieces(self, same: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """These with their squared distances."""
+        for rows, cols in self.places(same):
+            yield rows, cols, self(rows, cols)
 
     def exact(self, rows: slice, cols: slice, at: np.ndarray) -> np.ndarray:
         """Distances by differences at places of a piece."""
@@ -158,30 +162,31 @@ def multiply(t: Tiles, eps: float, kind: str, panel: str | None, without: float
     """
 
     def part(a: Side, b: Side, same: bool) -> Iterator[dict]:
-        xa, xb = a["x"], b["x"]
-        qa, qb = (np.ones((len(s.k), 1)) if panel is None else s[panel] for s in (a, b))
-        if kind != "degree":
-            da, db = a["deg"], b["deg"]
-        away = without * (b["top"].T @ qb) if without else None
-        back_away = without * (a["top"].T @ qa) if without and not same else None
+        sides = (a,) if same else (a, b)
+        q = [np.ones((len(s.k), 1)) if panel is None else s[panel] for s in sides]
+        deg = [s["deg"] for s in sides] if kind != "degree" else None
+        away = [without * (s["top"].T @ v) for s, v in zip(sides, q, strict=True)] if without else None
         if kind == "markov":
-            qa, qb = qa / np.sqrt(da), qb / np.sqrt(db)
-        back = np.zeros_like(qb)
-        for name, rows in zip(a.blocks, a.slices, strict=True):
-            m = np.exp(-squares(xa[rows], xb) / eps)
+            q = [v / np.sqrt(d) for v, d in zip(q, deg, strict=True)]
+        y = [np.zeros_like(v) for v in q]
+        for rows, cols, m in Rough(a["x"], b["x"]).pieces(same):
+            diagonal = same and rows == cols
+            if diagonal:
+                np.fill_diagonal(m, 0.0)
+            np.maximum(m, 0, out=m)
+            m *= -1 / eps
+            np.exp(m, out=m)
             if kind == "lower_triangle":
-                m *= np.where(a.k[rows, None] >= b.k, 1 / da[rows], 1 / db[:, 0])
-            y = m @ qb
-            if not same:
-                back += m.T @ qa[rows]
-            y = y / np.sqrt(da[rows]) if kind == "markov" else y
-            yield {"b": [name], "y": [(y - a["top"][rows] @ away if without else y).ravel()]}
-        if not same:
-            back = back / np.sqrt(db) if kind == "markov" else back
-            back = back - b["top"] @ back_away if without else back
-            yield {"b": b.blocks, "y": [back[rows].ravel() for rows in b.slices]}
-
-    return over(t, part, "b int, y array<double>")
+                m *= np.where(a.k[rows, None] >= b.k[cols], 1 / deg[0][rows], 1 / deg[-1][cols, 0])
+            y[0][rows] += m @ q[-1][cols]
+            if not diagonal:
+                y[-1][cols] += m.T @ q[0][rows]
+        for i, s in enumerate(sides):
+            v = y[i] / np.sqrt(deg[i]) if kind == "markov" else y[i]
+            v = v - s["top"] @ away[-1 - i] if without else v
+            yield {"b": s.blocks, "y": [v[rows].ravel() for rows in s.slices]}
+
+    return over(t, part, "b int, y array<double>", ["x", *([panel] if panel else []), *(["deg"] if kind != "degree" else []), *(["top"] if without else [])])
 
 
 def added(t: Tiles, parts: DataFrame, f: Callable[[pd.Series, np.ndarray], dict], schema: str) -> DataFrame:
