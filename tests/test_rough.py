@@ -56,3 +56,17 @@ def test_few_products_with_many_equal_directions(spark, monkeypatch):
     t = spectral.standardize_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x")))
     _, values = spectral.diffusion_coordinates(t, "vec_id", "x", 20)
     assert len(values) == 20 and len(calls) <= 16
+
+
+def test_neighbours_compare_few_pairs_by_differences(spark):
+    """A bound from products leaves a few times k candidates a row; ties at the k-th distance go by key, also among copies."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(2000, 16))
+    x[1500:1520] = x[3]
+    r = tiles.Rough(x, x, np.float32)
+    keys, rows = np.arange(2000), slice(0, 512)
+    found = spectral.nearest_of(r, keys, keys, rows, r(rows, slice(0, 2000)), 5)
+    d = tiles.apart(x[:512], x)
+    for i in range(512):
+        want = sorted((d[i, j], j) for j in range(2000) if j != i)[:5]
+        assert list(zip(found["dist"][i], found["j"][i], strict=True)) == want

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from . import eigen
-from .tiles import BLOCK, CHUNK, Rough, Side, Tiles, apart, apart_at, over, tiles
+from .tiles import BLOCK, CHUNK, GROUP, Rough, Side, Tiles, added, apart, apart_at, over, tiles
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -302,18 +302,38 @@ def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: in
 
     def nearest(a: Side, b: Side, same: bool) -> Iterator[dict]:
         for one, two in ((a, b),) if same else ((a, b), (b, a)):
-            x, y = one["x"], two["x"]
-            for rows in one.slices:
-                d = apart(x[rows], y)
-                kde = np.exp(-(d**2) / (2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(d))
-                d[one.k[rows, None] == two.k] = np.inf
-                yield {"i": one.k[rows], "near": best_of(d, two.k, k), "kde": kde}
-
-    each = over(tiles(df, key, column, size), nearest, "i long, near array<struct<dist:double,j:long>>, kde double")
-    best = each.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("kde").alias("kde"))
+            r, whole = Rough(one["x"], two["x"], np.float64 if bandwidth else np.float32), slice(0, len(two.k))
+            for i in range(0, len(one.k), CHUNK):
+                rows = slice(i, min(i + CHUNK, len(one.k)))
+                s = r(rows, whole)
+                kde = np.exp(np.maximum(s, 0) / (-2 * bandwidth**2)).sum(1) if bandwidth else np.zeros(len(s))
+                yield {"i": one.k[rows], "kde": kde} | nearest_of(r, one.k, two.k, rows, s, k)
+
+    each = over(tiles(df, key, column, size), nearest, "i long, dist array<double>, j array<bigint>, kde double", ["x"])
+    best = each.select("i", "kde", F.arrays_zip("dist", "j").alias("near")).groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("kde").alias("kde"))
     return best.select("i", "kde", F.posexplode("near").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank"), "kde")
 
 
+def nearest_of(r: Rough, own: np.ndarray, keys: np.ndarray, rows: slice, s: np.ndarray, k: int) -> dict:
+    """Lists ``dist`` and ``j`` of the k nearest other keys of some rows, ties by key, from the rough squares s of these rows to all of ``keys``.
+
+    The k + 1 smallest rough squares of some columns bound the k-th distance to others; what is below that is compared by differences.
+    """
+    part = s[:, : max(4 * (k + 1), s.shape[1] // 4)]
+    bound = np.partition(part, k, axis=1)[:, k] if part.shape[1] > k else np.full(len(s), np.inf)
+    i, j = np.nonzero(s <= (bound + 4 * r.slack)[:, None])
+    other = own[rows][i] != keys[j]
+    i, j = i[other], j[other]
+    d = apart_at(r.x, r.y, i + rows.start, j)
+    i, j, d = (v[np.isfinite(d)] for v in (i, keys[j], d))
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    i, j, d = i[kept], j[kept], d[kept]
+    at = np.searchsorted(i, np.arange(1, len(s)))
+    return {"dist": np.split(d, at), "j": np.split(j, at)}
+
+
 def best_of(d: np.ndarray, keys: np.ndarray, k: int) -> list[list[dict]]:
     """The k smallest finite distances of each row, ties by key, as lists of structs."""
     if d.shape[1] > 4 * k:  # all that ties with the k-th stays for the sort
