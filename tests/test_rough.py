@@ -58,6 +58,22 @@ def test_few_products_with_many_equal_directions(spark, monkeypatch):
     assert len(values) == 20 and len(calls) <= 16
 
 
+def test_silhouettes_of_all_dimensions_in_one_pass(spark, monkeypatch):
+    """Each equals that of the vectors cut to so many numbers; all share one run over the tiles."""
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 6)) + 2.0 * g.integers(0, 3, 300)[:, None]
+    df = frame(spark, x).withColumns({f"l{d}": F.when(F.col("k") % 41 > 0, F.col("k") % d) for d in (2, 3, 5)})
+    runs = []
+    monkeypatch.setattr(spectral, "over", lambda *args: runs.append(1) or tiles.over(*args))
+    got = spectral.silhouettes(df, "k", "x", {5: "l5", 2: "l2", 3: "l3"}, size=64)
+    assert len(runs) == 1
+    for d, value in zip((5, 2, 3), got, strict=True):
+        far, own = tiles.apart(x[:, :d], x[:, :d]), np.where(np.arange(300) % 41 > 0, np.arange(300) % d, -1)
+        total = np.stack([far[:, own == c].sum(1) / ((own == c).sum() - (own == c)) for c in range(d)], 1)
+        a, b = total[np.arange(300), own], np.where(np.arange(d) == own[:, None], np.inf, total).min(1)
+        assert value == pytest.approx(np.where(own < 0, 0, (b - a) / np.maximum(a, b)).mean(), abs=1e-12)
+
+
 def test_neighbours_compare_few_pairs_by_differences(spark):
     """A bound from products leaves a few times k candidates a row; ties at the k-th distance go by key, also among copies."""
     g = np.random.default_rng(5)

@@ -74,24 +74,73 @@ def eigenvalue_ratios(spark, values: np.ndarray, first: int = 12) -> DataFrame:
 def silhouette(df: DataFrame, key: str, column: str, label: str, size: int = BLOCK) -> DataFrame:
     """One row ``silhouette``: mean of (b - a) / max(a, b) with plain Euclidean distances, over all rows against all rows.
 
-    A tile adds the distances of its rows by cluster, and its sums are added by (row, cluster). Rows without a label belong to no cluster and count 0.
+    Rows without a label belong to no cluster and count 0.
     """
-    t = tiles(df, key, column, size, label=F.col(label))
+    return df.sparkSession.createDataFrame([(silhouettes(df, key, column, {None: label}, size)[0],)], "silhouette double")
 
-    def sums(a: Side, b: Side, same: bool) -> Iterator[dict]:
-        for one, two in ((a, b),) if same else ((a, b), (b, a)):
-            x, y, mine, other = one["x"], two["x"], one["label"][:, 0], two["label"][:, 0]
-            for rows in one.slices:
-                d = apart(x[rows], y)
-                for c in np.unique(other[~np.isnan(other)]):
-                    yield {"i": one.k[rows], "own": mine[rows], "cluster": c, "n": int((other == c).sum()), "total": d @ (other == c)}
 
-    each = over(t, sums, "i long, own double, cluster double, n long, total double").groupBy("i", "own", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    a = F.max(F.when(F.col("own") == F.col("cluster"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))))
-    b = F.min(F.when(F.col("own") != F.col("cluster"), F.col("total") / F.col("n")))
-    per = each.groupBy("i").agg(a.alias("a"), b.alias("b"))
-    total = per.agg(F.sum(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))).alias("s"))
-    return total.select((F.col("s") / F.nullif(F.lit(t.n), F.lit(0))).alias("silhouette"))
+def silhouettes(df: DataFrame, key: str, column: str, labels: dict[int | None, str], size: int = BLOCK) -> list[float | None]:
+    """The silhouette of each column of labels in the first so many numbers of the vector (None: all), in one pass over all pairs.
+
+    A tile adds the distances of its rows to each cluster, and its sums are added by block. There is one row a cluster on the driver.
+    """
+    dims = sorted(labels, key=lambda d: (d is None, d))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(labels[d]).cast("double").alias("l")) for i, d in enumerate(dims)])).alias("e")
+    found = df.where(F.col(column).isNotNull()).select(each).select("e.*").where("l is not null").groupBy("i", "l").agg(F.count("*").alias("n")).orderBy("i", "l").collect()
+    names = [np.array([r.l for r in found if r.i == i]) for i in range(len(dims))]
+    held = [np.array([r.n for r in found if r.i == i], float) for i in range(len(dims))]
+    ends = np.cumsum([0, *map(len, names)])
+    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    t = tiles(df, key, column, size, min(GROUP, max(size, WIDEST // max(1, int(ends[-1])))), **{f"l{i}": F.col(labels[d]) for i, d in enumerate(dims)})
+    if not t.n:
+        return [None for _ in labels]
+
+    def distances(a: Side, b: Side, same: bool) -> Iterator[tuple[slice, slice, int, np.ndarray]]:
+        r = Rough(a["x"], b["x"])
+        if dims == [None]:
+            for rows, cols, d in r.pieces(same):
+                close = np.flatnonzero(d <= 1e6 * r.slack)
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                d.ravel()[close] = r.exact(rows, cols, close)
+                yield rows, cols, 0, d
+            return
+        for rows, cols in r.places(same):
+            x, y, done = r.x[rows], r.y[cols], 0
+            total = np.zeros((len(x), len(y)))
+            for i, d in enumerate(dims):
+                for k in range(done, x.shape[1] if d is None else min(d, x.shape[1])):
+                    v = x[:, k, None] - y[None, :, k]
+                    total += np.multiply(v, v, out=v)
+                    done = k + 1
+                yield rows, cols, i, np.sqrt(total)
+
+    def sums(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        sides = (a,) if same else (a, b)
+        hot = [[(s[f"l{i}"] == names[i]).astype(float) for i in range(len(dims))] for s in sides]
+        y = [np.zeros((len(s.k), ends[-1])) for s in sides]
+        for rows, cols, i, d in distances(a, b, same):
+            y[0][rows, spans[i]] += d @ hot[-1][i][cols]
+            if not same or rows != cols:
+                y[-1][cols, spans[i]] += d.T @ hot[0][i][rows]
+        for s, total in zip(sides, y, strict=True):
+            yield {"b": s.blocks, "y": [total[rows].ravel() for rows in s.slices]}
+
+    def values(row: pd.Series, total: np.ndarray) -> dict:
+        total, out = total.reshape(len(row["k"]), -1), []
+        for i, span in enumerate(spans):
+            part, own = total[:, span], np.asarray(row[f"l{i}"], float)[:, None] == names[i]
+            n = np.where(own, held[i] - 1, held[i])
+            mean = part / np.where(n > 0, n, np.nan)
+            a = np.where(own, mean, 0.0).sum(1)
+            b = np.where(own, np.inf, mean).min(1, initial=np.inf)
+            most = np.maximum(a, b)
+            good = own.any(1) & np.isfinite(most) & (most > 0)
+            out.append(((b - a)[good] / most[good]).sum())
+        return {"s": out}
+
+    s = eigen._sums(added(t, over(t, sums, "b int, y array<double>"), values, "s array<double>"), lambda row: np.asarray(row.s), len(dims)) / t.n
+    at = {d: float(v) for d, v in zip(dims, s, strict=True)}
+    return [at[d] for d in labels]
 
 
 def silhouette_estimate(df: DataFrame, key: str, column: str, label: str, most: int = 2000, delta: float = 0.05, seed: int = 42) -> DataFrame:
@@ -179,6 +228,8 @@ def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK,
     return df.sparkSession.createDataFrame([tuple(_summary(tiles(df, key, column, size), bins))], "n long, least double, most double, eps double")
 
 
+#: Numbers of rows times clusters of a group, at most.
+WIDEST = 16_000_000
 #: Positive numbers by their leading bits: 2 ** 14 bins an octave.
 BITS = 38
 #: So many pairs of the median's bin, at most, are written by value; above, they are counted in bins again.
