@@ -7,6 +7,7 @@ and nothing is taken from a sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -192,11 +193,25 @@ def silhouette_estimate(df: DataFrame, key: str, column: str, label: str, most:
 
 def k_means(coords: DataFrame, d: int, k: int, seeds: int = 5, seed: int = 42) -> DataFrame:
     """coords with ``x``, the first d of ``dc``, and ``label``: the best of ``seeds`` runs of k-means."""
+    model = _fitted(coords, [d], k, seeds, seed)[d]
+    return _features(coords, d).withColumn("x", F.slice("dc", 1, d)).transform(model.transform).drop("_v")
+
+
+def _features(coords: DataFrame, d: int) -> DataFrame:
+    return coords.withColumn("_v", array_to_vector(F.slice("dc", 1, d)))
+
+
+def _fitted(coords: DataFrame, dims: list[int], k: int, seeds: int, seed: int) -> dict:
+    """The best model of each dimension; runs are jobs of their own, RUNS of them at a time."""
     from pyspark.ml.clustering import KMeans
 
-    x = coords.withColumn("x", F.slice("dc", 1, d)).withColumn("_v", array_to_vector("x"))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="label").fit(x) for i in range(seeds)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("_v")
+    def fit(at: tuple[int, int]):
+        return KMeans(k=k, seed=seed + at[1], featuresCol="_v", predictionCol="label").fit(_features(coords, at[0]))
+
+    asked = [(d, i) for d in dims for i in range(seeds)]
+    with ThreadPoolExecutor(RUNS) as pool:
+        models = dict(zip(asked, pool.map(fit, asked), strict=True))
+    return {d: min((models[d, i] for i in range(seeds)), key=lambda m: m.summary.trainingCost) for d in dims}
 
 
 def clusters_for(n: int) -> int:
@@ -206,16 +221,21 @@ def clusters_for(n: int) -> int:
 def choose_dimension(coords: DataFrame, key: str, dims: range = range(2, 21), seeds: int = 5, seed: int = 42, exact: bool = True) -> DataFrame:
     """(d, silhouette, bound) for each dimension: of the best of ``seeds`` k-means runs into max(2, min(10, N // 50)) clusters; order by silhouette to choose.
 
-    Not ``exact``, it is ``silhouette_estimate`` with its bound, which takes no N x N pass for each dimension; else the bound is 0.
+    All dimensions share one pass over all pairs. Not ``exact``, it is ``silhouette_estimate`` with its bound, which takes no N x N pass; else the bound is 0.
     """
     s = Scratch(coords.sparkSession)
     coords = s.save(coords)
-    k, out = clusters_for(coords.count()), []
+    k, dims = clusters_for(coords.count()), list(dims)
+    models = _fitted(coords, dims, k, seeds, seed)
+    x = coords.withColumn("x", F.slice("dc", 1, max(dims, default=1)))
     for d in dims:
-        x = k_means(coords, d, k, seeds, seed)
-        row = silhouette(x, key, "x", "label").first() if exact else silhouette_estimate(x, key, "x", "label").first()
-        out.append((d, row[0], 0.0 if exact else row[1]))
-    return coords.sparkSession.createDataFrame(out, "d int, silhouette double, bound double")
+        x = models[d].setPredictionCol(f"label{d}").transform(_features(x, d)).drop("_v")
+    x = s.save(x)
+    if exact:
+        found = [(v, 0.0) for v in silhouettes(x, key, "x", {d: f"label{d}" for d in dims})] if dims else []
+    else:
+        found = [tuple(silhouette_estimate(x.withColumn("x", F.slice("x", 1, d)), key, "x", f"label{d}").first()) for d in dims]
+    return coords.sparkSession.createDataFrame([(d, *v) for d, v in zip(dims, found, strict=True)], "d int, silhouette double, bound double")
 
 
 def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK, bins: int = 4096) -> DataFrame:
@@ -228,6 +248,8 @@ def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK,
     return df.sparkSession.createDataFrame([tuple(_summary(tiles(df, key, column, size), bins))], "n long, least double, most double, eps double")
 
 
+#: Runs of k-means at a time.
+RUNS = 8
 #: Numbers of rows times clusters of a group, at most.
 WIDEST = 16_000_000
 #: Positive numbers by their leading bits: 2 ** 14 bins an octave.
