@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import eigen, spectral, tiles
+from tidemill.operators import eigen, knn, spectral, tiles
 
 
 def frame(spark, x):
@@ -86,3 +86,17 @@ def test_neighbours_compare_few_pairs_by_differences(spark):
     for i in range(512):
         want = sorted((d[i, j], j) for j in range(2000) if j != i)[:5]
         assert list(zip(found["dist"][i], found["j"][i], strict=True)) == want
+
+
+def test_a_row_of_the_index_is_sent_once_to_a_group(spark):
+    """Not once for each visited cell: the groups hold each member once, and a hot cell is in several groups."""
+    g = np.random.default_rng(6)
+    x = np.concatenate([g.normal(0, 0.01, (1500, 3)), g.normal(0, 5, (500, 3))])
+    index = knn.build(frame(spark, x), "k", "x", 5, recall=1.0, cells=20)
+    index.visit = len(index.at)
+    t = knn._grouped(index, 64)
+    held = [(r.g, k) for r in t.rows.select("g", "k").collect() for k in r.k]
+    assert sorted(k for _, k in held) == list(range(2000))
+    assert max(np.bincount([g for g, _ in held])) < 2.5 * 2000 / t.groups
+    found = {(r.i, r.j) for r in knn.search(index, 5, size=64).collect()}
+    assert found == {(r.i, r.j) for r in spectral.neighbours(frame(spark, x), "k", "x", 5).collect()}

@@ -2,8 +2,8 @@
 
 Centroids are fitted on a sample of at most ``SAMPLE`` rows chosen by a hash of the key; every row is indexed. How many cells a query visits
 is settled by measuring: the true neighbours of at most ``JUDGES`` rows, found by one pass over all rows, must lie in the visited cells with
-the asked share. Cells and the queries that visit them are cut into blocks, and each pair of blocks is a row of its own, so a hot
-cell is many tasks. Work is about N * visited * N / cells instead of N * N.
+the asked share. Groups of whole cells meet in tiles, as in ``tiles``, and a tile compares each query with the members in the cells that it visits: a row is sent to
+each group once, however many cells it visits. A hot cell is dealt to several groups. Work is about N * visited * N / cells instead of N * N.
 
 Copies: only the k + 1 smallest keys of equal vectors are in the index, as no other copy can be among anybody's k nearest (ties go by key), and equal
 vectors are searched once. The Gaussian density counts all copies; rows outside the visited cells add nothing to it. Rows without a vector are left out; keys are whole numbers.
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .spectral import best_of
-from .tiles import BLOCK, apart, squares
+from .spectral import best_of, nearest_of
+from .tiles import BLOCK, CHUNK, Rough, Side, Tiles, apart, groups_for, over, squares
 
 SAMPLE, JUDGES, MAX_CELLS, SALTS = 65_536, 256, 4096, 16
 
@@ -116,38 +116,54 @@ def _settle(rows: DataFrame, members: DataFrame, at: np.ndarray, k: int, recall:
     return visit, float((needed <= visit).mean())
 
 
+def _grouped(index: Index, size: int) -> Tiles:
+    """The members as tiles whose groups are whole cells, one after the other; a cell above a group's share is dealt to several by a hash. There is one row of counts for each cell, MAX_CELLS at most."""
+    counts = {r.cell: r.n for r in index.members.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    groups = groups_for(index.members.sparkSession, n, size)
+    share, held, homes = max(1.0, n / groups), 0.0, []
+    for cell, m in sorted(counts.items()):
+        parts = int(-(-m // share))
+        homes.append((cell, [min(groups - 1, int((held + (p + 0.5) * m / parts) / share)) for p in range(parts)]))
+        held += m
+    to = index.members.sparkSession.createDataFrame(homes, "cell int, homes array<int>")
+    g = F.get("homes", F.pmod(F.xxhash64("k"), F.size("homes")).cast("int"))
+    b = F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(max(1, int(share) // size))).cast("int")
+    row = F.struct("k", "x", "weight", F.col("cell").cast("double").alias("cell"), (F.col("place") == 1).cast("double").alias("asked"))
+    each = index.members.join(F.broadcast(to), "cell").groupBy(g.alias("g"), b.alias("b")).agg(F.collect_list(row).alias("rows"))
+    flat = each.select("g", "b", F.col("rows.k").alias("k"), F.flatten("rows.x").alias("x"), *[F.col(f"rows.{c}").alias(c) for c in ("weight", "cell", "asked")])
+    return Tiles(index.scratch.save(flat), groups, n, index.scratch)
+
+
 def search(index: Index, k: int = 20, bandwidth: float | None = None, size: int = BLOCK) -> DataFrame:
     """(i, j, dist, rank, kde) for every row: its k nearest other rows as far as the visited cells hold them, ties by j."""
     s, at, visit = index.scratch, index.at, index.visit
-
-    def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"cls": b["cls"], "x": b["x"], "cells": list(nearest_cells(_matrix(b["x"].tolist()), at, visit)[0]) if len(b) else []})
-
-    asked = index.members.where("place = 1").select("cls", "x").mapInPandas(cells_of, "cls string, x array<double>, cells array<int>")
-    asked = s.save(asked.select("cls", "x", F.explode("cells").alias("cell")))
-
-    def cut(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        """Blocks of one cell, of about ``size`` rows; there is one row of counts for each cell, MAX_CELLS at most."""
-        counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64(*fields[:1], "cell"), F.col("parts")).cast("int").alias(name)
-        return rows.join(F.broadcast(counts), "cell").groupBy("cell", "parts", part).agg(F.collect_list(F.struct(*fields)).alias(f"rows_{name}"))
-
-    held = s.save(cut(index.members, "mb", ["k", "weight", "x"]))
-    parts = held.groupBy("cell").agg(F.max("parts").alias("blocks"))
-    want = cut(asked, "qb", ["cls", "x"]).drop("parts").join(F.broadcast(parts), "cell")
-    pairs = want.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.drop("parts").hint("shuffle_hash"), ["cell", "mb"])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for rows_m, rows_q in zip(b["rows_mb"], b["rows_qb"], strict=True):
-                y, x = _matrix([r["x"] for r in rows_m]), _matrix([r["x"] for r in rows_q])
-                d, keys = apart(x, y), np.array([r["k"] for r in rows_m])
-                kde = np.exp(-(d**2) / (2 * bandwidth**2)) @ np.array([r["weight"] for r in rows_m]) if bandwidth else np.zeros(len(d))
-                yield pd.DataFrame({"cls": [r["cls"] for r in rows_q], "near": best_of(d, keys, k + 1), "kde": kde})
-
-    each = pairs.select("rows_mb", "rows_qb").mapInPandas(compare, "cls string, near array<struct<dist:double,j:long>>, kde double")
-    best = s.save(each.groupBy("cls").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.sum("kde").alias("kde")))
+    t = _grouped(index, size)
+
+    def compare(a: Side, b: Side, same: bool) -> Iterator[dict]:
+        for one, two in ((a, b),) if same else ((a, b), (b, a)):
+            asked, order = one["asked"][:, 0] > 0, np.argsort(two["cell"][:, 0], kind="stable")
+            x, name, keys, weight = one["x"][asked], one.k[asked], two.k[order], two["weight"][order, 0]
+            if not len(x):
+                continue
+            r = Rough(x, two["x"][order], np.float64 if bandwidth else np.float32)
+            cells, first = np.unique(two["cell"][order, 0].astype(int), return_index=True)
+            spans = [slice(i, j) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
+            for i in range(0, len(x), CHUNK):
+                rows = slice(i, min(i + CHUNK, len(x)))
+                visited = np.zeros((rows.stop - i, len(at)), bool)
+                np.put_along_axis(visited, nearest_cells(x[rows], at, visit)[0], True, 1)
+                d = np.full((rows.stop - i, len(keys)), np.inf, np.float64 if bandwidth else np.float32)
+                for c, span in zip(cells, spans, strict=True):
+                    q = np.flatnonzero(visited[:, c])
+                    if len(q):
+                        d[q, span] = r(q + i, span)
+                kde = np.exp(np.maximum(d, 0) / (-2 * bandwidth**2)) @ weight if bandwidth else np.zeros(len(d))
+                yield {"c": name[rows], "kde": kde} | nearest_of(r, None, keys, rows, d, k + 1)
+
+    each = over(t, compare, "c long, dist array<double>, j array<bigint>, kde double").select("c", "kde", F.arrays_zip("dist", "j").alias("near"))
+    best = each.groupBy("c").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.sum("kde").alias("kde"))
+    best = s.save(best.join(index.members.where("place = 1").select(F.col("k").alias("c"), "cls"), "c").drop("c"))
     many = s.save(index.rows.groupBy("cls").agg(F.count("*").alias("n"), F.min("k").alias("i")))
     single = best.join(many.where("n = 1").select("cls", "i"), "cls")
     # classes of copies: their result is sent to SALTS tasks each

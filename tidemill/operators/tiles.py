@@ -39,13 +39,18 @@ class Tiles:
         return out
 
 
+def groups_for(spark, n: int, size: int, group: int = GROUP) -> int:
+    """So many groups that none is above ``group`` rows, and tiles enough for all cores."""
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    return max(1, -(-n // group), min(-(-n // max(1, size // 8)), int((2 * wanted) ** 0.5) + 1))
+
+
 def tiles(df: DataFrame, key: str, column: str = "x", size: int = BLOCK, group: int = GROUP, **more: Column) -> Tiles:
     """The blocks of a table of vectors; ``more`` names further columns of one number a row."""
     s = Scratch(df.sparkSession)
     held = df.where(F.col(column).isNotNull())
     n = held.count()
-    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, -(-n // group), min(-(-n // max(1, size // 8)), int((2 * wanted) ** 0.5) + 1))
+    groups = groups_for(df.sparkSession, n, size, group)
     blocks = max(groups, -(-n // size))
     b = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b")
     row = F.struct(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("x"), *[c.cast("double").alias(name) for name, c in more.items()])
@@ -130,7 +135,7 @@ class Rough:
             self.left = np.column_stack([u, p, np.ones(len(u))]).astype(kind)
             self.right = np.ascontiguousarray(np.column_stack([-2 * v, np.ones(len(v)), q]).T.astype(kind))
 
-    def __call__(self, rows: slice, cols: slice) -> np.ndarray:
+    def __call__(self, rows: slice | np.ndarray, cols: slice) -> np.ndarray:
         if self.safe:
             return self.left[rows] @ self.right[:, cols]
         with np.errstate(all="ignore"):
