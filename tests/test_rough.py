@@ -100,3 +100,33 @@ def test_a_row_of_the_index_is_sent_once_to_a_group(spark):
     assert max(np.bincount([g for g, _ in held])) < 2.5 * 2000 / t.groups
     found = {(r.i, r.j) for r in knn.search(index, 5, size=64).collect()}
     assert found == {(r.i, r.j) for r in spectral.neighbours(frame(spark, x), "k", "x", 5).collect()}
+
+
+def test_the_filter_takes_no_more_steps_than_the_residuals_need(spark, monkeypatch):
+    """Where the wanted values stand far above the rest, as among many rows, a few products do."""
+    calls = []
+    monkeypatch.setattr(eigen, "multiply", lambda *args, **kw: calls.append(1) or tiles.multiply(*args, **kw))
+    x = np.random.default_rng(7).normal(size=(1200, 3))
+    dc, values = spectral.diffusion_coordinates(frame(spark, x), "k", "x", 3)
+    d = tiles.apart(x, x)
+    k = np.exp(-(d**2) / np.quantile(d[np.triu_indices(1200, 1)], 0.5, method="inverted_cdf") ** 2)
+    w, v = np.linalg.eigh(k / np.sqrt(np.outer(k.sum(1), k.sum(1))))
+    want = v[:, [-2, -3, -4]] / np.sqrt(k.sum(1))[:, None] * w[[-2, -3, -4]]
+    got = np.array([r.dc for r in dc.orderBy("k").collect()])
+    assert np.abs(values - w[[-2, -3, -4]]).max() < 1e-12
+    assert np.abs(got - want * np.sign((got * want).sum(0))).max() < 1e-9
+    assert len(calls) <= 8
+
+
+def test_groups_send_only_what_the_own_group_does_not_rule_out(spark, monkeypatch):
+    """Not k rows of each group for every row; the neighbours and densities stay those of all pairs."""
+    sent = []
+    monkeypatch.setattr(knn, "over", lambda *args: sent.append(tiles.over(*args)) or sent[0])
+    g = np.random.default_rng(8)
+    x = np.concatenate([g.normal(c, 1.0, (500, 4)) for c in (0, 20, 40, 60)])
+    found = knn.search(knn.build(frame(spark, x), "k", "x", 20, recall=1.0, cells=12), 20, 0.5, size=64).toPandas()
+    exact = spectral.neighbours(frame(spark, x), "k", "x", 20, bandwidth=0.5).toPandas()
+    both = exact.merge(found, on=["i", "j", "rank"])
+    assert len(both) == len(exact) == len(found) == 2000 * 20 and (both.dist_x == both.dist_y).all()
+    assert np.abs(both.kde_x - both.kde_y).max() < 1e-9
+    assert sent[0].select(F.sum(F.size("j"))).first()[0] < 2000 * 21 * 2

@@ -19,6 +19,8 @@ from .tiles import Tiles, added, multiply
 
 #: Greatest growth of one wanted direction over another in one run of the filter: times the rounding error, it is what a column loses.
 GROWTH = 1e6
+#: Steps of the first filter, at most.
+FIRST = 3
 #: Dimensions that widen the panel, at most.
 MOST_DIMS = 128
 BASE = "g int, b int, k array<bigint>, x array<double>, deg array<double>"
@@ -106,7 +108,7 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
 
     t = t.with_rows(t.rows.mapInPandas(begin, STATE), t.rows)
     low = 0.0
-    for _ in range(most):
+    for round_ in range(most):
         # y0 becomes the panel, y1 the matrix times it
         t = t.with_rows(added(t, multiply(t, eps, method, "y1", top), lambda row, y: {"y0": row["y1"], "y1": y}, STATE), t.rows)
 
@@ -130,7 +132,8 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
         steps = 1
         if e > 1e-12:
             # so many steps that the first of the wanted pairs outgrows the last by GROWTH at most
-            apart = np.arccosh((values[0] - c) / e) - np.arccosh(max(1.0, (values[want - 1] - c) / e))
+            rate = np.arccosh(max(1.0, (values[want - 1] - c) / e))
+            apart = np.arccosh((values[0] - c) / e) - rate
             steps = int(np.clip(np.log(GROWTH) / max(apart, 1e-9), 1, degree))
         else:
             c, e = 0.0, float(max(values[0], 1e-300))  # nothing is left to damp: a power of the matrix
@@ -138,6 +141,11 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
         t, res = _rotated(t, turn, values, (c, e, s1))
         if m == t.n or (res[:want] <= tol).all():
             break
+        # and no more than the residuals need; the values of a random panel do not tell that yet
+        if not round_:
+            steps = min(steps, FIRST)
+        elif e > 1e-12:
+            steps = int(min(steps, max(1, np.ceil(np.log(20 * max(res[:want].max() / tol, 1.0)) / max(rate, 1e-9)))))
         s = s1
         for _ in range(2, steps + 1):
             s2 = 1 / (2 / s1 - s)

@@ -140,26 +140,53 @@ def search(index: Index, k: int = 20, bandwidth: float | None = None, size: int
     s, at, visit = index.scratch, index.at, index.visit
     t = _grouped(index, size)
 
+    kind = np.float64 if bandwidth else np.float32
+
+    def pieces(one: Side, two: Side) -> Iterator[tuple]:
+        """Asked rows of one side against the members of the other: their places, the rough distances, keys and weights of the members, and the rough squares, infinite outside the visited cells."""
+        asked, order = np.flatnonzero(one["asked"][:, 0] > 0), np.argsort(two["cell"][:, 0], kind="stable")
+        if not len(asked):
+            return
+        x, keys, weight = one["x"][asked], two.k[order], two["weight"][order, 0]
+        r = Rough(x, two["x"][order], kind)
+        cells, first = np.unique(two["cell"][order, 0].astype(int), return_index=True)
+        spans = [slice(i, j) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
+        for i in range(0, len(x), CHUNK):
+            rows = slice(i, min(i + CHUNK, len(x)))
+            visited = np.zeros((rows.stop - i, len(at)), bool)
+            np.put_along_axis(visited, nearest_cells(x[rows], at, visit)[0], True, 1)
+            d = np.full((rows.stop - i, len(keys)), np.inf, kind)
+            for c, span in zip(cells, spans, strict=True):
+                q = np.flatnonzero(visited[:, c])
+                if len(q):
+                    d[q, span] = r(q + i, span)
+            yield asked[rows], rows, r, keys, weight, d
+
+    names = t.rows.columns
+
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Side(pdf)
+        most = np.full(len(own.k), np.inf)
+        for places, _, r, keys, _, d in pieces(own, own):
+            if len(keys) > k + 1:
+                most[places] = np.partition(d, k + 1, axis=1)[:, k + 1].astype(float) + 2 * r.slack
+        return pdf.assign(most=[most[rows] for rows in own.slices])[[*names, "most"]]
+
+    # what a row's own group holds bounds its k-th distance, so other groups send only what lies nearer
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.rows.schema)
+    t = t.with_rows(t.rows.repartition(t.groups, "g").groupBy("g").applyInPandas(bounded, types + ", most array<double>"), t.rows)
+
     def compare(a: Side, b: Side, same: bool) -> Iterator[dict]:
         for one, two in ((a, b),) if same else ((a, b), (b, a)):
-            asked, order = one["asked"][:, 0] > 0, np.argsort(two["cell"][:, 0], kind="stable")
-            x, name, keys, weight = one["x"][asked], one.k[asked], two.k[order], two["weight"][order, 0]
-            if not len(x):
-                continue
-            r = Rough(x, two["x"][order], np.float64 if bandwidth else np.float32)
-            cells, first = np.unique(two["cell"][order, 0].astype(int), return_index=True)
-            spans = [slice(i, j) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
-            for i in range(0, len(x), CHUNK):
-                rows = slice(i, min(i + CHUNK, len(x)))
-                visited = np.zeros((rows.stop - i, len(at)), bool)
-                np.put_along_axis(visited, nearest_cells(x[rows], at, visit)[0], True, 1)
-                d = np.full((rows.stop - i, len(keys)), np.inf, np.float64 if bandwidth else np.float32)
-                for c, span in zip(cells, spans, strict=True):
-                    q = np.flatnonzero(visited[:, c])
-                    if len(q):
-                        d[q, span] = r(q + i, span)
-                kde = np.exp(np.maximum(d, 0) / (-2 * bandwidth**2)) @ weight if bandwidth else np.zeros(len(d))
-                yield {"c": name[rows], "kde": kde} | nearest_of(r, None, keys, rows, d, k + 1)
+            bound = one["most"][:, 0]
+            for places, rows, r, keys, weight, d in pieces(one, two):
+                near = nearest_of(r, None, keys, rows, d, k + 1, bound[places])
+                kde = np.zeros(len(d))
+                if bandwidth:
+                    np.maximum(d, 0, out=d)
+                    d /= -2 * bandwidth**2
+                    kde = np.exp(d, out=d) @ weight
+                yield {"c": one.k[places], "kde": kde} | near
 
     each = over(t, compare, "c long, dist array<double>, j array<bigint>, kde double").select("c", "kde", F.arrays_zip("dist", "j").alias("near"))
     best = each.groupBy("c").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.sum("kde").alias("kde"))

@@ -387,13 +387,16 @@ def neighbours(df: DataFrame, key: str, column: str = "x", k: int = 20, size: in
     return best.select("i", "kde", F.posexplode("near").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.dist").alias("dist"), (F.col("rank") + 1).alias("rank"), "kde")
 
 
-def nearest_of(r: Rough, own: np.ndarray | None, keys: np.ndarray, rows: slice, s: np.ndarray, k: int) -> dict:
+def nearest_of(r: Rough, own: np.ndarray | None, keys: np.ndarray, rows: slice, s: np.ndarray, k: int, most: np.ndarray | None = None) -> dict:
     """Lists ``dist`` and ``j`` of the k nearest other keys of some rows, ties by key, from the rough squares s of these rows to all of ``keys``; where these are infinite, the pair is left out. Without ``own`` keys a row is near itself.
 
-    The k + 1 smallest rough squares of some columns bound the k-th distance to others; what is below that is compared by differences.
+    The k + 1 smallest rough squares of some columns bound the k-th distance to others, or ``most``, a bound of its square that is known; what is below that is compared by differences.
     """
-    part = s[:, : max(4 * (k + 1), s.shape[1] // 4)]
-    bound = np.partition(part, k, axis=1)[:, k] if part.shape[1] > k else np.full(len(s), np.inf)
+    if most is None:
+        part = s[:, : max(4 * (k + 1), s.shape[1] // 4)]
+        bound = np.partition(part, k, axis=1)[:, k] if part.shape[1] > k else np.full(len(s), np.inf)
+    else:
+        bound = most.astype(float)
     open_ = np.flatnonzero(~np.isfinite(bound))
     if len(open_) and s.shape[1] > k:
         bound[open_] = np.partition(s[open_], k, axis=1)[:, k]
