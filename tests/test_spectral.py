@@ -118,3 +118,18 @@ def test_bound_of_the_silhouette_holds(spark):
     full = spectral.silhouette_estimate(df, "k", "x", "label", most=10**6).first()
     assert full.bound == 0 and full.silhouette == pytest.approx(exact, abs=1e-9)
     assert spectral.silhouette_estimate(df.withColumn("label", F.lit(1)), "k", "x", "label").first().silhouette == 0
+
+
+def test_vectors_are_standardised_by_one_group_by_on_positions(spark):
+    """Not by two aggregates for each of 1,024 positions, whose plan costs more than the rows; the first row may have no vector."""
+    x = np.random.default_rng(9).normal(size=(50, 1024)).round(3)
+    x[:, 5] = 7.0
+    rows = [(0, None)] + [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    df = spectral.standardize_vectors(spark.createDataFrame(rows, "k long, x array<double>").coalesce(1))
+    got = {r.k: r.x for r in df.collect()}
+    sd = x.std(0)
+    want = (x - x.mean(0)) / np.where(sd > 1e-9, sd, 1.0)
+    assert got[0] is None and len(got) == 51
+    assert np.abs(np.array([got[i + 1] for i in range(50)]) - want).max() < 1e-9
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert spectral.standardize_vectors(df.where("k < 0")).count() == 0

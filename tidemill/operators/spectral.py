@@ -31,11 +31,8 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def standardize_vectors(df: DataFrame, column: str = "x") -> DataFrame:
     """The same for an array column: one group-by on positions, then arithmetic by position."""
-    n = df.select(F.size(column).alias("n")).first()
-    if n is None:
-        return df
-    at = [F.get(column, F.lit(i)).cast("double") for i in range(n["n"])]
-    stats = df.agg(F.array(*[F.avg(a) for a in at]).alias("_m"), F.array(*[F.stddev_pop(a) for a in at]).alias("_s"))
+    each = df.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.stddev_pop(F.col("v").cast("double")).alias("s"))
+    stats = each.agg(F.sort_array(F.collect_list(F.struct("i", "m", "s"))).alias("e")).select(F.col("e.m").alias("_m"), F.col("e.s").alias("_s"))  # one row of positions
     z = F.transform(column, lambda v, i: (v.cast("double") - F.get("_m", i)) / F.when(F.get("_s", i) > 0, F.get("_s", i)).otherwise(1.0))
     return df.join(F.broadcast(stats)).withColumn(column, z).drop("_m", "_s")
 
@@ -45,7 +42,8 @@ def principal_components(df: DataFrame, column: str = "x", k: int = 50) -> DataF
     n = df.select(F.size(column).alias("n")).first()
     if n is None or n["n"] <= k:
         return df
-    v = df.withColumn("_v", array_to_vector(F.col(column)))
+    # written, as the fit reads its rows several times
+    v = Scratch(df.sparkSession).save(df).withColumn("_v", array_to_vector(F.col(column)))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
     return model.transform(v).withColumn(column, vector_to_array("_p")).drop("_v", "_p")
 
