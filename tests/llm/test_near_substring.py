@@ -254,3 +254,53 @@ def test_short_edited_passages_are_linked(spark, docs_of, words):
     out = {r.doc_id: r for r in substring_dedup.repeated_passages(docs_of(list(enumerate(texts)))).collect()}
     assert [out[i].class_id for i in range(120)] == [i - i % 2 for i in range(120)]
     assert all(out[i].class_size == 2 and out[i].n_dup_words >= 45 for i in range(120))
+
+
+def test_hashes_by_columns_are_those_of_single_words():
+    from tidemill.llm.shingles import WordHashes, shingles, shingles_of, word_hashes
+
+    g, one = random.Random(3), WordHashes()
+    texts = ["".join(g.choice("abQZé中ж \n\t\x0b") for _ in range(g.randint(0, 400))) for _ in range(200)]
+    texts += [None, "", "  ", *("x" * n + " Y" for n in range(40))]
+    hashes, at = word_hashes(texts, WordHashes())
+    want = [one.of(t) for t in texts]
+    assert (hashes == np.concatenate(want)).all() and (np.diff(at) == [len(w) for w in want]).all()
+    x, at = shingles_of(hashes, at, 20)
+    want = [shingles(w) if len(w) >= 20 else w[:0] for w in want]
+    assert (x == np.concatenate(want)).all() and (np.diff(at) == [len(w) for w in want]).all()
+    assert [len(v) for v in word_hashes([], one)] == [0, 1]
+
+
+def test_repeated_items_are_those_of_a_join(spark):
+    g = random.Random(4)
+    rows = []
+    for i in range(90):
+        # key 7 in all texts; a copied text's own key repeats in one node only
+        keys = [[7, 1000 + i // 2, *(g.randrange(-(2**62), 2**62) if g.random() < 0.5 else g.randrange(40) for _ in range(g.randint(0, 9)))] for _ in "be"]
+        rows.append((i // 9, i // 2, keys[0], [j + 1 for j in range(len(keys[0]))], keys[1], [k ^ 1 for k in keys[1]], [j + 2 for j in range(len(keys[1]))], *[[k] * len(keys[1]) for k in (-3, 4)]))
+        if i % 2:
+            rows[-1] = (i // 9, *rows[-2][1:])
+    made = spark.createDataFrame(rows, "batch long, node long, bkeys array<long>, anchors array<int>, ekeys array<long>, contents array<long>, places array<int>, los array<tinyint>, his array<tinyint>")
+    nodes = {}
+    for _, node, b, _, e, *_ in rows:
+        for kind, keys in ((False, b), (True, e)):
+            for k in keys:
+                nodes.setdefault((kind, k), set()).add(node)
+    want = {(False, k, r[1], c, 0, 0, 0) for r in rows for k, c in zip(r[2], r[3]) if len(nodes[False, k]) > 1}
+    want |= {(True, k, r[1], c, h, -3, 4) for r in rows for k, h, c in zip(r[4], r[5], r[6]) if len(nodes[True, k]) > 1}
+    assert {tuple(r) for r in substring_dedup.repeated(made).collect()} == want
+    # a key of all texts is one entry a batch, and one number a batch on its way back
+    packs = [p for f in substring_dedup.key_packs(3)(iter([made.toPandas()])) for p in f.to_dict("records")]
+    assert sum((p["keys"] == 7).sum() for p in packs) == 2 * len({r[0] for r in rows})
+
+
+def test_shuffle_files_go_with_each_table(spark, docs_of, words):
+    import glob
+
+    held = lambda: set(glob.glob("/tmp/blockmgr-*/*/shuffle_*.data"))
+    before, name = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(name, None)
+    texts = passage_corpus(words, random.Random(3))
+    out = substring_dedup.repeated_passages(docs_of(list(enumerate(texts))))
+    assert len(held() - before) < 60 and spark.conf.get(name, None) == set_before
+    assert out.count() == len(texts)

@@ -47,11 +47,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bodies, components, extended, text_key
-from .shingles import GOLDEN, WordHashes, mix, shingles
+from .shingles import GOLDEN, WordHashes, mix, shingles, shingles_of, word_hashes
 
 WIDTH, MIN_WORDS, SIMILARITY, SHIFT, CHUNK = 5, 50, 0.8, 8, 200_000
 T = MIN_WORDS - WIDTH + 1  # shingles in a window of MIN_WORDS words
@@ -60,7 +61,7 @@ MISSES = T - NEED  # fewer than two gaps of WIDTH - 1 shingles
 RUN = -(-NEED // 2)  # consecutive shingles on one side of the only gap
 REACH = T - 1  # a window that holds an anchor reaches so far
 HALF = T // 2 - 1  # a window of T shingles holds so many before its anchor, or HALF + 2 after it
-SEGMENT, PAD, ROUNDS = 512, REACH + SHIFT, 3
+SEGMENT, PAD, ROUNDS, BLOCK, BATCH = 512, REACH + SHIFT, 3, 64, 5
 SALT = np.uint64(0xA0761D6478BD642F)
 INVERSE = np.uint64(pow(int(GOLDEN), -1, 2**64))
 
@@ -114,7 +115,9 @@ def cells(x: np.ndarray, doc: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.
         a, b = (anchor[np.searchsorted(first, starts, "right") - 1] for first, anchor in tiles)
         key = mix(mix(ranks[0][a]) * GOLDEN + ranks[1][b] + (b - a).astype(np.uint64))
     # a text that repeats itself all the time ("no no no") has one cell for the whole stretch
-    order = np.lexsort((starts, key, doc[starts]))
+    in_order = np.sort(key)
+    twice = np.flatnonzero(np.isin(key, in_order[1:][in_order[1:] == in_order[:-1]]))
+    order = twice[np.lexsort((starts[twice], key[twice], doc[starts[twice]]))]
     ahead = np.diff(starts[order], prepend=-t) < t
     again = order[1:][(key[order][1:] == key[order][:-1]) & (doc[starts][order][1:] == doc[starts][order][:-1]) & ahead[1:]]
     keep = np.ones(len(starts), bool)
@@ -122,12 +125,21 @@ def cells(x: np.ndarray, doc: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.
     return doc[starts][keep], key[keep], a[keep]
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of the base and of its inverse."""
+    with np.errstate(over="ignore"):
+        return [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b)])) for b in (GOLDEN, INVERSE)]
+
+
+POWERS = _powers(SEGMENT)
+
+
 class Stretches:
     """Hashes of stretches of x: a polynomial modulo 2^64 whose differences of prefixes are moved to place 0."""
 
     def __init__(self, x: np.ndarray):
         with np.errstate(over="ignore"):
-            powers, self.back = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(x), b)])) for b in (GOLDEN, INVERSE))
+            powers, self.back = (p[: len(x) + 1] for p in (POWERS if len(x) <= SEGMENT else _powers(len(x))))
             self.total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x) * powers[:-1], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -168,22 +180,104 @@ def _runs(texts) -> Iterator[list[int]]:
 
 
 def cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = WordHashes()
+    """Cells and windows of each text; BATCH runs of texts share a number."""
+    words, task, n = WordHashes(), TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         for run in _runs(batch["text"].tolist()):
             part = batch.iloc[run]
-            each = [words.of(t) for t in part["text"]]
-            rows = [shingles(w, WIDTH) if len(w) >= MIN_WORDS else w[:0] for w in each]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            x, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), np.diff(offsets))
+            hashes, at = word_hashes(part["text"].tolist(), words)
+            x, offsets = shingles_of(hashes, at, MIN_WORDS, WIDTH)
+            doc = np.repeat(np.arange(len(part)), np.diff(offsets))
             d, k, a = cells(x, doc)
             k, a = k.view(np.int64), (a - offsets[d]).astype(np.int32)
-            cut = np.searchsorted(d, np.arange(1, len(rows)))
-            out = {"doc_id": part["doc_id"].astype("Int64"), "key": part["key"].to_numpy(), "n_words": [len(w) for w in each], "bkeys": np.split(k, cut), "anchors": np.split(a, cut)}
+            cut = np.searchsorted(d, np.arange(1, len(part)))
+            out = {"doc_id": part["doc_id"].astype("Int64"), "key": part["key"].to_numpy(), "batch": task + n // BATCH, "n_words": np.diff(at), "bkeys": np.split(k, cut), "anchors": np.split(a, cut)}
             d, e, h, c, lo, hi = anchored(x, doc)
-            cut = np.searchsorted(d, np.arange(1, len(rows)))
+            cut = np.searchsorted(d, np.arange(1, len(part)))
             parts = {"ekeys": e.view(np.int64), "contents": h.view(np.int64), "places": (c - offsets[d]).astype(np.int32), "los": (lo - c).astype(np.int8), "his": (hi - c).astype(np.int8)}
             yield pd.DataFrame(out | {name: np.split(v, cut) for name, v in parts.items()})
+            n += 1
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pd.Series:
+    """The values cut at the places at, of which the first is 0, if any."""
+    return pd.Series(np.split(values, at[1:]) if len(at) else [], dtype=object)
+
+
+def _joined(arrays: pd.Series, dtype: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *arrays])
+
+
+def _extremes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order of the keys, first place of each different one in it, least lo and largest hi of each."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), np.diff(keys[order]) != 0]))
+    return (order, first, np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)) if len(keys) else (order, first, lo, hi)
+
+
+def key_packs(parts: int):
+    """Packs of (key, batch), once each, with the least and the largest node; pack p holds a range of the signatures, pack parts + p of the sides of anchors."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for batch, texts in frame.groupby("batch"):
+                for k, name in enumerate(("bkeys", "ekeys")):
+                    keys, nodes = _joined(texts[name]), np.repeat(texts["node"].to_numpy(), texts[name].map(len))
+                    order, first, lo, hi = _extremes(keys, nodes, nodes)
+                    keys = keys[order][first]
+                    p = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64) + k * parts
+                    out.append((p, keys, lo, hi, np.full(len(p), batch)))
+            if not out:
+                continue
+            p, *columns = (np.concatenate(c) for c in zip(*out, strict=True))
+            order = np.argsort(p, kind="stable")
+            some, at = np.unique(p[order], return_index=True)
+            yield pd.DataFrame({"p": some} | {name: _lists(c[order], at) for name, c in zip(("keys", "los", "his", "batches"), columns, strict=True)})
+
+    return rows
+
+
+def repeated_keys(parts: int):
+    """The keys of a pack that several nodes hold, by batch."""
+
+    def rows(pack: pd.DataFrame) -> pd.DataFrame:
+        keys, lo, hi, batch = (_joined(pack[c]) for c in ("keys", "los", "his", "batches"))
+        order, first, least, most = _extremes(keys, lo, hi)
+        kept = order[np.repeat(least < most, np.diff(np.append(first, len(keys))))]
+        kept = kept[np.argsort(batch[kept], kind="stable")]
+        some, at = np.unique(batch[kept], return_index=True)
+        return pd.DataFrame({"batch": some, "exact": bool(pack["p"].iloc[0] >= parts), "keys": _lists(keys[kept], at)})
+
+    return rows
+
+
+def repeated_items(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """The items of a batch of texts that hold a key of several nodes."""
+    texts, out = texts.drop_duplicates("node"), []
+    for exact, name, columns in ((False, "bkeys", {"c": "anchors"}), (True, "ekeys", {"c": "places", "content": "contents", "lo": "los", "hi": "his"})):
+        keys, mine = np.sort(_joined(found["keys"][found["exact"] == exact])), _joined(texts[name])
+        if len(keys) and len(mine):
+            some = keys[np.minimum(np.searchsorted(keys, mine), len(keys) - 1)] == mine
+            rows = {"exact": exact, "key": mine[some], "node": np.repeat(texts["node"].to_numpy(), texts[name].map(len))[some], "content": 0, "lo": 0, "hi": 0}
+            out.append(pd.DataFrame(rows | {c: _joined(texts[v], np.int8)[some] for c, v in columns.items()}))
+    return pd.concat(out)[ITEM] if out else pd.DataFrame(columns=ITEM)
+
+
+ITEM = ["exact", "key", "node", "c", "content", "lo", "hi"]
+
+
+def repeated(made: DataFrame) -> DataFrame:
+    """(exact, key, node, c, content, lo, hi): the items of ``made`` whose signature, or side of an anchor, several texts hold.
+
+    Keys go to packs, by ranges, once a batch of texts, however many of its texts have them; those of several texts go
+    back to their batches. So only the items of such keys become rows, and a key of all texts is one number a batch.
+    """
+    parts = max(16, int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packs = made.select("batch", "node", "bkeys", "ekeys").mapInPandas(key_packs(parts), "p int, keys array<long>, los array<long>, his array<long>, batches array<long>")
+    found = packs.groupBy("p").applyInPandas(repeated_keys(parts), "batch long, exact boolean, keys array<long>")
+    texts = made.select("batch", "node", "bkeys", "anchors", "ekeys", "contents", "places", "los", "his")
+    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(repeated_items, "exact boolean, key long, node long, c int, content long, lo tinyint, hi tinyint")
 
 
 def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,8 +286,8 @@ def window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for x, c, lo, hi in zip(batch["x"], batch["c"], batch["lo"], batch["hi"], strict=True):
             at = c % SEGMENT + PAD
-            starts = np.arange(at + lo, at + hi + 1)
-            rows.append((Stretches(x.view(np.uint32).astype(np.uint64)).of(starts, starts + T).view(np.int64), starts - at))
+            starts = np.arange(hi - lo + 1)
+            rows.append((Stretches(x[at + lo : at + hi + T].view(np.uint32).astype(np.uint64)).of(starts, starts + T).view(np.int64), starts + lo))
         sizes = [len(w) for w, _ in rows]
         out = batch[["ekey", "content", "least", "most"]].loc[batch.index.repeat(sizes)].reset_index(drop=True)
         out["w"], out["at"] = (np.concatenate(v) for v in zip(*rows)) if rows else ([], [])
@@ -207,9 +301,11 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _runs(batch["text"].tolist()):
             part = batch.iloc[run]
             rows = []
-            for node, text, qs in zip(part["node"], part["text"], part["qs"], strict=True):
-                s = (shingles(words.of(text), WIDTH) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                s = np.pad(s, (PAD, PAD)).view(np.int32)
+            x, offsets = shingles_of(*word_hashes(part["text"].tolist(), words), MIN_WORDS, WIDTH)
+            x = ((x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).view(np.int32)
+            for node, lo, hi, qs in zip(part["node"], offsets[:-1], offsets[1:], part["qs"], strict=True):
+                s = np.zeros(hi - lo + 2 * PAD, np.int32)
+                s[PAD:-PAD] = x[lo:hi]
                 rows += [(node, q, s[q * SEGMENT : q * SEGMENT + size]) for q in qs]
             yield pd.DataFrame(rows, columns=["node", "q", "x"])
 
@@ -219,20 +315,36 @@ SHIFTS = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))
 within = np.lib.stride_tricks.sliding_window_view
 
 
-def near_windows(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """hit: shingles of x found in y within SHIFT of the diagonal x - y = d; good: starts of windows of T shingles of x of which NEED stand in one window of T of y."""
-    across = np.zeros(len(x) + 2 * SHIFT, x.dtype)
-    lo, hi = max(0, -d - SHIFT), min(len(y), len(x) - d + SHIFT)
-    if lo < hi:
-        across[lo + d + SHIFT : hi + d + SHIFT] = y[lo:hi]
-    equal = (within(across, len(SHIFTS)) == x[:, None])[:, SHIFTS + SHIFT]
-    hit = equal.any(1) & (x != 0)
-    total = np.cumsum(np.concatenate([[0], hit]))
-    good = total[T:] - total[:-T] >= NEED if len(x) >= T else np.zeros(0, bool)
-    if not good.any():
-        return hit, good
+def near_windows(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By rows: hit: shingles of x found in y within SHIFT of the diagonal x - y = d; good: starts of windows of T shingles of x of which NEED stand in one window of T of y.
+
+    Rows of x and y end with zeros, where a text has no shingle.
+    """
+    n = x.shape[1]
+    across = np.zeros((len(x), n + 2 * SHIFT), x.dtype)
+    for row, other, k in zip(across, y, d.tolist(), strict=True):
+        lo, hi = max(0, -k - SHIFT), min(n, n - k + SHIFT)
+        if lo < hi:
+            row[lo + k + SHIFT : hi + k + SHIFT] = other[lo:hi]
+    hit = np.zeros(x.shape, bool)
+    for k in SHIFTS:
+        hit |= across[:, SHIFT + k : SHIFT + k + n] == x
+    hit &= x != 0
+    total = np.zeros((len(x), n + 1), np.int32)
+    np.cumsum(hit, 1, out=total[:, 1:])
+    good = total[:, T:] - total[:, :-T] >= NEED
     # where places of y are shifted within a window, some may be out of its reach
-    moved = SHIFTS[equal.argmax(1)]
+    straight = across[:, SHIFT : SHIFT + n] == x
+    shifted = np.zeros_like(total)
+    np.cumsum(hit & ~straight, 1, out=shifted[:, 1:])
+    for i in np.flatnonzero((good & (shifted[:, T:] > shifted[:, :-T])).any(1)):
+        equal = (within(across[i], len(SHIFTS)) == x[i][:, None])[:, SHIFTS + SHIFT]
+        _narrow(hit[i], good[i], total[i], SHIFTS[equal.argmax(1)])
+    return hit, good
+
+
+def _narrow(hit: np.ndarray, good: np.ndarray, total: np.ndarray, moved: np.ndarray) -> None:
+    """Takes the windows from good of which fewer than NEED stand in one window of T, by the shift of each shingle."""
     turns = np.cumsum(np.concatenate([[0], np.diff(moved[hit]) != 0]))
     turn = np.zeros(len(total), int)
     turn[1:] = turns[np.maximum(total[1:] - 1, 0)]
@@ -244,7 +356,6 @@ def near_windows(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.n
         for k in range(-SHIFT, SHIFT + 1):
             best = np.maximum(best, (h & (place >= k) & (place < k + T)).sum(1))
         good[at[best < NEED]] = False
-    return hit, good
 
 
 def spans(hit: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
@@ -262,24 +373,33 @@ def spans(hit: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
 def passage_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each pair of segments its passages, as words of either text, and the items of the first text that no passage holds."""
     for batch in batches:
-        rows = []
-        for na, qa, nb, qb, x, y, bkey, ca, cb in zip(*(batch[c] for c in ("na", "qa", "nb", "qb", "x", "y", "bkey", "ca", "cb")), strict=True):
-            to_a, to_b = qa * SEGMENT - PAD, qb * SEGMENT - PAD
-            a, b = ca - to_a, cb - to_b
-            verified, mine, other = np.zeros(len(a), bool), set(), set()
-            for d in np.unique(a - b):
-                hit_a, good_a = near_windows(x, y, int(d))
-                if not good_a.any():
-                    continue
-                hit_b, good_b = near_windows(y, x, -int(d))
-                if not good_b.any():
-                    continue
-                here = np.flatnonzero(a - b == d)
-                verified[here] = _held(good_a, a[here]) & _held(good_b, b[here])
-                mine.update((s + to_a, e + to_a + WIDTH - 1) for s, e in spans(hit_a, good_a))
-                other.update((s + to_b, e + to_b + WIDTH - 1) for s, e in spans(hit_b, good_b))
-            rows.append((na, nb, *([{"s": s, "e": e} for s, e in sorted(v)] for v in (mine, other)), bkey[~verified], ca[~verified]))
-        yield pd.DataFrame(rows, columns=["na", "nb", "ina", "inb", "bkey", "c"])
+        for begin in range(0, len(batch), BLOCK):
+            yield _passages(batch.iloc[begin : begin + BLOCK])
+
+
+def _passages(part: pd.DataFrame) -> pd.DataFrame:
+    x, y = np.zeros((2, len(part), SEGMENT + 2 * PAD), np.int32)
+    for row, v in zip((*x, *y), (*part["x"], *part["y"]), strict=True):
+        row[: len(v)] = v
+    to_a, to_b = (part[f"q{e}"].to_numpy() * SEGMENT - PAD for e in "ab")
+    a, b = [c - k for c, k in zip(part["ca"], to_a)], [c - k for c, k in zip(part["cb"], to_b)]
+    diagonals = [np.unique(p - q) for p, q in zip(a, b, strict=True)]
+    at, d = np.repeat(np.arange(len(part)), [len(v) for v in diagonals]), np.concatenate(diagonals)
+    hit_a, good_a = near_windows(x[at], y[at], d)
+    both = np.flatnonzero(good_a.any(1))
+    hit_b, good_b = near_windows(y[at[both]], x[at[both]], -d[both])
+    verified, mine, other = [np.zeros(len(v), bool) for v in a], [set() for _ in a], [set() for _ in a]
+    for k, j in enumerate(both):
+        if not good_b[k].any():
+            continue
+        i = at[j]
+        here = np.flatnonzero(a[i] - b[i] == d[j])
+        verified[i][here] = _held(good_a[j], a[i][here]) & _held(good_b[k], b[i][here])
+        mine[i].update((s + int(to_a[i]), e + int(to_a[i]) + WIDTH - 1) for s, e in spans(hit_a[j], good_a[j]))
+        other[i].update((s + int(to_b[i]), e + int(to_b[i]) + WIDTH - 1) for s, e in spans(hit_b[k], good_b[k]))
+    named = {n: [[{"s": s, "e": e} for s, e in sorted(v)] for v in found] for n, found in (("ina", mine), ("inb", other))}
+    left = {n: [c[~v] for c, v in zip(part[of], verified, strict=True)] for n, of in (("bkey", "bkey"), ("c", "ca"))}
+    return pd.DataFrame({"na": part["na"], "nb": part["nb"]} | named | left)
 
 
 def _held(good: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -288,25 +408,41 @@ def _held(good: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[np.minimum(at + 1, len(good))] > total[np.clip(at - T + 1, 0, len(good))]
 
 
+def dense_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """vs: the shingles v of each item that have NEED - 1 others within T places p, from rare (df) to common; items with fewer than NEED are left out."""
+    for batch in batches:
+        kept, found = [], []
+        for i, (p, df, v) in enumerate(zip(batch["p"], batch["df"], batch["v"], strict=True)):
+            order = np.argsort(p)
+            p, df, v = p[order], df[order], v[order]
+            dense = np.flatnonzero(p[NEED - 1 :] - p[: len(p) - NEED + 1] < T)
+            if not len(dense):
+                continue
+            inside = np.zeros(len(p) + 1, int)
+            np.add.at(inside, dense, 1)
+            np.subtract.at(inside, dense + NEED, 1)
+            inside = np.flatnonzero(np.cumsum(inside[:-1]))
+            v, first = np.unique(v[inside], return_index=True)
+            if len(v) >= NEED:
+                kept.append(i)
+                found.append(v[np.lexsort((v, df[inside][first]))])
+        yield batch[["bkey", "g", "node", "c"]].iloc[kept].assign(vs=pd.Series(found, index=batch.index[kept], dtype=object))
+
+
 PASSAGE = "array<struct<s:int,e:int>>"
 
 
 class ExactRepeats:
     """Windows of T shingles that several texts hold: ``found`` (node, s, e) of their words and ``edges`` (a, b) of their texts, once ``run``."""
 
-    def __init__(self, s: Scratch, made: DataFrame):
-        self.s = s
-        zipped = F.explode(F.arrays_zip("ekeys", "contents", "places", "los", "his")).alias("x")
-        names = {"ekeys": "ekey", "contents": "content", "places": "c", "los": "lo", "his": "hi"}
-        each = made.select("node", zipped).select("node", *[F.col(f"x.{k}").alias(v) for k, v in names.items()])
-        keys = s.save(each.groupBy("ekey").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("ekey"))
-        self.items = s.save(each.join(keys.hint("merge"), "ekey", "left_semi").distinct())
+    def __init__(self, s: Scratch, items: DataFrame):
+        self.s, self.items = s, items
         # one row a content, however many items have it
         one = self.items.groupBy("ekey", "content").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("node", "c", "lo", "hi")).alias("i"))
         self.contents = s.save(one.select("ekey", "content", "least", "most", "i.*").withColumn("q", F.floor(F.col("c") / SEGMENT).cast("int")))
         several = s.save(self.contents.groupBy("ekey").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b").select("ekey"))
         self.open = s.save(self.contents.join(several.hint("merge"), "ekey", "left_semi"))
-        s.drop(keys, several)
+        s.drop(several)
 
     def run(self, segments: DataFrame) -> None:
         s = self.s
@@ -385,7 +521,11 @@ class Comparison:
         items = items.join(self.comps.hint("merge"), "node", "left")
         items = items.select("bkey", "node", "c", F.coalesce("comp", "node").alias("g"), F.floor(F.col("c") / SEGMENT).cast("int").alias("q"))
         items = self.s.save(items)
-        several = self.s.save(items.groupBy("bkey").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey"))
+        # one of the buckets with the same items is enough
+        one = F.xxhash64("node", "c")
+        same = [F.count("*").alias("n"), F.sum(one.bitwiseAND(F.lit(2**40 - 1))).alias("sum"), F.bit_xor(one).alias("xor")]
+        several = items.groupBy("bkey").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), *same).where("lo < hi")
+        several = self.s.save(several.groupBy("lo", "hi", "n", "sum", "xor").agg(F.min("bkey").alias("bkey")).select("bkey"))
         items = items.join(several.hint("merge"), "bkey", "left_semi")
         near = F.slice("x", F.col("c") - F.col("q") * SEGMENT + PAD - REACH + 1, 2 * REACH + 1)
         around = self.s.save(items.join(self.segments.hint("merge"), ["node", "q"]).select("bkey", "g", "node", "c", near.alias("near")))
@@ -394,12 +534,8 @@ class Comparison:
         around = around.join(alike.hint("merge"), ["bkey", "g", "node", "c"], "left_semi")
         each = self.s.save(around.select("bkey", "g", "node", "c", F.posexplode("near").alias("p", "v")).where("v != 0"))
         df = self.s.save(each.groupBy("bkey", "v").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("bkey", "v", "df"))
-        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.sort_array(F.collect_list(F.struct("p", "df", "v"))).alias("left")).where(F.size("left") >= NEED)
-        place = lambda i: F.get("left", i)["p"]
-        dense = F.transform(F.sequence(F.lit(0), F.size("left") - NEED), lambda i: place(i + NEED - 1) - place(i) < T)
-        rows = rows.withColumn("dense", dense).where(F.exists("dense", lambda x: x))
-        inside = F.filter("left", lambda x, k: F.exists(F.slice("dense", F.greatest(F.lit(0), k - NEED + 1) + 1, NEED - F.greatest(F.lit(0), NEED - 1 - k)), lambda x: x))
-        rows = rows.withColumn("vs", F.transform(F.array_sort(F.array_distinct(F.transform(inside, lambda x: F.struct(x["df"], x["v"])))), lambda x: x["v"])).where(F.size("vs") >= NEED)
+        rows = each.join(df.hint("merge"), ["bkey", "v"]).groupBy("bkey", "g", "node", "c").agg(F.collect_list(F.struct("p", "df", "v")).alias("left")).where(F.size("left") >= NEED)
+        rows = rows.select("bkey", "g", "node", "c", *[F.col(f"left.{x}").alias(x) for x in ("p", "df", "v")]).mapInPandas(dense_rows, "bkey long, g long, node long, c int, vs array<int>")
         rows = rows.groupBy("bkey", "g", "vs").agg(F.min(F.struct("node", "c")).alias("i")).select("bkey", "g", "i.*", "vs")
         keys = lambda vs: F.slice(vs, 1, F.size(vs) - NEED + 1)
         front = self.s.save(rows.select("*", F.explode(keys("vs")).alias("v")))
@@ -421,21 +557,20 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     """rows (doc_id, key, node, n_words), comps (node, comp) of linked texts, found (node, s, e) of repeated words."""
-    s = Scratch(docs.sparkSession)
+    s = Scratch(docs.sparkSession, clean=True)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    schema = "doc_id long, key binary, n_words long, bkeys array<long>, anchors array<int>, ekeys array<long>, contents array<long>, places array<int>, los array<tinyint>, his array<tinyint>"
+    schema = "doc_id long, key binary, batch long, n_words long, bkeys array<long>, anchors array<int>, ekeys array<long>, contents array<long>, places array<int>, los array<tinyint>, his array<tinyint>"
     made = s.save(keyed.mapInPandas(cell_rows, schema).withColumn("node", F.xxhash64("key")))
-    each = made.select("node", F.explode(F.arrays_zip("bkeys", "anchors")).alias("x")).select(F.col("x.bkeys").alias("bkey"), "node", F.col("x.anchors").alias("c"))
-    keys = s.save(each.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey"))
-    members = s.save(each.join(keys.hint("merge"), "bkey", "left_semi").distinct())
-    exact = ExactRepeats(s, made)
+    items = s.save(repeated(made))
+    members = s.save(items.where("not exact").select(F.col("key").alias("bkey"), "node", "c").distinct())
+    exact = ExactRepeats(s, s.save(items.where("exact").select(F.col("key").alias("ekey"), "node", "content", "c", "lo", "hi").distinct()))
     wanted = members.select("node", "c").union(exact.open.select("node", "c")).groupBy("node").agg(F.sort_array(F.collect_set(F.floor(F.col("c") / SEGMENT).cast("int"))).alias("qs"))
     texts = bodies(s, keyed, made.select("doc_id", "key", "node"), s.save(wanted))
     segments = s.save(texts.mapInPandas(segment_rows, "node long, q int, x array<int>"))
     exact.run(segments)
     work = Comparison(s, members, segments, exact.edges)
     work.run()
-    s.drop(keys, members, segments)
+    s.drop(items, members, segments)
     found = union([exact.found, *[out.select(F.col(f"n{e}").alias("node"), F.inline(f"in{e}")) for out in work.done for e in "ab"]])
     return made.select("doc_id", "key", "node", "n_words"), work.comps, found, s
 

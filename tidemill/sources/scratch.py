@@ -28,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Written tables, each in a folder of its own."""
+    """Written tables, each in a folder of its own. ``clean``: the shuffle files of a written table go as soon as it is there."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, clean: bool = False):
+        self.spark, self.clean = spark, clean
         self.root = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
         self.n = 0
 
@@ -40,7 +44,14 @@ class Scratch:
         """Writes ``df`` once and returns the written table."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        if self.clean:
+            self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.clean:
+                self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.path = path
         return out
