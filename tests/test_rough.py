@@ -1,6 +1,9 @@
 """Distances by products, and by differences only where products do not tell: medians, degrees."""
 
+import os
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,21 @@ def test_groups_send_only_what_the_own_group_does_not_rule_out(spark, monkeypatc
     assert len(both) == len(exact) == len(found) == 2000 * 20 and (both.dist_x == both.dist_y).all()
     assert np.abs(both.kde_x - both.kde_y).max() < 1e-9
     assert sent[0].select(F.sum(F.size("j"))).first()[0] < 2000 * 21 * 2
+
+
+def test_blocks_may_reach_a_tile_in_any_order(spark):
+    """As on several executors, where each shuffle brings a group's blocks in an order of its own: a group that meets itself has one order all the same."""
+
+    def mixed(batches):
+        yield pd.concat(list(batches), ignore_index=True).sample(frac=1, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    x = np.random.default_rng(10).normal(size=(320, 3))
+    t = tiles.tiles(frame(spark, x), "k", size=20, group=160)
+    t.rows = t.rows.coalesce(1).mapInPandas(mixed, t.rows.schema)
+    d = tiles.apart(x, x)
+    for _ in range(3):
+        degrees = {k: v for r in tiles.added(t, tiles.multiply(t, 2.0, "degree", None), lambda row, y: {"deg": y}, eigen.BASE).collect() for k, v in zip(r.k, r.deg, strict=True)}
+        assert [degrees[i] for i in range(320)] == pytest.approx(np.exp(-(d**2) / 2.0).sum(1).tolist(), abs=1e-9)
+    v = np.sort(d[np.triu_indices(320, 1)])
+    r = spectral._summary(t, 64)
+    assert (r.n, r.least, r.most, r.eps) == (len(v), v[0], v[-1], v[(len(v) - 1) // 2] ** 2)

@@ -129,8 +129,8 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
         m, want = len(values), min(want, len(values))
         low = min(low, values[-1]) if method == "markov" else min(low, -values[min(m, want) - 1] / 8, 1.05 * values[-1])
         c, e = (low + values[-1]) / 2, (values[-1] - low) / 2
-        steps = 1
-        if e > 1e-12:
+        steps, damped = 1, e > 1e-12
+        if damped:
             # so many steps that the first of the wanted pairs outgrows the last by GROWTH at most
             rate = np.arccosh(max(1.0, (values[want - 1] - c) / e))
             apart = np.arccosh((values[0] - c) / e) - rate
@@ -144,7 +144,7 @@ def leading(t: Tiles, eps: float, count: int = 20, method: str = "markov", tol:
         # and no more than the residuals need; the values of a random panel do not tell that yet
         if not round_:
             steps = min(steps, FIRST)
-        elif e > 1e-12:
+        elif damped:
             steps = int(min(steps, max(1, np.ceil(np.log(20 * max(res[:want].max() / tol, 1.0)) / max(rate, 1e-9)))))
         s = s1
         for _ in range(2, steps + 1):

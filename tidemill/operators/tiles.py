@@ -74,19 +74,24 @@ class Side:
 
 
 def over(t: Tiles, f: Callable[[Side, Side, bool], Iterator[dict]], schema: str, reads: list[str] | None = None) -> DataFrame:
-    """``f(left, right, same)`` for each tile with rows on both sides; it yields columns of frames of ``schema``. Only the columns it ``reads`` are sent (all by default)."""
+    """``f(left, right, same)`` for each tile with rows on both sides; it yields columns of frames of ``schema``. Only the columns it ``reads`` are sent (all by default).
+
+    Blocks of a group reach a task in any order, another one for each shuffle; so a group that meets itself is sent once, and is both sides in one order.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
     count = t.groups * (t.groups + 1) // 2
     others = [c for c in t.rows.columns if c in ("b", "k") or c != "g" and (reads is None or c in reads)]
     # each column gets an alias, as the two sides of a cogroup need columns of their own
     left = t.rows.select(F.col("g").alias("ga"), F.explode(F.sequence("g", F.lit(t.groups - 1))).alias("gb"), *[F.col(c).alias(c) for c in others])
-    right = t.rows.select(F.explode(F.sequence(F.lit(0), "g")).alias("ga"), F.col("g").alias("gb"), *[F.col(c).alias(c) for c in others])
+    right = t.rows.where("g > 0").select(F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("ga"), F.col("g").alias("gb"), *[F.col(c).alias(c) for c in others])
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
+        same = len(a) > 0 and bool(a["ga"].iat[0] == a["gb"].iat[0])
+        if not len(a) or not (same or len(b)):
             return pd.DataFrame({c: [] for c in names}, dtype=object)
-        one, two = Side(a), Side(b)
-        found = [pd.DataFrame(x) for x in f(one, two, bool(a["ga"].iat[0] == a["gb"].iat[0]))]
+        one = Side(a)
+        two = one if same else Side(b)
+        found = [pd.DataFrame(x) for x in f(one, two, same)]
         return pd.concat(found, ignore_index=True)[names] if found else pd.DataFrame({c: [] for c in names}, dtype=object)
 
     sides = [d.repartition(count, "ga", "gb").groupBy("ga", "gb") for d in (left, right)]
