@@ -151,3 +151,39 @@ def test_blocks_may_reach_a_tile_in_any_order(spark):
     v = np.sort(d[np.triu_indices(320, 1)])
     r = spectral._summary(t, 64)
     assert (r.n, r.least, r.most, r.eps) == (len(v), v[0], v[-1], v[(len(v) - 1) // 2] ** 2)
+
+
+def test_counts_of_a_tile_do_not_grow_with_its_pieces(spark, monkeypatch):
+    """The bins of all pieces, and the values near the median, are counted together; also where nearly all distances are equal."""
+    t = spectral.Tally()
+    g = np.random.default_rng(12)
+    given = [g.integers(5_000 - 40 * i, 9_000 + 30 * i, 3_000) for i in range(60)]
+    for at in given:
+        t.add(at)
+        assert len(t.n) <= 9_000 + 30 * 60 - (5_000 - 40 * 60)
+    names, counts = np.unique(np.concatenate(given), return_counts=True)
+    assert (t.found()[0] == names).all() and (t.found()[1] == counts).all()
+    most, merged = [], spectral._merged
+    monkeypatch.setattr(spectral, "APART", 500)
+    monkeypatch.setattr(tiles, "CHUNK", 16)
+
+    def watched(parts):
+        out = merged(parts)
+        most.append((sum(len(p[0]) for p in parts), len(out[0])))
+        return out
+
+    monkeypatch.setattr(spectral, "_merged", watched)
+    monkeypatch.setattr(spectral, "over", lambda t, f, schema, reads: local(t, f, schema))
+
+    def local(t, f, schema):
+        sides = [tiles.Side(p) for _, p in t.rows.toPandas().groupby("g")]
+        out = [pd.DataFrame(x) for i, a in enumerate(sides) for b in sides[i:] for x in f(a, b, a is b)]
+        return spark.createDataFrame(pd.concat(out), schema)
+
+    simplex = np.eye(150)
+    simplex[0] *= 3
+    for written in (10**6, 40):
+        r = spectral._summary(tiles.tiles(frame(spark, simplex), "k", size=64, group=75), 16, written)
+        d = tiles.apart(simplex, simplex)[np.triu_indices(150, 1)]
+        assert (r.n, r.least, r.most, r.eps) == (len(d), d.min(), d.max(), np.sort(d)[(len(d) - 1) // 2] ** 2)
+    assert max(a for a, _ in most) < 500 + 16 * 16 + 100 and max(b for _, b in most) < 20

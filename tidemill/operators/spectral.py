@@ -256,11 +256,45 @@ BITS = 38
 WRITTEN = 30_000_000
 
 
+#: So many values of a tile, at most, wait to be counted together.
+APART = 1 << 20
+
+
+class Tally:
+    """How often each whole number came: one array over the range of the numbers, however many pieces they come in (of doubles by their leading bits, 33 million numbers at most)."""
+
+    def __init__(self):
+        self.base, self.n = 0, np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray) -> None:
+        start = int(at.min())
+        n = np.bincount(at - start)
+        low, high = (min(self.base, start), max(self.base + len(self.n), start + len(n))) if len(self.n) else (start, start + len(n))
+        if high - low > len(self.n):
+            wide = np.zeros(high - low, np.int64)
+            if len(self.n):
+                wide[self.base - low :][: len(self.n)] = self.n
+            self.base, self.n = low, wide
+        self.n[start - self.base :][: len(n)] += n
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.n)
+        return at + self.base, self.n[at]
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Parts of (name, n, low, high) as one, sorted, with a row a name."""
+    name, n, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(name, kind="stable")
+    name, begin = np.unique(name[order], return_index=True)
+    return name, np.add.reduceat(n[order], begin), np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
+
+
 def _summary(t: Tiles, bins: int = 4096, written: int = WRITTEN) -> Row:
     def first(a: Side, b: Side, same: bool) -> Iterator[dict]:
         """Pairs by the leading bits of their rough squares, pairs of equal rows as bin -1; the least and greatest distance by differences."""
         r = Rough(a["x"], b["x"], np.float32)
-        names, counts, equal, least, most = [], [], 0, np.inf, 0.0
+        tally, equal, least, most = Tally(), 0, np.inf, 0.0
         for rows, cols, s in r.pieces(same):
             if same and rows == cols:
                 s[np.tril_indices(len(s))] = -np.inf
@@ -280,15 +314,9 @@ def _summary(t: Tiles, bins: int = 4096, written: int = WRITTEN) -> Row:
                 least = min(least, r.exact(rows, cols, np.flatnonzero((flat > -np.inf) & (flat <= low + 2 * r.slack))).min())
             if high + 2 * r.slack > most * most:
                 most = max(most, r.exact(rows, cols, np.flatnonzero(flat >= high - 2 * r.slack)).max())
-            at = np.maximum(v.astype(np.float64), 0.0).view(np.int64) >> BITS
-            start = int(at.min())
-            n = np.bincount(at - start)
-            names.append(np.flatnonzero(n) + start)
-            counts.append(n[names[-1] - start])
-        names, counts = np.concatenate([*names, [-1]]), np.concatenate([*counts, [equal]])
-        order = np.argsort(names, kind="stable")
-        name, begin = np.unique(names[order], return_index=True)
-        yield {"bin": name, "n": np.add.reduceat(counts[order], begin), "low": least, "high": most, "slack": r.slack}
+            tally.add(np.maximum(v.astype(np.float64), 0.0).view(np.int64) >> BITS)
+        names, counts = tally.found()
+        yield {"bin": np.append(names, -1), "n": np.append(counts, equal), "low": least, "high": most, "slack": r.slack}
 
     each = over(t, first, "bin long, n long, low double, high double, slack double", ["x"])
     whole = each.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack")).orderBy("bin").collect()
@@ -309,9 +337,12 @@ def _summary(t: Tiles, bins: int = 4096, written: int = WRITTEN) -> Row:
     def inside(low: float, high: float, whole: bool) -> DataFrame:
         """Distances by differences from low to high, by value or in bins, and as bin -1 the number of pairs below."""
 
+        def binned(v: np.ndarray) -> np.ndarray:
+            return np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
+
         def count(a: Side, b: Side, same: bool) -> Iterator[dict]:
             r = Rough(a["x"], b["x"], np.float32)
-            below, found = 0, []
+            below, held, waiting = 0, [tuple(np.array([x]) for x in (-1.0, 0, 0.0, 0.0))], 0
             for rows, cols, s in r.pieces(same):
                 if same and rows == cols:
                     s[np.tril_indices(len(s))] = np.inf
@@ -319,11 +350,14 @@ def _summary(t: Tiles, bins: int = 4096, written: int = WRITTEN) -> Row:
                 sure = flat < low * low - 2 * r.slack
                 d = r.exact(rows, cols, np.flatnonzero(~sure & (flat <= high * high + 2 * r.slack)))
                 below += int(sure.sum()) + int((d < low).sum())
-                found.append(d[(d >= low) & (d <= high)])
-            v = np.sort(np.concatenate([*found, []]))
-            at = np.minimum(((v - low) / (high - low) * bins).astype(int), bins - 1)
-            _, begin, n = np.unique(v if whole else at, return_index=True, return_counts=True)
-            yield {"bin": [-1, *at[begin]], "n": [below, *n], "low": [0.0, *v[begin]], "high": [0.0, *v[begin + n - 1]]}
+                v = d[(d >= low) & (d <= high)]
+                held.append((v if whole else binned(v).astype(float), np.ones(len(v), int), v, v))
+                waiting += len(v)
+                if waiting > APART:
+                    held, waiting = [_merged(held)], 0
+            _, n, least, most = _merged(held)
+            n[0] += below
+            yield {"bin": [-1, *binned(least[1:])], "n": n, "low": least, "high": most}
 
         return over(t, count, "bin int, n long, low double, high double", ["x"])
 
