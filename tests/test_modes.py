@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from tidemill.config import Config
 from tidemill.operators import modes, spectral
+from tidemill.plans import regime_analysis
 
 
 def sweep(peaks, meetings):
@@ -92,3 +94,20 @@ def test_modes_of_three_blobs(spark, n_modes):
     assert got.tolist() == [order[end(peak[i])] for i in sorted(peak)]
     if n_modes:
         assert all(len(set(got[k : k + 80])) == 1 for k in (0, 80, 160)) and len(set(got)) == 3
+
+
+def test_partition_takes_all_neighbours_and_densities(spark, monkeypatch):
+    """Not 95 % of the neighbours and the densities of some cells: vectors that spread evenly have neighbours in every cell; copies count as rows."""
+    x = np.random.default_rng(13).normal(size=(900, 12))
+    x[850:] = x[:50]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "window_id long, dc array<double>").repartition(3)
+    seen = []
+    monkeypatch.setattr(modes, "search", lambda edges, ks: seen.append((edges, ks)))
+    regime_analysis.partition(df, 12, Config())
+    edges, ks = seen[0]
+    got = edges.toPandas().sort_values(["i", "rank"])
+    width = x.std() * 900 ** (-1 / 16)
+    want = spectral.neighbours(df, "window_id", "dc", 150, bandwidth=width).toPandas().sort_values(["i", "rank"])
+    assert ks == Config().neighbours and len(got) == len(want) == 900 * 150
+    assert (got.j.to_numpy() == want.j.to_numpy()).all() and np.abs(got.dist.to_numpy() - want.dist.to_numpy()).max() < 1e-12
+    assert np.abs(got.kde.to_numpy() - want.kde.to_numpy()).max() < 1e-9

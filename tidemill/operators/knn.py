@@ -2,7 +2,7 @@
 
 Centroids are fitted on a sample of at most ``SAMPLE`` rows chosen by a hash of the key; every row is indexed. How many cells a query visits
 is settled by measuring: the true neighbours of at most ``JUDGES`` rows, found by one pass over all rows, must lie in the visited cells with
-the asked share. Groups of whole cells meet in tiles, as in ``tiles``, and a tile compares each query with the members in the cells that it visits: a row is sent to
+the asked share; without a share, all cells are visited, and the search is exact. Groups of whole cells meet in tiles, as in ``tiles``, and a tile compares each query with the members in the cells that it visits: a row is sent to
 each group once, however many cells it visits. A hot cell is dealt to several groups. Work is about N * visited * N / cells instead of N * N.
 
 Copies: only the k + 1 smallest keys of equal vectors are in the index, as no other copy can be among anybody's k nearest (ties go by key), and equal
@@ -69,8 +69,8 @@ class Index:
     scratch: Scratch
 
 
-def build(df: DataFrame, key: str, column: str = "x", k: int = 20, recall: float = 0.95, cells: int | None = None, seed: int = 42) -> Index:
-    """The index for searches of up to ``k`` neighbours."""
+def build(df: DataFrame, key: str, column: str = "x", k: int = 20, recall: float | None = 0.95, cells: int | None = None, seed: int = 42) -> Index:
+    """The index for searches of up to ``k`` neighbours; with ``recall`` None they compare all rows with all, and cells serve only to bound what a group sends."""
     s = Scratch(df.sparkSession)
     x = F.col(column).cast("array<double>")
     rows = s.save(df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.md5(x.cast("string")).alias("cls"), x.alias("x")))
@@ -88,7 +88,7 @@ def build(df: DataFrame, key: str, column: str = "x", k: int = 20, recall: float
     weight = F.when((F.col("place") == k + 1) & F.col("n").isNotNull(), F.col("n") - k).otherwise(1)
     members = first.join(copies, "cls", "left").select("cls", "k", "place", weight.cast("double").alias("weight"), "x")
     members = s.save(members.mapInPandas(home, "cls string, k long, place int, weight double, x array<double>, cell int"))
-    visit, found = _settle(rows, members, at, k, recall, seed) if n > 1 else (1, 1.0)
+    visit, found = (len(at), 1.0) if recall is None else _settle(rows, members, at, k, recall, seed) if n > 1 else (1, 1.0)
     return Index(members, rows.select("k", "cls"), at, visit, found, s)
 
 
@@ -153,6 +153,9 @@ def search(index: Index, k: int = 20, bandwidth: float | None = None, size: int
         spans = [slice(i, j) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
         for i in range(0, len(x), CHUNK):
             rows = slice(i, min(i + CHUNK, len(x)))
+            if visit >= len(at):
+                yield asked[rows], rows, r, keys, weight, r(rows, slice(0, len(keys)))
+                continue
             visited = np.zeros((rows.stop - i, len(at)), bool)
             np.put_along_axis(visited, nearest_cells(x[rows], at, visit)[0], True, 1)
             d = np.full((rows.stop - i, len(keys)), np.inf, kind)

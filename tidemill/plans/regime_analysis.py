@@ -23,10 +23,10 @@ def signals(mode: str) -> tuple[str, str]:
     return {"split": ("dr", "r"), "r": ("r", "r"), "dr": ("dr", "dr")}[mode]
 
 
-def partition(coords: DataFrame, dim: int, cfg: Config, exact: bool = False) -> tuple[DataFrame, int, int]:
+def partition(coords: DataFrame, dim: int, cfg: Config) -> tuple[DataFrame, int, int]:
     """(window_id, label) of density modes in the first ``dim`` coordinates, and the chosen k and number of modes.
 
-    Neighbours come from an index that holds 95 % of them; ``exact`` compares all rows with all.
+    Neighbours and densities are those of all rows against all; the cells of the index only keep what groups of rows send to each other small.
     """
     s = Scratch(coords.sparkSession)
     x = s.save(coords.select("window_id", F.slice("dc", 1, dim).alias("x")))
@@ -34,7 +34,7 @@ def partition(coords: DataFrame, dim: int, cfg: Config, exact: bool = False) ->
     spread = x.select(F.explode("x").alias("v")).agg(F.stddev_pop("v")).first()[0] or 1.0
     ks = tuple(k for k in cfg.neighbours if k < n) or (max(1, n - 1),)
     width = max(spread * n ** (-1 / (dim + 4)), 1e-12)
-    edges = spectral.neighbours(x, "window_id", "x", max(ks), bandwidth=width) if exact else knn.search(knn.build(x, "window_id", "x", max(ks)), max(ks), width)
+    edges = knn.search(knn.build(x, "window_id", "x", max(ks), recall=None), max(ks), width)
     return modes.search(s.save(edges), ks)
 
 
