@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import knn, spectral, tiles
+from tidemill.operators import knn, lloyd, spectral, tiles
 
 SF = "/root/testdata"
 
@@ -133,3 +133,43 @@ def test_vectors_are_standardised_by_one_group_by_on_positions(spark):
     assert np.abs(np.array([got[i + 1] for i in range(50)]) - want).max() < 1e-9
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert spectral.standardize_vectors(df.where("k < 0")).count() == 0
+
+
+def lloyd_rounds(x, label, most):
+    for _ in range(most):
+        at = np.stack([x[label == c].mean(0) for c in np.unique(label)])
+        far = ((x[:, None] - at) ** 2).sum(2)
+        label = far.argmin(1)
+    return far.min(1).sum(), label
+
+
+def test_k_means_ends_where_no_round_helps_at_any_scale(spark):
+    """Diffusion coordinates are as small as 1e-6, where a bound on the centres' moves in plain numbers ends every run at its first round."""
+    x = np.random.default_rng(14).normal(size=(900, 3))
+    labels = []
+    for scale in (1.0, 2.0**-20):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x * scale)], "window_id long, dc array<double>").repartition(3)
+        got = spectral.k_means(df, 3, 6, 2).orderBy("window_id").toPandas()
+        labels.append(got.label.to_numpy())
+        assert np.stack(got.x).tolist() == (x * scale).tolist()
+    first, _ = lloyd_rounds(x, labels[1], 1)
+    last, _ = lloyd_rounds(x, labels[1], 60)
+    assert len(set(labels[1])) == 6 and first < 1.002 * last and (labels[0] == labels[1]).all()
+
+
+def test_runs_of_k_means_share_their_passes(spark, monkeypatch):
+    """Three dimensions of four runs each take one pass a round; blobs are found, and copies of one row do no harm."""
+    g = np.random.default_rng(15)
+    own = g.integers(0, 4, 400)
+    x = 1e-5 * (np.eye(5)[own] * 9 + g.normal(size=(400, 5)))
+    x[own == 3] = x[np.flatnonzero(own == 3)[0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, dc array<double>")
+    passes, sums = [], lloyd._sums
+    monkeypatch.setattr(lloyd, "_sums", lambda *args: passes.append(1) or sums(*args))
+    at = lloyd.fitted(tiles.tiles(df, "k", "dc", size=64).rows, [3, 4, 5], 4, 4)
+    assert len(passes) < 40 and {d: v.shape for d, v in at.items()} == {d: (4, d) for d in (3, 4, 5)}
+    found = lloyd.labelled(df, "dc", {"a": at[4], "b": at[5]}).orderBy("k").toPandas()
+    for name in "ab":
+        assert len(set(zip(own, found[name], strict=True))) == 4
+    one = lloyd.fitted(tiles.tiles(df.withColumn("dc", F.array(F.lit(1.0), F.lit(2.0))), "k", "dc").rows, [2], 3, 2)
+    assert (one[2] == [1.0, 2.0]).all()

@@ -7,7 +7,6 @@ and nothing is taken from a sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from . import eigen
+from . import eigen, lloyd
 from .tiles import BLOCK, CHUNK, GROUP, Rough, Side, Tiles, added, apart, apart_at, over, tiles
 
 
@@ -189,27 +188,10 @@ def silhouette_estimate(df: DataFrame, key: str, column: str, label: str, most:
     return df.sparkSession.createDataFrame([(float(mean), float(np.sqrt(2 * np.log(2 / delta) * spread)))], "silhouette double, bound double")
 
 
-def k_means(coords: DataFrame, d: int, k: int, seeds: int = 5, seed: int = 42) -> DataFrame:
+def k_means(coords: DataFrame, d: int, k: int, seeds: int = 5, seed: int = 42, key: str = "window_id") -> DataFrame:
     """coords with ``x``, the first d of ``dc``, and ``label``: the best of ``seeds`` runs of k-means."""
-    model = _fitted(coords, [d], k, seeds, seed)[d]
-    return _features(coords, d).withColumn("x", F.slice("dc", 1, d)).transform(model.transform).drop("_v")
-
-
-def _features(coords: DataFrame, d: int) -> DataFrame:
-    return coords.withColumn("_v", array_to_vector(F.slice("dc", 1, d)))
-
-
-def _fitted(coords: DataFrame, dims: list[int], k: int, seeds: int, seed: int) -> dict:
-    """The best model of each dimension; runs are jobs of their own, RUNS of them at a time."""
-    from pyspark.ml.clustering import KMeans
-
-    def fit(at: tuple[int, int]):
-        return KMeans(k=k, seed=seed + at[1], featuresCol="_v", predictionCol="label").fit(_features(coords, at[0]))
-
-    asked = [(d, i) for d in dims for i in range(seeds)]
-    with ThreadPoolExecutor(RUNS) as pool:
-        models = dict(zip(asked, pool.map(fit, asked), strict=True))
-    return {d: min((models[d, i] for i in range(seeds)), key=lambda m: m.summary.trainingCost) for d in dims}
+    at = lloyd.fitted(tiles(coords, key, "dc").rows, [d], k, seeds, seed)[d]
+    return lloyd.labelled(coords, "dc", {"label": at}).withColumn("x", F.slice("dc", 1, d))
 
 
 def clusters_for(n: int) -> int:
@@ -224,11 +206,8 @@ def choose_dimension(coords: DataFrame, key: str, dims: range = range(2, 21), se
     s = Scratch(coords.sparkSession)
     coords = s.save(coords)
     k, dims = clusters_for(coords.count()), list(dims)
-    models = _fitted(coords, dims, k, seeds, seed)
-    x = coords.withColumn("x", F.slice("dc", 1, max(dims, default=1)))
-    for d in dims:
-        x = models[d].setPredictionCol(f"label{d}").transform(_features(x, d)).drop("_v")
-    x = s.save(x)
+    at = lloyd.fitted(tiles(coords, key, "dc").rows, dims, k, seeds, seed)
+    x = s.save(lloyd.labelled(coords, "dc", {f"label{d}": at[d] for d in dims}).withColumn("x", F.slice("dc", 1, max(dims, default=1))))
     if exact:
         found = [(v, 0.0) for v in silhouettes(x, key, "x", {d: f"label{d}" for d in dims})] if dims else []
     else:
@@ -246,8 +225,6 @@ def pair_summary(df: DataFrame, key: str, column: str = "x", size: int = BLOCK,
     return df.sparkSession.createDataFrame([tuple(_summary(tiles(df, key, column, size), bins))], "n long, least double, most double, eps double")
 
 
-#: Runs of k-means at a time.
-RUNS = 8
 #: Numbers of rows times clusters of a group, at most.
 WIDEST = 16_000_000
 #: Positive numbers by their leading bits: 2 ** 14 bins an octave.
