@@ -187,3 +187,26 @@ def test_counts_of_a_tile_do_not_grow_with_its_pieces(spark, monkeypatch):
         d = tiles.apart(simplex, simplex)[np.triu_indices(150, 1)]
         assert (r.n, r.least, r.most, r.eps) == (len(d), d.min(), d.max(), np.sort(d)[(len(d) - 1) // 2] ** 2)
     assert max(a for a, _ in most) < 500 + 16 * 16 + 100 and max(b for _, b in most) < 20
+
+
+@pytest.mark.parametrize("written", [10**6, 40])
+def test_degrees_with_blocks_in_any_order(spark, monkeypatch, written):
+    """The bandwidth and the degrees of the kernel, with the blocks of a group in another order for each shuffle."""
+
+    def mixed(batches):
+        yield pd.concat(list(batches), ignore_index=True).sample(frac=1, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    def dealt(*args):
+        t = tiles.tiles(*args[:3], size=16, group=128)
+        t.rows = t.rows.coalesce(1).mapInPandas(mixed, t.rows.schema)
+        return t
+
+    monkeypatch.setattr(spectral, "tiles", dealt)
+    x = np.random.default_rng(16).normal(size=(256, 4))
+    d = tiles.apart(x, x)
+    v = np.sort(d[np.triu_indices(256, 1)])
+    eps = spectral._summary(dealt(frame(spark, x), "k", "x"), 64, written).eps
+    assert eps == v[(len(v) - 1) // 2] ** 2
+    rows = {r.i: r for r in spectral.kernel_degrees(frame(spark, x), "k", "x", eps).collect()}
+    assert [rows[i].degree for i in range(256)] == pytest.approx(np.exp(-(d**2) / eps).sum(1).tolist(), abs=1e-9)
+    assert all(r.diagonal == 1 for r in rows.values())
